@@ -26,7 +26,7 @@ CONFIDENCE_BASE, CONFIDENCE_SLOPE, CONFIDENCE_BOUNDS = 0.56, 0.88, (0.51, 0.97)
 LIKELY_AI, LIKELY_HUMAN = 0.55, 0.40
 
 # Unicode white space as ECMAScript defines it; Java's \s is ASCII only.
-SPACE_CLASS = r"\t\n\x0B\f\r    -     　﻿"
+SPACE_CLASS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACE = f"[{SPACE_CLASS}]"
 TOKEN = f"[^{SPACE_CLASS}]+"
 LONG_TOKEN = (

@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from veridect.session import cut_lineage
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that matches NULL keys too, so that no group is lost."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_totals(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Sequence[str]
 ) -> DataFrame:
@@ -33,21 +42,17 @@ def running_totals(
     whole = Window.partitionBy(*groups)
     before = whole.orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slab_sums.select(
-        *[F.col(g).alias(f"_key_{g}") for g in groups],
-        F.col("_slab").alias("_key_slab"),
+        *groups,
+        "_slab",
         *[F.coalesce(F.sum(f"_part_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_part_{s}").over(whole).alias(f"tot_{s}") for s in sums],
     )
     inside = Window.partitionBy(*groups, "_slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = slabbed.withColumns({f"_cum_{s}": F.sum(s).over(inside) for s in sums})
-    match = F.col("_slab") == F.col("_key_slab")
-    for g in groups:
-        match = match & F.col(g).eqNullSafe(F.col(f"_key_{g}"))
     return (
-        local.join(offsets, match)
+        join_on(local, offsets, [*groups, "_slab"])
         .withColumns({f"cum_{s}": F.col(f"_cum_{s}") + F.col(f"_off_{s}") for s in sums})
-        .drop("_slab", "_key_slab", *[f"_key_{g}" for g in groups])
-        .drop(*[f"_cum_{s}" for s in sums], *[f"_off_{s}" for s in sums])
+        .drop("_slab", *[f"_cum_{s}" for s in sums], *[f"_off_{s}" for s in sums])
     )
 
 

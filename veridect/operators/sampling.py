@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridect.operators.ordered import row_positions
+from veridect.operators.ordered import join_on, row_positions, running_totals
 
 BUCKET_DIGITS = 4
 
@@ -46,13 +46,13 @@ def cut_keys(df: DataFrame, classes: Sequence[str], id_col: str, seed: int, rank
     running = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ladder = per_bucket.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
     wanted = (
-        ladder.join(ranks, classes)
+        join_on(ladder, ranks, classes)
         .filter((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_upto")))
         .select(*classes, "_bucket", "tag", (F.col("rank") - F.col("_before")).alias("_inner"))
     )
     inside = Window.partitionBy(*classes, "_bucket", "tag").orderBy("_key")
     found = (
-        keyed.join(wanted, [*classes, "_bucket"])
+        join_on(keyed, wanted, [*classes, "_bucket"])
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") == F.col("_inner"))
         .select(*classes, "tag", F.col("_key").alias("cut"))
@@ -71,7 +71,7 @@ def _with_cuts(df: DataFrame, classes: Sequence[str], cuts: DataFrame, tags: Seq
     wide = cuts.groupBy(*classes).agg(
         *[F.max(F.when(F.col("tag") == t, F.col("cut"))).alias(f"_cut_{t}") for t in tags]
     )
-    return df.join(wide, list(classes), "left")
+    return join_on(df, wide, list(classes), "left")
 
 
 def _within(key: Column, cut: Column) -> Column:
@@ -108,7 +108,7 @@ def sample_by_quota(
     """Per-class quotas from a table (classes..., quota); classes not in it give no rows."""
     ranks = quotas.select(*classes, F.lit("quota").alias("tag"), F.col("quota").cast("bigint").alias("rank"))
     cuts = cut_keys(df, classes, id_col, seed, ranks)
-    keyed = df.join(quotas.select(*classes), list(classes), "left_semi")
+    keyed = join_on(df, quotas.select(*classes).distinct(), list(classes))
     keyed = _with_cuts(keyed.withColumn("_key", order_key(F.col(id_col), seed)), classes, cuts, ["quota"])
     return keyed.filter(_within(F.col("_key"), F.col("_cut_quota"))).select(*df.columns)
 
@@ -136,8 +136,8 @@ def stratified_quotas(df: DataFrame, label: str, val_ratio: float = 0.2) -> Data
     # share * _n = available * _total; integers keep the remainders exact
     sized = sized.withColumns(
         {
-            "_base": F.expr("div(available * _total, _n)"),
-            "_left": F.expr("(available * _total) % _n"),
+            "_base": F.expr("div(cast(available as decimal(19, 0)) * _total, _n)"),
+            "_left": F.expr("(cast(available as decimal(19, 0)) * _total) % _n"),
         }
     )
     spare = F.col("_total") - F.sum("_base").over(every)
@@ -171,7 +171,7 @@ def hash_positions(df: DataFrame, classes: Sequence[str], id_col: str, seed: int
     before = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*classes, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*classes, "_bucket").orderBy("_key")
-    ranked = keyed.withColumn("_rn", F.row_number().over(inside)).join(offsets, [*classes, "_bucket"])
+    ranked = join_on(keyed.withColumn("_rn", F.row_number().over(inside)), offsets, [*classes, "_bucket"])
     return ranked.withColumn(name, F.col("_off") + F.col("_rn") - 1).select(*df.columns, name)
 
 
@@ -193,16 +193,18 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per
         "_salts", F.ceil(F.col("_max") / (F.col("_n") * F.lit(float(draws_per_key)))).cast("bigint")
     )
     indexed = hash_positions(df, [label], id_col, seed, "_index")
-    sources = indexed.join(sizes.select(label, "_salts"), label).withColumn(
+    sources = join_on(indexed, sizes.select(label, "_salts"), [label]).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))
     )
-    # one chunk row per 10,000 draws, so no row expands without bound
+    # one chunk row per 10,000 draws, so no row expands without bound; the task
+    # count is explicit because chunk rows are too small to be kept apart by size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = 10_000
     chunks = sizes.withColumn("_super", F.explode(F.expr(f"sequence(0L, div(_max - 1, {chunk * 1000}L))"))).withColumn(
         "_part", F.explode(F.expr(f"sequence(_super * 1000L, least(_super * 1000L + 999L, div(_max - 1, {chunk}L)))"))
     )
     draws = (
-        chunks.repartition(label, "_part")
+        chunks.repartition(tasks, label, "_part")
         .withColumn("draw", F.explode(F.expr(f"sequence(_part * {chunk}L, least(_part * {chunk}L + {chunk - 1}L, _max - 1))")))
         .withColumn(
             "_hash",
@@ -214,7 +216,7 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per
         )
         .select(label, "draw", (F.col("_hash") % F.col("_n")).alias("_index"), (F.col("draw") % F.col("_salts")).alias("_salt"))
     )
-    return draws.join(sources, [label, "_index", "_salt"]).select(*df.columns, "draw")
+    return join_on(draws, sources, [label, "_index", "_salt"]).select(*df.columns, "draw")
 
 
 def quota_check(df: DataFrame, classes: Sequence[str], delivered: DataFrame, requested: DataFrame) -> DataFrame:
@@ -222,9 +224,7 @@ def quota_check(df: DataFrame, classes: Sequence[str], delivered: DataFrame, req
     available = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("available"))
     got = delivered.groupBy(*classes).agg(F.count(F.lit(1)).alias("delivered"))
     return (
-        requested.join(available, list(classes), "left")
-        .join(got, list(classes), "left")
-        .fillna(0, ["available", "delivered"])
+                .fillna(0, ["available", "delivered"])
         .withColumn("short", F.col("available") < F.col("requested"))
         .select(*classes, "requested", "available", "delivered", "short")
     )
@@ -257,7 +257,7 @@ def collision_free_names(df: DataFrame, path: str, folders: Sequence[str] = ())
     named = named.withColumn("_ext", F.expr("substring(_name, length(_stem) + 1)"))
     ranked = row_positions(named, [path], [*folders, "_name"], "_copy")
     firsts = named.select(*folders, "_name", "_stem", "_ext").distinct()
-    owned_number = F.regexp_extract("_stem", r"_([1-9][0-9]{0,17})$", 1)
+    owned_number = F.regexp_extract("_stem", r"^.+_([1-9][0-9]{0,17})$", 1)
     owned = (
         firsts.withColumn("_k", F.nullif(owned_number, F.lit("")).cast("bigint"))
         .filter(F.col("_k").isNotNull())
@@ -277,11 +277,11 @@ def collision_free_names(df: DataFrame, path: str, folders: Sequence[str] = ())
             F.lit(None).cast("string").alias(path),
         )
     )
-    skipped = row_sums_by_range(steps, [*folders, "_name"], ["_at", "_kind", path], "_owned").filter(F.col("_kind") == 1)
+    skipped = running_totals(steps, [*folders, "_name"], ["_at", "_kind", path], ["_owned"]).filter(F.col("_kind") == 1)
     shifts = skipped.select(*folders, "_name", F.col(path), (F.col("_at") + F.col("cum__owned")).alias("_number"))
     keys = [*folders, "_name", path]
     return (
-        ranked.join(shifts, keys, "left")
+        join_on(ranked, shifts, keys, "left")
         .withColumn(
             "target_name",
             F.when(F.col("_copy") == 1, F.col("_name")).otherwise(
@@ -290,9 +290,3 @@ def collision_free_names(df: DataFrame, path: str, folders: Sequence[str] = ())
         )
         .select(*df.columns, "target_name")
     )
-
-
-def row_sums_by_range(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    from veridect.operators.ordered import running_totals
-
-    return running_totals(df, groups, order, [value])
