@@ -75,10 +75,9 @@ def frames_sliding(
         "_block", F.explode(F.when(spill, F.array(home, home + 1)).otherwise(F.array(home)))
     )
     window = Window.partitionBy(video, "_block").orderBy("_place").rowsBetween(-(width - 1), 0)
-    exact = F.col(p).cast("decimal(20,10)")
     moved = copies.withColumns(
         {
-            "_avg": F.sum(exact).over(window).cast("double") / F.lit(float(width)),
+            "_avg": F.avg(p).over(window),
             "_full": (F.count(F.lit(1)).over(window) == width) & (F.col("_block") == home),
         }
     )
@@ -86,7 +85,7 @@ def frames_sliding(
     return moved.groupBy(video).agg(
         F.coalesce(
             F.max(F.when(F.col("_full"), F.col("_avg"))),
-            F.sum(F.when(own, exact)).cast("double") / F.count_if(own),
+            F.avg(F.when(own, F.col(p))),
         ).alias("fake_prob")
     )
 

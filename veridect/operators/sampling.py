@@ -224,7 +224,8 @@ def quota_check(df: DataFrame, classes: Sequence[str], delivered: DataFrame, req
     available = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("available"))
     got = delivered.groupBy(*classes).agg(F.count(F.lit(1)).alias("delivered"))
     return (
-                .fillna(0, ["available", "delivered"])
+        join_on(join_on(requested, available, list(classes), "left"), got, list(classes), "left")
+        .fillna(0, ["available", "delivered"])
         .withColumn("short", F.col("available") < F.col("requested"))
         .select(*classes, "requested", "available", "delivered", "short")
     )
