@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,15 @@ def fix_length(a: Column, length: int) -> Column:
     return F.slice(F.concat(a, F.array_repeat(F.lit(0.0), missing)), 1, length)
 
 
+def with_constant(a: Column, constant: Column, function: Callable[[Column, Column], Column]) -> Column:
+    """``function(element, constant)`` over ``a``.
+
+    A row-level value captured by a lambda may be computed once per element;
+    repeated as an array it is computed once per row.
+    """
+    return F.zip_with(a, F.array_repeat(constant, F.size(a)), function)
+
+
 def power_to_db(a: Column, relative: bool = True, top_db: float | None = DB_RANGE) -> Column:
     """Power to decibels against the array maximum, or against 1 if not ``relative``."""
 
@@ -27,11 +36,12 @@ def power_to_db(a: Column, relative: bool = True, top_db: float | None = DB_RANG
         return F.lit(10.0) * F.log10(F.greatest(x, F.lit(DB_FLOOR)))
 
     top = db(F.array_max(a))
-    levels = F.transform(a, lambda x: db(x) - top) if relative else F.transform(a, db)
+    if relative:
+        levels = with_constant(a, top, lambda x, t: db(x) - t)
+        return levels if top_db is None else F.transform(levels, lambda x: F.greatest(x, F.lit(-top_db)))
     if top_db is None:
-        return levels
-    floor = F.lit(-top_db) if relative else top - F.lit(top_db)
-    return F.transform(levels, lambda x: F.greatest(x, floor))
+        return F.transform(a, db)
+    return with_constant(a, top, lambda x, t: F.greatest(db(x), t - F.lit(top_db)))
 
 
 def _moments(a: Column) -> Column:
@@ -45,8 +55,8 @@ def array_mean(a: Column) -> Column:
 
 def array_std(a: Column, ddof: int = 0, mean: Column | None = None) -> Column:
     center = array_mean(a) if mean is None else mean
-    squares = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - center) * (x - center))
-    return F.sqrt(squares / F.nullif(F.greatest(F.size(a) - ddof, F.lit(0)), F.lit(0)))
+    squares = with_constant(a, center, lambda x, m: (x - m) * (x - m))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.greatest(F.size(a) - ddof, F.lit(0)), F.lit(0)))
 
 
 def global_standardize(train: DataFrame, apply_to: DataFrame, array: str, epsilon: float = 1e-6) -> DataFrame:
@@ -64,19 +74,19 @@ def global_standardize(train: DataFrame, apply_to: DataFrame, array: str, epsilo
     )
     return (
         apply_to.crossJoin(F.broadcast(stats))  # one row
-        .withColumn(array, F.transform(array, lambda x: (x - F.col("_mean")) / (F.col("_std") + F.lit(epsilon))))
+        .withColumn(array, standardized(F.col(array), F.col("_mean"), F.col("_std"), epsilon))
         .drop("_mean", "_std")
     )
 
 
-def sample_standardize(df: DataFrame, array: str, epsilon: float = 1e-8) -> DataFrame:
+def standardized(a: Column, mean: Column, std: Column, epsilon: float) -> Column:
+    scale = F.struct(mean.alias("mean"), std.alias("std"))
+    return with_constant(a, scale, lambda x, s: (x - s["mean"]) / (s["std"] + F.lit(epsilon)))
+
+
+def sample_standardize(a: Column, epsilon: float = 1e-8) -> Column:
     """Per-row standardisation with the sample deviation."""
-    return (
-        df.withColumn("_mean", array_mean(F.col(array)))
-        .withColumn("_std", array_std(F.col(array), ddof=1, mean=F.col("_mean")))
-        .withColumn(array, F.transform(array, lambda x: (x - F.col("_mean")) / (F.col("_std") + F.lit(epsilon))))
-        .drop("_mean", "_std")
-    )
+    return standardized(a, array_mean(a), array_std(a, ddof=1), epsilon)
 
 
 def channel_normalize(
@@ -102,7 +112,11 @@ def channel_normalize(
 
 
 def reverse_channels(a: Column, channels: int = 3) -> Column:
-    return F.transform(a, lambda x, i: F.get(a, i - i % channels + (channels - 1) - i % channels))
+    """Each pixel's channels in reverse order, by sorting on (pixel, -channel)."""
+    tagged = F.transform(
+        a, lambda x, i: F.struct((i - i % channels).alias("pixel"), (-(i % channels)).alias("channel"), x.alias("x"))
+    )
+    return F.transform(F.array_sort(tagged), lambda t: t["x"])
 
 
 def to_mono(channels: Column) -> Column:

@@ -76,14 +76,33 @@ def document_score(long_ratio: Column, punct_density: Column, formal: Column, pe
     return clamp(raw, *SCORE_BOUNDS)
 
 
-def sentence_scores(sentence_array: Column, score: Column) -> Column:
-    def one(sentence: Column, index: Column) -> Column:
-        base = score + count_words(sentence, SENTENCE_FORMAL_CUES).cast("double") * F.lit(SENTENCE_FORMAL_WEIGHT)
-        personal = count_words(sentence, SENTENCE_PERSONAL_CUES).cast("double") * F.lit(SENTENCE_PERSONAL_WEIGHT)
-        shift = F.when(index % 2 == 0, F.lit(EVEN_SENTENCE_SHIFT)).otherwise(F.lit(ODD_SENTENCE_SHIFT))
-        return clamp(base - personal + shift, *SENTENCE_BOUNDS)
+def sentence_score(score: Column, formal: Column, personal: Column, index: Column) -> Column:
+    """Score of one sentence from its cue counts and its 0-based index."""
+    shift = F.when(index % 2 == 0, F.lit(EVEN_SENTENCE_SHIFT)).otherwise(F.lit(ODD_SENTENCE_SHIFT))
+    base = score + formal.cast("double") * F.lit(SENTENCE_FORMAL_WEIGHT)
+    return clamp(base - personal.cast("double") * F.lit(SENTENCE_PERSONAL_WEIGHT) + shift, *SENTENCE_BOUNDS)
+
 
-    return F.transform(sentence_array, one)
+def sentence_scores(sentence_array: Column, score: Column) -> Column:
+    """Scores of all sentences of a document.
+
+    The document score enters through ``array_repeat`` and not as a captured
+    column: the optimizer may inline its expression, and inside a lambda it
+    would then run once per sentence.
+    """
+    cues = F.transform(
+        sentence_array,
+        lambda s, i: F.struct(
+            count_words(s, SENTENCE_FORMAL_CUES).alias("formal"),
+            count_words(s, SENTENCE_PERSONAL_CUES).alias("personal"),
+            i.alias("i"),
+        ),
+    )
+    return F.zip_with(
+        cues,
+        F.array_repeat(score, F.size(sentence_array)),
+        lambda c, doc: sentence_score(doc, c["formal"], c["personal"], c["i"]),
+    )
 
 
 def suspicious_count(scores: Column) -> Column:

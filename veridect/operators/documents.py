@@ -53,6 +53,23 @@ def analyze_documents(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def score_sentences(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row per sentence with its score; each sentence is scored on its own row."""
+    lines = score_documents(df, text).select(
+        *[c for c in df.columns if c != text],
+        "ai_score",
+        F.posexplode(T.sentences(F.col(text))).alias("sentence_no", "sentence"),
+    )
+    sentence = F.col("sentence")
+    score = T.sentence_score(
+        F.col("ai_score"),
+        T.count_words(sentence, T.SENTENCE_FORMAL_CUES),
+        T.count_words(sentence, T.SENTENCE_PERSONAL_CUES),
+        F.col("sentence_no"),
+    )
+    return lines.withColumn("score", score)
+
+
 def feature_cards(df: DataFrame) -> DataFrame:
     """Three presentation features of a scored document, flags included."""
     long_ratio, score, density = F.col("long_ratio"), F.col("ai_score"), F.col("punct_density")
