@@ -8,8 +8,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-METADATA_TYPE = "format string, mode string, width int, height int"
+METADATA_TYPE = T.StructType(
+    [
+        T.StructField("format", T.StringType()),
+        T.StructField("mode", T.StringType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("height", T.IntegerType()),
+    ]
+)
 _PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 _JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
 
