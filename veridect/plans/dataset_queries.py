@@ -281,13 +281,13 @@ def smp_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("smp_oversample", with_fixtures("scored", f"""
-WITH src AS (SELECT id, y, domain, {_rank('y')} - 1 AS idx FROM scored WHERE domain = 'src'),
+WITH src AS (SELECT id, y, domain, {_rank('y')} - 1 AS idx FROM scored),
 sizes AS (SELECT y, count(*) AS n, max(count(*)) OVER () AS m FROM src GROUP BY y),
 draws AS (SELECT y, draw, CAST(('0x' || substr(md5(CAST(y AS VARCHAR) || ':' || CAST(draw AS VARCHAR) || ':42'), 1, 15)) AS BIGINT) % n AS idx
           FROM (SELECT y, n, unnest(range(m)) AS draw FROM sizes) s)
 SELECT s.id, s.y, s.domain, d.draw FROM draws d JOIN src s ON d.y = s.y AND d.idx = s.idx"""))
 def smp_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.scored(spark, sf_dir).select("id", "y", "domain").filter("domain = 'src'")
+    rows = X.scored(spark, sf_dir).select("id", "y", "domain")
     return S.oversample(rows, "y", "id", SEED)
 
 
@@ -313,11 +313,11 @@ def smp_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg_class_distribution", with_fixtures("scored", f"""
-WITH ranked AS (SELECT y, domain FROM scored WHERE domain = 'src'), sizes AS (SELECT y, count(*) AS n FROM ranked GROUP BY y)
+WITH sizes AS (SELECT y, count(*) AS n FROM scored GROUP BY y)
 SELECT 'before' AS stage, y, n AS rows FROM sizes UNION ALL SELECT 'after', y, (SELECT max(n) FROM sizes) FROM sizes"""))
 def agg_class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class counts before and after balancing."""
-    rows = X.scored(spark, sf_dir).select("id", "y", "domain").filter("domain = 'src'")
+    rows = X.scored(spark, sf_dir).select("id", "y")
     before = B.class_distribution(rows, ["y"]).withColumn("stage", F.lit("before"))
     after = B.class_distribution(S.oversample(rows, "y", "id", SEED), ["y"]).withColumn("stage", F.lit("after"))
     return before.unionByName(after)
