@@ -44,7 +44,7 @@ def power_to_db(a: Column, relative: bool = True, top_db: float | None = DB_RANG
     return with_constant(a, top, lambda x, t: F.greatest(db(x), t - F.lit(top_db)))
 
 
-def _moments(a: Column) -> Column:
+def moments(a: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     return F.aggregate(a, zero, lambda m, x: F.struct((m["s"] + x).alias("s"), (m["q"] + x * x).alias("q")))
 
@@ -59,26 +59,6 @@ def array_std(a: Column, ddof: int = 0, mean: Column | None = None) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.greatest(F.size(a) - ddof, F.lit(0)), F.lit(0)))
 
 
-def global_standardize(train: DataFrame, apply_to: DataFrame, array: str, epsilon: float = 1e-6) -> DataFrame:
-    """Mean and population deviation over all training elements, applied to any split.
-
-    Each row folds to (count, sum, sum of squares), so nothing is exploded;
-    the statistics are one row.
-    """
-    folded = train.select(F.size(array).alias("n"), _moments(F.col(array)).alias("m"))
-    stats = folded.agg(F.sum("n").alias("_n"), F.sum("m.s").alias("_s"), F.sum("m.q").alias("_q")).select(
-        (F.col("_s") / F.col("_n")).alias("_mean"),
-        F.sqrt(F.greatest(F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), F.lit(2.0)), F.lit(0.0))).alias(
-            "_std"
-        ),
-    )
-    return (
-        apply_to.crossJoin(F.broadcast(stats))  # one row
-        .withColumn(array, standardized(F.col(array), F.col("_mean"), F.col("_std"), epsilon))
-        .drop("_mean", "_std")
-    )
-
-
 def standardized(a: Column, mean: Column, std: Column, epsilon: float) -> Column:
     scale = F.struct(mean.alias("mean"), std.alias("std"))
     return with_constant(a, scale, lambda x, s: (x - s["mean"]) / (s["std"] + F.lit(epsilon)))

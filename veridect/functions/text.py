@@ -25,17 +25,21 @@ SUSPICIOUS_SCORE = 0.58
 CONFIDENCE_BASE, CONFIDENCE_SLOPE, CONFIDENCE_BOUNDS = 0.56, 0.88, (0.51, 0.97)
 LIKELY_AI, LIKELY_HUMAN = 0.55, 0.40
 
-# Unicode white space as ECMAScript defines it; Java's \s is ASCII only.
-SPACE_CLASS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-SPACE = f"[{SPACE_CLASS}]"
-TOKEN = f"[^{SPACE_CLASS}]+"
-LONG_TOKEN = (
-    f"(?<![^{SPACE_CLASS}])(?:[^{SPACE_CLASS}a-zA-Z]*+[a-zA-Z]){{{LONG_WORD_LETTERS}}}[^{SPACE_CLASS}]*+"
-)
+# Unicode white space as ECMAScript defines it; Java's own class is ASCII only.
+SPACE_CODES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+SPACES = "".join(map(chr, SPACE_CODES))
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+LONG_TOKEN = rf"(?<![^ ])(?:[^ a-zA-Z]*+[a-zA-Z]){{{LONG_WORD_LETTERS}}}[^ ]*+"
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def plain_spaces(text: Column) -> Column:
+    """Every white-space character as a space, which keeps later patterns cheap."""
+    others = SPACES.replace(" ", "")
+    return F.translate(text, others, " " * len(others))
 
 
 def count_words(text: Column, words: Sequence[str]) -> Column:
@@ -45,16 +49,22 @@ def count_words(text: Column, words: Sequence[str]) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    pieces = F.split(text, f"(?<=[.!?]){SPACE}+")
-    return F.filter(F.transform(pieces, trim_space), lambda s: s != "")
+    """Trimmed, non-empty pieces between white space that follows . ! or ?
+
+    Breaks swallow all white space, so trimming the text trims every piece.
+    """
+    pieces = F.split(trim_space(text), f"(?<=[.!?]){SPACE}+")
+    return F.filter(pieces, lambda s: s != "")
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TOKEN))
+def word_count(plain: Column) -> Column:
+    """Tokens of a text that went through :func:`plain_spaces`."""
+    return F.regexp_count(plain, F.lit("[^ ]++"))
 
 
-def long_word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(LONG_TOKEN))
+def long_word_count(plain: Column) -> Column:
+    """Tokens with enough ASCII letters, of a text with plain spaces."""
+    return F.regexp_count(plain, F.lit(LONG_TOKEN))
 
 
 def punctuation_count(text: Column) -> Column:

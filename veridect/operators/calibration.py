@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,13 +104,21 @@ def temperature_losses(
     return partial.groupBy("step", "temperature").agg((F.sum("loss") / F.sum("rows")).alias("loss"))
 
 
-def metric_row(scored: DataFrame, threshold: float, name: str, y: str = "y", p: str = "p") -> DataFrame:
-    """All metrics at one threshold in one row.
+def metric_rows(scored: DataFrame, thresholds: Mapping[str, float], y: str = "y", p: str = "p") -> DataFrame:
+    """All metrics at each named threshold, a row per name.
 
-    Counts, ranked metrics, Brier score and ECE all come from the ladder of
-    distinct scores, so the rows are scanned once.
+    Counts, ranked metrics, Brier score and ECE all come from one ladder of
+    distinct scores, so the rows are scanned once for all thresholds.
     """
     ladder = score_ladder(scored, (), y, p).withColumn("_bin", unit_bin(F.col(p), 10))
+    rows = [_metric_row(ladder, threshold, name, p) for name, threshold in thresholds.items()]
+    result = rows[0]
+    for row in rows[1:]:
+        result = result.unionByName(row)
+    return result
+
+
+def _metric_row(ladder: DataFrame, threshold: float, name: str, p: str) -> DataFrame:
     hit, n = F.col(p) >= F.lit(threshold), F.col("tp") + F.col("fp")
     by_bin = ladder.groupBy("_bin").agg(
         F.sum(F.when(hit, F.col("tp")).otherwise(0)).alias("_tp"),
@@ -168,10 +176,8 @@ def calibration_report(
         rescaled = calibrated(F.col(z), fit.temperature)
         raw = best_f1(val, (), y).first().threshold
         tuned = best_f1(val.withColumn("p", rescaled), (), y).first().threshold
-        metrics = (
-            metric_row(test, 0.5, "baseline_t05", y)
-            .unionByName(metric_row(test, raw, "threshold_only", y))
-            .unionByName(metric_row(test.withColumn("p", rescaled), tuned, "threshold_plus_calibration", y))
+        metrics = metric_rows(test, {"baseline_t05": 0.5, "threshold_only": raw}, y).unionByName(
+            metric_rows(test.withColumn("p", rescaled), {"threshold_plus_calibration": tuned}, y)
         )
     finally:
         halves.unpersist()

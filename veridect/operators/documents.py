@@ -11,15 +11,19 @@ from veridect.functions.numeric import round_half_up
 
 def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the raw counts the score is made of."""
-    body = F.col(text)
-    return df.withColumns(
-        {
-            "words": T.word_count(body),
-            "long_words": T.long_word_count(body),
-            "punctuation": T.punctuation_count(body),
-            "formal_cues": T.count_words(body, T.FORMAL_CUES),
-            "personal_cues": T.count_words(body, T.PERSONAL_CUES),
-        }
+    body, plain = F.col(text), F.col("_plain")
+    return (
+        df.withColumn("_plain", T.plain_spaces(body))
+        .withColumns(
+            {
+                "words": T.word_count(plain),
+                "long_words": T.long_word_count(plain),
+                "punctuation": T.punctuation_count(body),
+                "formal_cues": T.count_words(body, T.FORMAL_CUES),
+                "personal_cues": T.count_words(body, T.PERSONAL_CUES),
+            }
+        )
+        .drop("_plain")
     )
 
 

@@ -20,7 +20,7 @@ from veridect.functions.numeric import (
     smooth_label,
     unit_bin,
 )
-from veridect.operators.ordered import join_on, percentile_columns, row_positions, running_totals, value_counts
+from veridect.operators.ordered import beside, join_on, percentile_columns, row_positions, running_totals, value_counts
 
 # Verdict texts and their bounds.
 SEPARATION_GOOD, SEPARATION_LIMITED = 0.3, 0.1
@@ -67,7 +67,7 @@ def describe(df: DataFrame, groups: Sequence[str], value: str = "p", digits: int
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    both = join_on(moments, quartiles, groups, "left") if groups else moments.join(quartiles)
+    both = join_on(moments, quartiles, groups, "left") if groups else beside(moments, quartiles)
     numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
     return both.select(*groups, "count", *[round_half_up(F.col(c), digits).alias(c) for c in numbers])
 

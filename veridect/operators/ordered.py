@@ -24,6 +24,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """The columns of a one-row result next to every row, as a scalar subquery."""
+    names = one_row.columns
+    attached = df.withColumn("_one_row", one_row.select(F.struct(*names)).scalar())
+    return attached.select(*df.columns, *[F.col(f"_one_row.{n}").alias(n) for n in names])
+
+
 def running_totals(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Sequence[str]
 ) -> DataFrame:

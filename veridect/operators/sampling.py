@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridect.operators.ordered import join_on, row_positions, running_totals
+from veridect.session import cut_lineage
 
 BUCKET_DIGITS = 4
 
@@ -33,7 +34,22 @@ def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return keyed.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
 
 
-def cut_keys(df: DataFrame, classes: Sequence[str], id_col: str, seed: int, ranks: DataFrame) -> DataFrame:
+def bucket_counts(df: DataFrame, classes: Sequence[str], id_col: str, seed: int) -> DataFrame:
+    """Rows per class and hash bucket, materialised because several steps need it.
+
+    At most 16**BUCKET_DIGITS rows per class.
+    """
+    keyed = _keyed(df.select(*classes, id_col), id_col, seed)
+    return cut_lineage(keyed.groupBy(*classes, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def class_sizes(buckets: DataFrame, classes: Sequence[str]) -> DataFrame:
+    return buckets.groupBy(*classes).agg(F.sum("_n").alias("available"))
+
+
+def cut_keys(
+    df: DataFrame, buckets: DataFrame, classes: Sequence[str], id_col: str, seed: int, ranks: DataFrame
+) -> DataFrame:
     """The order key at each wanted rank.
 
     ``ranks`` holds (classes..., tag, rank); the result is (classes..., tag,
@@ -41,16 +57,15 @@ def cut_keys(df: DataFrame, classes: Sequence[str], id_col: str, seed: int, rank
     of zero or less gives the empty string: nothing lies below it.
     """
     classes = list(classes)
-    keyed = _keyed(df.select(*classes, id_col), id_col, seed)
-    per_bucket = keyed.groupBy(*classes, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = per_bucket.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ladder = buckets.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
     wanted = (
         join_on(ladder, ranks, classes)
         .filter((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_upto")))
         .select(*classes, "_bucket", "tag", (F.col("rank") - F.col("_before")).alias("_inner"))
     )
     inside = Window.partitionBy(*classes, "_bucket", "tag").orderBy("_key")
+    keyed = _keyed(df.select(*classes, id_col), id_col, seed)
     found = (
         join_on(keyed, wanted, [*classes, "_bucket"])
         .withColumn("_rn", F.row_number().over(inside))
@@ -61,9 +76,10 @@ def cut_keys(df: DataFrame, classes: Sequence[str], id_col: str, seed: int, rank
     return found.unionByName(nothing)
 
 
-def _class_rows(df: DataFrame, classes: Sequence[str], ranks: Mapping[str, int]) -> DataFrame:
+def _class_rows(buckets: DataFrame, classes: Sequence[str], ranks: Mapping[str, int]) -> DataFrame:
+    """The same ranks for every class."""
     tagged = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(n).alias("rank")) for t, n in ranks.items()]))
-    return df.select(*classes).distinct().select(*classes, tagged.alias("_r")).select(*classes, "_r.tag", "_r.rank")
+    return class_sizes(buckets, classes).select(*classes, tagged.alias("_r")).select(*classes, "_r.tag", "_r.rank")
 
 
 def _with_cuts(df: DataFrame, classes: Sequence[str], cuts: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -80,7 +96,8 @@ def _within(key: Column, cut: Column) -> Column:
 
 def sample_per_class(df: DataFrame, classes: Sequence[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``min(n, available)`` rows of every class, without replacement."""
-    cuts = cut_keys(df, classes, id_col, seed, _class_rows(df, classes, {"n": n}))
+    buckets = bucket_counts(df, classes, id_col, seed)
+    cuts = cut_keys(df, buckets, classes, id_col, seed, _class_rows(buckets, classes, {"n": n}))
     keyed = df.withColumn("_key", order_key(F.col(id_col), seed))
     picked = _with_cuts(keyed, classes, cuts, ["n"]).filter(_within(F.col("_key"), F.col("_cut_n")))
     return picked.select(*df.columns)
@@ -94,7 +111,8 @@ def train_val_per_class(
     The validation slice starts after ``train`` rows also when the class is
     short, so it may be empty. Unused rows are dropped, as the slices ask for.
     """
-    cuts = cut_keys(df, classes, id_col, seed, _class_rows(df, classes, {"train": train, "val": train + val}))
+    buckets = bucket_counts(df, classes, id_col, seed)
+    cuts = cut_keys(df, buckets, classes, id_col, seed, _class_rows(buckets, classes, {"train": train, "val": train + val}))
     keyed = _with_cuts(df.withColumn("_key", order_key(F.col(id_col), seed)), classes, cuts, ["train", "val"])
     subset = F.when(_within(F.col("_key"), F.col("_cut_train")), "train").when(
         _within(F.col("_key"), F.col("_cut_val")), "val"
@@ -107,7 +125,7 @@ def sample_by_quota(
 ) -> DataFrame:
     """Per-class quotas from a table (classes..., quota); classes not in it give no rows."""
     ranks = quotas.select(*classes, F.lit("quota").alias("tag"), F.col("quota").cast("bigint").alias("rank"))
-    cuts = cut_keys(df, classes, id_col, seed, ranks)
+    cuts = cut_keys(df, bucket_counts(df, classes, id_col, seed), classes, id_col, seed, ranks)
     keyed = join_on(df, quotas.select(*classes).distinct(), list(classes))
     keyed = _with_cuts(keyed.withColumn("_key", order_key(F.col(id_col), seed)), classes, cuts, ["quota"])
     return keyed.filter(_within(F.col("_key"), F.col("_cut_quota"))).select(*df.columns)
@@ -116,21 +134,18 @@ def sample_by_quota(
 def sample_uniform(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``min(n, rows)`` rows of the whole table."""
     whole = df.withColumn("_all", F.lit(0))
-    ranks = whole.select("_all").limit(1).select("_all", F.lit("n").alias("tag"), F.lit(n).cast("bigint").alias("rank"))
-    cuts = cut_keys(whole, ["_all"], id_col, seed, ranks)
-    keyed = _with_cuts(whole.withColumn("_key", order_key(F.col(id_col), seed)), ["_all"], cuts, ["n"])
-    return keyed.filter(_within(F.col("_key"), F.col("_cut_n"))).select(*df.columns)
+    return sample_per_class(whole, ["_all"], id_col, n, seed).drop("_all")
 
 
-def stratified_quotas(df: DataFrame, label: str, val_ratio: float = 0.2) -> DataFrame:
-    """Validation rows per class: exact total, largest remainders first.
+def stratified_quotas(sizes: DataFrame, label: str, val_ratio: float = 0.2) -> DataFrame:
+    """Validation rows per class from (label, available): exact total, largest
+    remainders first.
 
     The total is ``n - ceil((1 - val_ratio) * n)``; ties between remainders go
     to the smaller label. Works on one row per class.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("available"))
     every = Window.partitionBy(F.lit(0))
-    sized = counts.withColumn("_n", F.sum("available").over(every)).withColumn(
+    sized = sizes.withColumn("_n", F.sum("available").over(every)).withColumn(
         "_total", F.col("_n") - F.ceil(F.lit(1.0 - val_ratio) * F.col("_n"))
     )
     # share * _n = available * _total; integers keep the remainders exact
@@ -151,25 +166,27 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, val_ratio: float = 0.2, seed: int = 42, name: str = "split"
 ) -> DataFrame:
     """Every row marked ``val`` or ``test``, with exact class quotas."""
-    quotas = stratified_quotas(df, label, val_ratio)
+    buckets = bucket_counts(df, [label], id_col, seed)
+    quotas = stratified_quotas(class_sizes(buckets, [label]), label, val_ratio)
     ranks = quotas.select(label, F.lit("val").alias("tag"), F.col("quota").alias("rank"))
-    cuts = cut_keys(df, [label], id_col, seed, ranks)
+    cuts = cut_keys(df, buckets, [label], id_col, seed, ranks)
     keyed = _with_cuts(df.withColumn("_key", order_key(F.col(id_col), seed)), [label], cuts, ["val"])
     split = F.when(_within(F.col("_key"), F.col("_cut_val")), "val").otherwise("test")
     return keyed.withColumn(name, split).select(*df.columns, name)
 
 
-def hash_positions(df: DataFrame, classes: Sequence[str], id_col: str, seed: int, name: str) -> DataFrame:
+def hash_positions(
+    df: DataFrame, buckets: DataFrame, classes: Sequence[str], id_col: str, seed: int, name: str
+) -> DataFrame:
     """0-based rank of every row in the shuffled order of its class.
 
     Hash buckets are even by construction and stable under recomputation, so
-    the two-level rank needs no range partitioning and no checkpoint.
+    the two-level rank needs no range partitioning.
     """
     classes = list(classes)
     keyed = _keyed(df, id_col, seed)
-    per_bucket = keyed.groupBy(*classes, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*classes, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = buckets.select(*classes, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*classes, "_bucket").orderBy("_key")
     ranked = join_on(keyed.withColumn("_rn", F.row_number().over(inside)), offsets, [*classes, "_bucket"])
     return ranked.withColumn(name, F.col("_off") + F.col("_rn") - 1).select(*df.columns, name)
@@ -177,7 +194,9 @@ def hash_positions(df: DataFrame, classes: Sequence[str], id_col: str, seed: int
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 42, name: str = "position") -> DataFrame:
     """A full shuffle as a column; sort by it only where a sink needs the order."""
-    return hash_positions(df.withColumn("_all", F.lit(0)), ["_all"], id_col, seed, name).drop("_all")
+    whole = df.withColumn("_all", F.lit(0))
+    buckets = bucket_counts(whole, ["_all"], id_col, seed)
+    return hash_positions(whole, buckets, ["_all"], id_col, seed, name).drop("_all")
 
 
 def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per_key: int = 100_000) -> DataFrame:
@@ -187,12 +206,12 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per
     small class would send all its draws to few join keys, so its rows are
     copied over salts until no key gets more than about ``draws_per_key``.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    buckets = bucket_counts(df, [label], id_col, seed)
     every = Window.partitionBy(F.lit(0))
-    sizes = counts.withColumn("_max", F.max("_n").over(every)).withColumn(
+    sizes = class_sizes(buckets, [label]).withColumnRenamed("available", "_n").withColumn("_max", F.max("_n").over(every)).withColumn(
         "_salts", F.ceil(F.col("_max") / (F.col("_n") * F.lit(float(draws_per_key)))).cast("bigint")
     )
-    indexed = hash_positions(df, [label], id_col, seed, "_index")
+    indexed = hash_positions(df, buckets, [label], id_col, seed, "_index")
     sources = join_on(indexed, sizes.select(label, "_salts"), [label]).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))
     )

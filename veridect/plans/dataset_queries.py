@@ -11,6 +11,7 @@ from veridect.functions.decisions import binary_label, is_correct
 from veridect.functions.numeric import round_half_up
 from veridect.operators import labels as B
 from veridect.operators import sampling as S
+from veridect.operators.features import global_standardize
 from veridect.plans import fixtures as X
 from veridect.plans.evaluation_queries import SPLIT_CTES
 from veridect.plans.fixtures import joined_items, joined_items_sql, round_columns, rounded, table, with_fixtures
@@ -379,7 +380,7 @@ WITH e AS (SELECT unnest(v) AS x FROM vectors WHERE y = 1), s AS (SELECT avg(x)
 SELECT vec_id, {joined_items_sql('list_transform(v, lambda x: (x - m) / (sd + 1e-6))')} AS v FROM vectors, s"""))
 def arr_global_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embedding(spark, sf_dir)
-    scaled = A.global_standardize(rows.filter("y = 1"), rows, "v")
+    scaled = global_standardize(rows.filter("y = 1"), rows, "v")
     return scaled.select("vec_id", joined_items(F.col("v")).alias("v"))
 
 

@@ -23,7 +23,6 @@ from veridect.plans import text_queries  # noqa: F401  (registers the oracle reu
 from veridect.plans.registry import ORACLES, query
 from veridect.session import scratch_path
 from veridect.sinks import writers
-from veridect.sources import tables
 from veridect.streaming import fusion as stream_fusion
 from veridect.streaming import jobs
 from veridect.streaming import progress as P
@@ -98,10 +97,9 @@ SELECT id, CASE WHEN p >= 2.4e-1 THEN 'AI-generated' ELSE 'Real' END AS label, {
        {rounded('CASE WHEN p >= 2.4e-1 THEN p ELSE 1e0 - p END')} AS confidence
 FROM (SELECT id, 1e0 / (1e0 + exp(-(z / 2.1098e0))) AS p FROM scored) s"""))
 def scr_calibrated_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = tables.decision_config(spark, {"temperature": 2.1098, "threshold": 0.24})
-    rows = X.scored(spark, sf_dir).crossJoin(F.broadcast(config))  # one row
-    rows = rows.withColumn("p", D.calibrated(F.col("z"), F.col("temperature")))
-    p, threshold = F.col("p"), F.col("threshold")
+    config = {"temperature": 2.1098, "threshold": 0.24}
+    rows = X.scored(spark, sf_dir).withColumn("p", D.calibrated(F.col("z"), config["temperature"]))
+    p, threshold = F.col("p"), F.lit(config["threshold"])
     return rows.select(
         "id",
         D.calibrated_label(p, threshold).alias("label"),
@@ -293,7 +291,8 @@ def sink_decision_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "report")
     rows = X.scored(spark, sf_dir)
-    counts = S.stratified_quotas(rows, "y").agg(
+    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("available"))
+    counts = S.stratified_quotas(sizes, "y").agg(
         F.sum("available").alias("n_samples"),
         F.sum("quota").alias("n_val"),
         (F.sum("available") - F.sum("quota")).alias("n_test"),

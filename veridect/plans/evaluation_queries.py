@@ -11,6 +11,7 @@ from veridect.operators import calibration as C
 from veridect.operators import evaluation as E
 from veridect.operators import ranked as R
 from veridect.operators import training_log as L
+from veridect.operators.ordered import beside
 from veridect.plans import fixtures as X
 from veridect.plans.fixtures import round_columns, rounded, with_fixtures
 from veridect.plans.registry import query
@@ -296,8 +297,8 @@ FROM (SELECT avg({_BCE.format(z='z', y='y')}) AS loss FROM (SELECT *, (row_numbe
 def ev_bce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     batched = E.batched_bce_loss(rows, ["id"]).select(F.col("loss").alias("batch_loss"), "batches")
-    both = E.bce_loss(rows).select(F.col("loss").alias("sample_loss")).join(batched)  # one row each
-    return round_columns(both, "sample_loss", "batch_loss")
+    both = E.bce_loss(rows).select(F.col("loss").alias("sample_loss"))
+    return round_columns(beside(both, batched), "sample_loss", "batch_loss")
 
 
 _SMOOTH = "(y * 9.8e-1 + 1e-2)"
@@ -350,11 +351,9 @@ def ev_youden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold chosen on one domain and applied to the other."""
     rows = _scored(spark, sf_dir)
     best = R.youden(rows.filter("domain = 'src'"))
-    applied = E.confusion(
-        rows.filter("domain = 'tgt'").crossJoin(F.broadcast(best.select("threshold"))),  # one row
-        threshold=F.col("threshold"),
-    )
-    return round_columns(best.join(applied), "tpr", "fpr", "j")
+    target = beside(rows.filter("domain = 'tgt'"), best.select("threshold"))
+    applied = E.confusion(target, threshold=F.col("threshold"))
+    return round_columns(beside(best, applied), "tpr", "fpr", "j")
 
 
 _BCE_T = _BCE.format(z="z / t", y="y")

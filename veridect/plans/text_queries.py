@@ -12,6 +12,7 @@ from veridect.operators.evaluation import prf
 from veridect.operators.labels import attach_predictions
 from veridect.plans.fixtures import joined_items, joined_items_sql, round_columns, rounded, table
 from veridect.plans.registry import query
+from veridect.session import spread_small_input
 
 _SPACE = r"[\s\x{0B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _NOT_SPACE = _SPACE.replace("[", "[^", 1)
@@ -61,7 +62,7 @@ _VERDICT = "CASE WHEN ai_score >= 5.5e-1 THEN 'Likely AI' WHEN ai_score <= 4e-1
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return spread_small_input(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 @query("txt_sentences", _CTE + """
@@ -75,7 +76,7 @@ def txt_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt_word_count", _CTE + "SELECT doc_id, words FROM ratios")
 def txt_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return _documents(spark, sf_dir).select("doc_id", T.word_count(T.plain_spaces(F.col("text"))).alias("words"))
 
 
 @query("txt_long_word_ratio", _CTE + f"SELECT doc_id, long_words, {rounded('long_ratio')} AS long_ratio FROM scored")
@@ -230,7 +231,7 @@ def document_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents scored, judged at 0.5 and evaluated by language."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     truth = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("y"))
-    judged = D.score_documents(documents.select("doc_id", "text", "lang").join(truth, "doc_id"))
+    judged = D.score_documents(spread_small_input(documents.select("doc_id", "text", "lang")).join(truth, "doc_id"))
     report = prf(judged.withColumn("p", F.col("ai_score")), ["lang"], threshold=0.5)
     return round_columns(report, "accuracy", "precision", "recall", "f1")
 

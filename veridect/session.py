@@ -58,3 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that a lost executor cannot change it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spreads a table with fewer splits than cores before costly row work.
+
+    A large table has more splits than cores and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

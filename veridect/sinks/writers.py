@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridect.operators.calibration import CalibrationReport
 from veridect.operators.labels import split_summary
+from veridect.operators.ordered import beside
 
 
 def write_predictions(df: DataFrame, path: str, partition_by: str | None = "strategy", fmt: str = "csv") -> None:
@@ -46,7 +47,7 @@ def report_frame(report: CalibrationReport, model_repo: str, data_dir: str, coun
         variant("threshold_only").alias("test_metrics_threshold_only"),
         variant("threshold_plus_calibration").alias("test_metrics_threshold_plus_calibration"),
     )
-    return counts.join(metrics).select(  # one row on each side
+    return beside(counts, metrics).select(
         F.lit(model_repo).alias("model_repo"),
         F.lit(data_dir).alias("data_dir"),
         F.lit(report.val_ratio).alias("val_ratio"),

@@ -128,10 +128,3 @@ def load_config(path: str) -> dict[str, Any]:
             raise RuntimeError("reading YAML needs the yaml package; use JSON") from problem
         return yaml.safe_load(text)
     return json.loads(text)
-
-
-def decision_config(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
-    """The calibrated decision rule as a one-row table."""
-    return spark.range(1).select(
-        F.lit(float(config["temperature"])).alias("temperature"), F.lit(float(config["threshold"])).alias("threshold")
-    )
