@@ -20,7 +20,8 @@ from veridect.functions.numeric import (
     smooth_label,
     unit_bin,
 )
-from veridect.operators.ordered import beside, join_on, percentile_columns, row_positions, running_totals, value_counts
+from veridect.operators.ordered import beside, join_bounded, join_on, percentile_columns, row_positions, running_totals, value_counts
+from veridect.session import cut_lineage
 
 # Verdict texts and their bounds.
 SEPARATION_GOOD, SEPARATION_LIMITED = 0.3, 0.1
@@ -192,10 +193,11 @@ def boxplot(df: DataFrame, groups: Sequence[str], value: str = "p", whisker: flo
             "_high": F.col("q3") + F.lit(whisker) * (F.col("q3") - F.col("q1")),
         }
     )
+    fenced = cut_lineage(fenced)
     v = F.col(value)
     inside = (v >= F.col("_low")) & (v <= F.col("_high"))
     return (
-        join_on(ladder, fenced, groups)
+        join_bounded(ladder, fenced, groups, fenced.count())
         .groupBy(*groups)
         .agg(
             F.max("q1").alias("q1"),

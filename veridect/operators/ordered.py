@@ -24,6 +24,19 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+BROADCAST_ROWS = 100_000
+
+
+def join_bounded(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, how: str = "inner") -> DataFrame:
+    """:func:`join_on` for a right side of ``rows`` rows, known and not estimated.
+
+    Few rows are broadcast, which keeps a large left side with few distinct
+    keys from being shuffled onto them. Beyond the bound it is an ordinary
+    join, whose hot keys AQE splits.
+    """
+    return join_on(left, F.broadcast(right) if rows <= BROADCAST_ROWS else right, keys, how)
+
+
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """The columns of a one-row result next to every row, as a scalar subquery."""
     names = one_row.columns
@@ -48,18 +61,24 @@ def running_totals(
     slab_sums = slabbed.groupBy(*groups, "_slab").agg(*[F.sum(s).alias(f"_part_{s}") for s in sums])
     whole = Window.partitionBy(*groups)
     before = whole.orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slab_sums.select(
+    # one leading row per slab carries what precedes it, so no join is needed
+    leading = slab_sums.select(
         *groups,
         "_slab",
-        *[F.coalesce(F.sum(f"_part_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+        F.lit(0).alias("_kind"),
+        *[F.coalesce(F.sum(f"_part_{s}").over(before), F.lit(0)).alias(f"_in_{s}") for s in sums],
         *[F.sum(f"_part_{s}").over(whole).alias(f"tot_{s}") for s in sums],
     )
-    inside = Window.partitionBy(*groups, "_slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = slabbed.withColumns({f"_cum_{s}": F.sum(s).over(inside) for s in sums})
+    rows = slabbed.withColumn("_kind", F.lit(1)).withColumns({f"_in_{s}": F.col(s) for s in sums})
+    upto = Window.partitionBy(*groups, "_slab").orderBy("_kind", *order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        join_on(local, offsets, [*groups, "_slab"])
-        .withColumns({f"cum_{s}": F.col(f"_cum_{s}") + F.col(f"_off_{s}") for s in sums})
-        .drop("_slab", *[f"_cum_{s}" for s in sums], *[f"_off_{s}" for s in sums])
+        rows.unionByName(leading, allowMissingColumns=True)
+        .withColumns(
+            {f"cum_{s}": F.sum(f"_in_{s}").over(upto) for s in sums}
+            | {f"tot_{s}": F.max(f"tot_{s}").over(upto) for s in sums}
+        )
+        .filter(F.col("_kind") == 1)
+        .select(*df.columns, *[f"cum_{s}" for s in sums], *[f"tot_{s}" for s in sums])
     )
 
 

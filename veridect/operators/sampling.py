@@ -2,24 +2,35 @@
 
 All randomness is ``md5(id ':' seed)``, so a sample depends on the ids and
 the seed alone. Exact counts come from cut keys: hash buckets are counted, the
-bucket that holds the wanted rank is searched, and one key per class decides
-for every row. Rows are never shuffled for it, however large the class. Ids
+bucket that holds the wanted rank is searched, and one key per class, which is
+broadcast, decides for every row. Rows are not shuffled for it. Ids
 must be unique.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridect.operators.ordered import join_on, row_positions, running_totals
+from veridect.operators.ordered import join_bounded, join_on, row_positions, running_totals
 from veridect.session import cut_lineage
 
-BUCKET_DIGITS = 4
+FIRST_DIGITS, BUCKET_ROWS = 3, 2_000_000
 
 
+@dataclass(frozen=True)
+class Buckets:
+    """Rows per class and leading hash digits, (classes..., _bucket, _n)."""
+
+    counts: DataFrame
+    digits: int
+    rows: int
+    classes: int
+
 def hash_key(id_column: Column, seed: int) -> Column:
     return F.md5(F.concat(id_column.cast("string"), F.lit(f":{seed}")))
 
@@ -29,65 +40,87 @@ def order_key(id_column: Column, seed: int) -> Column:
     return F.concat(hash_key(id_column, seed), F.lit(":"), id_column.cast("string"))
 
 
-def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+def _keyed(df: DataFrame, id_col: str, seed: int, digits: int) -> DataFrame:
     keyed = df.withColumn("_key", order_key(F.col(id_col), seed))
-    return keyed.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    return keyed.withColumn("_bucket", F.substring("_key", 1, digits))
 
 
-def bucket_counts(df: DataFrame, classes: Sequence[str], id_col: str, seed: int) -> DataFrame:
-    """Rows per class and hash bucket, materialised because several steps need it.
+def bucket_counts(df: DataFrame, classes: Sequence[str], id_col: str, seed: int) -> Buckets:
+    """Counts hash buckets, finer ones if the first are large.
 
-    At most 16**BUCKET_DIGITS rows per class.
+    The counts are materialised because several steps need them. Hashes are
+    even, so the largest bucket tells how many more digits keep every bucket
+    small enough to sort in one task.
     """
-    keyed = _keyed(df.select(*classes, id_col), id_col, seed)
-    return cut_lineage(keyed.groupBy(*classes, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
 
+    def count(digits: int) -> DataFrame:
+        keyed = _keyed(df.select(*classes, id_col), id_col, seed, digits)
+        return cut_lineage(keyed.groupBy(*classes, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
 
-def class_sizes(buckets: DataFrame, classes: Sequence[str]) -> DataFrame:
-    return buckets.groupBy(*classes).agg(F.sum("_n").alias("available"))
+    counts, digits = count(FIRST_DIGITS), FIRST_DIGITS
+    size = counts.agg(F.max("_n").alias("largest"), F.count(F.lit(1)).alias("rows")).first()
+    rows = size["rows"]
+    if (size["largest"] or 0) > BUCKET_ROWS:
+        digits += math.ceil(math.log(size["largest"] / BUCKET_ROWS, 16))
+        counts = count(digits)
+        rows = counts.count()
+    return Buckets(counts, digits, rows, counts.select(*classes).distinct().count())
 
 
-def cut_keys(
-    df: DataFrame, buckets: DataFrame, classes: Sequence[str], id_col: str, seed: int, ranks: DataFrame
-) -> DataFrame:
-    """The order key at each wanted rank.
+def class_sizes(buckets: Buckets, classes: Sequence[str]) -> DataFrame:
+    return buckets.counts.groupBy(*classes).agg(F.sum("_n").alias("available"))
 
-    ``ranks`` holds (classes..., tag, rank); the result is (classes..., tag,
-    cut). A rank beyond the class has no row: everything lies below it. A rank
-    of zero or less gives the empty string: nothing lies below it.
+
+def cut_keys(
+    df: DataFrame, buckets: Buckets, classes: Sequence[str], id_col: str, seed: int, ranks: DataFrame
+) -> tuple[DataFrame, int]:
+    """The order key at each wanted rank, materialised, and the row count.
+
+    ``ranks`` holds (classes..., <tag>...), one row per class and a rank per
+    tag column. The result has the same classes and ``_cut_<tag>`` columns: NULL
+    where the class is shorter than the rank, so that all of it lies below, and
+    the empty string for ranks of zero or less, so that nothing does.
     """
     classes = list(classes)
+    tags = [c for c in ranks.columns if c not in classes]
+    long = ranks.unpivot(classes, tags, "tag", "rank") if classes else ranks.unpivot([], tags, "tag", "rank")
     running = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = buckets.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    ladder = buckets.counts.withColumn("_upto", F.sum("_n").over(running)).withColumn(
+        "_before", F.col("_upto") - F.col("_n")
+    )
     wanted = (
-        join_on(ladder, ranks, classes)
+        join_on(ladder, long, classes)
         .filter((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_upto")))
         .select(*classes, "_bucket", "tag", (F.col("rank") - F.col("_before")).alias("_inner"))
     )
     inside = Window.partitionBy(*classes, "_bucket", "tag").orderBy("_key")
-    keyed = _keyed(df.select(*classes, id_col), id_col, seed)
+    keyed = _keyed(df.select(*classes, id_col), id_col, seed, buckets.digits)
+    # one row per class and tag
+    near = join_bounded(keyed, wanted, [*classes, "_bucket"], buckets.classes * len(tags))
     found = (
-        join_on(keyed, wanted, [*classes, "_bucket"])
-        .withColumn("_rn", F.row_number().over(inside))
+        near.withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_rn") == F.col("_inner"))
-        .select(*classes, "tag", F.col("_key").alias("cut"))
+        .groupBy(*classes)
+        .agg(*[F.max(F.when(F.col("tag") == t, F.col("_key"))).alias(f"_cut_{t}") for t in tags])
     )
-    nothing = ranks.filter(F.col("rank") <= 0).select(*classes, "tag", F.lit("").alias("cut"))
-    return found.unionByName(nothing)
+    cuts = join_on(ranks, found, classes, "left").withColumns(
+        {f"_cut_{t}": F.when(F.col(t) <= 0, F.lit("")).otherwise(F.col(f"_cut_{t}")) for t in tags}
+    )
+    cuts = cut_lineage(cuts.drop(*tags))
+    return cuts, cuts.count()
 
 
-def _class_rows(buckets: DataFrame, classes: Sequence[str], ranks: Mapping[str, int]) -> DataFrame:
-    """The same ranks for every class."""
-    tagged = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(n).alias("rank")) for t, n in ranks.items()]))
-    return class_sizes(buckets, classes).select(*classes, tagged.alias("_r")).select(*classes, "_r.tag", "_r.rank")
+def _same_ranks(buckets: Buckets, classes: Sequence[str], ranks: Mapping[str, int]) -> DataFrame:
+    every = buckets.counts.select(*classes).distinct()
+    return every.withColumns({tag: F.lit(rank).cast("bigint") for tag, rank in ranks.items()})
 
 
-def _with_cuts(df: DataFrame, classes: Sequence[str], cuts: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Attaches one ``_cut_<tag>`` column per tag; NULL stands for no bound."""
-    wide = cuts.groupBy(*classes).agg(
-        *[F.max(F.when(F.col("tag") == t, F.col("cut"))).alias(f"_cut_{t}") for t in tags]
-    )
-    return join_on(df, wide, list(classes), "left")
+def _with_cuts(
+    df: DataFrame, buckets: Buckets, classes: Sequence[str], id_col: str, seed: int, ranks: DataFrame
+) -> DataFrame:
+    """Rows of the classes in ``ranks`` with their order key and cut keys."""
+    cuts, rows = cut_keys(df, buckets, classes, id_col, seed, ranks)
+    return join_bounded(df.withColumn("_key", order_key(F.col(id_col), seed)), cuts, list(classes), rows)
 
 
 def _within(key: Column, cut: Column) -> Column:
@@ -97,10 +130,8 @@ def _within(key: Column, cut: Column) -> Column:
 def sample_per_class(df: DataFrame, classes: Sequence[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
     """``min(n, available)`` rows of every class, without replacement."""
     buckets = bucket_counts(df, classes, id_col, seed)
-    cuts = cut_keys(df, buckets, classes, id_col, seed, _class_rows(buckets, classes, {"n": n}))
-    keyed = df.withColumn("_key", order_key(F.col(id_col), seed))
-    picked = _with_cuts(keyed, classes, cuts, ["n"]).filter(_within(F.col("_key"), F.col("_cut_n")))
-    return picked.select(*df.columns)
+    keyed = _with_cuts(df, buckets, classes, id_col, seed, _same_ranks(buckets, classes, {"n": n}))
+    return keyed.filter(_within(F.col("_key"), F.col("_cut_n"))).select(*df.columns)
 
 
 def train_val_per_class(
@@ -112,8 +143,8 @@ def train_val_per_class(
     short, so it may be empty. Unused rows are dropped, as the slices ask for.
     """
     buckets = bucket_counts(df, classes, id_col, seed)
-    cuts = cut_keys(df, buckets, classes, id_col, seed, _class_rows(buckets, classes, {"train": train, "val": train + val}))
-    keyed = _with_cuts(df.withColumn("_key", order_key(F.col(id_col), seed)), classes, cuts, ["train", "val"])
+    ranks = _same_ranks(buckets, classes, {"train": train, "val": train + val})
+    keyed = _with_cuts(df, buckets, classes, id_col, seed, ranks)
     subset = F.when(_within(F.col("_key"), F.col("_cut_train")), "train").when(
         _within(F.col("_key"), F.col("_cut_val")), "val"
     )
@@ -124,10 +155,9 @@ def sample_by_quota(
     df: DataFrame, classes: Sequence[str], id_col: str, quotas: DataFrame, seed: int = 42
 ) -> DataFrame:
     """Per-class quotas from a table (classes..., quota); classes not in it give no rows."""
-    ranks = quotas.select(*classes, F.lit("quota").alias("tag"), F.col("quota").cast("bigint").alias("rank"))
-    cuts = cut_keys(df, bucket_counts(df, classes, id_col, seed), classes, id_col, seed, ranks)
-    keyed = join_on(df, quotas.select(*classes).distinct(), list(classes))
-    keyed = _with_cuts(keyed.withColumn("_key", order_key(F.col(id_col), seed)), classes, cuts, ["quota"])
+    buckets = bucket_counts(df, classes, id_col, seed)
+    ranks = quotas.select(*classes, F.col("quota").cast("bigint").alias("quota"))
+    keyed = _with_cuts(df, buckets, classes, id_col, seed, ranks)
     return keyed.filter(_within(F.col("_key"), F.col("_cut_quota"))).select(*df.columns)
 
 
@@ -168,15 +198,14 @@ def stratified_split(
     """Every row marked ``val`` or ``test``, with exact class quotas."""
     buckets = bucket_counts(df, [label], id_col, seed)
     quotas = stratified_quotas(class_sizes(buckets, [label]), label, val_ratio)
-    ranks = quotas.select(label, F.lit("val").alias("tag"), F.col("quota").alias("rank"))
-    cuts = cut_keys(df, buckets, [label], id_col, seed, ranks)
-    keyed = _with_cuts(df.withColumn("_key", order_key(F.col(id_col), seed)), [label], cuts, ["val"])
+    ranks = quotas.select(label, F.col("quota").cast("bigint").alias("val"))
+    keyed = _with_cuts(df, buckets, [label], id_col, seed, ranks)
     split = F.when(_within(F.col("_key"), F.col("_cut_val")), "val").otherwise("test")
     return keyed.withColumn(name, split).select(*df.columns, name)
 
 
 def hash_positions(
-    df: DataFrame, buckets: DataFrame, classes: Sequence[str], id_col: str, seed: int, name: str
+    df: DataFrame, buckets: Buckets, classes: Sequence[str], id_col: str, seed: int, name: str
 ) -> DataFrame:
     """0-based rank of every row in the shuffled order of its class.
 
@@ -184,11 +213,13 @@ def hash_positions(
     the two-level rank needs no range partitioning.
     """
     classes = list(classes)
-    keyed = _keyed(df, id_col, seed)
+    keyed = _keyed(df, id_col, seed, buckets.digits)
     before = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select(*classes, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = buckets.counts.select(*classes, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*classes, "_bucket").orderBy("_key")
-    ranked = join_on(keyed.withColumn("_rn", F.row_number().over(inside)), offsets, [*classes, "_bucket"])
+    ranked = join_bounded(
+        keyed.withColumn("_rn", F.row_number().over(inside)), offsets, [*classes, "_bucket"], buckets.rows
+    )
     return ranked.withColumn(name, F.col("_off") + F.col("_rn") - 1).select(*df.columns, name)
 
 
@@ -212,7 +243,7 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per
         "_salts", F.ceil(F.col("_max") / (F.col("_n") * F.lit(float(draws_per_key)))).cast("bigint")
     )
     indexed = hash_positions(df, buckets, [label], id_col, seed, "_index")
-    sources = join_on(indexed, sizes.select(label, "_salts"), [label]).withColumn(
+    sources = join_bounded(indexed, sizes.select(label, "_salts"), [label], buckets.classes).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))
     )
     # one chunk row per 10,000 draws, so no row expands without bound; the task

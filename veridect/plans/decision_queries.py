@@ -345,14 +345,37 @@ def str_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored as they arrive, by the batch functions."""
     schema = table(spark, sf_dir, "documents").schema
     stream = jobs.read_parquet_stream(spark, sf_dir, schema, "documents.parquet")
-    scored = jobs.score_stream(stream, documents.score_documents).select("doc_id", round_half_up(F.col("ai_score"), 6).alias("ai_score"))
+    scored = jobs.score_stream(stream, documents.score_documents, spark.sparkContext.defaultParallelism).select("doc_id", round_half_up(F.col("ai_score"), 6).alias("ai_score"))
     return jobs.run_append(scored, "scored")[0]
 
 
+_SESSION_SCORE = "floor(least(value / 5e2, 1e0) * 1e4 + 5e-1) / 1e4"
+
+
+def _latest(event_type: str) -> str:
+    return f"arg_max({_SESSION_SCORE}, (epoch_us(ts), {_SESSION_SCORE})) FILTER (WHERE event_type = '{event_type}')"
+
+
+@query("str_fuse_batch", f"""
+WITH gaps AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS opens
+              FROM events WHERE event_type IN ('view', 'click', 'signup')),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
+modal AS (SELECT user_id AS video_id, epoch_us(min(ts)) AS opened, count(*) AS results, {_latest('view')} AS image, {_latest('click')} AS audio, {_latest('signup')} AS text
+          FROM runs GROUP BY user_id, run)
+SELECT video_id, opened, results, image, audio, text, CASE WHEN image IS NOT NULL AND audio IS NOT NULL AND text IS NOT NULL THEN 'complete' ELSE 'timeout' END AS reason,
+       CASE WHEN s > 5e-1 THEN 'FAKE / AI-GENERATED' ELSE 'REAL / HUMAN' END AS final_label, {rounded('s', 4)} AS fused_score
+FROM (SELECT *, ({_WSUM}) / nullif({_MASS}, 0e0) AS s FROM modal) f""")
+def str_fuse_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch twin of the fusing stream; a job is silent for an hour at its end."""
+    fused = stream_fusion.fuse_results(modality_results(table(spark, sf_dir, "events")), timeout_seconds=3600)
+    return fused.withColumn("opened", F.unix_micros("opened"))
+
+
 @query("str_fuse")
 def str_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One job's modality results of a day as a stream."""
-    return jobs.run_append(stream_fusion.fuse_stream(modality_results(_events_stream(spark, sf_dir)), "string"), "fused")[0]
+    """The same as a stream; jobs still open at the end of input stay in state."""
+    results = modality_results(_events_stream(spark, sf_dir))
+    return jobs.run_append(stream_fusion.fuse_results(results, timeout_seconds=3600, delay="10 minutes"), "fused")[0]
 
 
 def modality_results(events: DataFrame) -> DataFrame:
@@ -361,7 +384,7 @@ def modality_results(events: DataFrame) -> DataFrame:
     modality = F.when(kind == "view", "image").when(kind == "click", "audio").when(kind == "signup", "text")
     ts = F.col("ts").cast("timestamp")
     return events.select(
-        F.concat_ws("/", F.col("user_id").cast("string"), F.date_format(ts, "yyyy-MM-dd")).alias("video_id"),
+        F.col("user_id").alias("video_id"),
         modality.alias("modality"),
         round_half_up(F.least(F.col("value") / F.lit(500.0), F.lit(1.0)), 4).alias("score"),
         ts.alias("ts"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridect.functions.numeric import round_half_up
+from veridect.session import spread_small_input
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +128,13 @@ def with_fixtures(names: str, body: str) -> str:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored items: id, video_id, frame_no, grp, domain, y, z, p."""
-    items = table(spark, sf_dir, "lineitem")
+    items = spread_small_input(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"
+        ),
+        "l_orderkey",
+        "l_linenumber",
+    )
     generators = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"))
     return (
         items.join(generators, F.col("l_partkey") == F.col("p_partkey"))

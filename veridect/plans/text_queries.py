@@ -62,7 +62,7 @@ _VERDICT = "CASE WHEN ai_score >= 5.5e-1 THEN 'Likely AI' WHEN ai_score <= 4e-1
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_small_input(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return spread_small_input(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
 
 
 @query("txt_sentences", _CTE + """
@@ -221,7 +221,8 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN verdicts v ON d.doc_i
 def prj_attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     truth = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("y_true"))
-    judged = attach_predictions(documents.select("doc_id", "source", "text"), truth, "doc_id")
+    manifest = spread_small_input(documents.select("doc_id", "source", "text"), "doc_id")
+    judged = attach_predictions(manifest, truth, "doc_id")
     return D.score_documents(judged).select(
         "doc_id", "source", round_half_up(F.col("ai_score"), 4).alias("y_pred"), "y_true"
     )
@@ -231,7 +232,7 @@ def document_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents scored, judged at 0.5 and evaluated by language."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     truth = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("y"))
-    judged = D.score_documents(spread_small_input(documents.select("doc_id", "text", "lang")).join(truth, "doc_id"))
+    judged = D.score_documents(spread_small_input(documents.select("doc_id", "text", "lang"), "doc_id").join(truth, "doc_id"))
     report = prf(judged.withColumn("p", F.col("ai_score")), ["lang"], threshold=0.5)
     return round_columns(report, "accuracy", "precision", "recall", "f1")
 

@@ -60,10 +60,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
+def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     """Spreads a table with fewer splits than cores before costly row work.
 
-    A large table has more splits than cores and passes unchanged.
+    A large table has more splits than cores and passes unchanged. ``keys``
+    should identify rows; hashing them avoids the sort of a round-robin.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -94,7 +94,8 @@ def label_from_dir(
     owner = chosen.groupBy("_dir").agg(
         F.min_by("label", F.struct(F.when(F.lower("_dir") == F.col("label"), 0).otherwise(1), F.element_at(place, F.col("label")))).alias("label")
     )
-    return below.join(owner, "_dir", "left").select(*listing.columns, "label")
+    # at most one row per label
+    return below.join(F.broadcast(owner), "_dir", "left").select(*listing.columns, "label")
 
 
 def require_labels(labelled: DataFrame, labels: Sequence[str] = ("real", "fake")) -> DataFrame:

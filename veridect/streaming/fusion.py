@@ -1,82 +1,37 @@
-"""Modality results that arrive one by one, fused when all are in or overdue."""
+"""Modality results that arrive one by one, fused per video."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veridect.operators.fusion import MODALITY_WEIGHTS, fuse_weighted
 
 MODALITIES = tuple(MODALITY_WEIGHTS)
 
-_STATE = T.StructType(
-    [T.StructField(m, T.DoubleType()) for m in MODALITIES]
-    + [T.StructField(f"{m}_at", T.LongType()) for m in MODALITIES]
-    + [T.StructField("opened", T.LongType()), T.StructField("emitted", T.BooleanType())]
-)
-
 
-def latest_scores(results: DataFrame, video: str = "video_id") -> DataFrame:
-    """Batch twin: the latest score per modality in columns; NULL if absent."""
-    newest = F.struct(F.col("ts"), F.col("score"))
-    return results.groupBy(video).agg(
-        *[F.max(F.when(F.col("modality") == m, newest))["score"].alias(m) for m in MODALITIES]
-    )
-
-
-def fuse_stream(
-    results: DataFrame, video_type: str = "bigint", timeout_seconds: int = 300, delay: str = "10 minutes"
+def fuse_results(
+    results: DataFrame, video: str = "video_id", timeout_seconds: int = 300, delay: str | None = None
 ) -> DataFrame:
-    """One verdict per video from a stream of (video_id, modality, score, ts).
-
-    A verdict leaves as soon as every modality has a score, else when the
-    watermark passes ``timeout_seconds`` after the first result. A video keeps
-    a few numbers of state until then, so a second verdict is not possible
-    before the timeout. Run it in append mode.
+    """One verdict per video from rows of (video, modality, score, ts).
+
+    Results of a video belong together until none has come for
+    ``timeout_seconds``; the latest score of each modality counts. ``reason``
+    says whether all modalities were in or the rest was given up on. With a
+    ``delay`` the input is a stream: run it in append mode, a verdict leaves
+    when the watermark passes the timeout, and rows behind the watermark are
+    dropped and counted (see ``jobs.dropped_late``). Without, it is the batch twin.
     """
-    output = f"video_id {video_type}, reason string, " + ", ".join(f"{m} double" for m in MODALITIES)
-    n = len(MODALITIES)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(reason: str, scores: list) -> pd.DataFrame:
-            values = {m: pd.Series([s], dtype="float64") for m, s in zip(MODALITIES, scores)}
-            return pd.DataFrame({"video_id": [key[0]], "reason": [reason], **values})
-
-        if state.hasTimedOut:
-            held = list(state.get)
-            state.remove()
-            if not held[-1]:
-                yield row("timeout", held[:n])
-            return
-
-        held = list(state.get) if state.exists else [None] * (2 * n) + [None, False]
-        for batch in batches:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            first = int(micros.min()) // 1000
-            held[2 * n] = first if held[2 * n] is None else min(held[2 * n], first)
-            for i, modality in enumerate(MODALITIES):
-                own = batch["modality"] == modality
-                if own.any():
-                    rows = pd.DataFrame({"at": micros[own], "score": batch["score"][own]}).sort_values(["at", "score"])
-                    at, score = int(rows["at"].iloc[-1]), float(rows["score"].iloc[-1])
-                    if held[n + i] is None or (at, score) > (held[n + i], held[i]):
-                        held[n + i], held[i] = at, score
-        complete = all(s is not None for s in held[:n])
-        if complete and not held[-1]:
-            held[-1] = True
-            yield row("complete", held[:n])
-        state.update(tuple(held))
-        state.setTimeoutTimestamp(max(held[2 * n] + timeout_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    emitted = (
-        results.withWatermark("ts", delay)
-        .groupBy("video_id")
-        .applyInPandasWithState(update, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = results if delay is None else results.withWatermark("ts", delay)
+    newest = F.struct(F.col("ts"), F.col("score"))
+    seen = timed.groupBy(video, F.session_window("ts", f"{timeout_seconds} seconds").alias("_w")).agg(
+        *[F.max(F.when(F.col("modality") == m, newest)).alias(f"_{m}") for m in MODALITIES],
+        F.count(F.lit(1)).alias("results"),
+    )
+    scores = seen.select(
+        video, F.col("_w.start").alias("opened"), "results", *[F.col(f"_{m}.score").alias(m) for m in MODALITIES]
     )
-    present = emitted.withColumns({m: F.nullif(F.col(m), F.lit(float("nan"))) for m in MODALITIES})
-    return fuse_weighted(present)
+    complete = F.lit(True)
+    for m in MODALITIES:
+        complete = complete & F.col(m).isNotNull()
+    return fuse_weighted(scores.withColumn("reason", F.when(complete, "complete").otherwise("timeout")))

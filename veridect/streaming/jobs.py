@@ -74,6 +74,11 @@ def dropped_late(query: StreamingQuery) -> int:
     )
 
 
-def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Items scored as they arrive, by the same function as in batch."""
-    return score(stream)
+def score_stream(
+    stream: DataFrame, score: Callable[[DataFrame], DataFrame], partitions: int | None = None
+) -> DataFrame:
+    """Items scored as they arrive, by the same function as in batch.
+
+    ``partitions`` spreads micro-batches of few large files over more tasks.
+    """
+    return score(stream if partitions is None else stream.repartition(partitions))
