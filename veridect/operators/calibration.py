@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -31,8 +31,10 @@ def fit_temperature(df: DataFrame, y: str = "y", z: str = "z", max_iter: int = 5
     """Temperature of the least mean cross-entropy of ``z / T``.
 
     The loss is convex in ``b = 1 / T``, so each step is Newton's inside a
-    bracket that the gradient sign shrinks. A step is one aggregate of three
-    sums over equal (z, y) pairs; only those sums reach the driver.
+    bracket that the gradient sign shrinks, or halves the bracket where Newton
+    hardly lowers the gradient. A step is one aggregate of three sums over equal
+    (z, y) pairs; only those sums reach the driver. Where the loss still falls
+    at a limit of T, as for separable classes, that limit is the answer.
     """
     pairs = (
         df.filter(F.col(z).isNotNull())
@@ -42,34 +44,33 @@ def fit_temperature(df: DataFrame, y: str = "y", z: str = "z", max_iter: int = 5
     )
     low, high = 1.0 / MAX_TEMPERATURE, 1.0 / MIN_TEMPERATURE
 
-    def sums(b: float) -> tuple[float, float, float]:
+    def loss_and_slopes(b: float) -> list[Column]:
         scaled, s = F.col("z") * F.lit(b), sigmoid(F.col("z") * F.lit(b))
-        row = pairs.agg(
-            F.sum(bce_with_logits(scaled, F.col("y")) * F.col("n")),
-            F.sum((s - F.col("y")) * F.col("z") * F.col("n")),
-            F.sum(s * (F.lit(1.0) - s) * F.col("z") * F.col("z") * F.col("n")),
-            F.sum("n"),
-        ).first()
-        if not row[3]:
-            raise ValueError("no rows to calibrate on")
-        return row[0] / row[3], row[1] / row[3], row[2] / row[3]
+        return [
+            F.sum(bce_with_logits(scaled, F.col("y")) * F.col("n")) / F.sum("n"),
+            F.sum((s - F.col("y")) * F.col("z") * F.col("n")) / F.sum("n"),
+            F.sum(s * (F.lit(1.0) - s) * F.col("z") * F.col("z") * F.col("n")) / F.sum("n"),
+        ]
 
     try:
-        b = 1.0
+        ends = pairs.agg(*[c for b in (low, high) for c in loss_and_slopes(b)[:2]]).first()
+        if ends[0] is None:
+            raise ValueError("no rows to calibrate on")
+        if ends[3] <= 0:
+            return TemperatureFit(MIN_TEMPERATURE, ends[2], 1)
+        if ends[1] >= 0:
+            return TemperatureFit(MAX_TEMPERATURE, ends[0], 1)
+        b, last = 1.0, float("inf")
         for step in range(1, max_iter + 1):
-            loss, slope, curve = sums(b)
-            if slope > 0:
-                high = b
-            else:
-                low = b
-            move = b - slope / curve if curve > 1e-300 else (high if slope < 0 else low)
-            if not low < move < high:
+            loss, slope, curve = pairs.agg(*loss_and_slopes(b)).first()
+            low, high = (low, b) if slope > 0 else (b, high)
+            move = b - slope / curve if curve > 0 else 0.0
+            if not low < move < high or abs(slope) > 0.5 * last:
                 move = (low * high) ** 0.5
-            if abs(move - b) <= tol * b or slope == 0:
+            if slope == 0 or abs(move - b) <= tol * b:
                 break
-            b = move
-        temperature = min(max(1.0 / b, MIN_TEMPERATURE), MAX_TEMPERATURE)
-        return TemperatureFit(temperature, loss, step)
+            b, last = move, abs(slope)
+        return TemperatureFit(1.0 / b, loss, step)
     finally:
         pairs.unpersist()
 
