@@ -27,29 +27,29 @@ class TemperatureFit:
     iterations: int
 
 
-def fit_temperature(df: DataFrame, y: str = "y", z: str = "z", max_iter: int = 50, tol: float = 1e-10) -> TemperatureFit:
+def fit_temperature(
+    df: DataFrame, y: str = "y", z: str = "z", max_iter: int = 50, tol: float = 1e-10, cache: bool = True
+) -> TemperatureFit:
     """Temperature of the least mean cross-entropy of ``z / T``.
 
     The loss is convex in ``b = 1 / T``, so each step is Newton's inside a
     bracket that the gradient sign shrinks, or halves the bracket where Newton
-    hardly lowers the gradient. A step is one aggregate of three sums over equal
-    (z, y) pairs; only those sums reach the driver. Where the loss still falls
+    hardly lowers the gradient. A step is one aggregate of three means with no
+    shuffle of rows; only those means reach the driver. ``cache`` keeps the two
+    columns between steps, unless the caller cached the input already. Where the loss still falls
     at a limit of T, as for separable classes, that limit is the answer.
     """
-    pairs = (
-        df.filter(F.col(z).isNotNull())
-        .groupBy(F.col(z).alias("z"), F.col(y).alias("y"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    pairs = df.filter(F.col(z).isNotNull()).select(F.col(z).alias("z"), F.col(y).alias("y"))
+    if cache:
+        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
     low, high = 1.0 / MAX_TEMPERATURE, 1.0 / MIN_TEMPERATURE
 
     def loss_and_slopes(b: float) -> list[Column]:
         scaled, s = F.col("z") * F.lit(b), sigmoid(F.col("z") * F.lit(b))
         return [
-            F.sum(bce_with_logits(scaled, F.col("y")) * F.col("n")) / F.sum("n"),
-            F.sum((s - F.col("y")) * F.col("z") * F.col("n")) / F.sum("n"),
-            F.sum(s * (F.lit(1.0) - s) * F.col("z") * F.col("z") * F.col("n")) / F.sum("n"),
+            F.avg(bce_with_logits(scaled, F.col("y"))),
+            F.avg((s - F.col("y")) * F.col("z")),
+            F.avg(s * (F.lit(1.0) - s) * F.col("z") * F.col("z")),
         ]
 
     try:
@@ -72,7 +72,8 @@ def fit_temperature(df: DataFrame, y: str = "y", z: str = "z", max_iter: int = 5
             b, last = move, abs(slope)
         return TemperatureFit(1.0 / b, loss, step)
     finally:
-        pairs.unpersist()
+        if cache:
+            pairs.unpersist()
 
 
 def temperature_losses(
@@ -173,7 +174,7 @@ def calibration_report(
     halves = halves.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         val, test = halves.filter("split = 'val'"), halves.filter("split = 'test'")
-        fit = fit_temperature(val, y, z)
+        fit = fit_temperature(val, y, z, cache=False)
         rescaled = calibrated(F.col(z), fit.temperature)
         raw = best_f1(val, (), y).first().threshold
         tuned = best_f1(val.withColumn("p", rescaled), (), y).first().threshold
