@@ -83,7 +83,7 @@ def cut_keys(
     """
     classes = list(classes)
     tags = [c for c in ranks.columns if c not in classes]
-    long = ranks.unpivot(classes, tags, "tag", "rank") if classes else ranks.unpivot([], tags, "tag", "rank")
+    long = ranks.unpivot(classes, tags, "tag", "rank")
     running = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ladder = buckets.counts.withColumn("_upto", F.sum("_n").over(running)).withColumn(
         "_before", F.col("_upto") - F.col("_n")

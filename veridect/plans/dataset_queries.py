@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veridect.functions import arrays as A
 from veridect.functions.decisions import binary_label, is_correct
-from veridect.functions.numeric import round_half_up
 from veridect.operators import labels as B
 from veridect.operators import sampling as S
 from veridect.operators.features import global_standardize
