@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from veridect.session import scratch_path
@@ -34,7 +35,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
         if batch.column(column).nbytes <= max_bytes:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = size = 0
         for row, length in enumerate(lengths):
             if row > start and size + length > max_bytes:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from veridect.llm.frames import documents
 from veridect.llm.licenses import scan_licenses
+from veridect.llm.packing import pack_documents
 from veridect.llm.quality import clean_lines
+from veridect.llm.token_files import token_file_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +22,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), keep_ids=False)
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(documents(spark, sf_dir)).drop("clean_text")
@@ -29,3 +36,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 9).alias("score"))
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
