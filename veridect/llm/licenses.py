@@ -60,8 +60,8 @@ def _normal(text: Column) -> Column:
 
 def _postings(spark: SparkSession, frequency: DataFrame, rare_words: int) -> DataFrame:
     """(word, template, tpos, indexed) of the ``rare_words`` least frequent words of each template."""
-    rows = [(word, t, place) for t, (_, text, _) in enumerate(TEMPLATES) for place, word in enumerate(text.split())]
-    words = spark.createDataFrame(rows, "word string, template int, tpos int")
+    rows = [f"struct('{word}', {t}, {place})" for t, (_, text, _) in enumerate(TEMPLATES) for place, word in enumerate(text.split())]
+    words = spark.range(1).selectExpr(f"inline(array({', '.join(rows)})) as (word, template, tpos)")
     ranked = words.join(F.broadcast(frequency), "word", "left").fillna({"df": 0})
     rank = F.row_number().over(Window.partitionBy("template").orderBy("df", "word", "tpos"))
     kept = ranked.withColumn("rank", rank).filter(F.col("rank") <= rare_words)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veridect.llm.frames import documents
 from veridect.llm.licenses import scan_licenses
+from veridect.llm.minhash import near_duplicate_classes
 from veridect.llm.packing import pack_documents
 from veridect.llm.quality import clean_lines
 from veridect.llm.token_files import token_file_digest
@@ -38,6 +39,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 9).alias("score"))
 
 
+@query
+def op3_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_rows", "n_links")
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
