@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridect.llm.decontamination import contaminated
 from veridect.llm.frames import documents
 from veridect.llm.licenses import scan_licenses
+from veridect.llm.line_templates import drop_recurring_lines
 from veridect.llm.minhash import near_duplicate_classes
 from veridect.llm.packing import pack_documents
 from veridect.llm.quality import clean_lines
@@ -34,6 +36,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(documents(spark, sf_dir)).drop("clean_text")
 
 
+@query
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_recurring_lines(documents(spark, sf_dir), counts=True)
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -55,3 +63,8 @@ def op3_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
