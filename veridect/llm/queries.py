@@ -14,6 +14,7 @@ from veridect.llm.line_templates import drop_recurring_lines
 from veridect.llm.minhash import near_duplicate_classes
 from veridect.llm.packing import pack_documents
 from veridect.llm.quality import clean_lines
+from veridect.llm.sentence_spans import remove_repeated_spans
 from veridect.llm.token_files import token_file_digest
 from veridect.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -60,6 +61,12 @@ def op3_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_rows", "n_links")
 
 
+@query
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_spans(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_sentences", "n_removed", F.length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
