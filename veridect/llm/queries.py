@@ -15,6 +15,7 @@ from veridect.llm.minhash import near_duplicate_classes
 from veridect.llm.packing import pack_documents
 from veridect.llm.quality import clean_lines
 from veridect.llm.sentence_spans import remove_repeated_spans
+from veridect.llm.suffix_dedup import remove_repeated_bytes
 from veridect.llm.token_files import token_file_digest
 from veridect.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -67,6 +68,11 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_sentences", "n_removed", F.length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("kept_sha256"))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
