@@ -5,12 +5,14 @@ import zlib
 from datetime import datetime, timedelta
 
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from veridect.operators import calibration as C
 from veridect.operators import documents, ml
 from veridect.operators.fusion import MODALITY_WEIGHTS
 from veridect.session import shared_dir
+from veridect.plans.catalog import ORACLES, QUERIES
 from veridect.sinks import writers
 from veridect.sources import images, manifests, tables
 from veridect.streaming import fusion, jobs
@@ -155,6 +157,11 @@ def write_files(spark, folder, batches, schema):
     return jobs.read_parquet_stream(spark, str(folder), spark.createDataFrame([], schema).schema, files_per_trigger=1)
 
 
+def bounded(spark, folder, batches, schema, **values):
+    write_files(spark, folder, batches, schema)
+    return jobs.BoundedInput(spark, str(folder), spark.createDataFrame([], schema).schema, **values)
+
+
 def test_progress_stream_equals_batch(spark, tmp_path):
     batches = [
         [(1, 7, at(0), "download"), (2, 7, at(5), "frames_done"), (3, 8, at(1), "audio")],
@@ -181,10 +188,29 @@ def test_job_runs(spark, tmp_path):
     }
     batch = P.job_sessions(spark.createDataFrame(sum(batches, []), EVENTS))
     assert {(r.job_id, r.started, r.last_event, r.events, r.outcome) for r in batch.collect()} == want
-    stream = write_files(spark, tmp_path / "e", batches, EVENTS)
-    out, _ = jobs.run_append(P.job_sessions_stream(stream, delay="12 hours"), "t")
-    closed = {(r.job_id, r.started, r.last_event, r.events, r.outcome) for r in out.collect()}
-    assert closed <= want
+    source = bounded(spark, tmp_path / "e", batches, EVENTS)
+    out, run = jobs.run_append(P.job_sessions_stream(source.frame, delay="12 hours"), "t", source)
+    assert {(r.job_id, r.started, r.last_event, r.events, r.outcome) for r in out.collect()} == want
+    assert run.dropped_late == 0
+
+
+STREAMS = ["str_progress_fold", "str_job_terminal_stream", "str_score", "str_fuse"]
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_read_folders_and_end_completely(spark, tmp_path, name):
+    """A table as three part files gives what the single file gives, and that is what the oracle gives."""
+    for t in ("events", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert compare(spark, str(tmp_path), QUERIES[name], ORACLES[name], connect("/root/testdata/sf0.001")) is None
+
+
+def test_open_times_do_not_follow_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert compare(spark, "/root/testdata/sf0.001", QUERIES["str_fuse_batch"], ORACLES["str_fuse_batch"]) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_fusing_stream(spark, tmp_path):
@@ -197,11 +223,11 @@ def test_fusing_stream(spark, tmp_path):
         [("b", "audio", 1.0, at(6)), ("z", "text", 0.5, at(100_002))],
     ]
     stream = write_files(spark, tmp_path / "r", batches, schema)
-    out, query = jobs.run_append(fusion.fuse_results(stream, delay="10 minutes"), "t")
+    out, run = jobs.run_append(fusion.fuse_results(stream, delay="10 minutes"), "t")
     got = {r.video_id: (r.reason, r.image, r.audio, r.text, r.fused_score) for r in out.collect()}
     assert got["a"] == ("complete", 0.1, 0.8, 0.7, 0.43)
     assert got["b"] == ("timeout", 0.2, None, None, 0.2)
-    assert jobs.dropped_late(query) == 1  # the late audio result of b
+    assert run.dropped_late == 1  # the late audio result of b
     batch = fusion.fuse_results(spark.createDataFrame(batches[0] + batches[1], schema))
     assert {r.video_id: r.fused_score for r in batch.collect()} == {"a": 0.43, "b": 0.2}
     assert set(fusion.MODALITIES) == set(MODALITY_WEIGHTS)

@@ -305,9 +305,9 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams ---------------------------------------------------------------
 
 
-def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events_input(spark: SparkSession, sf_dir: str) -> jobs.BoundedInput:
     schema = table(spark, sf_dir, "events").schema
-    return jobs.read_parquet_stream(spark, sf_dir, schema, "events.parquet")
+    return jobs.BoundedInput(spark, f"{sf_dir}/events.parquet", schema, event_type="view")
 
 
 _TRACKED = """SELECT job_id, CASE WHEN step IN ('frames', 'frames_done') THEN 'frame' ELSE 'audio' END AS track,
@@ -319,7 +319,9 @@ _TRACKED = """SELECT job_id, CASE WHEN step IN ('frames', 'frames_done') THEN 'f
 SELECT job_id, track, status FROM (SELECT *, row_number() OVER (PARTITION BY job_id, track ORDER BY ts DESC, event_id DESC) AS rn FROM ({_TRACKED}) t) r WHERE rn = 1"""))
 def str_progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream in update mode."""
-    status = P.progress_status(X.progress_events(_events_stream(spark, sf_dir)))
+    path = f"{sf_dir}/events.parquet"
+    events = jobs.read_parquet_stream(spark, path, table(spark, sf_dir, "events").schema)
+    status = P.progress_status(X.progress_events(events), delay="10 minutes")
     return jobs.run_update(status, ["job_id", "track"], "progress").select("job_id", "track", "status")
 
 
@@ -333,19 +335,20 @@ def str_job_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ended.withColumns({c: F.unix_micros(c) for c in ("started", "last_event")})
 
 
-@query("str_job_terminal_stream")
+@query("str_job_terminal_stream", ORACLES["str_job_terminal"])
 def str_job_terminal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream; runs still open at the end of input stay in state."""
-    ended = P.job_sessions_stream(X.progress_events(_events_stream(spark, sf_dir)))
-    return jobs.run_append(ended, "terminal")[0]
+    """The same as a stream, up to the end of the input."""
+    source = _events_input(spark, sf_dir)
+    ended = P.job_sessions_stream(X.progress_events(source.frame))
+    return jobs.run_append(ended, "terminal", source)[0].withColumns({c: F.unix_micros(c) for c in ("started", "last_event")})
 
 
 @query("str_score", ORACLES["txt_ai_score"])
 def str_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored as they arrive, by the batch functions."""
     schema = table(spark, sf_dir, "documents").schema
-    stream = jobs.read_parquet_stream(spark, sf_dir, schema, "documents.parquet")
-    scored = jobs.score_stream(stream, documents.score_documents, spark.sparkContext.defaultParallelism).select("doc_id", round_half_up(F.col("ai_score"), 6).alias("ai_score"))
+    stream = jobs.read_parquet_stream(spark, f"{sf_dir}/documents.parquet", schema)
+    scored = jobs.score_stream(stream, documents.score_documents).select("doc_id", round_half_up(F.col("ai_score"), 6).alias("ai_score"))
     return jobs.run_append(scored, "scored")[0]
 
 
@@ -371,23 +374,23 @@ def str_fuse_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.withColumn("opened", F.unix_micros("opened"))
 
 
-@query("str_fuse")
+@query("str_fuse", ORACLES["str_fuse_batch"])
 def str_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream; jobs still open at the end of input stay in state."""
-    results = modality_results(_events_stream(spark, sf_dir))
-    return jobs.run_append(stream_fusion.fuse_results(results, timeout_seconds=3600, delay="10 minutes"), "fused")[0]
+    """The same as a stream, up to the end of the input."""
+    source = _events_input(spark, sf_dir)
+    fused = stream_fusion.fuse_results(modality_results(source.frame), timeout_seconds=3600, delay="10 minutes")
+    return jobs.run_append(fused, "fused", source)[0].withColumn("opened", F.unix_micros("opened"))
 
 
 def modality_results(events: DataFrame) -> DataFrame:
     """Views, clicks and sign-ups stand for image, audio and text results."""
     kind = F.col("event_type")
     modality = F.when(kind == "view", "image").when(kind == "click", "audio").when(kind == "signup", "text")
-    ts = F.col("ts").cast("timestamp")
     return events.select(
         F.col("user_id").alias("video_id"),
         modality.alias("modality"),
         round_half_up(F.least(F.col("value") / F.lit(500.0), F.lit(1.0)), 4).alias("score"),
-        ts.alias("ts"),
+        X.instant(events, "ts").alias("ts"),
     ).filter(F.col("modality").isNotNull())
 
 

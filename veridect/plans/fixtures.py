@@ -191,9 +191,19 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress_events(table(spark, sf_dir, "events"))
 
 
+def instant(df: DataFrame, name: str) -> Column:
+    """A wall-clock column read as UTC, whatever the session's zone; instants stay as they are."""
+    if df.schema[name].dataType.simpleString() != "timestamp_ntz":
+        return F.col(name)
+    return F.expr(
+        f"timestamp_micros(unix_date(cast({name} AS date)) * 86400000000L + hour({name}) * 3600000000L"
+        f" + minute({name}) * 60000000L + cast(extract(SECOND FROM {name}) * 1000000 AS bigint))"
+    )
+
+
 def progress_events(events: DataFrame) -> DataFrame:
     return events.select(
-        "event_id", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.expr(PROGRESS_STEP).alias("step")
+        "event_id", F.col("user_id").alias("job_id"), instant(events, "ts").alias("ts"), F.expr(PROGRESS_STEP).alias("step")
     )
 
 

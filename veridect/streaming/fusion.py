@@ -20,7 +20,7 @@ def fuse_results(
     says whether all modalities were in or the rest was given up on. With a
     ``delay`` the input is a stream: run it in append mode, a verdict leaves
     when the watermark passes the timeout, and rows behind the watermark are
-    dropped and counted (see ``jobs.dropped_late``). Without, it is the batch twin.
+    dropped and counted (see ``jobs.Run``). Without, it is the batch twin.
     """
     timed = results if delay is None else results.withWatermark("ts", delay)
     newest = F.struct(F.col("ts"), F.col("score"))

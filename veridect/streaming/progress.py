@@ -31,14 +31,28 @@ def status_of(step: Column) -> Column:
 
 
 def progress_status(
-    events: DataFrame, job: str = "job_id", step: str = "step", ts: str = "ts", tie: str = "event_id"
+    events: DataFrame,
+    job: str = "job_id",
+    step: str = "step",
+    ts: str = "ts",
+    tie: str = "event_id",
+    delay: str | None = None,
+    span: str = "1 day",
 ) -> DataFrame:
-    """Latest status per job and track; run streams in update mode."""
+    """Latest status per job and track; run streams in update mode.
+
+    With a ``delay`` the input is a stream with event-time windows of ``span``:
+    state of a window goes when the watermark has passed it, and a job that
+    lives longer has one row per window, of which the largest version counts
+    (``jobs.run_update`` takes it).
+    """
     tracked = events.withColumn("track", track_of(F.col(step))).filter(F.col("track").isNotNull())
     newest = F.struct(F.col(ts), F.col(tie))
-    return tracked.groupBy(job, "track").agg(
-        F.max_by(status_of(F.col(step)), newest).alias("status"), F.max(newest).alias("version")
-    )
+    last = [F.max_by(status_of(F.col(step)), newest).alias("status"), F.max(newest).alias("version")]
+    if delay is None:
+        return tracked.groupBy(job, "track").agg(*last)
+    grouped = tracked.withWatermark(ts, delay).groupBy(job, "track", F.window(ts, span).alias("_w"))
+    return grouped.agg(*last).drop("_w")
 
 
 def job_sessions(
