@@ -54,10 +54,10 @@ def test_weighted_fusion(rows):
 
 
 def test_text_gate(rows):
-    df = rows([(1, 0.5, 0.4, "hi"), (2, None, 0.4, "hi"), (3, 0.5, 0.4, "  "), (4, 0.5, 0.4, None)], "v int, audio double, text double, t string")
+    df = rows([(1, 0.5, 0.4, "hi"), (2, None, 0.4, "hi"), (3, 0.5, 0.4, "  "), (4, 0.5, 0.4, None), (5, 0.5, 0.4, "\n\t")], "v int, audio double, text double, t string")
     got = {r.v: (r.text, r.text_error) for r in U.gate_text(df, transcript="t").collect()}
     assert got[1] == (0.4, None) and got[2] == (None, "Audio extraction failed")
-    assert got[3] == got[4] == (None, "No speech detected in audio")
+    assert got[3] == got[4] == got[5] == (None, "No speech detected in audio")
 
 
 def test_other_fusions(rows):
@@ -92,6 +92,11 @@ def test_sliding_frames_across_blocks(spark, block):
     assert got["short"] == pytest.approx(0.4)
 
 
+def test_sliding_windows_fit_two_blocks(spark):
+    with pytest.raises(ValueError):
+        U.frames_sliding(spark.createDataFrame([("v", 1, 0.5)], "video string, frame_no int, p double"), "video", ["frame_no"], 7, block=5)
+
+
 def test_first_frames_are_cut_before_the_shuffle(spark, capsys):
     df = spark.range(100).select((F.col("id") % 3).alias("video"), F.col("id").alias("n"))
     U.first_frames(df, "video", ["n"]).explain()

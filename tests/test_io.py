@@ -97,10 +97,13 @@ def test_result_shapes(rows):
     data = [
         '{"prediction": "fake", "label": "x", "prob_fake": 0.5}', '{"label": "real", "fake_probability": 0.25, "score": 1}',
         '{"score": "high"}', '{"score": 3}', "{}", '{"prob_fake": null, "score": 0.7}',
+        '{"prob_fake":0.5,"score":"high"}', '{"label":"fake","fake_probability":0.25,"score":"high"}', '{"prob_fake": "0.5"}', '{"prob_fake": 1e-2}', "no json",
     ]
     df = rows([(i, d) for i, d in enumerate(data)], "i int, r string")
     got = [(r.prediction, r.prob_fake) for r in tables.coalesce_results(df, "r").orderBy("i").collect()]
-    assert got == [("fake", 0.5), ("real", 0.25), ("UNKNOWN", None), ("UNKNOWN", 3.0), ("UNKNOWN", None), ("UNKNOWN", None)]
+    assert got == [("fake", 0.5), ("real", 0.25), ("UNKNOWN", None), ("UNKNOWN", 3.0), ("UNKNOWN", None), ("UNKNOWN", None)] + [
+        ("UNKNOWN", 0.5), ("fake", 0.25), ("UNKNOWN", None), ("UNKNOWN", 0.01), ("UNKNOWN", None)
+    ]
 
 
 def test_eval_shards_and_snapshots(spark, tmp_path):
@@ -114,6 +117,11 @@ def test_eval_shards_and_snapshots(spark, tmp_path):
         tables.read_eval_shards(spark, str(tmp_path / "empty"))
     spark.range(3).write.parquet(str(tmp_path / "t" / "snapshot=2024-01"))
     spark.range(5).write.parquet(str(tmp_path / "t" / "snapshot=2024-02"))
+    for name, n in {"001": 1, "002": 2}.items():
+        spark.range(n).write.parquet(str(tmp_path / "d" / f"snapshot={name}"))
+        spark.range(n).write.parquet(str(tmp_path / "e" / f"snapshot={'12e5' if n == 1 else '34e7'}"))
+    assert sorted(tuple(r) for r in tables.read_latest_snapshot(spark, str(tmp_path / "d")).collect()) == [(0, "002"), (1, "002")]
+    assert tables.read_latest_snapshot(spark, str(tmp_path / "e")).filter("snapshot = '34e7'").count() == 2
     latest = tables.read_latest_snapshot(spark, str(tmp_path / "t"))
     assert latest.count() == 5
 

@@ -99,6 +99,22 @@ def test_stratified_split(spark, sizes, mode):
         assert {r.id for r in split if r.y == y and r.split == "val"} == set(ids[: val[y]])
 
 
+def test_equal_and_missing_ids_keep_counts_exact(spark, mode):
+    data = [(i // 4, "a", i) for i in range(80)] + [(None, "a", i) for i in range(6)] + [(7, "b", 0)] * 9
+    df = spark.createDataFrame(data, "id int, label string, row int")
+    for n in (1, 5, 50, 85, 100):
+        got = Counter(r.label for r in S.sample_per_class(df, ["label"], "id", n).collect())
+        assert got == {"a": min(n, 86), "b": min(n, 9)}
+    split = Counter(r.subset for r in S.train_val_per_class(df, ["label"], "id", 5, 3).collect())
+    assert split == {"train": 10, "val": 6}
+    assert S.sample_uniform(df, "id", 33).count() == 33
+
+
+def test_oversample_keeps_the_missing_class(spark, mode):
+    df = spark.createDataFrame([(i, None if i < 5 else "a" if i < 15 else "b") for i in range(35)], "id int, y string")
+    assert Counter(r.y for r in S.oversample(df, "y", "id").collect()) == {None: 20, "a": 20, "b": 20}
+
+
 def test_shuffle_positions(items, mode):
     data, df = items
     got = {r.id: r.position for r in S.shuffled(df, "id").collect()}

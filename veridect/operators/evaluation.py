@@ -106,8 +106,8 @@ def domain_stats(
 def separation_verdict(separation: Column) -> Column:
     return (
         F.when(separation > F.lit(SEPARATION_GOOD), "good")
-        .when((separation >= F.lit(SEPARATION_LIMITED)) & (separation <= F.lit(SEPARATION_GOOD)), "limited")
-        .when((separation >= F.lit(0.0)) & (separation < F.lit(SEPARATION_LIMITED)), "insufficient")
+        .when(separation >= F.lit(SEPARATION_LIMITED), "limited")
+        .when(separation >= F.lit(0.0), "insufficient")
         .otherwise("inverted")
     )
 
@@ -344,7 +344,11 @@ def training_losses(
 
 
 def by_partition(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
-    """Metrics per partition, per prefix of the keys and overall, in one scan."""
+    """Metrics per partition, per prefix of the keys and overall, in one scan.
+
+    ``keys_used`` is the number of keys a row stands for, which tells a NULL
+    key from the subtotal over it.
+    """
     hit, fake = F.col(p) > F.lit(threshold), F.col(y) == 1
     return (
         df.rollup(*keys)
@@ -353,6 +357,7 @@ def by_partition(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p",
             F.count_if(hit & ~fake).alias("fp"),
             F.count_if(~hit & ~fake).alias("tn"),
             F.count_if(~hit & fake).alias("fn"),
+            (F.lit(len(keys)) - F.bit_count(F.grouping_id())).cast("int").alias("keys_used"),
         )
         .withColumns(prf_columns())
     )

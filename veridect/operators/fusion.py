@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridect.functions.numeric import round_half_up
+from veridect.functions.text import trim_space
 from veridect.operators.ordered import row_positions
 
 # Frame limit, modality weights, confidence gate, verdict labels.
@@ -68,6 +69,8 @@ def frames_sliding(
     frames of a block are copied to the next one, so every window is complete
     inside one block and a very long video spreads over many tasks.
     """
+    if not 1 <= width <= block + 1:
+        raise ValueError("width must be at least 1 and at most block + 1, or windows would span three blocks")
     placed = row_positions(frames.select(video, *order, p), order, [video], "_place")
     home = F.expr(f"div(_place - 1, {block})")
     spill = (F.col("_place") - 1) % block >= block - (width - 1)
@@ -93,7 +96,7 @@ def frames_sliding(
 def gate_text(df: DataFrame, audio: str = "audio", text: str = "text", transcript: str | None = None) -> DataFrame:
     """Text counts only where audio worked and the transcript is not blank."""
     audio_missing = F.col(audio).isNull()
-    blank = (F.coalesce(F.btrim(F.col(transcript)), F.lit("")) == "") if transcript else F.col(text).isNull()
+    blank = (F.coalesce(trim_space(F.col(transcript)), F.lit("")) == "") if transcript else F.col(text).isNull()
     return df.withColumn(
         "text_error",
         F.when(audio_missing, "Audio extraction failed").when(blank, "No speech detected in audio"),

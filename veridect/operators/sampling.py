@@ -3,8 +3,9 @@
 All randomness is ``md5(id ':' seed)``, so a sample depends on the ids and
 the seed alone. Exact counts come from cut keys: hash buckets are counted, the
 bucket that holds the wanted rank is searched, and one key per class, which is
-broadcast, decides for every row. Rows are not shuffled for it. Ids
-must be unique.
+broadcast, decides for every row. Rows are not shuffled for it. If a cut falls
+among rows of equal ids, these are numbered in the order of a hash of the whole
+row, so counts stay exact. A NULL id is an id of its own.
 """
 
 from __future__ import annotations
@@ -31,13 +32,17 @@ class Buckets:
     rows: int
     classes: int
 
+def _text_id(id_column: Column) -> Column:
+    return F.coalesce(id_column.cast("string"), F.lit(""))
+
+
 def hash_key(id_column: Column, seed: int) -> Column:
-    return F.md5(F.concat(id_column.cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(_text_id(id_column), F.lit(f":{seed}")))
 
 
 def order_key(id_column: Column, seed: int) -> Column:
-    """Total order of the shuffle: the hash, then the id."""
-    return F.concat(hash_key(id_column, seed), F.lit(":"), id_column.cast("string"))
+    """Order of the shuffle: the hash, then the id."""
+    return F.concat(hash_key(id_column, seed), F.lit(":"), _text_id(id_column))
 
 
 def _keyed(df: DataFrame, id_col: str, seed: int, digits: int) -> DataFrame:
@@ -73,13 +78,15 @@ def class_sizes(buckets: Buckets, classes: Sequence[str]) -> DataFrame:
 
 def cut_keys(
     df: DataFrame, buckets: Buckets, classes: Sequence[str], id_col: str, seed: int, ranks: DataFrame
-) -> tuple[DataFrame, int]:
-    """The order key at each wanted rank, materialised, and the row count.
+) -> tuple[DataFrame, int, bool]:
+    """The order key at each wanted rank, materialised, the row count, and
+    whether a cut falls among rows of one key.
 
     ``ranks`` holds (classes..., <tag>...), one row per class and a rank per
     tag column. The result has the same classes and ``_cut_<tag>`` columns: NULL
     where the class is shorter than the rank, so that all of it lies below, and
     the empty string for ranks of zero or less, so that nothing does.
+    ``_take_<tag>`` says how many rows of the cut's own key lie below it.
     """
     classes = list(classes)
     tags = [c for c in ranks.columns if c not in classes]
@@ -97,17 +104,25 @@ def cut_keys(
     keyed = _keyed(df.select(*classes, id_col), id_col, seed, buckets.digits)
     # one row per class and tag
     near = join_bounded(keyed, wanted, [*classes, "_bucket"], buckets.classes * len(tags))
+    alike = Window.partitionBy(*classes, "_bucket", "tag", "_key")
     found = (
-        near.withColumn("_rn", F.row_number().over(inside))
+        near.withColumns(
+            {"_rn": F.row_number().over(inside), "_first": F.rank().over(inside), "_alike": F.count(F.lit(1)).over(alike)}
+        )
         .filter(F.col("_rn") == F.col("_inner"))
         .groupBy(*classes)
-        .agg(*[F.max(F.when(F.col("tag") == t, F.col("_key"))).alias(f"_cut_{t}") for t in tags])
+        .agg(
+            *[F.max(F.when(F.col("tag") == t, F.col("_key"))).alias(f"_cut_{t}") for t in tags],
+            *[F.max(F.when(F.col("tag") == t, F.col("_rn") - F.col("_first") + 1)).alias(f"_take_{t}") for t in tags],
+            F.max("_alike").alias("_alike"),
+        )
     )
     cuts = join_on(ranks, found, classes, "left").withColumns(
         {f"_cut_{t}": F.when(F.col(t) <= 0, F.lit("")).otherwise(F.col(f"_cut_{t}")) for t in tags}
     )
     cuts = cut_lineage(cuts.drop(*tags))
-    return cuts, cuts.count()
+    size = cuts.agg(F.count(F.lit(1)).alias("rows"), F.max("_alike").alias("alike")).first()
+    return cuts.drop("_alike"), size["rows"], (size["alike"] or 0) > 1
 
 
 def _same_ranks(buckets: Buckets, classes: Sequence[str], ranks: Mapping[str, int]) -> DataFrame:
@@ -118,9 +133,23 @@ def _same_ranks(buckets: Buckets, classes: Sequence[str], ranks: Mapping[str, in
 def _with_cuts(
     df: DataFrame, buckets: Buckets, classes: Sequence[str], id_col: str, seed: int, ranks: DataFrame
 ) -> DataFrame:
-    """Rows of the classes in ``ranks`` with their order key and cut keys."""
-    cuts, rows = cut_keys(df, buckets, classes, id_col, seed, ranks)
-    return join_bounded(df.withColumn("_key", order_key(F.col(id_col), seed)), cuts, list(classes), rows)
+    """Rows of the classes in ``ranks`` with their order key and cut keys.
+
+    Only if a cut falls among rows of equal keys, rows are numbered within
+    their key, and keys and cuts get that number at their end.
+    """
+    cuts, rows, tied = cut_keys(df, buckets, classes, id_col, seed, ranks)
+    tags = [c for c in ranks.columns if c not in classes]
+    keyed = df.withColumn("_key", order_key(F.col(id_col), seed))
+    if tied:
+        number = F.row_number().over(Window.partitionBy(*classes, "_key").orderBy(F.xxhash64(*df.columns)))
+        keyed = keyed.withColumn("_key", F.concat("_key", F.lit(":"), F.lpad(number.cast("string"), 19, "0")))
+        # the empty cut, which nothing lies below, has no number to take and stays
+        last = {t: F.lpad(F.coalesce(F.col(f"_take_{t}"), F.lit(0)).cast("string"), 19, "0") for t in tags}
+        cuts = cuts.withColumns(
+            {f"_cut_{t}": F.when(F.col(f"_cut_{t}") == "", "").otherwise(F.concat(f"_cut_{t}", F.lit(":"), last[t])) for t in tags}
+        )
+    return join_bounded(keyed, cuts.drop(*[f"_take_{t}" for t in tags]), list(classes), rows)
 
 
 def _within(key: Column, cut: Column) -> Column:
@@ -259,7 +288,7 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per
         .withColumn(
             "_hash",
             F.conv(
-                F.substring(F.md5(F.concat(F.col(label).cast("string"), F.lit(":"), F.col("draw").cast("string"), F.lit(f":{seed}"))), 1, 15),
+                F.substring(F.md5(F.concat(F.coalesce(F.col(label).cast("string"), F.lit("")), F.lit(":"), F.col("draw").cast("string"), F.lit(f":{seed}"))), 1, 15),
                 16,
                 10,
             ).cast("bigint"),

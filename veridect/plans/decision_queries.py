@@ -111,7 +111,7 @@ def scr_calibrated_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scr_risk_level", with_fixtures("scored", """
 SELECT grp, CASE WHEN p > 7e-1 THEN 'High' WHEN p > 4e-1 THEN 'Medium' ELSE 'Low' END AS risk_level, count(*) AS items FROM scored GROUP BY ALL"""))
 def scr_risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.scored(spark, sf_dir)
+    rows = X.scored(spark, sf_dir, grp=True)
     return rows.groupBy("grp", D.risk_level(F.col("p")).alias("risk_level")).agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -119,7 +119,7 @@ def scr_risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT grp, CASE WHEN floor(p * 1e2 + 5e-1) < 30 THEN 'likely real' WHEN floor(p * 1e2 + 5e-1) < 70 THEN 'uncertain' ELSE 'likely AI-generated' END AS band,
        count(*) AS items FROM scored GROUP BY ALL"""))
 def scr_likelihood_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.scored(spark, sf_dir)
+    rows = X.scored(spark, sf_dir, grp=True)
     return rows.groupBy("grp", D.likelihood_band(F.col("p")).alias("band")).agg(F.count(F.lit(1)).alias("items"))
 
 

@@ -17,8 +17,8 @@ from veridect.plans.fixtures import round_columns, rounded, with_fixtures
 from veridect.plans.registry import query
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.scored(spark, sf_dir).withColumn("correct", is_correct(F.col("p"), F.col("y")))
+def _scored(spark: SparkSession, sf_dir: str, grp: bool = False) -> DataFrame:
+    return X.scored(spark, sf_dir, grp).withColumn("correct", is_correct(F.col("p"), F.col("y")))
 
 
 def _ratio(num: str, den: str) -> str:
@@ -54,7 +54,7 @@ SELECT grp, total, correct_total, real_total, real_correct, fake_total, fake_cor
        {rounded('real_acc')} AS real_acc, {rounded('fake_acc')} AS fake_acc, {rounded('overall_acc')} AS overall_acc
 FROM (SELECT *, {_RATES} FROM ({_accuracy_sql('grp', 'scored', _ACC)}) a) b"""))
 def ev_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_columns(E.accuracy(_scored(spark, sf_dir), ["grp"]), "real_acc", "fake_acc", "overall_acc")
+    return round_columns(E.accuracy(_scored(spark, sf_dir, grp=True), ["grp"]), "real_acc", "fake_acc", "overall_acc")
 
 
 @query("ev_describe", with_fixtures("scored", f"""
@@ -198,7 +198,7 @@ _COUNTS = "tp, fp, tn, fn"
 
 @query("ev_confusion", with_fixtures("scored", _confusion_sql("grp, domain", "scored", "p >= 5e-1")))
 def ev_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.confusion(_scored(spark, sf_dir), ["grp", "domain"])
+    return E.confusion(_scored(spark, sf_dir, grp=True), ["grp", "domain"])
 
 
 @query("ev_prf", with_fixtures("scored", f"""
@@ -213,7 +213,7 @@ SELECT grp, {_COUNTS}, {rounded('sensitivity')} AS sensitivity, {rounded('specif
 FROM (SELECT *, {_ratio('tp', 'tp + fn')} AS sensitivity, {_ratio('tn', 'tn + fp')} AS specificity, {_PRF['f1']} AS f1
       FROM ({_confusion_sql('grp', 'scored', 'p > 5e-1')}) c) d"""))
 def ev_sens_spec_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = E.sens_spec_balanced(_scored(spark, sf_dir), ["grp"])
+    report = E.sens_spec_balanced(_scored(spark, sf_dir, grp=True), ["grp"])
     return round_columns(report, "sensitivity", "specificity", "f1", "balanced_accuracy")
 
 
@@ -266,7 +266,7 @@ def ev_avg_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ev_brier", with_fixtures("scored", f"SELECT grp, {rounded('avg((p - y) * (p - y))')} AS brier FROM scored GROUP BY grp"))
 def ev_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_columns(E.brier(_scored(spark, sf_dir), ["grp"]), "brier")
+    return round_columns(E.brier(_scored(spark, sf_dir, grp=True), ["grp"]), "brier")
 
 
 _BIN = "(SELECT count(*) FROM (SELECT unnest(range(1, 10)) AS i) e WHERE p >= CAST(i AS DOUBLE) * 1e-1)"
@@ -311,7 +311,7 @@ SELECT grp, {rounded('avg(' + _BCE.format(z='z', y=_SMOOTH) + ')')} AS smoothed_
        {rounded(f'avg(({_BCE.format(z="z", y=_SMOOTH)}) * pow(1e0 - {_PT}, 2e0) * (2.5e-1 * {_SMOOTH} + 7.5e-1 * (1e0 - {_SMOOTH})))')} AS focal
 FROM scored GROUP BY grp"""))
 def ev_smoothed_focal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_columns(E.training_losses(_scored(spark, sf_dir), ["grp"]), "smoothed_bce", "focal")
+    return round_columns(E.training_losses(_scored(spark, sf_dir, grp=True), ["grp"]), "smoothed_bce", "focal")
 
 
 _GRID = "(SELECT i, 1e-2 + CAST(i AS DOUBLE) * 1e-2 AS threshold FROM (SELECT unnest(range(99)) AS i) r)"
@@ -431,13 +431,13 @@ def ev_calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT grp, CAST(sum(tp + fp) AS BIGINT) AS n, {rounded('CAST(sum(CASE WHEN p >= 5e-1 THEN tp ELSE fp END) AS DOUBLE) / CAST(sum(tp + fp) AS DOUBLE)')} AS accuracy,
        {rounded(_AUC)} AS roc_auc FROM ({_ladder_sql('grp')}) l GROUP BY grp"""))
 def ev_by_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_columns(R.by_generator(_scored(spark, sf_dir), "grp"), "accuracy", "roc_auc")
+    return round_columns(R.by_generator(_scored(spark, sf_dir, grp=True), "grp"), "accuracy", "roc_auc")
 
 
 @query("ev_by_partition", with_fixtures("scored", f"""
-SELECT domain, grp, {_COUNTS}, {_PRF_SQL} FROM ({_confusion_sql('ROLLUP (domain, grp)', 'scored', 'p > 5e-1').replace('SELECT ROLLUP (domain, grp), ', 'SELECT domain, grp, ')}) c"""))
+SELECT domain, grp, keys_used, {_COUNTS}, {_PRF_SQL} FROM ({_confusion_sql('ROLLUP (domain, grp)', 'scored', 'p > 5e-1').replace('SELECT ROLLUP (domain, grp), ', 'SELECT domain, grp, CAST(2 - grouping(domain) - grouping(grp) AS INT) AS keys_used, ')}) c"""))
 def ev_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_columns(E.by_partition(_scored(spark, sf_dir), ["domain", "grp"]), *_PRF)
+    return round_columns(E.by_partition(_scored(spark, sf_dir, grp=True), ["domain", "grp"]), *_PRF)
 
 
 def _share(mask: str) -> str:
@@ -473,7 +473,7 @@ SELECT count(*) AS batches, {', '.join(f'{rounded(f"sum({c} * n) / sum(n)")} AS
 FROM bal"""))
 def ev_batch_vs_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each generator stands for one batch."""
-    report = E.batch_vs_pooled(_scored(spark, sf_dir), "grp")
+    report = E.batch_vs_pooled(_scored(spark, sf_dir, grp=True), "grp")
     return round_columns(report, *[f"{s}_{c}" for s in ("batch", "pooled") for c in _POOLED])
 
 

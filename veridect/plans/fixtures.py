@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridect.functions.numeric import round_half_up
-from veridect.session import spread_small_input
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,29 +125,21 @@ def with_fixtures(names: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored items: id, video_id, frame_no, grp, domain, y, z, p."""
-    items = spread_small_input(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"
-        ),
-        "l_orderkey",
-        "l_linenumber",
-    )
-    generators = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"))
-    return (
-        items.join(generators, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.expr(ROW_ID).alias("id"),
-            F.col("l_orderkey").alias("video_id"),
-            F.col("l_linenumber").alias("frame_no"),
-            "grp",
-            F.when(F.col("l_linestatus") == "F", "src").otherwise("tgt").alias("domain"),
-            F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
-            F.expr(LOGIT).alias("z"),
-        )
-        .withColumn("p", F.expr(SIGMOID_4.format(z="z")))
-    )
+def scored(spark: SparkSession, sf_dir: str, grp: bool = False) -> DataFrame:
+    """Scored items: id, video_id, frame_no, domain, y, z, p, and grp (the brand, from another table) if asked for."""
+    items = table(spark, sf_dir, "lineitem")
+    if grp:
+        brands = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"))
+        items = items.join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    return items.select(
+        F.expr(ROW_ID).alias("id"),
+        F.col("l_orderkey").alias("video_id"),
+        F.col("l_linenumber").alias("frame_no"),
+        *(["grp"] if grp else []),
+        F.when(F.col("l_linestatus") == "F", "src").otherwise("tgt").alias("domain"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
+        F.expr(LOGIT).alias("z"),
+    ).withColumn("p", F.expr(SIGMOID_4.format(z="z")))
 
 
 def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +147,7 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.explode(F.array(*[F.lit(s) for s in STRATEGIES]))
     return (
         scored(spark, sf_dir)
-        .select("id", "grp", "domain", "y", "z", named.alias("strategy"))
+        .select("id", "domain", "y", "z", named.alias("strategy"))
         .withColumn("z", F.col("z") + F.expr(STRATEGY_SHIFT))
         .withColumn("p", F.expr(SIGMOID_4.format(z="z")))
         .withColumn("correct", (F.col("y") == 1) == (F.col("p") > F.lit(0.5)))

@@ -221,19 +221,19 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN verdicts v ON d.doc_i
 def prj_attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     truth = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("y_true"))
-    manifest = spread_small_input(documents.select("doc_id", "source", "text"), "doc_id")
-    judged = attach_predictions(manifest, truth, "doc_id")
-    return D.score_documents(judged).select(
-        "doc_id", "source", round_half_up(F.col("ai_score"), 4).alias("y_pred"), "y_true"
-    )
+    scored = D.score_documents(spread_small_input(documents.select("doc_id", "source", "text"), "doc_id"))
+    # the text ends here; what the join moves is three short columns
+    manifest = scored.select("doc_id", "source", round_half_up(F.col("ai_score"), 4).alias("y_pred"))
+    return attach_predictions(manifest, truth, "doc_id").select("doc_id", "source", "y_pred", "y_true")
 
 
 def document_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents scored, judged at 0.5 and evaluated by language."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     truth = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("y"))
-    judged = D.score_documents(spread_small_input(documents.select("doc_id", "text", "lang"), "doc_id").join(truth, "doc_id"))
-    report = prf(judged.withColumn("p", F.col("ai_score")), ["lang"], threshold=0.5)
+    scored = D.score_documents(spread_small_input(documents.select("doc_id", "text", "lang"), "doc_id"))
+    judged = scored.select("doc_id", "lang", F.col("ai_score").alias("p")).join(truth, "doc_id")
+    report = prf(judged, ["lang"], threshold=0.5)
     return round_columns(report, "accuracy", "precision", "recall", "f1")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Mapping
 from typing import Any
 from urllib.parse import unquote
@@ -41,16 +40,19 @@ def read_eval_shards(spark: SparkSession, path: str, columns: tuple[str, ...] =
 
 
 def read_latest_snapshot(spark: SparkSession, root: str, key: str = "snapshot") -> DataFrame:
-    """Rows of the lexicographically last ``key=`` directory.
+    """Rows of the lexicographically last ``key=`` directory, whose name stays text.
 
-    The names come from the file listing that planning makes anyway; no other
-    directory is opened.
+    Only the names of the directories below ``root`` are listed, one per
+    snapshot, and one of them is read.
     """
-    table = spark.read.parquet(root)
-    names = {part for path in table.inputFiles() for part in re.findall(rf"/{re.escape(key)}=([^/]+)/", path)}
-    if not names:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(at) if status.isDirectory()]
+    values = [name.removeprefix(f"{key}=") for name in names if name.startswith(f"{key}=")]
+    if not values:
         raise FileNotFoundError(f"no snapshot below {root}")
-    return table.filter(F.col(key).cast("string") == unquote(max(names, key=unquote)))
+    latest = max(values, key=unquote)
+    return spark.read.parquet(f"{root.rstrip('/')}/{key}={latest}").withColumn(key, F.lit(unquote(latest)))
 
 
 def read_split_files(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType = SPLIT_SCHEMA) -> DataFrame:
@@ -101,7 +103,7 @@ def coalesce_results(df: DataFrame, result: str) -> DataFrame:
     would do; a score that is not a JSON number is not used.
     """
     fields = F.from_json(F.col(result), "map<string,string>")
-    number = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+    parsed = F.try_parse_json(F.col(result))
 
     def has(name: str) -> Column:
         return F.map_contains_key(fields, F.lit(name))
@@ -109,12 +111,18 @@ def coalesce_results(df: DataFrame, result: str) -> DataFrame:
     def get(name: str) -> Column:
         return F.try_element_at(fields, F.lit(name))
 
+    def number(name: str) -> Column:
+        """The field if it is written as a number: quotes make it text, whatever it holds."""
+        value = F.try_variant_get(parsed, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(parsed, f"$.{name}", "double"))
+
     label = F.when(has("prediction"), get("prediction")).when(has("label"), get("label")).otherwise("UNKNOWN")
-    score_field = F.when(has("prob_fake"), "prob_fake").when(has("fake_probability"), "fake_probability").otherwise("score")
-    text = F.try_element_at(fields, score_field)
-    quoted = F.col(result).rlike(r'"(prob_fake|fake_probability|score)"\s*:\s*"')
-    raw = F.when(text.rlike(number) & ~quoted, text.try_cast("double"))
-    return df.withColumns({"prediction": label, "prob_fake": raw})
+    score = (
+        F.when(has("prob_fake"), number("prob_fake"))
+        .when(has("fake_probability"), number("fake_probability"))
+        .otherwise(number("score"))
+    )
+    return df.withColumns({"prediction": label, "prob_fake": score})
 
 
 def load_config(path: str) -> dict[str, Any]:
