@@ -14,6 +14,11 @@ from veridect.operators.ordered import row_positions
 # Frame limit, modality weights, confidence gate, verdict labels.
 MAX_FRAMES = 10
 MODALITY_WEIGHTS = {"image": 0.5, "audio": 0.3, "text": 0.2}
+MODALITY_ERRORS = {
+    "image": "No frames extracted",
+    "audio": "Audio extraction failed",
+    "text": "No speech detected in audio",
+}
 CONFIDENCE_GATE, GATED_OUT_SCORE = 0.8, 0.5
 FUSED_FAKE, FUSED_REAL, FUSED_UNKNOWN = "FAKE / AI-GENERATED", "REAL / HUMAN", "UNKNOWN"
 
@@ -38,6 +43,8 @@ def frames_mean(frames: DataFrame, video: str, order: Sequence[str], p: str = "p
         F.col("frame"),
         F.when(F.col(p) > F.lit(0.5), "FAKE").otherwise("REAL").alias("label"),
         F.col("_p4").alias("fake_prob"),
+        round_half_up(F.lit(1.0) - F.col(p), 4).alias("real_prob"),
+        round_half_up(F.greatest(F.col(p), F.lit(1.0) - F.col(p)), 4).alias("confidence"),
     )
     return (
         rounded.groupBy(video)
@@ -99,7 +106,7 @@ def gate_text(df: DataFrame, audio: str = "audio", text: str = "text", transcrip
     blank = (F.coalesce(trim_space(F.col(transcript)), F.lit("")) == "") if transcript else F.col(text).isNull()
     return df.withColumn(
         "text_error",
-        F.when(audio_missing, "Audio extraction failed").when(blank, "No speech detected in audio"),
+        F.when(audio_missing, MODALITY_ERRORS["audio"]).when(blank, MODALITY_ERRORS["text"]),
     ).withColumn(text, F.when(F.col("text_error").isNull(), F.col(text)))
 
 
@@ -124,6 +131,19 @@ def fuse_weighted(df: DataFrame, weights: Mapping[str, float] = MODALITY_WEIGHTS
     return fused.withColumns({"final_label": label, "fused_score": round_half_up(F.col("_fused"), 4)}).drop("_fused")
 
 
+def nested_modalities(df: DataFrame, errors: Mapping[str, str] = MODALITY_ERRORS) -> DataFrame:
+    """Adds ``modalities``: per modality its score, or why there is none.
+
+    A column ``<modality>_error`` takes precedence over the general reason.
+    """
+    parts = []
+    for name, reason in errors.items():
+        known = F.col(f"{name}_error") if f"{name}_error" in df.columns else F.lit(None).cast("string")
+        error = F.when(F.col(name).isNull(), F.coalesce(known, F.lit(reason)))
+        parts.append(F.struct(F.col(name).alias("score"), error.alias("error")).alias(name))
+    return df.withColumn("modalities", F.struct(*parts))
+
+
 def join_modalities(videos: DataFrame, video: str, modalities: Mapping[str, DataFrame]) -> DataFrame:
     """One row per video with a score column per modality; absent ones are NULL.
 

@@ -389,7 +389,8 @@ def arr_sample_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embedding(spark, sf_dir).select("vec_id", joined_items(A.sample_standardize(F.col("v"))).alias("v"))
 
 
-_PIXELS = "list_transform(v[1:63], lambda x: floor((x + 1e0) * 1e2))"
+# 64 values and two zeros that complete the last pixel
+_PIXELS = "list_concat(list_transform(v, lambda x: floor((x + 1e0) * 1e2)), [0e0, 0e0])"
 
 
 @query("arr_channel_normalize", with_fixtures("vectors", f"""
@@ -397,10 +398,11 @@ WITH px AS (SELECT vec_id, {_PIXELS} AS a FROM vectors)
 SELECT vec_id,
   {joined_items_sql("list_transform(a, lambda x, i: (x / 2.55e2 - ([4.85e-1, 4.56e-1, 4.06e-1])[(i - 1) % 3 + 1]) / ([2.29e-1, 2.24e-1, 2.25e-1])[(i - 1) % 3 + 1])")} AS normalized,
   {joined_items_sql('list_transform(a, lambda x: x / 2.55e2)')} AS scaled,
-  {joined_items_sql('list_transform(range(63), lambda j: a[j - j % 3 + 2 - j % 3 + 1])')} AS swapped FROM px"""))
+  {joined_items_sql('list_transform(range(66), lambda j: a[j - j % 3 + 2 - j % 3 + 1])')} AS swapped FROM px"""))
 def arr_channel_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = _embedding(spark, sf_dir).select(
-        "vec_id", F.transform(F.slice("v", 1, 63), lambda x: F.floor((x + F.lit(1.0)) * F.lit(100.0)).cast("double")).alias("a")
+        "vec_id",
+        A.fix_length(F.transform("v", lambda x: F.floor((x + F.lit(1.0)) * F.lit(100.0)).cast("double")), 66).alias("a"),
     )
     a = F.col("a")
     return pixels.select(

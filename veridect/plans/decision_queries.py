@@ -145,14 +145,18 @@ _ORDER = ("frame_no", "id")
 @query("fus_frames_mean", with_fixtures("scored", f"""
 SELECT video_id, CASE WHEN m > 5e-1 THEN 'FAKE' ELSE 'REAL' END AS label, {rounded('m', 4)} AS fake_prob, frames_analyzed, per_frame
 FROM (SELECT video_id, CAST(sum(CAST(p AS DECIMAL(5,4))) AS DOUBLE) / count(*) AS m, count(*) AS frames_analyzed,
-             string_agg(rn || ':' || CASE WHEN p > 5e-1 THEN 'FAKE' ELSE 'REAL' END || ':' || CAST(CAST(floor(p * 1e4 + 5e-1) AS BIGINT) AS VARCHAR), ',' ORDER BY rn) AS per_frame
+             string_agg(rn || ':' || CASE WHEN p > 5e-1 THEN 'FAKE' ELSE 'REAL' END || ':' || CAST(CAST(floor(p * 1e4 + 5e-1) AS BIGINT) AS VARCHAR)
+               || ':' || CAST(CAST(floor((1e0 - p) * 1e4 + 5e-1) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(greatest(p, 1e0 - p) * 1e4 + 5e-1) AS BIGINT) AS VARCHAR), ',' ORDER BY rn) AS per_frame
       FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_no, id) AS rn FROM scored) f WHERE rn <= 10 GROUP BY video_id) g"""))
 def fus_frames_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = U.frames_mean(_frames(spark, sf_dir), "video_id", _ORDER)
     line = F.transform(
         "per_frame",
         lambda f: F.concat_ws(
-            ":", f["frame"].cast("string"), f["label"], F.floor(f["fake_prob"] * F.lit(10000.0) + F.lit(0.5)).cast("string")
+            ":",
+            f["frame"].cast("string"),
+            f["label"],
+            *[F.floor(f[c] * F.lit(10000.0) + F.lit(0.5)).cast("string") for c in ("fake_prob", "real_prob", "confidence")],
         ),
     )
     return result.withColumn("per_frame", F.array_join(line, ","))
@@ -183,10 +187,15 @@ _MASS = "CASE WHEN image IS NULL THEN 0e0 ELSE 5e-1 END + CASE WHEN audio IS NUL
 
 
 @query("fus_weighted", with_fixtures("modalities", f"""
-SELECT video_id, CASE WHEN s IS NULL THEN 'UNKNOWN' WHEN s > 5e-1 THEN 'FAKE / AI-GENERATED' ELSE 'REAL / HUMAN' END AS final_label, {rounded('s', 4)} AS fused_score
-FROM (SELECT video_id, ({_WSUM}) / nullif({_MASS}, 0e0) AS s FROM modalities) f"""))
+SELECT video_id, CASE WHEN s IS NULL THEN 'UNKNOWN' WHEN s > 5e-1 THEN 'FAKE / AI-GENERATED' ELSE 'REAL / HUMAN' END AS final_label, {rounded('s', 4)} AS fused_score,
+       image, CASE WHEN image IS NULL THEN 'No frames extracted' END AS image_error, audio, CASE WHEN audio IS NULL THEN 'Audio extraction failed' END AS audio_error,
+       text, CASE WHEN text IS NOT NULL THEN NULL WHEN audio IS NULL THEN 'Audio extraction failed' ELSE 'No speech detected in audio' END AS text_error
+FROM (SELECT *, ({_WSUM}) / nullif({_MASS}, 0e0) AS s FROM modalities) f"""))
 def fus_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.fuse_weighted(_modalities(spark, sf_dir)).select("video_id", "final_label", "fused_score")
+    """The verdict with its nested modalities, flattened for comparison."""
+    fused = U.nested_modalities(U.fuse_weighted(_modalities(spark, sf_dir)))
+    parts = [F.col(f"modalities.{m}.{part}").alias(m if part == "score" else f"{m}_error") for m in U.MODALITY_ERRORS for part in ("score", "error")]
+    return fused.select("video_id", "final_label", "fused_score", *parts)
 
 
 @query("fus_text_gated", with_fixtures("modalities", """

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,44 +22,68 @@ _PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 _JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
 
 
-def _header(data: bytes | None) -> tuple[str | None, str | None, int | None, int | None]:
-    """Format, colour mode and size from the header; all None if unreadable."""
+def _jpeg_header(data: bytes | None) -> tuple[str | None, str | None, int | None, int | None]:
+    """Format, colour mode and size from the first frame header; all None if there is none."""
     nothing = (None, None, None, None)
-    if not data:
-        return nothing
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 26 and data[12:16] == b"IHDR":
-        width, height, depth, kind = struct.unpack(">IIBB", data[16:26])
-        mode = {1: "1", 16: "I;16"}.get(depth, "L") if kind == 0 else _PNG_MODES.get(kind)
-        return "PNG", mode, width, height
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 < len(data):
-            if data[at] != 0xFF:
-                return nothing
-            marker = data[at + 1]
-            if marker == 0xFF:
-                at += 1
-            elif marker == 0x01 or 0xD0 <= marker <= 0xD8:
-                at += 2
-            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                height, width, parts = struct.unpack(">HHB", data[at + 5 : at + 10])
-                return "JPEG", _JPEG_MODES.get(parts), width, height
-            else:
-                at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    at = 2
+    while data and at + 9 < len(data):
+        if data[at] != 0xFF:
+            return nothing
+        marker = data[at + 1]
+        if marker == 0xFF:
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD8:
+            at += 2
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width, parts = struct.unpack(">HHB", data[at + 5 : at + 10])
+            return "JPEG", _JPEG_MODES.get(parts), width, height
+        else:
+            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
     return nothing
 
 
 @F.pandas_udf(METADATA_TYPE)
-def image_header(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def jpeg_header(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in contents:
-        yield pd.DataFrame([_header(c) for c in batch], columns=["format", "mode", "width", "height"]).astype(
+        yield pd.DataFrame([_jpeg_header(c) for c in batch], columns=["format", "mode", "width", "height"]).astype(
             {"width": "Int32", "height": "Int32"}
         )
 
 
+def _png_header(content: Column) -> Column:
+    """The fields stand at fixed places of a PNG."""
+
+    def number(first: int, size: int) -> Column:
+        return F.conv(F.hex(F.substring(content, first, size)), 16, 10).cast("bigint")
+
+    depth, kind = number(25, 1), number(26, 1)
+    grey = F.when(depth == 1, "1").when(depth == 16, "I;16").otherwise("L")
+    mode = F.when(kind == 0, grey)
+    for code, name in _PNG_MODES.items():
+        if code:
+            mode = mode.when(kind == code, name)
+    return F.struct(
+        F.lit("PNG").alias("format"),
+        mode.alias("mode"),
+        number(17, 4).try_cast("int").alias("width"),
+        number(21, 4).try_cast("int").alias("height"),
+    )
+
+
 def image_metadata(df: DataFrame, content: str = "content") -> DataFrame:
-    """Adds format, mode, width and height; unreadable images get ``valid = false``."""
-    read = df.withColumn("_meta", image_header(F.col(content)))
+    """Adds format, mode, width and height; unreadable images get ``valid = false``.
+
+    PNG headers are read by column expressions. Only JPEG files, whose header
+    has no fixed place, go to Python.
+    """
+    data = F.col(content)
+    is_png = (
+        (F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A")
+        & (F.hex(F.substring(data, 13, 4)) == "49484452")
+        & (F.octet_length(data) >= 26)
+    )
+    is_jpeg = F.hex(F.substring(data, 1, 2)) == "FFD8"
+    read = df.withColumn("_meta", F.when(is_png, _png_header(data)).otherwise(jpeg_header(F.when(is_jpeg, data))))
     return read.select(*[c for c in df.columns if c != content], "_meta.*").withColumn("valid", F.col("format").isNotNull())
 
 
