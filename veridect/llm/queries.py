@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridect.llm import oracles
 from veridect.llm.decontamination import contaminated
 from veridect.llm.frames import documents
 from veridect.llm.licenses import scan_licenses
@@ -20,7 +21,11 @@ from veridect.llm.token_files import token_file_digest
 from veridect.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": oracles.QUALITY,
+    "op7_line_templates": oracles.LINES,
+    "op9_license_scan": oracles.LICENSES,
+}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,7 +40,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_lines(documents(spark, sf_dir)).drop("clean_text")
+    judged = clean_lines(documents(spark, sf_dir)).drop("clean_text")
+    return judged.withColumn("lost_percent", F.floor(F.col("lost_percent") * 1e6 + 0.5) / 1e6)
 
 
 @query
