@@ -113,52 +113,57 @@ def metric_rows(scored: DataFrame, thresholds: Mapping[str, float], y: str = "y"
     distinct scores, so the rows are scanned once for all thresholds.
     """
     ladder = score_ladder(scored, (), y, p).withColumn("_bin", unit_bin(F.col(p), 10))
-    rows = [_metric_row(ladder, threshold, name, p) for name, threshold in thresholds.items()]
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
-
-
-def _metric_row(ladder: DataFrame, threshold: float, name: str, p: str) -> DataFrame:
-    hit, n = F.col(p) >= F.lit(threshold), F.col("tp") + F.col("fp")
-    by_bin = ladder.groupBy("_bin").agg(
-        F.sum(F.when(hit, F.col("tp")).otherwise(0)).alias("_tp"),
-        F.sum(F.when(hit, F.col("fp")).otherwise(0)).alias("_fp"),
-        F.sum(F.when(hit, 0).otherwise(F.col("fp"))).alias("_tn"),
-        F.sum(F.when(hit, 0).otherwise(F.col("tp"))).alias("_fn"),
-        F.sum(F.col("fp") * (F.col("cum_tp").cast("double") - F.col("tp") / F.lit(2.0))).alias("_area"),
-        F.sum(F.coalesce(F.col("tp") / F.nullif(F.col("tot_tp"), F.lit(0)), F.lit(0.0)) * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("_ap"),
-        F.sum(F.col("tp") * (F.col(p) - 1.0) * (F.col(p) - 1.0) + F.col("fp") * F.col(p) * F.col(p)).alias("_brier"),
-        F.abs(F.sum(F.col("tp") - n * F.col(p))).alias("_gap"),
-    )
-    total = by_bin.agg(
-        *[F.sum(f"_{c}").alias(c) for c in ("tp", "fp", "tn", "fn")],
-        F.sum("_area").alias("_area"),
-        F.sum("_ap").alias("avg_precision"),
-        F.sum("_brier").alias("_brier"),
-        F.sum("_gap").alias("_gap"),
-    )
+    n = F.col("tp") + F.col("fp")
+    common = {
+        "_area": F.sum(F.col("fp") * (F.col("cum_tp").cast("double") - F.col("tp") / F.lit(2.0))),
+        "_ap": F.sum(
+            F.coalesce(F.col("tp") / F.nullif(F.col("tot_tp"), F.lit(0)), F.lit(0.0)) * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
+        ),
+        "_brier": F.sum(F.col("tp") * (F.col(p) - 1.0) * (F.col(p) - 1.0) + F.col("fp") * F.col(p) * F.col(p)),
+        "_gap": F.abs(F.sum(F.col("tp") - n * F.col(p))),
+    }
+    counts = {}
+    for i, threshold in enumerate(thresholds.values()):
+        hit = F.col(p) >= F.lit(threshold)
+        counts[f"_tp{i}"] = F.sum(F.when(hit, F.col("tp")).otherwise(0))
+        counts[f"_fp{i}"] = F.sum(F.when(hit, F.col("fp")).otherwise(0))
+        counts[f"_tn{i}"] = F.sum(F.when(hit, 0).otherwise(F.col("fp")))
+        counts[f"_fn{i}"] = F.sum(F.when(hit, 0).otherwise(F.col("tp")))
+    by_bin = ladder.groupBy("_bin").agg(*[c.alias(k) for k, c in {**common, **counts}.items()])
+    total = by_bin.agg(*[F.sum(k).alias(k) for k in (*common, *counts)])
+    variants = [
+        F.struct(
+            F.lit(name).alias("variant"),
+            F.lit(float(threshold)).alias("threshold"),
+            *[F.col(f"_{c}{i}").alias(c) for c in ("tp", "fp", "tn", "fn")],
+            *[F.col(c) for c in common],
+        )
+        for i, (name, threshold) in enumerate(thresholds.items())
+    ]
     rows = (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).cast("double")
     positives = (F.col("tp") + F.col("fn")).cast("double")
     negatives = (F.col("fp") + F.col("tn")).cast("double")
-    return total.withColumns(prf_columns()).select(
-        F.lit(name).alias("variant"),
-        "accuracy",
-        "precision",
-        "recall",
-        "f1",
-        (F.col("_area") / F.nullif(positives * negatives, F.lit(0.0))).alias("roc_auc"),
-        "avg_precision",
-        (F.col("_brier") / F.nullif(rows, F.lit(0.0))).alias("brier"),
-        (F.col("_gap") / F.nullif(rows, F.lit(0.0))).alias("ece10"),
-        F.lit(float(threshold)).alias("threshold"),
+    return (
+        total.select(F.inline(F.array(*variants)))
+        .withColumns(prf_columns())
+        .select(
+            "variant",
+            "accuracy",
+            "precision",
+            "recall",
+            "f1",
+            (F.col("_area") / F.nullif(positives * negatives, F.lit(0.0))).alias("roc_auc"),
+            F.col("_ap").alias("avg_precision"),
+            (F.col("_brier") / F.nullif(rows, F.lit(0.0))).alias("brier"),
+            (F.col("_gap") / F.nullif(rows, F.lit(0.0))).alias("ece10"),
+            "threshold",
+        )
     )
 
 
 @dataclass(frozen=True)
 class CalibrationReport:
-    metrics: DataFrame
+    metrics: DataFrame | None
     fit: TemperatureFit
     threshold_raw: float
     threshold_calibrated: float
@@ -167,9 +172,9 @@ class CalibrationReport:
 
 
 def calibration_report(
-    df: DataFrame, id_col: str = "id", y: str = "y", z: str = "z", val_ratio: float = 0.2, seed: int = 42
+    df: DataFrame, id_col: str = "id", y: str = "y", z: str = "z", val_ratio: float = 0.2, seed: int = 42, test_metrics: bool = True
 ) -> CalibrationReport:
-    """Temperature and thresholds fitted on validation, reported on test."""
+    """Temperature and thresholds fitted on validation, reported on test if asked for."""
     halves = stratified_split(df.select(id_col, y, z), y, id_col, val_ratio, seed).withColumn("p", sigmoid(F.col(z)))
     halves = halves.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -178,9 +183,11 @@ def calibration_report(
         rescaled = calibrated(F.col(z), fit.temperature)
         raw = best_f1(val, (), y).first().threshold
         tuned = best_f1(val.withColumn("p", rescaled), (), y).first().threshold
-        metrics = metric_rows(test, {"baseline_t05": 0.5, "threshold_only": raw}, y).unionByName(
-            metric_rows(test.withColumn("p", rescaled), {"threshold_plus_calibration": tuned}, y)
-        )
+        metrics = None
+        if test_metrics:
+            metrics = metric_rows(test, {"baseline_t05": 0.5, "threshold_only": raw}, y).unionByName(
+                metric_rows(test.withColumn("p", rescaled), {"threshold_plus_calibration": tuned}, y)
+            )
     finally:
         halves.unpersist()
     return CalibrationReport(metrics, fit, raw, tuned, val_ratio, seed)

@@ -18,6 +18,7 @@ from veridect.operators import sampling as S
 from veridect.operators.scoring import LinearScorer, batch_summary, score_batches
 from veridect.plans import fixtures as X
 from veridect.plans.dataset_queries import _SUMMARY_SQL, SEED, split_rows
+from veridect.plans.evaluation_queries import CALIBRATION_CTES, CALIBRATION_FIT, CALIBRATION_VARIANTS, METRICS
 from veridect.plans.fixtures import round_columns, rounded, table, with_fixtures
 from veridect.plans import text_queries  # noqa: F401  (registers the oracle reused here)
 from veridect.plans.registry import ORACLES, query
@@ -284,20 +285,28 @@ def sink_run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/summary")
 
 
-@query("sink_decision_config")
+@query("sink_decision_config", with_fixtures("scored", f"""{CALIBRATION_CTES}
+SELECT 'local/linear' AS model_repo, 'sigmoid(logit/temperature) >= threshold' AS decision_type, temperature, threshold_calibrated AS threshold,
+       2e-1 AS val_ratio, 42 AS seed FROM ({CALIBRATION_FIT}) f"""))
 def sink_decision_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration as written and read back, flattened and rounded for comparison."""
     root = scratch_path(spark, "config")
-    report = C.calibration_report(X.scored(spark, sf_dir))
+    report = C.calibration_report(X.scored(spark, sf_dir), test_metrics=False)
     writers.write_json(writers.decision_config_frame(spark, report, "local/linear"), root)
     schema = (
         "model_repo string, decision_type string, temperature double, threshold double,"
         " fit_split struct<val_ratio: double, seed: int>"
     )
-    return spark.read.schema(schema).json(root)
+    written = spark.read.schema(schema).json(root).select("model_repo", "decision_type", "temperature", "threshold", "fit_split.*")
+    return round_columns(round_columns(written, "temperature", digits=4), "threshold")
 
 
-@query("sink_report")
+@query("sink_report", with_fixtures("scored", f"""{CALIBRATION_CTES}
+SELECT v.*, n_samples, n_val, n_samples - n_val AS n_test, temperature, threshold_raw, threshold_calibrated
+FROM ({CALIBRATION_VARIANTS}) v, ({CALIBRATION_FIT}) f,
+     (SELECT CAST(sum(c) AS BIGINT) AS n_samples FROM classes) s, (SELECT CAST(sum(quota) AS BIGINT) AS n_val FROM quotas) q"""))
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as written and read back: one row per set of test metrics, rounded for comparison."""
     root = scratch_path(spark, "report")
     rows = X.scored(spark, sf_dir)
     sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("available"))
@@ -308,7 +317,13 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     frame = writers.report_frame(C.calibration_report(rows), "local/linear", sf_dir, counts)
     writers.write_json(frame, root)
-    return spark.read.schema(frame.schema).json(root)
+    written = spark.read.schema(frame.schema).json(root)
+    names = [c.removeprefix("test_metrics_") for c in written.columns if c.startswith("test_metrics_")]
+    sets = F.array(*[F.struct(F.lit(n).alias("variant"), F.col(f"test_metrics_{n}").alias("m")) for n in names])
+    whole = [F.col(c).cast("long").alias(c) for c in ("n_samples", "n_val", "n_test")]
+    fitted = ["temperature", "threshold_raw", "threshold_calibrated"]
+    flat = written.select(*whole, *fitted, F.inline(sets)).select("variant", "m.*", "n_samples", "n_val", "n_test", *fitted)
+    return round_columns(round_columns(flat, "temperature", digits=4), *METRICS, "threshold_raw", "threshold_calibrated")
 
 
 # ---- streams ---------------------------------------------------------------

@@ -411,20 +411,24 @@ def _best_threshold_sql(source: str) -> str:
     return f"(SELECT threshold FROM (SELECT *, {_PRF['f1']} AS f1 FROM ({_sweep_sql('', source)}) s) t ORDER BY f1 DESC, step LIMIT 1)"
 
 
-_METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "avg_precision", "brier", "ece10", "threshold")
+METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "avg_precision", "brier", "ece10", "threshold")
 
 
-@query("ev_calibration_report", with_fixtures("scored", f"""
-WITH RECURSIVE {_CLASS_SPLIT},
+CALIBRATION_CTES = f"""WITH RECURSIVE {_CLASS_SPLIT},
 val AS MATERIALIZED (SELECT * FROM halves WHERE split = 'val'), test AS MATERIALIZED (SELECT * FROM halves WHERE split = 'test'),
 {_newton_sql('val')},
 val_cal AS MATERIALIZED (SELECT y, 1e0 / (1e0 + exp(-(z * b))) AS p FROM val, fit),
-test_cal AS MATERIALIZED (SELECT y, 1e0 / (1e0 + exp(-(z * b))) AS p FROM test, fit)
-{_variant_sql('baseline_t05', 'test', '5e-1')} UNION ALL
+test_cal AS MATERIALIZED (SELECT y, 1e0 / (1e0 + exp(-(z * b))) AS p FROM test, fit)"""
+CALIBRATION_VARIANTS = f"""{_variant_sql('baseline_t05', 'test', '5e-1')} UNION ALL
 {_variant_sql('threshold_only', 'test', _best_threshold_sql('val'))} UNION ALL
-{_variant_sql('threshold_plus_calibration', 'test_cal', _best_threshold_sql('val_cal'))}"""))
+{_variant_sql('threshold_plus_calibration', 'test_cal', _best_threshold_sql('val_cal'))}"""
+CALIBRATION_FIT = f"""SELECT {rounded('1e0 / b', 4)} AS temperature, {rounded(_best_threshold_sql('val'))} AS threshold_raw,
+       {rounded(_best_threshold_sql('val_cal'))} AS threshold_calibrated FROM fit"""
+
+
+@query("ev_calibration_report", with_fixtures("scored", f"{CALIBRATION_CTES}\n{CALIBRATION_VARIANTS}"))
 def ev_calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_columns(C.calibration_report(X.scored(spark, sf_dir)).metrics, *_METRICS)
+    return round_columns(C.calibration_report(X.scored(spark, sf_dir)).metrics, *METRICS)
 
 
 @query("ev_by_generator", with_fixtures("scored", f"""

@@ -67,6 +67,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_run_snapshot(df: DataFrame, path: str, split: str, target: str, platform: str) -> None:
-    """Resolved rows by split, and their summary next to them."""
+    """Resolved rows by split, and the summary of what was written next to them."""
     df.write.mode("overwrite").partitionBy(split).parquet(f"{path}/frames")
-    split_summary(df, split, target, platform).write.mode("overwrite").parquet(f"{path}/summary")
+    # the schema is given: a split's name is text, whatever it looks like
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/frames")
+    split_summary(written, split, target, platform).write.mode("overwrite").parquet(f"{path}/summary")
