@@ -93,6 +93,29 @@ def feature_cards(df: DataFrame) -> DataFrame:
     )
 
 
+def backend_feature_cards(df: DataFrame) -> DataFrame:
+    """The three cards of a document judged by the service (see :func:`document_verdict`), and its cue."""
+    probability, scores = F.col("ai_probability"), F.col("sentence_probabilities")
+    flagged = F.size(F.filter(scores, lambda p: p >= F.lit(T.SUSPICIOUS_SCORE)))
+    return df.withColumns(
+        {
+            "probability_percent": T.percent(probability),
+            "probability_detail": F.when(probability > F.lit(0.55), "Document skews AI-generated").otherwise(
+                "Document skews human-written"
+            ),
+            "ratio_percent": T.percent(F.col("ai_sentence_ratio")),
+            "ratio_detail": F.concat(
+                flagged.cast("string"), F.lit(" of "), F.size(scores).cast("string"), F.lit(" sentences flagged AI-likely")
+            ),
+            "model": F.lit("CSPF-Net"),
+            "model_detail": F.lit("Context-aware sentence probability fusion"),
+            "service_cue": F.when(probability > F.lit(0.7), "High AI probability across document")
+            .when(probability < F.lit(0.3), "Strong human writing patterns")
+            .otherwise("CSPF-Net probabilistic analysis"),
+        }
+    )
+
+
 def document_verdict(
     df: DataFrame, probability: Column, sentence_probabilities: Column, threshold: float = 0.5
 ) -> DataFrame:

@@ -173,6 +173,21 @@ def txt_feature_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("txt_backend_cards", _CTE + f"""
+SELECT doc_id, CAST(floor(ap * 1e2 + 5e-1) AS INT) AS probability_percent,
+       CASE WHEN ap > 5.5e-1 THEN 'Document skews AI-generated' ELSE 'Document skews human-written' END AS probability_detail,
+       CAST(floor(ratio * 1e2 + 5e-1) AS INT) AS ratio_percent, k || ' of ' || n || ' sentences flagged AI-likely' AS ratio_detail, 'CSPF-Net' AS model,
+       CASE WHEN ap > 7e-1 THEN 'High AI probability across document' WHEN ap < 3e-1 THEN 'Strong human writing patterns' ELSE 'CSPF-Net probabilistic analysis' END AS service_cue
+FROM (SELECT doc_id, {rounded('ai_score', 4)} AS ap, len(sentence_scores) AS n,
+             len(list_filter(sentence_scores, lambda s: floor(s * 1e4 + 5e-1) / 1e4 >= 5.8e-1)) AS k,
+             {rounded("CASE WHEN len(sentence_scores) = 0 THEN 0e0 ELSE CAST(len(list_filter(sentence_scores, lambda s: s >= 5e-1)) AS DOUBLE) / len(sentence_scores) END", 4)} AS ratio
+      FROM analyzed) c""")
+def txt_backend_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analyzed = D.analyze_documents(_documents(spark, sf_dir))
+    cards = D.backend_feature_cards(D.document_verdict(analyzed, F.col("ai_score"), F.col("sentence_scores")))
+    return cards.select("doc_id", "probability_percent", "probability_detail", "ratio_percent", "ratio_detail", "model", "service_cue")
+
+
 @query("txt_doc_sentence_verdict", _CTE + f"""
 SELECT doc_id, CASE WHEN ai_score >= 5e-1 THEN 'AI' ELSE 'HUMAN' END AS label, {rounded('ai_score', 4)} AS ai_probability,
        {rounded("CASE WHEN len(sentence_scores) = 0 THEN 0e0 ELSE CAST(len(list_filter(sentence_scores, lambda s: s >= 5e-1)) AS DOUBLE) / len(sentence_scores) END", 4)}
