@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from veridect.llm import hashing
 from veridect.llm.frames import small_batches, stored
 
+# Words of a passage, and from one document passage to the next.
 PASSAGE, STRIDE = 32, 8
 #: Words of a document passage and step between an item's windows, for items of a passage or more and for shorter ones.
 SCALES = ((PASSAGE, 8), (PASSAGE // 2, 4))
@@ -39,17 +40,22 @@ def _texts(batch: pa.RecordBatch, column: str = "t") -> list[bytes | None]:
     return [None if t is None else t.encode() for t in batch.column(column).to_pylist()]
 
 
+BATCH_BYTES = 1 << 18  # small enough for the working arrays to stay in the processor's cache
+
+
 def _frequencies(docs: DataFrame, dimension: int) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and their number; one row per term reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dimension + 1, dtype=np.int64)
-        for batch in small_batches(batches, "t", 4 << 20):
+        for batch in small_batches(batches, "t", BATCH_BYTES):
             owner, word = hashing.words(_texts(batch))
-            term = (word % np.uint64(dimension)).astype(np.int64)
-            seen = np.unique(owner * dimension + term) % dimension
-            total[:dimension] += np.bincount(seen, minlength=dimension)
             total[dimension] += batch.num_rows
+            for start in range(0, batch.num_rows, 512):  # a flag per document and term
+                mine = slice(*np.searchsorted(owner, (start, start + 512)))
+                seen = np.zeros((512, dimension), dtype=bool)
+                seen[owner[mine] - start, word[mine] % np.uint64(dimension)] = True
+                total[:dimension] += seen.sum(axis=0)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
 
@@ -60,46 +66,61 @@ def _frequencies(docs: DataFrame, dimension: int) -> tuple[np.ndarray, int]:
     return total[:dimension], int(total[dimension])
 
 
-def _block_sums(matrix: np.ndarray, term: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sum of the terms' rows over consecutive runs that begin at ``start``."""
-    return np.add.reduceat(matrix[term], start, axis=0) if len(start) else np.zeros((0, matrix.shape[1]), matrix.dtype)
-
-
-def _runs(owner: np.ndarray, size: int) -> np.ndarray:
-    """First word of each run of ``size`` words, runs never crossing documents."""
+def _runs(owner: np.ndarray, term: np.ndarray, size: int, empty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of consecutive runs of ``size`` words as rows, filled up with ``empty``; their document; their first word."""
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     count = np.diff(np.append(first, len(owner)))
+    runs = -(-count // size)
+    before = np.cumsum(runs) - runs
     place = np.arange(len(owner)) - np.repeat(first, count)
-    return np.flatnonzero(place % size == 0)
+    out = np.full(int(runs.sum()) * size, empty, dtype=np.int64)
+    out[place + np.repeat(before * size, count)] = term
+    within = np.arange(int(runs.sum())) - np.repeat(before, runs)
+    return out.reshape(-1, size), np.repeat(owner[first], runs), np.repeat(first, runs) + within * size
+
+
+def _sums(matrix: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Sum of the matrix rows that each row of ``terms`` names."""
+    total = matrix[terms[:, 0]]
+    for k in range(1, terms.shape[1]):
+        total += matrix[terms[:, k]]
+    return total
+
+
+def _closed(matrix: np.ndarray) -> np.ndarray:
+    """``matrix`` with a row of zeros for the empty term."""
+    return np.vstack([matrix, np.zeros((1, matrix.shape[1]), matrix.dtype)])
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, seed: int = 7) -> np.ndarray:
     """dimension x rank matrix that takes term counts to whitened latent coordinates."""
     dimension, width = len(idf), rank + extra
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, width)))[0]
-    weighted = (test * idf[:, None]).astype(np.float32)
-    weight = idf.astype(np.float32)
+    weighted = _closed((test * idf[:, None]).astype(np.float32))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dimension, width), dtype=np.float64)
-        for batch in small_batches(batches, "t", 1 << 20):
+        total = np.zeros((width, dimension + 1), dtype=np.float64)
+        weight = np.append(idf, 0.0)
+        for batch in small_batches(batches, "t", BATCH_BYTES):
             owner, word = hashing.words(_texts(batch))
             if not len(word):
                 continue
-            term = (word % np.uint64(dimension)).astype(np.int64)
-            start = _runs(owner, PASSAGE)
-            size = np.diff(np.append(start, len(term)))
-            passage = np.repeat(np.arange(len(start)), size)
-            # rows of A have unit length: terms of a run are counted by their sorted pairs
-            pair, n = np.unique(passage * dimension + term, return_counts=True)
-            norm = np.sqrt(np.bincount(pair // dimension, (n * idf[pair % dimension]) ** 2, minlength=len(start)))
-            scale = (1 / np.maximum(norm, 1e-9)).astype(np.float32)
-            product = _block_sums(weighted, term, start) * (scale * scale)[:, None]
-            order = np.argsort(term, kind="stable")
-            bounds = np.flatnonzero(np.diff(term[order], prepend=-1))
-            total[term[order[bounds]]] += _block_sums(product, passage[order], bounds) * weight[term[order[bounds]], None]
-        held = np.flatnonzero(total.any(axis=1))
-        columns = [pa.array(held), *(pa.array(total[held, k].astype(np.float32)) for k in range(width))]
+            terms, _, _ = _runs(owner, (word % np.uint64(dimension)).astype(np.int64), PASSAGE, dimension)
+            # rows of A have unit length: equal terms of a passage are counted by their sorted order
+            ordered = np.sort(terms, axis=1).ravel()
+            new = np.ones(len(ordered), dtype=bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            new[::PASSAGE] = True
+            at = np.flatnonzero(new)
+            square = (np.diff(np.append(at, len(ordered))) * weight[ordered[at]]) ** 2
+            norm = np.bincount(at // PASSAGE, square, minlength=len(terms))
+            product = _sums(weighted, terms) / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
+            flat = terms.ravel()
+            for k in range(width):
+                total[k] += np.bincount(flat, np.repeat(product[:, k], PASSAGE), minlength=dimension + 1)
+        z = (total * weight).T[:dimension]
+        held = np.flatnonzero(z.any(axis=1))
+        columns = [pa.array(held), *(pa.array(z[held, k].astype(np.float32)) for k in range(width))]
         yield pa.RecordBatch.from_arrays(columns, names=["term", *(f"z{k}" for k in range(width))])
 
     kinds = ", ".join(f"z{k} float" for k in range(width))
@@ -139,8 +160,9 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     dimension: int = 8192,
-    rank: int = 48,
+    rank: int = 40,
     min_cosine: float = 0.45,
+    min_overlap: float = 0.35,
     copy_share: float = 0.75,
     paraphrase_share: float = 0.55,
     answer_words: int = 8,
@@ -181,8 +203,8 @@ def contaminated(
                 of[scale].append(i)
         queries = [_unit(np.array(w, dtype=np.float32).reshape(-1, space.shape[1])).T for w in windows]
         # block_items items at most
-        held = spark.sparkContext.broadcast((space, queries, [np.array(x, dtype=np.int64) for x in of], words, [r["item_id"] for r in rows]))
-        part = plain.mapInArrow(_matcher(held, min_cosine, paraphrase_share, answer_words), schema)
+        held = spark.sparkContext.broadcast((space, idf, queries, [np.array(x, dtype=np.int64) for x in of], words, [r["item_id"] for r in rows]))
+        part = plain.mapInArrow(_matcher(held, min_cosine, min_overlap, paraphrase_share, answer_words), schema)
         parts = part if parts is None else parts.union(part)
     if parts is None:
         return spark.createDataFrame([], schema + ", kind string")
@@ -197,29 +219,46 @@ def contaminated(
     )
 
 
-def _matcher(held, min_cosine: float, least_share: float, answer_words: int):
+def _matcher(held, min_cosine: float, min_overlap: float, least_share: float, answer_words: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, queries, query_item, items, names = held.value
-        dimension = np.uint64(len(space))
-        for batch in small_batches(batches, "t", 1 << 20):
+        space, idf, queries, query_item, items, names = held.value
+        dimension = len(space)
+        closed, weight = _closed(space), np.append(idf, 0.0).astype(np.float32)
+        holds = np.zeros((len(items), dimension + 1), dtype=bool)
+        for i, own in enumerate(items):
+            holds[i, np.array(own, dtype=np.uint64) % np.uint64(dimension)] = True
+        for batch in small_batches(batches, "t", BATCH_BYTES):
             owner, word = hashing.words(_texts(batch))
             if not len(word):
                 continue
-            term = (word % dimension).astype(np.int64)
-            start = _runs(owner, STRIDE)
-            block = _block_sums(space, term, start)
-            of = owner[start]
+            terms, of, start = _runs(owner, (word % np.uint64(dimension)).astype(np.int64), STRIDE, dimension)
+            block = _sums(closed, terms)
             keys, cosines = [], []
             passage, blocks = block.copy(), 1
+            # a passage's terms: those of its first block, then of the blocks behind it in the same document
+            inside = [terms]
             for (size, _), query, item in sorted(zip(SCALES, queries, query_item, strict=True), key=lambda x: x[0]):
-                for k in range(blocks, min(size // STRIDE, len(block))):
-                    passage[:-k] += block[k:] * (of[k:] == of[:-k])[:, None]
+                for k in range(blocks, size // STRIDE):
+                    same = np.zeros(len(block), dtype=bool)
+                    same[: len(block) - k] = of[k:] == of[: len(of) - k]
+                    behind = np.full_like(terms, dimension)
+                    behind[same] = terms[np.flatnonzero(same) + k]
+                    inside.append(behind)
+                    passage[same] += block[np.flatnonzero(same) + k]
                 blocks = size // STRIDE
                 score = _unit(passage) @ query
-                at, column = np.nonzero(score >= min_cosine)
-                keys.append(at * len(items) + item[column])
-                cosines.append(score[at, column])
-            pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
+                if not score.shape[1]:
+                    continue
+                near = np.flatnonzero(score.max(axis=1) >= min_cosine)
+                at, column = np.nonzero(score[near] >= min_cosine)
+                at = near[at]
+                # chance neighbours share few of the words that carry weight
+                own = np.hstack([part[at] for part in inside])
+                shared = (weight[own] * holds[item[column][:, None], own]).sum(axis=1)
+                good = shared >= min_overlap * weight[own].sum(axis=1)
+                keys.append(at[good] * len(items) + item[column[good]])
+                cosines.append(score[at[good], column[good]])
+            pairs, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
             if not len(pairs):
                 continue
             cosine = np.zeros(len(pairs), dtype=np.float32)
@@ -228,7 +267,7 @@ def _matcher(held, min_cosine: float, least_share: float, answer_words: int):
             out = []
             for pair, near in zip(pairs.tolist(), cosine.tolist(), strict=True):
                 place, i = divmod(pair, len(items))
-                doc, first, own = int(owner[start[place]]), int(start[place]), items[i]
+                doc, first, own = int(of[place]), int(start[place]), items[i]
                 region = word[max(bounds[doc], first - len(own)) : min(bounds[doc + 1], first + PASSAGE + len(own))].tolist()
                 # words in common bound the subsequence from above
                 if sum(map(set(region).__contains__, own)) < least_share * len(own):
