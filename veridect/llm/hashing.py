@@ -72,11 +72,9 @@ def shingles(owner: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray
     place = np.arange(n) - np.repeat(first, count)
     left = np.repeat(count, count) - place
     out = np.zeros(n, dtype=np.uint64)
-    factor = np.uint64(1)
     for k in range(size):
         have = left > k
         at = np.flatnonzero(have) + k
-        out[have] += word[at] * factor
-        factor *= np.uint64(BASE)
+        out[have] += word[at] * np.uint64(pow(BASE, k, 2**64))
     keep = (left >= size) | (place == 0)
     return owner[keep], mix(out[keep])
