@@ -50,44 +50,61 @@ def _selectors(width: np.ndarray) -> np.ndarray:
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """words, word offset of each block, escape places, escape values."""
-    values = np.ascontiguousarray(values, dtype=np.uint64)
+    values = np.ascontiguousarray(values)
+    places = np.flatnonzero(values >> np.uint8(60)) if values.dtype.itemsize > 4 else np.zeros(0, np.int64)
+    escaped = values[places].astype(np.uint64)
+    if len(places):
+        values = values.copy()
+        values[places] = 0
+    parts = [_segment(values[start : start + SEGMENT]) for start in range(0, len(values), SEGMENT)]
+    words = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+    per_block = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+    return words, (np.cumsum(per_block) - per_block).astype(np.uint64), places.astype(np.uint64), escaped
+
+
+#: Values coded at a time, so that the working arrays stay in the processor's cache.
+SEGMENT = 256 * BLOCK
+#: The most values in a word that has bits for them: so far may the last word of a block reach beyond it.
+REACH = 60
+
+
+def _segment(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words, words per block."""
     n = len(values)
-    places = np.flatnonzero(values >> np.uint64(60))
-    escaped = values[places]
     blocks = -(-n // BLOCK)
-    if not blocks:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), places, escaped
-    padded = np.zeros(blocks * BLOCK, dtype=np.uint64)
-    padded[:n] = values
-    padded[places] = 0
-    width = _SMALL[padded] if padded.max() < len(_SMALL) else _width(padded)
-    selector = _selectors(width.reshape(blocks, BLOCK)).ravel()
+    width = BLOCK + REACH
+    padded = np.zeros((blocks, width), dtype=values.dtype)
+    whole = n // BLOCK
+    padded[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    padded[whole:, : n - whole * BLOCK] = values[whole * BLOCK :]
+    held = padded[:, :BLOCK]
+    bits = _SMALL[held] if held.max() < len(_SMALL) else _width(held.astype(np.uint64))
+    selector = np.zeros((blocks, width), dtype=np.uint8)
+    selector[:, :BLOCK] = _selectors(bits)
+    selector, padded = selector.ravel(), padded.ravel()
     # follow the words of all blocks in step
-    first = np.arange(blocks) * BLOCK
-    end = np.minimum(first + BLOCK, n)
-    at, live, steps = first.copy(), np.arange(blocks), []
+    at = np.arange(blocks) * width
+    end = at + np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
+    live, blocks_of, starts = np.arange(blocks), [], []
     while len(live):
-        steps.append((live, at))
+        blocks_of.append(live)
+        starts.append(at)
         at = at + COUNTS[selector[at]]
         more = at < end[live]
         live, at = live[more], at[more]
-    block = np.concatenate([s[0] for s in steps])
-    start = np.concatenate([s[1] for s in steps])
-    start = start[np.argsort(block, kind="stable")]
+    start = np.sort(np.concatenate(starts))
     chosen = selector[start]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([padded, np.zeros(240, np.uint64)])
-    limit = np.repeat(end, np.bincount(block, minlength=blocks))
     for s in np.unique(chosen):
         if not BITS[s]:
             continue
         mine = np.flatnonzero(chosen == s)
-        for k in range(int(COUNTS[s])):
-            place = start[mine] + k
-            value = np.where(place < limit[mine], padded[place], np.uint64(0))
-            words[mine] |= value << np.uint64(k * int(BITS[s]))
-    per_block = np.bincount(block, minlength=blocks)
-    return words, (np.cumsum(per_block) - per_block).astype(np.uint64), places.astype(np.uint64), escaped
+        place = start[mine]
+        packed = padded[place].astype(np.uint64)
+        for k in range(1, int(COUNTS[s])):
+            packed |= padded[place + k].astype(np.uint64) << np.uint64(k * int(BITS[s]))
+        words[mine] |= packed
+    return words, np.bincount(np.concatenate(blocks_of), minlength=blocks)
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, places: np.ndarray, escaped: np.ndarray) -> np.ndarray:

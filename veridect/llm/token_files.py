@@ -73,7 +73,7 @@ def write_token_files(
     folder: str,
     tokenizer: str | None = None,
     end_id: int = 0,
-    file_tokens: int = 8_000_000,
+    file_tokens: int = 4_000_000,
     range_bytes: int = 64 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",

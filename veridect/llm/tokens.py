@@ -8,13 +8,19 @@ Texts with white space that the cut does not cover go through it whole.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
+from unicodedata import is_normalized
+
+import numpy as np
 
 # White space beyond space, tab, line feed and return, and controls that Python but not every pattern counts as such.
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 RUNS = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+BULK_WORDS = 200
+MARKS = ",.;:!?"
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,50 +30,126 @@ def tokenizer_path(name: str) -> str:
 
 
 class TextEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``spaces`` tells whether white space yields ids of its own."""
+    """Ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str):
-        import os
+    New words go through the library many at a time, as one text. Where white
+    space yields ids (byte-level vocabularies), the bytes that each id stands
+    for tell where a word ends; otherwise the ids that close a word do.
+    ``first`` holds words at the start of a text, ``rest`` words behind a space.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, needed: set[str]) -> None:
-        import numpy as np
-
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        missing = [word for word in needed if word not in self.words]
-        for start in range(0, len(missing), 50_000):
-            part = missing[start : start + 50_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(code.ids, dtype="<u4").tobytes()
-
-    def _cut(self, text: str) -> list[str]:
-        if not self.spaces:
-            return text.split()
-        if "  " in text or "\n " in text or "\t " in text or "\r " in text or text[:1] == " ":
-            return RUNS.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + word for word in rest]]
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.size[number] = len(token) if self.spaces else token.endswith("</w>")
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
+
+    def _one(self, text: str) -> bytes:
+        return self._all([text])[0]
+
+    def _all(self, texts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, words: list[str], lead: str, into: dict[str, bytes]) -> None:
+        """Ids of words that are cut off from what is before and behind them, each behind ``lead``."""
+        parts = [words[start : start + BULK_WORDS] for start in range(0, len(words), BULK_WORDS)]
+        for part, coded in zip(parts, self._all([lead + lead.join(part) for part in parts]), strict=True):
+            size = self.size[np.frombuffer(coded, "<u4")]
+            if self.spaces:
+                ends = np.cumsum(size)
+                wanted = np.cumsum([len(lead) + len(w.encode()) for w in part])
+                last = np.searchsorted(ends, wanted)
+                whole = last[-1] + 1 == len(ends) and (ends[last] == wanted).all()
+            else:
+                last = np.flatnonzero(size)
+                whole = len(last) == len(part) and last[-1] + 1 == len(size)
+            if not whole:  # not what is expected of such words: ask for each by itself
+                for word in part:
+                    into[word] = self._one((lead if self.spaces and lead == " " else "") + word)
+                continue
+            skip = 4 * (self.spaces and lead == "\n")  # the line feed's own id
+            at = 0
+            for word, end in zip(part, (4 * (last + 1)).tolist(), strict=True):
+                into[word] = coded[at + skip : end]
+                at = end
+
+    def _learn_bytes(self, needed: set[str], lead: str, known: dict[str, bytes]) -> None:
+        missing = [w for w in needed if w not in known]
+        # letters and the marks behind them never share an id
+        bare = {w: b for w in missing if (b := w.rstrip(MARKS)) != w and b.isalpha() and (b.isascii() or max(b) < "\u0250")}
+        plain = [w for w in missing if w not in bare]
+        plain += {b for b in bare.values() if b not in known}.difference(plain)
+        # a word with white space at either end, or none at all, would run into its neighbours
+        self._many([w for w in plain if w and not w[0].isspace() and not w[-1].isspace()], lead, known)
+        for word in plain:
+            if word not in known:
+                known[word] = self._one((" " if lead == " " else "") + word)
+        for mark in {w[len(b) :] for w, b in bare.items()} - self.first.keys():
+            self.first[mark] = self._one(mark)
+        for word, b in bare.items():
+            known[word] = known[b] + self.first[word[len(b) :]]
+
+    def _learn_words(self, needed: set[str]) -> None:
+        known = self.rest
+        missing = [w for w in needed if w not in known]
+        bare = {w: w.rstrip(MARKS) for w in missing}
+        letters = {b for b in bare.values() if b not in known and b.isalpha() and b.lower().isalpha() and is_normalized("NFC", b)}
+        self._many(list(letters), " ", known)
+        marks = {w[len(b) :] for w, b in bare.items()} - known.keys() - {""}
+        for mark in marks:
+            known[mark] = self._one(mark)
+        for word, b in bare.items():
+            if word not in known:
+                # letters and marks never share an id
+                known[word] = known[b] + known[word[len(b) :]] if b in letters or b in known and b.isalpha() else self._one(word)
+
+    def _simple(self, text: str) -> bool:
+        """Whether every space but the first character stands between words."""
+        return not ("  " in text or "\n " in text or "\t " in text or "\r " in text or text[:1] == " ")
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
-        cut = [None if text and UNUSUAL.search(text) else self._cut(text or "") for text in texts]
-        self._learn(set().union(*filter(None, cut)))
+        if len(self.first) + len(self.rest) > CACHE_WORDS:
+            self.first.clear()
+            self.rest.clear()
+        texts = [t or "" for t in texts]
+        usual = [not UNUSUAL.search(t) for t in texts]
+        if not self.spaces:
+            cut = [t.split() if u else [] for t, u in zip(texts, usual, strict=True)]
+            self._learn_words(set().union(*cut))
+            get = self.rest.__getitem__
+            return [b"".join(map(get, words)) if u else self._one(t) for t, u, words in zip(texts, usual, cut, strict=True)]
+        cut, first, rest = [], set(), set()
+        for t, u in zip(texts, usual, strict=True):
+            if not u:
+                cut.append(None)
+                continue
+            simple = self._simple(t)
+            words = t.split(" ") if simple else RUNS.findall(t)
+            cut.append((simple, words))
+            if simple:
+                first.add(words[0])
+                rest.update(words[1:])
+            else:
+                first.update(words)
+        self._learn_bytes(first, "\n", self.first)
+        self._learn_bytes(rest, " ", self.rest)
+        begin, get = self.first.__getitem__, self.rest.__getitem__
         out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, dtype="<u4").tobytes())
+        for t, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                out.append(self._one(t))
+            elif parts[0]:
+                out.append(begin(parts[1][0]) + b"".join(map(get, parts[1][1:])))
             else:
-                out.append(b"".join(map(self.words.__getitem__, words)))
+                out.append(b"".join(map(begin, parts[1])))
         return out
 
 
