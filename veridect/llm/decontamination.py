@@ -92,8 +92,12 @@ def _closed(matrix: np.ndarray) -> np.ndarray:
     return np.vstack([matrix, np.zeros((1, matrix.shape[1]), matrix.dtype)])
 
 
-def latent_space(docs: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, seed: int = 7) -> np.ndarray:
-    """dimension x rank matrix that takes term counts to whitened latent coordinates."""
+def latent_space(docs: DataFrame, idf: np.ndarray, rank: int, leading: int, extra: int = 8, seed: int = 7) -> np.ndarray:
+    """Matrix that takes term counts to whitened latent coordinates, without the ``leading`` ones.
+
+    The first directions tell languages and styles apart, which makes any two
+    passages of one language alike; the rest tells passages apart.
+    """
     dimension, width = len(idf), rank + extra
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, width)))[0]
     weighted = _closed((test * idf[:, None]).astype(np.float32))
@@ -136,6 +140,8 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int, extra: int = 8, se
         return np.zeros((dimension, 1), dtype=np.float32)
     left, singular, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     keep = (np.arange(len(singular)) < rank) & (singular > singular[0] * 1e-6)
+    if keep.sum() > 2 * leading:
+        keep[:leading] = False
     return (left[:, keep] / singular[keep] * idf[:, None]).astype(np.float32)
 
 
@@ -160,7 +166,8 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     dimension: int = 8192,
-    rank: int = 40,
+    rank: int = 56,
+    leading: int = 6,
     min_cosine: float = 0.45,
     min_overlap: float = 0.35,
     copy_share: float = 0.75,
@@ -180,7 +187,7 @@ def contaminated(
         return spark.createDataFrame([], schema + ", kind string")
     found, n = _frequencies(plain, dimension)
     idf = np.log((n + 1) / (found + 1)) + 1e-3
-    space = latent_space(plain, idf, rank)
+    space = latent_space(plain, idf, rank, leading)
     blocks = -(-items // block_items)
     parts = None
     for number in range(blocks):
