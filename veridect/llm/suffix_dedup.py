@@ -16,9 +16,10 @@ bucket has a bounded size. Equal suffixes within a batch of texts are tied at
 once and only one of them goes to its bucket, so a passage that a third of all
 documents share is one entry per batch.
 
-Ranks of step 1 have 48 bits plus the bucket; a chance tie there only costs
-time. Ranks of step 2 have 56 bits plus the bucket: with 10**8 candidates the
-chance that any two different strings meet is below one in a hundred.
+Ranks of step 1 have 32 bits plus the bucket; a chance tie there only costs
+time, and as buckets have a bounded size, their share does not grow. Ranks of
+step 2 have 56 bits plus the bucket: with 10**8 candidates the chance that any
+two different strings meet is below one in a hundred.
 
 Defined cases: a NULL text counts as empty; nothing is removed from texts
 shorter than ``length``. Rows with equal texts are copies of each other, also
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridect.llm.frames import small_batches, stored
+from veridect.llm.frames import release, small_batches, stored
 from veridect.llm.hashing import ByteHashes
 
 # multipliers' orbits that make perfect difference sets, modulus -> (multiplier, orbit starts).
@@ -138,7 +139,7 @@ def _tied_places(texts: DataFrame, suffixes, size: int, width: int, buckets: int
     """text_key and lists of the places whose next ``size`` bytes occur at another place, among those ``suffixes`` names."""
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "t", 6 << 20):
+        for batch in small_batches(batches, "t", 2 << 20):
             keys = batch.column("text_key").to_numpy()
             once = np.sort(np.unique(keys, return_index=True)[1])
             batch, keys = batch.take(pa.array(once)), keys[once]
@@ -182,7 +183,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         return out
 
     long = plain.filter(F.octet_length("t") >= length).select("text_key", "t")
-    tied = _tied_places(long, sample, window, 6, max(2 * least, int(total * len(cover) / v * 10) // BUCKET_BYTES))
+    tied = _tied_places(long, sample, window, 4, max(2 * least, int(total * len(cover) / v * 8) // BUCKET_BYTES))
     copies = plain.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1")
     side = tied.join(copies, "text_key", "full")
     suspect = F.col("places").isNotNull()
@@ -199,6 +200,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         "suspects",
     )
 
+    # what step 1 shuffled is of no more use
+    del tied, side, copies, long
+    release(plain.sparkSession)
+
     def candidates(data: list[bytes], batch: pa.RecordBatch) -> list[np.ndarray]:
         out = []
         for d, parts in zip(data, batch.column("places").to_pylist(), strict=True):
