@@ -9,8 +9,10 @@ the exact probability Jaccard of the two texts.
 
 Texts with equal shingle counts are one node. In a candidate group, the node
 with the least key is compared with all others; groups that still hold several
-components are then compared across components, so no candidate link between
-different texts is lost while copies never expand into all pairs. Links join
+components are then compared across components, as far as two texts share
+``min_shared`` bands (at a similarity of exactly 0.8, four pairs in ten thousand
+share fewer), so links between different texts are kept while copies never
+expand into all pairs. Links join
 into classes by alternating large-star and small-star steps on distributed
 tables.
 
@@ -159,6 +161,7 @@ def near_duplicate_classes(
     similarity: float = 0.8,
     bands: int = 32,
     rows: int = 5,
+    min_shared: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -186,7 +189,15 @@ def near_duplicate_classes(
     mixed = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
     rest = held.join(mixed, "band")
     one, two = rest.selectExpr("band", "node as a", "root as ra"), rest.selectExpr("band", "node as b", "root as rb")
-    across = one.join(two, "band").filter("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # texts at the threshold share ten of 32 bands on average; unlike ones that meet by chance share one or two
+    across = (
+        one.join(two, "band")
+        .filter("ra < rb")
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .agg(F.count("*").alias("shared"))
+        .filter(F.col("shared") >= min_shared)
+        .select("a", "b")
+    )
     more = stored(_verified(across.join(stars, ["a", "b"], "left_anti"), texts, words, similarity), "links")
     links = links.union(more)
     if not more.isEmpty():
