@@ -70,3 +70,11 @@ def test_odd_rows(spark, request, name):
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(source, items).collect()} == ({(7, 3)} if name == "odd" else set())
     assert drop_contaminated(source, items.limit(0)).count() == source.count()
     assert np.isfinite([r["cosine"] for r in contaminated(source, items).collect()]).all()
+
+
+@pytest.mark.parametrize("texts", [["w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"], ["a b c", "d e f g"], ["a b c"]])
+def test_few_blocks(spark, texts):
+    source = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, texts[0]), (2, "other " * 40)], "item_id long, text string")
+    found = contaminated(source, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(0, 1, "copy")}

@@ -247,7 +247,8 @@ def _matcher(held, min_cosine: float, min_overlap: float, least_share: float, an
             for (size, _), query, item in sorted(zip(SCALES, queries, query_item, strict=True), key=lambda x: x[0]):
                 for k in range(blocks, size // STRIDE):
                     same = np.zeros(len(block), dtype=bool)
-                    same[: len(block) - k] = of[k:] == of[: len(of) - k]
+                    if k < len(block):
+                        same[:-k] = of[k:] == of[:-k]
                     behind = np.full_like(terms, dimension)
                     behind[same] = terms[np.flatnonzero(same) + k]
                     inside.append(behind)
