@@ -46,7 +46,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_recurring_lines(documents(spark, sf_dir), counts=True)
+    # ORACLES leaves paragraphs out
+    kept = drop_recurring_lines(documents(spark, sf_dir), counts=True, paragraphs=False)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
