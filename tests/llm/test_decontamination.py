@@ -78,3 +78,13 @@ def test_few_blocks(spark, texts):
     items = spark.createDataFrame([(1, texts[0]), (2, "other " * 40)], "item_id long, text string")
     found = contaminated(source, items).collect()
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(0, 1, "copy")}
+
+
+def test_rows_with_a_leaks_id_stay(spark):
+    item = " ".join(f"item{i}" for i in range(40))
+    clean = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    rows = [(None, clean[0]), (None, f"{clean[1]} {item}"), (None, clean[2]), (None, None), (5, clean[3]), (5, item), (6, clean[4])]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["text"]) for r in drop_contaminated(source, items).collect()} == {r for r in rows if item not in (r[1] or "")}
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(source, items).collect()} == {(None, 1), (5, 1)}

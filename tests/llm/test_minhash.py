@@ -95,3 +95,12 @@ def test_one_of_each_class_stays(spark, odd, empty):
     stay = Counter(r["doc_id"] for r in keep_one_per_class(odd).collect())
     assert stay == Counter([1, 2, 3, 4, 5, 6, 7, None, 8, 9, 10])
     assert keep_one_per_class(empty).count() == 0
+
+
+def test_unlike_texts_without_or_with_one_id_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(100)) for c in "abcdef"]
+    near = texts[0].replace("a50", "other")
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (None, ""), (5, texts[3]), (5, texts[4]), (6, texts[5]), (None, texts[5])]
+    kept = {(r["doc_id"], r["text"]) for r in keep_one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    always = {(None, texts[1]), (None, texts[2]), (None, ""), (5, texts[3]), (5, texts[4]), (6, texts[5])}
+    assert always <= kept and len(kept) == 7 and kept - always <= {(None, texts[0]), (None, near)}

@@ -14,7 +14,8 @@ The benchmark is a stated query set: items are taken in blocks of
 
 Defined cases: a NULL or wordless document matches nothing, nor does a wordless
 item. Documents shorter than a passage are one passage. Repeated documents or
-items give repeated matches, one per pair of ids with the best figures. Empty
+items give repeated matches, one per pair of ids with the best figures; rows are
+dropped by id and text, so rows that share a leak's id, or lack one, stay. Empty
 tables give an empty result. Only ids and texts are read.
 """
 
@@ -162,7 +163,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def contaminated(
+def _leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     dimension: int = 8192,
@@ -178,10 +179,10 @@ def contaminated(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, cosine, lcs_share, answer_share, kind ('copy' or 'paraphrase') of each leak found."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    """doc_id, text_key, item_id, cosine, lcs_share, answer_share, kind of each leak; one row per id, text and item."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("t"))
     spark = docs.sparkSession
-    schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, lcs_share double, answer_share double"
+    schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, text_key long, item_id long, cosine double, lcs_share double, answer_share double"
     items = benchmark.filter("item_id is not null and text is not null").count()
     if not items:
         return spark.createDataFrame([], schema + ", kind string")
@@ -218,14 +219,21 @@ def contaminated(
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("best")
     copy = F.col("lcs_share") >= copy_share
     return (
-        parts.groupBy("doc_id", "item_id")
+        parts.groupBy("doc_id", "text_key", "item_id")
         .agg(best)
-        .select("doc_id", "item_id", "best.cosine", "best.lcs_share", "best.answer_share")
+        .select("doc_id", "text_key", "item_id", "best.cosine", "best.lcs_share", "best.answer_share")
         .filter(copy | (F.col("answer_share") >= answer_share))
         .withColumn("kind", F.when(copy, "copy").otherwise("paraphrase"))
     )
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, cosine, lcs_share, answer_share, kind ('copy' or 'paraphrase') of each leak found."""
+    figures = F.struct("lcs_share", "answer_share", "cosine", "kind")
+    best = _leaks(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max(figures).alias("best"))
+    return best.select("doc_id", "item_id", "best.cosine", "best.lcs_share", "best.answer_share", "best.kind")
+
+
 def _matcher(held, min_cosine: float, min_overlap: float, least_share: float, answer_words: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, idf, queries, query_item, items, names = held.value
@@ -288,19 +296,22 @@ def _matcher(held, min_cosine: float, min_overlap: float, least_share: float, an
                 docs, ids, near, share, answer = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array(docs, pa.int64())),
+                        batch.column("doc_id").take(at := pa.array(docs, pa.int64())),
+                        batch.column("text_key").take(at),
                         pa.array(ids, pa.int64()),
                         pa.array(near, pa.float64()),
                         pa.array(share, pa.float64()),
                         pa.array(answer, pa.float64()),
                     ],
-                    names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
+                    names=["doc_id", "text_key", "item_id", "cosine", "lcs_share", "answer_share"],
                 )
 
     return match
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` whose id has no leak; all columns unchanged."""
-    leaks = stored(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` without a leak, told apart by id and text; all columns unchanged."""
+    found = _leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    leaks = stored(found.select(F.col("doc_id").alias("__leak"), F.col("text_key").alias("__leak_key")).distinct(), "leaks")
+    same = (F.xxhash64(text_col) == F.col("__leak_key")) & F.col(id_col).eqNullSafe(F.col("__leak"))
+    return docs.join(leaks, same, "left_anti")

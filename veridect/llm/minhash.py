@@ -165,7 +165,7 @@ def near_duplicate_classes(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, text_key (hash of the text), class_id, class_rows, n_links (verified links of the row's text to other texts)."""
+    """doc_id, text_key (hash of the text), class_id, class_rows, n_links (verified links of the row's text to other texts), has_words, root (tells classes apart, NULL if wordless)."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     keyed = named.withColumn("text_key", F.xxhash64("t"))
     rows_ = stored(_nodes(keyed, words, bands, rows), "sketches")
@@ -218,6 +218,7 @@ def near_duplicate_classes(
         F.when(alone, F.lit(1)).otherwise(F.col("class_rows")).cast("long").alias("class_rows"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (~alone).alias("has_words"),
+        "root",
     )
 
 
@@ -225,9 +226,9 @@ def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each class the row with the least id stays, wordless rows all stay."""
     found = stored(near_duplicate_classes(docs, **options), "classes")
     text_col, id_col = options.get("text_col", "text"), options.get("id_col", "doc_id")
-    first = (
-        found.filter("has_words").groupBy(F.coalesce(F.col("class_id").cast("string"), F.lit("")).alias("c")).agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.count("*").alias("n"))
-    )
+    # the least id, as class_id; without any id the least text
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = found.filter("has_words").groupBy("root").agg(F.min(place).alias("m"))
     chosen = first.select(F.col("m.doc_id").alias("__id"), F.col("m.text_key").alias("__key"))
     wordless = found.filter("not has_words").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     keyed = docs.withColumn("__text_key", F.xxhash64(text_col))
