@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veridect.llm.minhash import keep_one_per_class, near_duplicate_classes, probability_jaccard, signatures
+from veridect.llm.minhash import _nodes, keep_one_per_class, near_duplicate_classes, probability_jaccard, profiles, signatures
 
 
 def profile(text):
@@ -104,3 +104,31 @@ def test_unlike_texts_without_or_with_one_id_stay(spark):
     kept = {(r["doc_id"], r["text"]) for r in keep_one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     always = {(None, texts[1]), (None, texts[2]), (None, ""), (5, texts[3]), (5, texts[4]), (6, texts[5])}
     assert always <= kept and len(kept) == 7 and kept - always <= {(None, texts[0]), (None, near)}
+
+
+def test_profiles_bound_the_similarity():
+    rnd = np.random.default_rng(8)
+    for _ in range(200):
+        pool = rnd.integers(0, 2**63, 120)
+        a, b = ({int(k): 1 + math.log(rnd.integers(1, 9)) for k in rnd.choice(pool, rnd.integers(60, 120), replace=False)} for _ in "ab")
+        owner = np.repeat([0, 1], [len(a), len(b)])
+        profile, unit = profiles(owner, np.array([*a, *b], dtype=np.uint64), np.array([*a.values(), *b.values()]), 2)
+        assert probability_jaccard(a, b) <= np.minimum(*(profile * unit[:, None])).sum() + 1e-9
+        assert profiles(owner, np.array([*a, *b], dtype=np.uint64), np.array([*a.values(), *b.values()]), 3)[0][2].sum() == 0
+
+
+def test_pairs_that_meet_once_are_compared(spark):
+    """Near pairs among texts that share half of their words; two bands, so no pair shares three."""
+    rows = []
+    for c in range(20):
+        common = [f"c{c}w{i}" for i in range(60)]
+        for k in range(8):
+            words = common + [f"c{c}k{max(k, 1)}w{i}" for i in range(60)]
+            rows.append((8 * c + k, " ".join(["other", *words[1:]] if k == 0 else words)))
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = source.selectExpr("doc_id", "text as t", "xxhash64(text) as text_key")
+    bands = {r["doc_id"]: r["bands"] for r in _nodes(keyed, 5, 2, 1).collect()}
+    out = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(source, bands=2, rows=1).collect()}
+    met = [c for c in range(20) if any(x == y for x, y in zip(bands[8 * c], bands[8 * c + 1], strict=True))]
+    assert len(met) >= 15
+    assert {k for k, v in out.items() if k != v} == {8 * c + 1 for c in met}

@@ -8,11 +8,9 @@ of registers give candidate groups, and every candidate link is verified with
 the exact probability Jaccard of the two texts.
 
 Texts with equal shingle counts are one node. In a candidate group, the node
-with the least key is compared with all others; groups that still hold several
-components are then compared across components, as far as two texts share
-``min_shared`` bands (at a similarity of exactly 0.8, four pairs in ten thousand
-share fewer), so links between different texts are kept while copies never
-expand into all pairs. Links join
+with the least key is compared with all others; in groups that still hold several
+components, all pairs across components follow. Pairs are left out only if
+``profiles`` prove that they are not similar enough. Links join
 into classes by alternating large-star and small-star steps on distributed
 tables.
 
@@ -85,8 +83,40 @@ def probability_jaccard(a: dict[int, float], b: dict[int, float]) -> float:
     return float((x[both] / sums[back]).sum())
 
 
+PARTS = 128
+
+
+def profiles(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each text's weight in ``PARTS`` parts of the hash space, rounded up to bytes; value of one unit.
+
+    A shared element d adds at most min(x_d / sum(x), y_d / sum(y)) to the
+    probability Jaccard, so the sum of the lesser shares bounds it from above.
+    """
+    part = owner * PARTS + (hashing.mix(shingle) % np.uint64(PARTS)).astype(np.int64)
+    sums = np.bincount(part, weight, minlength=n * PARTS).reshape(n, PARTS)
+    shares = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-300)
+    unit = np.maximum(shares.max(axis=1, initial=0) / 255, 1e-300) * (1 + 1e-9)
+    return np.ceil(shares / unit[:, None]).astype(np.uint8), unit
+
+
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose profiles leave room for the similarity."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (
+                np.frombuffer(b"".join(batch.column(f"profile_{x}").to_pylist()), np.uint8).reshape(-1, PARTS)
+                * batch.column(f"unit_{x}").to_numpy()[:, None]
+                for x in "ab"
+            )
+            keep = np.minimum(one, two).sum(axis=1) >= similarity - 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "profile_a", "unit_a", "profile_b", "unit_b").mapInArrow(bound, "a binary, b binary")
+
+
 def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """Row key, node and band keys of each document."""
+    """Row key, node, band keys and profile of each document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t", 4 << 20):
@@ -94,6 +124,7 @@ def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             n = len(texts)
             owner, shingle, count = weighted_shingles(texts, words)
             kept = signatures(owner, shingle, 1 + np.log(count), n, bands * rows)
+            profile, unit = profiles(owner, shingle, 1 + np.log(count), n)
             keys = np.zeros((n, bands), dtype=np.uint64)
             for k in range(rows):
                 keys = hashing.mix(keys * GOLDEN + kept[:, k::rows])
@@ -109,12 +140,14 @@ def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     batch.column("text_key"),
                     pa.array(node, pa.binary()),
                     pa.array([None if v is None else k for v, k in zip(node, keys, strict=True)], pa.list_(pa.int64())),
+                    pa.array([p.tobytes() for p in profile], pa.binary()),
+                    pa.array(unit),
                 ],
-                names=["doc_id", "text_key", "node", "bands"],
+                names=["doc_id", "text_key", "node", "bands", "profile", "unit"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(sketch, f"doc_id {kind}, text_key long, node binary, bands array<bigint>")
+    return docs.mapInArrow(sketch, f"doc_id {kind}, text_key long, node binary, bands array<bigint>, profile binary, unit double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -123,13 +156,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "ta", 4 << 20):
             keep = []
-            for one, two in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                owner, shingle, count = weighted_shingles([one.encode(), two.encode()], words)
-                cut = int(np.searchsorted(owner, 1))
-                weight = (1 + np.log(count)).tolist()
-                hashes = shingle.tolist()
-                a = dict(zip(hashes[:cut], weight[:cut], strict=True))
-                b = dict(zip(hashes[cut:], weight[cut:], strict=True))
+            one, two = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            number = {t: i for i, t in enumerate(dict.fromkeys([*one, *two]))}
+            owner, shingle, count = weighted_shingles([t.encode() for t in number], words)
+            bounds = np.searchsorted(owner, np.arange(len(number) + 1))
+            weight = 1 + np.log(count)
+            for x, y in zip(map(number.get, one), map(number.get, two), strict=True):
+                x, y = slice(*bounds[x : x + 2]), slice(*bounds[y : y + 2])
+                _, i, j = np.intersect1d(shingle[x], shingle[y], assume_unique=True, return_indices=True)
+                # bounds the similarity from above, as in ``profiles``
+                if np.minimum(weight[x][i] / weight[x].sum(), weight[y][j] / weight[y].sum()).sum() < similarity - 1e-6:
+                    keep.append(False)
+                    continue
+                a, b = (dict(zip(shingle[z].tolist(), weight[z].tolist(), strict=True)) for z in (x, y))
                 keep.append(probability_jaccard(a, b) >= similarity - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
@@ -161,7 +200,6 @@ def near_duplicate_classes(
     similarity: float = 0.8,
     bands: int = 32,
     rows: int = 5,
-    min_shared: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -170,7 +208,7 @@ def near_duplicate_classes(
     keyed = named.withColumn("text_key", F.xxhash64("t"))
     rows_ = stored(_nodes(keyed, words, bands, rows), "sketches")
     # one row stands for all that share a node
-    nodes = rows_.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("m")).select("node", "m.*")
+    nodes = rows_.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "bands", "profile", "unit")).alias("m")).select("node", "m.*")
     nodes = stored(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
@@ -187,17 +225,10 @@ def near_duplicate_classes(
     roots = components(links)
     held = groups.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    rest = held.join(mixed, "band")
-    one, two = rest.selectExpr("band", "node as a", "root as ra"), rest.selectExpr("band", "node as b", "root as rb")
-    # texts at the threshold share ten of 32 bands on average; unlike ones that meet by chance share one or two
-    across = (
-        one.join(two, "band")
-        .filter("ra < rb")
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(F.count("*").alias("shared"))
-        .filter(F.col("shared") >= min_shared)
-        .select("a", "b")
-    )
+    rest = held.join(mixed, "band").join(nodes.select("node", "profile", "unit"), "node")
+    one, two = (rest.selectExpr("band", f"node as {x}", f"root as r{x}", f"profile as profile_{x}", f"unit as unit_{x}") for x in "ab")
+    met = _possible(one.join(two, "band").filter("ra < rb"), similarity)
+    across = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = stored(_verified(across.join(stars, ["a", "b"], "left_anti"), texts, words, similarity), "links")
     links = links.union(more)
     if not more.isEmpty():
