@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veridect.llm.minhash import _nodes, keep_one_per_class, near_duplicate_classes, probability_jaccard, profiles, signatures
+from veridect.llm.minhash import _nodes, keep_one_per_class, near_duplicate_classes, probability_jaccard, profiles, signatures, spanning_links
 
 
 def profile(text):
@@ -132,3 +132,23 @@ def test_pairs_that_meet_once_are_compared(spark):
     met = [c for c in range(20) if any(x == y for x, y in zip(bands[8 * c], bands[8 * c + 1], strict=True))]
     assert len(met) >= 15
     assert {k for k, v in out.items() if k != v} == {8 * c + 1 for c in met}
+
+
+def test_spanning_links_join_the_classes(spark):
+    rows = near_copies()
+    texts = dict(rows)
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {k: k for k in texts}
+    for r in spanning_links(source).collect():
+        a, b = r["doc_a"], r["doc_b"]
+        assert similarity(profile(texts[a]), profile(texts[b])) >= 0.8 - 1e-9
+        root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+    for a, t in rows:  # equal texts need no link
+        for b, u in rows:
+            if profile(t) == profile(u):
+                root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+    classes = defaultdict(list)
+    for k, v in root.items():
+        classes[v].append(k)
+    assert Counter(tuple(sorted(c, key=str)) for c in classes.values()) == brute(rows)
+    assert "n_links" not in near_duplicate_classes(source).columns

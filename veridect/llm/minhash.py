@@ -10,7 +10,8 @@ the exact probability Jaccard of the two texts.
 Texts with equal shingle counts are one node. In a candidate group, the node
 with the least key is compared with all others; in groups that still hold several
 components, all pairs across components follow. Pairs are left out only if
-``profiles`` prove that they are not similar enough. Links join
+``profiles`` prove that they are not similar enough. So the verified links span
+the classes; they are not all links between similar texts. Links join
 into classes by alternating large-star and small-star steps on distributed
 tables.
 
@@ -194,7 +195,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
-def near_duplicate_classes(
+def _classes_and_links(
     docs: DataFrame,
     words: int = 5,
     similarity: float = 0.8,
@@ -202,8 +203,8 @@ def near_duplicate_classes(
     rows: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> DataFrame:
-    """doc_id, text_key (hash of the text), class_id, class_rows, n_links (verified links of the row's text to other texts), has_words, root (tells classes apart, NULL if wordless)."""
+) -> tuple[DataFrame, DataFrame]:
+    """Results of ``near_duplicate_classes`` and ``spanning_links``."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     keyed = named.withColumn("text_key", F.xxhash64("t"))
     rows_ = stored(_nodes(keyed, words, bands, rows), "sketches")
@@ -234,23 +235,37 @@ def near_duplicate_classes(
     if not more.isEmpty():
         roots = components(links)
 
-    degree = links.selectExpr("a as node", "b as other").union(links.selectExpr("b", "a")).groupBy("node").agg(F.count("*").alias("n_links"))
+    one, two = (nodes.selectExpr(f"node as {x}", f"doc_id as doc_{x}", f"text_key as text_key_{x}") for x in "ab")
+    pairs = links.join(one, "a").join(two, "b").select("doc_a", "text_key_a", "doc_b", "text_key_b")
     rooted = (
         rows_.select("doc_id", "text_key", "node")
-        .join(nodes.select("node").join(roots, "node", "left").join(degree, "node", "left"), "node", "left")
+        .join(nodes.select("node").join(roots, "node", "left"), "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
     classes = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
     alone = F.col("root").isNull()
-    return rooted.join(classes, "root", "left").select(
+    members = rooted.join(classes, "root", "left").select(
         "doc_id",
         "text_key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_rows")).cast("long").alias("class_rows"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (~alone).alias("has_words"),
         "root",
     )
+    return members, pairs
+
+
+def near_duplicate_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, text_key (hash of the text), class_id, class_rows, has_words, root (tells classes apart, NULL if wordless)."""
+    return _classes_and_links(docs, **options)[0]
+
+
+def spanning_links(docs: DataFrame, **options) -> DataFrame:
+    """doc_a, text_key_a, doc_b, text_key_b: verified pairs of different texts that join them into classes.
+
+    One row stands for all with its shingle counts. Not all similar pairs are among the links.
+    """
+    return _classes_and_links(docs, **options)[1]
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:

@@ -66,7 +66,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_rows", "n_links")
+    return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_rows")
 
 
 @query
