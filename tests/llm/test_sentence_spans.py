@@ -50,3 +50,26 @@ def test_first_passage_stays(spark):
     out = {r["doc_id"]: r for r in remove_repeated_spans(spark.createDataFrame(passages(), "doc_id long, text string")).collect()}
     assert out[0]["n_removed"] == 0 and out[3]["n_removed"] == 4 and out[6]["clean_text"] == "" and out[8]["n_removed"] == 0
     assert out[9]["clean_text"] == ""
+
+
+def every_run(rows, sentences=2, min_words=12):
+    """Number of sentences that repeated runs of any length cover."""
+    places = defaultdict(list)
+    for number, (_, text) in enumerate(rows):
+        parts = [tuple(s.lower().split()) for s in sentences_of(text)]
+        for i in range(len(parts)):
+            for j in range(i + sentences, len(parts) + 1):
+                if sum(map(len, parts[i:j])) >= min_words:
+                    places[tuple(parts[i:j])].append((number, i, j))
+    gone = {(n, k) for at in places.values() for n, i, j in sorted(at)[1:] for k in range(i, j)}
+    return [sum(n == number for n, _ in gone) for number in range(len(rows))]
+
+
+def test_short_end_of_a_passage_goes(spark):
+    long = " ".join(f"word{i}" for i in range(20))
+    passage = f"It was {long}. And so it. Then went home again."
+    rows = passages() + [(10 + i, f"Opening of number {i} with words of its own. {passage} Closing of number {i} with others {i}.") for i in range(4)]
+    rows += [(20 + i, f"Short{i} one. {passage}") for i in range(3)]
+    out = remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), both_ends=True).collect()
+    got = {r["doc_id"]: r["n_removed"] for r in out}
+    assert [got[d] for d, _ in rows] == every_run(rows) and got[11] == 3

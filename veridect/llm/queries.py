@@ -71,7 +71,7 @@ def op3_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_spans(documents(spark, sf_dir))
+    kept = remove_repeated_spans(documents(spark, sf_dir), both_ends=True)
     return kept.select("doc_id", "n_sentences", "n_removed", F.length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("kept_sha256"))
 
 

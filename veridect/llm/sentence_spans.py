@@ -1,7 +1,10 @@
 """Substring de-duplication by sliding sentence spans.
 
 From every sentence starts a run: it and the next sentences, ``sentences`` of
-them at least and as many more as it takes to reach ``min_words`` words. Runs
+them at least and as many more as it takes to reach ``min_words`` words. With
+``both_ends``, as in the registered query, a run of the same kind, counted
+backwards, also ends at every sentence, so a repeated span of that many
+sentences and words is covered up to its end. Runs
 are compared by a hash of their words in lower case. A run that occurs in two
 places is repeated; its first place (least id, then position) stays, and every
 sentence that a repeated run covers elsewhere is removed. Runs are judged on
@@ -36,7 +39,7 @@ def sentences_of(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()]
 
 
-def _runs(texts: list[str], sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(texts: list[str], sentences: int, min_words: int, both_ends: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, key, first sentence, number of sentences) of each run."""
     owner, hashes, words = [], [], []
     for i, text in enumerate(texts):
@@ -55,6 +58,13 @@ def _runs(texts: list[str], sentences: int, min_words: int) -> tuple[np.ndarray,
     good = end <= n
     good[good] = of[end[good] - 1] == of[start[good]]
     start, end = start[good], end[good]
+    if both_ends:
+        # for each end, the last start that gives enough words and sentences
+        stop = np.arange(1, n + 1)
+        begin = np.minimum(np.searchsorted(total, total[stop] - min_words, side="right") - 1, stop - sentences)
+        good = begin >= 0
+        good[good] = of[begin[good]] == of[stop[good] - 1]
+        start, end = np.unique(np.concatenate([[start, end], [begin[good], stop[good]]], axis=1), axis=1)
     # polynomial of the sentence hashes, from prefix sums
     power = np.full(n + 1, np.uint64(hashing.BASE))
     power[0] = 1
@@ -68,14 +78,16 @@ def _runs(texts: list[str], sentences: int, min_words: int) -> tuple[np.ndarray,
     return of[start], key.astype(np.int64), (start - first[of[start]]).astype(np.int32), (end - start).astype(np.int32)
 
 
-def remove_repeated_spans(docs: DataFrame, sentences: int = 2, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_spans(
+    docs: DataFrame, sentences: int = 2, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text", both_ends: bool = False
+) -> DataFrame:
     """doc_id, n_sentences, n_removed, clean_text of each document."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("text_key", F.xxhash64("t"))
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t"):
-            owner, key, start, count = _runs(batch.column("t").to_pylist(), sentences, min_words)
+            owner, key, start, count = _runs(batch.column("t").to_pylist(), sentences, min_words, both_ends)
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(key), pa.array(start), pa.array(count)],
