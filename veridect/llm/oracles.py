@@ -82,3 +82,23 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(every) AS BIGINT)
        coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(base || coalesce(own_labels, []))), ','), '') AS labels,
        CASE WHEN len(every) > 0 THEN 1e0 ELSE coalesce(round(best, 9), 0e0) END AS score FROM s"""
+
+#: DuckDB has no crc32: a fold over bytes and shifts.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT)"""
+
+TRIE = rf"""
+WITH c AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, {_CRC32} % 9 AS h FROM c),
+p AS (SELECT h.conv_id, coalesce(b.turns[:h.h], []) || h.turns[h.h + 1:] AS path FROM h LEFT JOIN c AS b ON b.conv_id = h.conv_id - h.conv_id % 5),
+member AS (SELECT conv_id, path[:d] AS node, d, d = len(path) AS last FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM p) s),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends
+          FROM member GROUP BY node, d),
+kids AS (SELECT node[:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(nodes.node[d].t) END AS saved FROM nodes LEFT JOIN kids ON kids.node = nodes.node),
+below AS (SELECT node[:up] AS node, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+          FROM (SELECT node, saved, n_children, unnest(range(d + 1)) AS up FROM own) s GROUP BY 1)
+SELECT own.conv_id, CAST(own.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, below.leaves AS n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, own.ends AS ends_sha256
+FROM own JOIN below ON below.node = own.node LEFT JOIN nodes AS up ON own.d > 0 AND up.node = own.node[:own.d - 1]"""

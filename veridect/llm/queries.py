@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridect.llm import oracles
+from veridect.llm.conversation_trie import conversation_turns, prefix_trie, regenerate
 from veridect.llm.decontamination import contaminated
 from veridect.llm.frames import documents
 from veridect.llm.licenses import scan_licenses
@@ -25,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": oracles.QUALITY,
     "op7_line_templates": oracles.LINES,
     "op9_license_scan": oracles.LICENSES,
+    "op12_conversation_trie": oracles.TRIE,
 }
 
 
@@ -88,3 +90,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie(regenerate(conversation_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
