@@ -27,6 +27,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class ByteBoundCache(dict):
+    """A dictionary of strings or bytes that drops its oldest half when its contents outgrow ``limit`` bytes."""
+
+    #: What an entry takes besides its contents, about.
+    OVERHEAD = 200
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def put(self, key: str | bytes, value: bytes) -> None:
+        self[key] = value
+        self.held += len(key) + len(value) + self.OVERHEAD
+        if self.held > self.limit:
+            for old in list(self)[: len(self) // 2]:
+                self.held -= len(old) + len(self.pop(old)) + self.OVERHEAD
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

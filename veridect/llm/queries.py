@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridect.llm import oracles
+from veridect.llm.bpe import decode_documents, encode_documents
 from veridect.llm.conversation_trie import conversation_turns, prefix_trie, regenerate
 from veridect.llm.decontamination import contaminated
 from veridect.llm.frames import documents
@@ -19,6 +20,7 @@ from veridect.llm.quality import clean_lines
 from veridect.llm.sentence_spans import remove_repeated_spans
 from veridect.llm.suffix_dedup import remove_repeated_bytes
 from veridect.llm.token_files import token_file_digest
+from veridect.llm.tokens import tokenizer_path
 from veridect.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +94,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizer_path("word_bpe_49k.json")
+    decoded = decode_documents(encode_documents(documents(spark, sf_dir).select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie(regenerate(conversation_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
