@@ -18,7 +18,6 @@ def plain(name, text):
     from tokenizers import Tokenizer
 
     tokenizer = plain.held.setdefault(name, Tokenizer.from_file(tokenizer_path(name)))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,6 +32,23 @@ def test_cached_words_equal_whole_texts(text):
         assert np.frombuffer(ENCODERS[name]([text])[0], "<u4").tolist() == plain(name, text)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_strings_of_added_tokens(name):
+    """They are ids by the library's plain call, and plain text on request."""
+    text = "a <|endoftext|> b<|endoftext|>"
+    ids = lambda tool, **options: np.frombuffer(tool([text], **options)[0], "<u4").tolist()
+    special = plain(name, "<|endoftext|>")
+    assert len(special) == 1 and ids(ENCODERS[name]).count(special[0]) == 2 and ids(ENCODERS[name]) == plain(name, text)
+    assert special[0] not in ids(TextEncoder(tokenizer_path(name), literal=True))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=" \n\xa0'abtsÉΣ,1½<|>中", min_size=1, max_size=40))
+def test_text_behind_a_space(text):
+    for name in NAMES:
+        assert np.frombuffer(ENCODERS[name]([text], spaced=True)[0], "<u4").tolist() == plain(name, " " + text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=3000))
 def test_simple8b_round_trip(values):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,21 +29,41 @@ def release(spark: SparkSession) -> None:
 
 
 class ByteBoundCache(dict):
-    """A dictionary of strings or bytes that drops its oldest half when its contents outgrow ``limit`` bytes."""
+    """A dictionary of strings or bytes that forgets what was not asked for lately.
+
+    ``unknown`` says which of the wanted keys are missing and brings the others
+    to the front; ``settle`` sets all entries back once they outgrow half of
+    ``limit`` bytes, and those that were back then go. In between, as while one
+    batch is worked on, nothing is dropped.
+    """
 
     #: What an entry takes besides its contents, about.
     OVERHEAD = 200
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.held = limit, 0
-
-    def put(self, key: str | bytes, value: bytes) -> None:
-        self[key] = value
-        self.held += len(key) + len(value) + self.OVERHEAD
-        if self.held > self.limit:
-            for old in list(self)[: len(self) // 2]:
-                self.held -= len(old) + len(self.pop(old)) + self.OVERHEAD
+        self.limit = limit
+        self.back: dict[str | bytes, bytes] = {}
+        self.held = self._counted = 0
+
+    def unknown(self, wanted: set) -> list:
+        out = []
+        for key in wanted.difference(self):
+            value = self.back.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self[key] = value
+        return out
+
+    def settle(self) -> None:
+        new = islice(self.items(), self._counted, None)
+        self.held += sum([len(key) + len(value) + self.OVERHEAD for key, value in new])
+        if self.held > self.limit // 2:
+            self.back = dict(self)
+            self.clear()
+            self.held = 0
+        self._counted = len(self)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A tokenizer that splits a text before its merges gives a word the same ids
 wherever it stands. So a text is cut at places where every such tokenizer cuts,
 and the tokenizers library only sees words that are not in the cache yet.
-Texts with white space that the cut does not cover go through it whole.
+Texts with white space that the cut does not cover go through it whole, and so
+do texts that hold the string of an added token, which the library reads as that
+token unless ``literal`` makes it plain text.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from veridect.llm.frames import ByteBoundCache
+
 # White space beyond space, tab, line feed and return, and controls that Python but not every pattern counts as such.
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 RUNS = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-CACHE_WORDS = 800_000
+CACHE_BYTES = 96 << 20
 BULK_WORDS = 200
 MARKS = ",.;:!?"
 
@@ -38,19 +42,22 @@ class TextEncoder:
     ``first`` holds words at the start of a text, ``rest`` words behind a space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaces = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.size[number] = len(token) if self.spaces else token.endswith("</w>")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.first = ByteBoundCache(CACHE_BYTES // 2)
+        self.rest = ByteBoundCache(CACHE_BYTES)
 
     def _one(self, text: str) -> bytes:
         return self._all([text])[0]
@@ -82,7 +89,7 @@ class TextEncoder:
                 at = end
 
     def _learn_bytes(self, needed: set[str], lead: str, known: dict[str, bytes]) -> None:
-        missing = [w for w in needed if w not in known]
+        missing = known.unknown(needed)
         # letters and the marks behind them never share an id
         bare = {w: b for w in missing if (b := w.rstrip(MARKS)) != w and b.isalpha() and (b.isascii() or max(b) < "\u0250")}
         plain = [w for w in missing if w not in bare]
@@ -99,7 +106,7 @@ class TextEncoder:
 
     def _learn_words(self, needed: set[str]) -> None:
         known = self.rest
-        missing = [w for w in needed if w not in known]
+        missing = known.unknown(needed)
         bare = {w: w.rstrip(MARKS) for w in missing}
         letters = {b for b in bare.values() if b not in known and b.isalpha() and b.lower().isalpha() and is_normalized("NFC", b)}
         self._many(list(letters), " ", known)
@@ -115,13 +122,13 @@ class TextEncoder:
         """Whether every space but the first character stands between words."""
         return not ("  " in text or "\n " in text or "\t " in text or "\r " in text or text[:1] == " ")
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > CACHE_WORDS:
-            self.first.clear()
-            self.rest.clear()
+    def __call__(self, texts: list[str | None], spaced: bool = False) -> list[bytes]:
+        """Ids of each text, or with ``spaced`` of a space and the text."""
+        self.first.settle()
+        self.rest.settle()
         texts = [t or "" for t in texts]
-        usual = [not UNUSUAL.search(t) for t in texts]
-        if not self.spaces:
+        usual = [not UNUSUAL.search(t) and not any(a in t for a in self.added) for t in texts]
+        if not self.spaces:  # a space before the text leaves no trace
             cut = [t.split() if u else [] for t, u in zip(texts, usual, strict=True)]
             self._learn_words(set().union(*cut))
             get = self.rest.__getitem__
@@ -132,28 +139,30 @@ class TextEncoder:
                 cut.append(None)
                 continue
             simple = self._simple(t)
-            words = t.split(" ") if simple else RUNS.findall(t)
-            cut.append((simple, words))
             if simple:
-                first.add(words[0])
-                rest.update(words[1:])
+                words = t.split(" ")
+                begins = 0 if spaced and t else 1  # the words before are at the start of the text
+                first.update(words[:begins])
+                rest.update(words[begins:])
+                cut.append((begins, words))
             else:
+                words = RUNS.findall(" " * spaced + t)
                 first.update(words)
+                cut.append((len(words), words))
         self._learn_bytes(first, "\n", self.first)
         self._learn_bytes(rest, " ", self.rest)
         begin, get = self.first.__getitem__, self.rest.__getitem__
         out = []
         for t, parts in zip(texts, cut, strict=True):
             if parts is None:
-                out.append(self._one(t))
-            elif parts[0]:
-                out.append(begin(parts[1][0]) + b"".join(map(get, parts[1][1:])))
+                out.append(self._one(" " * spaced + t))
             else:
-                out.append(b"".join(map(begin, parts[1])))
+                begins, words = parts
+                out.append(b"".join([*map(begin, words[:begins]), *map(get, words[begins:])]))
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, literal: bool = False) -> TextEncoder:
     """One encoder per worker process and vocabulary."""
-    return TextEncoder(path)
+    return TextEncoder(path, literal)
