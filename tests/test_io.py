@@ -241,6 +241,39 @@ def test_fusing_stream(spark, tmp_path):
     assert set(fusion.MODALITIES) == set(MODALITY_WEIGHTS)
 
 
+def test_verdicts_leave_early_and_with_errors(spark, tmp_path):
+    """Complete videos leave in the micro-batch that completes them, the others wait for the watermark."""
+    schema = "video_id string, modality string, score double, error string, ts timestamp"
+    batches = [
+        [("a", "image", 0.9, None, at(0)), ("b", "image", 0.6, None, at(1)), ("c", "audio", 0.4, None, at(2)), ("e", "text", None, "broken", at(2))],
+        [("a", "audio", 0.8, None, at(5)), ("a", "text", None, "no words", at(6)), ("b", "audio", None, "no track", at(4)), ("a", "image", 0.1, None, at(7))],
+        [("a", "image", 0.2, None, at(8)), ("c", "image", None, None, at(9)), ("d", "smell", 1.0, None, at(9)), ("e", "audio", None, None, at(9))],
+    ]
+    stream = write_files(spark, tmp_path / "early", batches, schema)
+    seen = []
+
+    def note(batch, number):
+        seen.extend((number, r.video_id, r.reason) for r in batch.collect())
+
+    fused = fusion.fuse_results(stream, delay="10 minutes")
+    run = fused.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    assert sorted(seen) == [(1, "a", "complete"), (1, "b", "complete")]
+
+    source = bounded(spark, tmp_path / "all", batches, schema, modality="image")
+    out, _ = jobs.run_append(fusion.fuse_results(source.frame, delay="10 minutes"), "t", source)
+    batch = fusion.fuse_results(spark.createDataFrame(sum(batches, []), schema))
+    columns = ["video_id", "reason", "results", "image", "audio", "text", "image_error", "audio_error", "text_error", "final_label", "fused_score"]
+    want = {
+        ("a", "complete", 3, 0.9, 0.8, None, None, None, "no words", "FAKE / AI-GENERATED", 0.8625),
+        ("b", "complete", 2, 0.6, None, None, None, "no track", "Audio extraction failed", "FAKE / AI-GENERATED", 0.6),
+        ("c", "timeout", 2, None, 0.4, None, "No frames extracted", None, "No result in time", "REAL / HUMAN", 0.4),
+        ("e", "timeout", 2, None, None, None, "No result in time", "Audio extraction failed", "broken", "UNKNOWN", None),
+    }
+    assert {tuple(r) for r in out.select(*columns).collect() if r.video_id is not None} == want
+    assert {tuple(r) for r in batch.select(*columns).collect()} == want
+
+
 def test_scoring_stream_equals_batch(spark, tmp_path):
     schema = "doc_id int, text string"
     batches = [[(1, "I like my cat."), (2, "A robust framework.")], [(3, "Plain words, plain text: all (of) it.")]]

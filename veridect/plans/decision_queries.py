@@ -379,19 +379,31 @@ def str_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SESSION_SCORE = "floor(least(value / 5e2, 1e0) * 1e4 + 5e-1) / 1e4"
 
 
-def _latest(event_type: str) -> str:
-    return f"arg_max({_SESSION_SCORE}, (epoch_us(ts), {_SESSION_SCORE})) FILTER (WHERE event_type = '{event_type}')"
+_REPORTS = f"""reports AS (SELECT user_id, epoch_us(ts) AS tick, modality, CASE WHEN event_type IN ('view', 'click', 'signup') THEN {_SESSION_SCORE} END AS score,
+                  CASE event_type WHEN 'error' THEN 'Audio extraction failed' WHEN 'purchase' THEN 'No speech detected in audio' END AS error
+            FROM (SELECT *, CASE WHEN event_type = 'view' THEN 'image' WHEN event_type IN ('click', 'error') THEN 'audio' ELSE 'text' END AS modality FROM events
+                  WHERE event_type IN ('view', 'click', 'signup', 'error', 'purchase')) e)"""
 
 
 @query("str_fuse_batch", f"""
-WITH gaps AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS opens
-              FROM events WHERE event_type IN ('view', 'click', 'signup')),
-runs AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
-modal AS (SELECT user_id AS video_id, epoch_us(min(ts)) AS opened, count(*) AS results, {_latest('view')} AS image, {_latest('click')} AS audio, {_latest('signup')} AS text
-          FROM runs GROUP BY user_id, run)
-SELECT video_id, opened, results, image, audio, text, CASE WHEN image IS NOT NULL AND audio IS NOT NULL AND text IS NOT NULL THEN 'complete' ELSE 'timeout' END AS reason,
-       CASE WHEN s > 5e-1 THEN 'FAKE / AI-GENERATED' ELSE 'REAL / HUMAN' END AS final_label, {rounded('s', 4)} AS fused_score
-FROM (SELECT *, ({_WSUM}) / nullif({_MASS}, 0e0) AS s FROM modal) f""")
+WITH {_REPORTS},
+gaps AS (SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY user_id ORDER BY tick) < 3600000000 THEN 0 ELSE 1 END AS opens FROM reports),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY tick RANGE UNBOUNDED PRECEDING) AS run FROM gaps),
+firsts AS (SELECT user_id, run, min(tick) AS opened, min(tick) FILTER (WHERE modality = 'image') AS i, min(tick) FILTER (WHERE modality = 'audio') AS a,
+                  min(tick) FILTER (WHERE modality = 'text' OR modality = 'audio' AND score IS NULL) AS t FROM runs GROUP BY user_id, run),
+ends AS (SELECT *, CASE WHEN i IS NOT NULL AND a IS NOT NULL AND t IS NOT NULL THEN greatest(i, a, t) END AS done FROM firsts),
+counted AS (SELECT runs.*, opened, done FROM runs JOIN ends ON runs.user_id = ends.user_id AND runs.run = ends.run WHERE done IS NULL OR tick <= done),
+held AS (SELECT user_id AS video_id, min(opened) AS opened, count(*) AS results, CASE WHEN max(done) IS NULL THEN 'timeout' ELSE 'complete' END AS reason,
+                bool_or(modality = 'audio' AND score IS NULL) AS no_audio,
+                {", ".join(f"max(score) FILTER (WHERE modality = '{m}' AND tick = last_{m} AND score IS NOT NULL) AS {m}, max(error) FILTER (WHERE modality = '{m}' AND tick = last_{m}) AS {m}_said, count(*) FILTER (WHERE modality = '{m}') AS {m}_n" for m in ("image", "audio", "text"))}
+         FROM (SELECT *, {", ".join(f"max(tick) FILTER (WHERE modality = '{m}') OVER (PARTITION BY user_id, run) AS last_{m}" for m in ("image", "audio", "text"))} FROM counted) c
+         GROUP BY user_id, run)
+SELECT video_id, opened, results, reason, image, audio, text,
+       CASE WHEN image_n = 0 THEN 'No result in time' WHEN image IS NULL THEN image_said END AS image_error,
+       CASE WHEN audio_n = 0 THEN 'No result in time' WHEN audio IS NULL THEN audio_said END AS audio_error,
+       CASE WHEN text_n = 0 AND no_audio THEN 'Audio extraction failed' WHEN text_n = 0 THEN 'No result in time' WHEN text IS NULL THEN text_said END AS text_error,
+       CASE WHEN s IS NULL THEN 'UNKNOWN' WHEN s > 5e-1 THEN 'FAKE / AI-GENERATED' ELSE 'REAL / HUMAN' END AS final_label, {rounded('s', 4)} AS fused_score
+FROM (SELECT *, ({_WSUM}) / nullif({_MASS}, 0e0) AS s FROM held) f""")
 def str_fuse_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch twin of the fusing stream; a job is silent for an hour at its end."""
     fused = stream_fusion.fuse_results(modality_results(table(spark, sf_dir, "events")), timeout_seconds=3600)
@@ -400,20 +412,22 @@ def str_fuse_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str_fuse", ORACLES["str_fuse_batch"])
 def str_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as a stream, up to the end of the input."""
+    """The same as a stream, up to the end of the input: a verdict leaves with the result that completes it."""
     source = _events_input(spark, sf_dir)
     fused = stream_fusion.fuse_results(modality_results(source.frame), timeout_seconds=3600, delay="10 minutes")
     return jobs.run_append(fused, "fused", source)[0].withColumn("opened", F.unix_micros("opened"))
 
 
 def modality_results(events: DataFrame) -> DataFrame:
-    """Views, clicks and sign-ups stand for image, audio and text results."""
+    """Views, clicks and sign-ups stand for image, audio and text results, errors for failed audio, purchases for audio without speech."""
     kind = F.col("event_type")
-    modality = F.when(kind == "view", "image").when(kind == "click", "audio").when(kind == "signup", "text")
+    modality = F.when(kind == "view", "image").when(kind.isin("click", "error"), "audio").when(kind.isin("signup", "purchase"), "text")
+    score = round_half_up(F.least(F.col("value") / F.lit(500.0), F.lit(1.0)), 4)
     return events.select(
         F.col("user_id").alias("video_id"),
         modality.alias("modality"),
-        round_half_up(F.least(F.col("value") / F.lit(500.0), F.lit(1.0)), 4).alias("score"),
+        F.when(kind.isin("view", "click", "signup"), score).alias("score"),
+        F.when(kind == "error", U.MODALITY_ERRORS["audio"]).when(kind == "purchase", U.MODALITY_ERRORS["text"]).alias("error"),
         X.instant(events, "ts").alias("ts"),
     ).filter(F.col("modality").isNotNull())
 

@@ -40,7 +40,7 @@ class BoundedInput:
     columns that a filter before the watermark needs.
     """
 
-    FAR = "9000-01-01 00:00:00"
+    FAR = "2200-01-01 00:00:00"  # within what nanoseconds since 1970 can hold
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, event_time: str = "ts", **values: object):
         self.spark, self.schema, self.event_time, self.values = spark, schema, event_time, values
