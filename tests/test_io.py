@@ -93,6 +93,49 @@ def test_predictions_csv(spark, tmp_path):
     assert got == {"a": ("FAKE", 0.9, True), "d": ("REAL", 0.2, False), "f": ("FAKE", 0.1, False)}
 
 
+def test_predictions_by_name(spark, tmp_path):
+    """Six columns, five in another order and a bare minimum in one folder; records that do not fit are reported."""
+    header = "file,true_label,fake_prob,real_prob,pred_label,correct"
+    (tmp_path / "a.csv").write_text(f'\ufeff{header}\r\n"x,""1"".jpg",fake,0.9,0.1,FAKE,True\r\nb,real,0.7,0.3,FAKE,False\r\n\r\n')
+    (tmp_path / "b.csv").write_text("correct,pred_label,file,extra,fake_prob,true_label\nFalse,REAL,c,1,0.2,fake\nTrue,REAL,d,0.2,real\n")
+    (tmp_path / "c.csv").write_text("true_label,correct,fake_prob\nreal,True,0.1,9\nreal,True,0.4\n")
+    (tmp_path / "d.csv").write_text("label,prob\nreal,0.1\n")
+    (tmp_path / "e.csv").write_text(f'{header}\ne,real,"0.1,0.9,REAL,True\n')
+    (tmp_path / "f.csv").write_text("true_label,correct,fake_prob\nreal,True,0.1\nfake_prob,true_label,correct\n0.1,real,True\n")
+    (tmp_path / "g.csv").write_text("")
+    got = sorted(tuple(r) for r in tables.read_predictions(spark, str(tmp_path)).fillna("-").fillna(-1.0).collect())
+    assert got == [
+        ("-", "REAL", 0.4, -1.0, "-", True),
+        ("b", "REAL", 0.7, 0.3, "FAKE", False),
+        ("c", "FAKE", 0.2, -1.0, "REAL", False),
+        ('x,"1".jpg', "FAKE", 0.9, 0.1, "FAKE", True),
+    ]
+    bad = {(os.path.basename(r.file), r.record, r.reason) for r in tables.prediction_files(spark, str(tmp_path)).rejected.collect()}
+    none = "no header with true_label, fake_prob, correct"
+    assert bad == {
+        ("b.csv", "True,REAL,d,0.2,real", "5 cells where the header has 6"),
+        ("c.csv", "real,True,0.1,9", "4 cells where the header has 3"),
+        ("d.csv", "label,prob", none),
+        ("d.csv", "real,0.1", none),
+        ("e.csv", 'e,real,"0.1,0.9,REAL,True', "open quote"),
+        ("f.csv", "real,True,0.1", "two different headers"),
+        ("f.csv", "0.1,real,True", "two different headers"),
+    }
+
+
+def test_written_predictions_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([('a "b", c.jpg', "FAKE", 0.5, "REAL", False, "s")], "file string, true_label string, fake_prob double, pred_label string, correct boolean, strategy string")
+    writers.write_predictions(rows, str(tmp_path / "p"))
+    assert [tuple(r) for r in tables.read_predictions(spark, str(tmp_path / "p")).collect()] == [('a "b", c.jpg', "FAKE", 0.5, None, "REAL", False)]
+
+
+def test_splits_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("target,note,filepath\n1,n,x\noops,n,y\n,n,z\n0,n\n")
+    files = tables.split_files(spark, {"train": str(tmp_path / "a.csv")})["train"]
+    assert {tuple(r) for r in files.rows.collect()} == {("x", 1, None, None), ("z", None, None, None)}
+    assert {(r.record, r.reason) for r in files.rejected.collect()} == {("oops,n,y", "target is no int: oops"), ("0,n", "2 cells where the header has 3")}
+
+
 def test_result_shapes(rows):
     data = [
         '{"prediction": "fake", "label": "x", "prob_fake": 0.5}', '{"label": "real", "fake_probability": 0.25, "score": 1}',

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridect.functions import arrays as A
 from veridect.functions.decisions import binary_label, is_correct
+from veridect.functions.numeric import round_half_up
 from veridect.operators import labels as B
 from veridect.operators import sampling as S
 from veridect.operators.features import global_standardize
@@ -80,10 +81,8 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split files are written from the tables, then read back."""
     rows, root = split_rows(spark, sf_dir), scratch_path(spark, "splits")
-    names = ("train", "valid", "test")
-    for name in names:
-        rows.filter(F.col("split") == name).drop("split").write.option("header", True).csv(f"{root}/{name}")
-    return tables.read_split_files(spark, {n: f"{root}/{n}" for n in names})
+    rows.write.partitionBy("split").option("header", True).csv(root)
+    return tables.read_split_files(spark, {n: f"{root}/split={n}" for n in ("train", "valid", "test")})
 
 
 @query("src_eval_parquet", """
@@ -142,26 +141,54 @@ def src_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_latest_snapshot(spark, root).select("event_id", "user_id", "event_type")
 
 
-_PREDICTION = """SELECT id AS file, CASE WHEN y = 1 THEN 'fake' ELSE 'real' END AS true_label,
-       CASE WHEN frame_no = 7 THEN 'n/a' ELSE CAST(p AS VARCHAR) END AS fake_prob, CASE WHEN p > 5e-1 THEN 'FAKE' ELSE 'REAL' END AS pred_label,
-       CASE WHEN (y = 1) = (p > 5e-1) THEN 'True' ELSE 'False' END AS correct FROM scored"""
-
-
 @query("src_predictions_csv", with_fixtures("scored", """
-SELECT id AS file, CASE WHEN y = 1 THEN 'FAKE' ELSE 'REAL' END AS true_label, p AS fake_prob,
+SELECT id AS file, CASE WHEN y = 1 THEN 'FAKE' ELSE 'REAL' END AS true_label, p AS fake_prob, CASE WHEN frame_no % 2 = 1 THEN floor((1e0 - p) * 1e4 + 5e-1) / 1e4 END AS real_prob,
        CASE WHEN p > 5e-1 THEN 'FAKE' ELSE 'REAL' END AS pred_label, (y = 1) = (p > 5e-1) AS correct FROM scored WHERE frame_no <> 7"""))
 def src_predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file whose seventh frames carry no usable score, written and read back."""
-    rows, root = X.scored(spark, sf_dir), scratch_path(spark, "predictions")
-    raw = rows.select(
+    """Files of six columns, and of five in another order; seventh frames carry no usable score."""
+    root = scratch_path(spark, "predictions")
+    rows = _prediction_texts(spark, sf_dir)
+    odd = F.col("frame_no") % 2 == 1
+    rows.filter(odd).select(*_SIX_COLUMNS).write.option("header", True).csv(f"{root}/run=a")
+    rows.filter(~odd).select("correct", "pred_label", "file", "fake_prob", "true_label").write.option("header", True).csv(f"{root}/run=b")
+    return tables.read_predictions(spark, root)
+
+
+_SIX_COLUMNS = ("file", "true_label", "fake_prob", "real_prob", "pred_label", "correct")
+
+
+def _prediction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.scored(spark, sf_dir).select(
+        "frame_no",
         F.col("id").alias("file"),
         F.lower(B.label_text(F.col("y"))).alias("true_label"),
         F.when(F.col("frame_no") == 7, "n/a").otherwise(F.col("p").cast("string")).alias("fake_prob"),
+        round_half_up(F.lit(1.0) - F.col("p"), 4).cast("string").alias("real_prob"),
         binary_label(F.col("p")).alias("pred_label"),
         F.initcap(is_correct(F.col("p"), F.col("y")).cast("string")).alias("correct"),
     )
-    raw.write.option("header", True).csv(root)
-    return tables.read_predictions(spark, root)
+
+
+@query("src_csv_rejected", with_fixtures("scored", """
+SELECT CASE frame_no WHEN 2 THEN '5 cells where the header has 6' WHEN 3 THEN '7 cells where the header has 6' WHEN 4 THEN 'open quote' END AS reason,
+       string_split(id, '-')[1] AS item, count(*) AS records FROM scored WHERE frame_no BETWEEN 2 AND 4 GROUP BY ALL"""))
+def src_csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that do not fit their header, set aside: of the predictions, those written with a cell too few or too many or an open quote."""
+    root = scratch_path(spark, "ragged")
+    rows = _prediction_texts(spark, sf_dir)
+    line = F.concat_ws(",", *_SIX_COLUMNS)
+    broken = (
+        F.when(F.col("frame_no") == 2, F.concat_ws(",", *_SIX_COLUMNS[:-1]))
+        .when(F.col("frame_no") == 3, F.concat(line, F.lit(",more")))
+        .when(F.col("frame_no") == 4, F.concat(line, F.lit('"')))
+        .otherwise(line)
+    )
+    # a header to each file, as each task writes one
+    with_header = F.when(F.col("place") == 0, F.concat(F.lit(",".join(_SIX_COLUMNS) + "\n"), broken)).otherwise(broken)
+    placed = rows.withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    placed.select(with_header.alias("value")).write.text(root)
+    rejected = tables.prediction_files(spark, root).rejected
+    return rejected.groupBy("reason", F.split("record", "-")[0].alias("item")).agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("src_result_coalesce", """

@@ -19,7 +19,7 @@ def write_predictions(df: DataFrame, path: str, partition_by: str | None = "stra
     spread = df.hint("rebalance", partition_by) if partition_by else df
     writer = spread.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.save(path)

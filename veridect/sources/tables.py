@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridect.sources.csv_files import NamedCsv, read_named_csv
 from veridect.sources.manifests import require_rows
 
 EVAL_SCHEMA = T.StructType(
@@ -29,7 +30,7 @@ SPLIT_SCHEMA = T.StructType(
     ]
 )
 PREDICTION_TEXT_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("file", "true_label", "fake_prob", "pred_label", "correct")]
+    [T.StructField(c, T.StringType()) for c in ("file", "true_label", "fake_prob", "real_prob", "pred_label", "correct")]
 )
 
 
@@ -55,12 +56,14 @@ def read_latest_snapshot(spark: SparkSession, root: str, key: str = "snapshot")
     return spark.read.parquet(f"{root.rstrip('/')}/{key}={latest}").withColumn(key, F.lit(unquote(latest)))
 
 
+def split_files(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType = SPLIT_SCHEMA) -> dict[str, NamedCsv]:
+    """Each split's CSV (file or folder), its columns found by name, and the records that do not fit."""
+    return {split: read_named_csv(spark, path, schema, ("filepath", "target")) for split, path in paths.items()}
+
+
 def read_split_files(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType = SPLIT_SCHEMA) -> DataFrame:
-    """One CSV (file or folder) per split, with the split name attached."""
-    frames = [
-        spark.read.schema(schema).option("header", True).csv(path).withColumn("split", F.lit(split))
-        for split, path in paths.items()
-    ]
+    """The rows of :func:`split_files`, with the split name attached."""
+    frames = [found.rows.withColumn("split", F.lit(split)) for split, found in split_files(spark, paths, schema).items()]
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame)
@@ -83,17 +86,31 @@ def parse_truth(text: Column) -> Column:
 def normalize_predictions(raw: DataFrame) -> DataFrame:
     """Upper-cased labels, numeric scores, boolean ``correct``; rows without a
     usable score are dropped."""
-    score = F.nullif(F.col("fake_prob").try_cast("double"), F.lit(float("nan")))
+
+    def number(name: str) -> Column:
+        return F.nullif(F.col(name).try_cast("double"), F.lit(float("nan")))
+
     return (
-        raw.withColumns({"true_label": F.upper("true_label"), "fake_prob": score, "correct": parse_truth(F.col("correct"))})
+        raw.withColumns(
+            {
+                "true_label": F.upper("true_label"),
+                "fake_prob": number("fake_prob"),
+                "real_prob": number("real_prob"),
+                "correct": parse_truth(F.col("correct")),
+            }
+        )
         .na.drop(subset=["fake_prob"])
     )
 
 
+def prediction_files(spark: SparkSession, path: str) -> NamedCsv:
+    """Predictions CSVs with or without ``real_prob``, in any order of columns, still as text."""
+    return read_named_csv(spark, path, PREDICTION_TEXT_SCHEMA, ("true_label", "fake_prob", "correct"))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A predictions CSV, read as text and then normalised."""
-    raw = spark.read.schema(PREDICTION_TEXT_SCHEMA).option("header", True).csv(path)
-    return normalize_predictions(raw)
+    """The rows of :func:`prediction_files`, normalised; columns that a file lacks are NULL."""
+    return normalize_predictions(prediction_files(spark, path).rows)
 
 
 def coalesce_results(df: DataFrame, result: str) -> DataFrame:
