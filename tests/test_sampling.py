@@ -19,9 +19,11 @@ def order(ids, seed=42):
     return sorted(ids, key=lambda i: key(i, seed))
 
 
-@pytest.fixture(params=["default", "fine buckets", "no broadcast"])
+@pytest.fixture(params=["default", "cut keys", "fine buckets", "no broadcast"])
 def mode(request, monkeypatch):
-    """The same results with finer hash buckets and without broadcasts."""
+    """The same results by cut keys, with finer hash buckets and without broadcasts."""
+    if request.param != "default":
+        monkeypatch.setattr(S, "LOWEST_ROWS", -1)
     if request.param == "fine buckets":
         monkeypatch.setattr(S, "BUCKET_ROWS", 1)
     if request.param == "no broadcast":
@@ -51,6 +53,15 @@ def test_sample_per_class(items, mode):
     assert S.sample_per_class(df, ["label"], "id", 0).count() == 0
 
 
+def test_small_samples_scan_once(spark, tmp_path):
+    """One scan and no shuffle of more than each task's lowest rows."""
+    spark.range(40_000).selectExpr("id", "id % 3 AS y").repartition(4).write.parquet(str(tmp_path / "t"))
+    sample = S.train_val_per_class(spark.read.parquet(str(tmp_path / "t")), ["y"], "id", 1500, 500)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "WindowGroupLimit" in plan and "ExistingRDD" not in plan
+    assert Counter((r.y, r.subset) for r in sample.collect()) == {(y, s): n for y in range(3) for s, n in (("train", 1500), ("val", 500))}
+
+
 def test_train_val_slices(items, mode):
     data, df = items
     got = defaultdict(set)

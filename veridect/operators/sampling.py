@@ -1,7 +1,8 @@
 """Seeded sampling, splitting and balancing.
 
 All randomness is ``md5(id ':' seed)``, so a sample depends on the ids and
-the seed alone. Exact counts come from cut keys: hash buckets are counted, the
+the seed alone. Small samples are the rows of the lowest keys, of which each task
+keeps its own before they meet. Other exact counts come from cut keys: hash buckets are counted, the
 bucket that holds the wanted rank is searched, and one key per class, which is
 broadcast, decides for every row. Rows are not shuffled for it. If a cut falls
 among rows of equal ids, these are numbered in the order of a hash of the whole
@@ -21,6 +22,8 @@ from veridect.operators.ordered import join_bounded, join_on, row_positions, run
 from veridect.session import cut_lineage
 
 FIRST_DIGITS, BUCKET_ROWS = 3, 2_000_000
+#: Rows a class up to which samples are the lowest keys of each task, merged; and the groups of tasks that merge first.
+LOWEST_ROWS, MERGE_GROUPS = 100_000, 64
 
 
 @dataclass(frozen=True)
@@ -156,8 +159,32 @@ def _within(key: Column, cut: Column) -> Column:
     return F.coalesce(key <= cut, F.lit(True))
 
 
+def _lowest(df: DataFrame, classes: Sequence[str], id_col: str, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows of every class that come first in its shuffled order, with their rank from 1.
+
+    One scan: every task keeps its own first ``n`` rows a class before the
+    shuffle (Spark's window group limit), groups of tasks merge theirs, and the
+    groups' survivors meet in the end.
+    """
+    spark, limit = df.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(limit)) < n:
+        spark.conf.set(limit, n)
+    # equal keys follow a hash of the whole row, so counts stay exact
+    order = [order_key(F.col(id_col), seed), F.xxhash64(*df.columns)]
+    keyed = df.withColumns({"_key": order[0], "_tie": order[1], "_task": F.spark_partition_id() % MERGE_GROUPS})
+    first = Window.partitionBy(*classes, "_task").orderBy("_key", "_tie")
+    last = Window.partitionBy(*classes).orderBy("_key", "_tie")
+    merged = keyed.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= n)
+    return merged.withColumn("_rank", F.row_number().over(last)).filter(F.col("_rank") <= n).drop("_key", "_tie", "_task")
+
+
 def sample_per_class(df: DataFrame, classes: Sequence[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """``min(n, available)`` rows of every class, without replacement."""
+    """``min(n, available)`` rows of every class, without replacement.
+
+    Beyond ``LOWEST_ROWS`` rows a class, a cut key per class is searched instead.
+    """
+    if n <= LOWEST_ROWS:
+        return _lowest(df, classes, id_col, n, seed).drop("_rank")
     buckets = bucket_counts(df, classes, id_col, seed)
     keyed = _with_cuts(df, buckets, classes, id_col, seed, _same_ranks(buckets, classes, {"n": n}))
     return keyed.filter(_within(F.col("_key"), F.col("_cut_n"))).select(*df.columns)
@@ -171,6 +198,9 @@ def train_val_per_class(
     The validation slice starts after ``train`` rows also when the class is
     short, so it may be empty. Unused rows are dropped, as the slices ask for.
     """
+    if train + val <= LOWEST_ROWS:
+        lowest = _lowest(df, classes, id_col, train + val, seed)
+        return lowest.withColumn("subset", F.when(F.col("_rank") <= train, "train").otherwise("val")).drop("_rank")
     buckets = bucket_counts(df, classes, id_col, seed)
     ranks = _same_ranks(buckets, classes, {"train": train, "val": train + val})
     keyed = _with_cuts(df, buckets, classes, id_col, seed, ranks)
