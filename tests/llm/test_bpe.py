@@ -5,7 +5,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from veridect.llm.bpe import bpe, decode_documents, encode_documents
+from veridect.llm.bpe import bpe, decode_documents, encode_documents, round_trip
 from veridect.llm.frames import ByteBoundCache
 from veridect.llm.tokens import tokenizer_path
 
@@ -67,6 +67,8 @@ def test_odd_rows(spark, odd, empty):
     want = library(FILES[0], [r["text"] for r in rows])
     assert [(memoryview(bytes(r["ids"])).cast("I").tolist(), r["decoded"]) for r in rows] == want
     assert len(rows) == odd.count()
+    at_once = round_trip(odd.withColumnRenamed("piece", "ids"), path)
+    assert at_once.columns == done.columns and sorted(map(str, at_once.collect())) == sorted(map(str, rows))
     assert decode_documents(encode_documents(empty, path), path).collect() == []
 
 
@@ -80,9 +82,13 @@ def test_cuts_are_at_pairs_that_no_token_holds():
     assert len(tool.cuts([b"running"])[2]) == 1
 
 
-def test_cache_holds_its_bound():
+def test_cache_holds_its_bound_and_what_is_asked_for():
     cache = ByteBoundCache(100_000)
     for i in range(5000):
-        cache.put(f"key{i}", b"x" * 20)
-    assert cache.held <= 100_000 and cache.held == sum(len(k) + 20 + cache.OVERHEAD for k in cache)
-    assert cache["key4999"] == b"x" * 20
+        assert cache.unknown({f"key{i}", "often"}) == [f"key{i}"] or i == 0
+        cache |= {f"key{i}": b"x" * 20, "often": b"y"}
+        if i % 100 == 0:
+            cache.settle()
+            assert cache.held <= 50_000 and cache.held == sum(len(k) + len(v) + cache.OVERHEAD for k, v in cache.items())
+            assert len(cache.back) <= 400
+    assert cache["key4999"] == b"x" * 20 and cache.unknown({"key0", "often"}) == ["key0"]

@@ -19,7 +19,7 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,10 +33,12 @@ from veridect.llm.tokens import UNUSUAL
 #: Contractions that the word pattern names; on ASCII letters, digits and the rest it reads so.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
+#: Text in one batch of work.
+BATCH_BYTES = 2 << 20
 #: Longer stretches without white space are not remembered.
 CACHED_CHARS = 64
-_NO_RANK = 1 << 40
+_NO_RANK = 1 << 40  # with a place of 20 bits behind it, still within 64
 _SHIFT = 20
 
 
@@ -74,10 +76,12 @@ class ForcedBoundaryBpe:
         for token, number in [*vocabulary.items(), *self.added.items()]:
             self.spelled[number] = token
         self.byte_decoder = (spec["decoder"] or {}).get("type") == "ByteLevel"
-        self.symbol = [vocabulary.get(c, -1) for c in letters] + [vocabulary.get(c + self.suffix, -1) for c in letters]
+        self.symbol = np.array([vocabulary[c] for c in letters] + [vocabulary[c + self.suffix] for c in letters], dtype=np.int64)
         parts = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {vocabulary[a] << _SHIFT | vocabulary[b]: r for r, (a, b) in enumerate(parts)}
-        self.merged = [vocabulary[a + b] for a, b in parts]
+        self.merged_ids = np.array([vocabulary[a + b] for a, b in parts], dtype=np.int64)
+        self.pairs = np.array(sorted(self.rank), dtype=np.int64)
+        self.pair_ranks = np.array([self.rank[p] for p in self.pairs.tolist()], dtype=np.int64)
         self.beside = self._beside(vocabulary)
         self.fragments = ByteBoundCache(CACHE_BYTES // 2)
         self.words = ByteBoundCache(CACHE_BYTES)
@@ -111,27 +115,62 @@ class ForcedBoundaryBpe:
         start[behind[:-1]] = True
         return symbols, behind, np.flatnonzero(start)
 
-    def _merge(self, symbols: np.ndarray) -> bytes:
-        ids = [self.symbol[s] for s in symbols.tolist()]
-        ids = self._merge_short(ids) if len(ids) <= 64 else self._merge_long(ids)
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        get, merged = self.rank.get, self.merged
-        ranks = [get(a << _SHIFT | b, _NO_RANK) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) != _NO_RANK:
-            i = ranks.index(best)
-            ids[i : i + 2] = [merged[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << _SHIFT | ids[i], _NO_RANK)
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << _SHIFT | ids[i + 1], _NO_RANK)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same by a heap of (rank, place) over a linked list."""
-        get, merged, n = self.rank.get, self.merged, len(ids)
+    def _merge(self, fragments: list[bytes]) -> list[bytes]:
+        """Ids of fragments, given as the bytes of their symbols."""
+        long = [len(f) > 2 * CACHED_CHARS for f in fragments]
+        short = iter(self._merge_together([f for f, is_long in zip(fragments, long, strict=True) if not is_long]))
+        return [self._merge_long([int(i) for i in self.symbol[np.frombuffer(f, np.uint16)]]) if is_long else next(short) for f, is_long in zip(fragments, long, strict=True)]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each two ids, or NO_RANK."""
+        wanted = left << _SHIFT | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.pair_ranks[at], _NO_RANK)
+
+    def _merge_together(self, fragments: list[bytes]) -> list[bytes]:
+        """Merges all fragments at once: in each round the first pair of least rank of every one that still has any."""
+        out: list[bytes] = [b""] * len(fragments)
+        if not fragments:
+            return out
+        ids = self.symbol[np.frombuffer(b"".join(fragments), np.uint16)]
+        name = np.arange(len(fragments))
+        start = np.cumsum([0, *(len(f) // 2 for f in fragments[:-1])])
+        ends = np.zeros(len(ids), dtype=bool)
+        ends[start[1:] - 1] = ends[-1] = True
+        rank = np.append(self._ranks(ids[:-1], ids[1:]), _NO_RANK)
+        rank[ends] = _NO_RANK
+        while len(name):
+            best = np.minimum.reduceat(rank << _SHIFT | np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids)))), start)
+            place, least = (best & ((1 << _SHIFT) - 1)) + start, best >> _SHIFT
+            open_ = least != _NO_RANK
+            if not open_.all():
+                stop = np.append(start[1:], len(ids))
+                raw = ids.astype("<u4").tobytes()
+                for i, p, q in zip(name[~open_].tolist(), start[~open_].tolist(), stop[~open_].tolist(), strict=True):
+                    out[i] = raw[4 * p : 4 * q]
+                keep = np.repeat(open_, stop - start)
+                moved = np.cumsum(keep) - keep
+                place, least, name = moved[place[open_]], least[open_], name[open_]
+                ids, ends, rank, start = ids[keep], ends[keep], rank[keep], moved[start[open_]]
+                if not len(name):
+                    break
+            ids[place], ends[place] = self.merged_ids[least], ends[place + 1]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[place + 1] = False
+            ids, ends, rank = ids[keep], ends[keep], rank[keep]
+            # one symbol has gone from every fragment before
+            place, start = place - np.arange(len(place)), start - np.arange(len(start))
+            last = ends[place]
+            rank[place[last]] = _NO_RANK
+            inner = place[~last]
+            rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+            behind = place[place > start]
+            rank[behind - 1] = self._ranks(ids[behind - 1], ids[behind])
+        return out
+
+    def _merge_long(self, ids: list[int]) -> bytes:
+        """The same for one fragment, by a heap of (rank, place) over a linked list."""
+        get, merged, n = self.rank.get, self.merged_ids.tolist(), len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << _SHIFT | ids[i + 1])) is not None]
         heapq.heapify(heap)
@@ -147,34 +186,53 @@ class ForcedBoundaryBpe:
             for left in (before[i], i):
                 if left >= 0 and after[left] >= 0 and (r := get(ids[left] << _SHIFT | ids[after[left]])) is not None:
                     heapq.heappush(heap, (r, left))
-        return [i for i in ids if i >= 0]
+        return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
-    def _split(self, text: str) -> list[bytes]:
-        """Words of a text or of a stretch of it, as the file's normaliser and pattern give them."""
-        if self.drops_space and text.isascii():
-            return [w.encode() for w in ASCII_WORDS.findall(text.lower())]
-        text = self.normalizer.normalize_str(text) if self.normalizer else text
-        return [self._bytes(w) for w, _ in self.pattern.pre_tokenize_str(text)]
+    def _split(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """Words of all stretches of text, as the file's normaliser and pattern give them, and the place behind each stretch's."""
+        words: list[bytes] = []
+        ends: list[int] = []
+        wide = iter(self._split_wide([p for p in pieces if not p.isascii() or not self.drops_space]))
+        for piece in pieces:
+            if not self.drops_space or not piece.isascii():
+                words += next(wide)
+            elif piece.isalpha():
+                words.append(piece.lower().encode())
+            else:
+                words += [w.encode() for w in ASCII_WORDS.findall(piece.lower())]
+            ends.append(len(words))
+        return words, ends
+
+    def _split_wide(self, pieces: list[str]) -> list[list[bytes]]:
+        """The same by the library; short stretches without white space go through it together."""
+        short = [len(p) <= CACHED_CHARS and self.drops_space and not UNUSUAL.search(p) and len(p.split()) == 1 for p in pieces]
+        normal = self.normalizer.normalize_str if self.normalizer else str
+        joined = normal(" ".join([p for p, s in zip(pieces, short, strict=True) if s]))
+        lengths = [len(w) for w in joined.split(" ")]
+        together = len(lengths) == sum(short)
+        behind = np.cumsum(np.array(lengths) + 1) - 1
+        found = self.pattern.pre_tokenize_str(joined) if together else []
+        first = np.searchsorted([at for _, (at, _) in found], behind).tolist()
+        parts = [[self._bytes(w) for w, _ in found[a:b]] for a, b in zip([0, *first], first)]
+        ready = iter(parts)
+        return [next(ready) if s and together else [self._bytes(w) for w, _ in self.pattern.pre_tokenize_str(normal(p))] for p, s in zip(pieces, short, strict=True)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of stretches of text that no token spans."""
-        words, ends = [], []
-        for piece in pieces:
-            words += self._split(piece)
-            ends.append(len(words))
+        words, ends = self._split(pieces)
         if not words:
             return [b""] * len(pieces)
         symbols, behind, start = self.cuts(words)
         raw, stop = symbols.tobytes(), [*start[1:].tolist(), len(symbols)]
-        known, out = self.fragments, []
-        for a, b in zip(start.tolist(), stop, strict=True):
-            key = raw[2 * a : 2 * b]
-            ids = known.get(key)
-            if ids is None:
-                ids = self._merge(symbols[a:b])
-                if b - a <= CACHED_CHARS:
-                    known.put(key, ids)
-            out.append(ids)
+        keys = [raw[2 * a : 2 * b] for a, b in zip(start.tolist(), stop, strict=True)]
+        known = self.fragments
+        known.settle()
+        missing = known.unknown(set(keys))
+        known.update(zip(missing, self._merge(missing), strict=True))
+        out = list(map(known.__getitem__, keys))
+        for key in keys:
+            if len(key) > 2 * CACHED_CHARS:
+                known.pop(key, None)
         places = np.searchsorted(start, np.concatenate([[0], behind])[[0, *ends]])
         return [b"".join(out[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
 
@@ -185,15 +243,14 @@ class ForcedBoundaryBpe:
         # the normaliser works within words, whose white space is plain
         cut = [None if UNUSUAL.search(t) else t.split() for t in texts]
         known = self.words
-        missing = list({w for words in cut if words for w in words if w not in known})
-        fresh = {w: ids for w, ids in zip(missing, self._encode_pieces(missing), strict=True)}
-        odd = [t for t, words in zip(texts, cut, strict=True) if words is None]
-        whole = iter(self._encode_pieces(odd))
-        get, found = known.get, fresh.get
-        out = [next(whole) if words is None else b"".join([get(w) or found(w, b"") for w in words]) for words in cut]
-        for word, ids in fresh.items():
-            if len(word) <= CACHED_CHARS:
-                known.put(word, ids)
+        known.settle()
+        missing = known.unknown(set().union(*(words for words in cut if words)))
+        known.update(zip(missing, self._encode_pieces(missing), strict=True))
+        whole = iter(self._encode_pieces([t for t, words in zip(texts, cut, strict=True) if words is None]))
+        out = [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in missing:
+            if len(word) > CACHED_CHARS:
+                del known[word]
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -220,34 +277,44 @@ def bpe(path: str) -> ForcedBoundaryBpe:
     return ForcedBoundaryBpe(path)
 
 
-def _replaced(df: DataFrame, **columns: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name not in columns] + [T.StructField(n, t) for n, t in columns.items()])
+def _coded(df: DataFrame, column: str, results: dict[str, T.DataType], work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``df`` with result columns, worked out batch by batch; they take the place of columns of their names."""
+    kept = [f for f in df.schema.fields if f.name not in results]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, column, BATCH_BYTES):
+            columns = [batch.column(f.name) for f in kept] + work(batch.column(column))
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *results])
+
+    return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, t) for n, t in results.items())]))
 
 
-def _beside_rows(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    kept = [n for n in batch.schema.names if n not in columns]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns.values()], [*kept, *columns])
+def _encoded(tool: ForcedBoundaryBpe, texts: pa.Array) -> tuple[list[bytes], list[pa.Array]]:
+    ids = tool.encode(texts.to_pylist())
+    return ids, [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())]
 
 
 def encode_documents(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens`` of ``column``."""
+    return _coded(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType()}, lambda texts: _encoded(bpe(path), texts)[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def decode_documents(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
+    """Adds ``decoded``, the text of the ids in ``column``; NULL for NULL."""
+
+    def work(ids: pa.Array) -> list[pa.Array]:
         tool = bpe(path)
-        for batch in small_batches(batches, column):
-            coded = tool.encode(batch.column(column).to_pylist())
-            yield _beside_rows(batch, ids=pa.array(coded, pa.binary()), n_tokens=pa.array([len(c) // 4 for c in coded], pa.int64()))
+        return [pa.array([None if i is None else tool.decode(i) for i in ids.to_pylist()], pa.string())]
 
-    return docs.mapInArrow(run, _replaced(docs, ids=T.BinaryType(), n_tokens=T.LongType()))
+    return _coded(encoded, column, {"decoded": T.StringType()}, work)
 
 
-def decode_documents(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
-    """Adds ``decoded``, the text of the ids in ``column``; NULL for NULL."""
+def round_trip(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """Adds ``ids``, ``n_tokens`` and ``decoded`` in one pass, so that each task holds one copy of the vocabulary."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(texts: pa.Array) -> list[pa.Array]:
         tool = bpe(path)
-        for batch in small_batches(batches, column):
-            texts = [None if ids is None else tool.decode(ids) for ids in batch.column(column).to_pylist()]
-            yield _beside_rows(batch, decoded=pa.array(texts, pa.string()))
+        ids, arrays = _encoded(tool, texts)
+        return [*arrays, pa.array([tool.decode(i) for i in ids], pa.string())]
 
-    return encoded.mapInArrow(run, _replaced(encoded, decoded=T.StringType()))
+    return _coded(docs, column, {"ids": T.BinaryType(), "n_tokens": T.LongType(), "decoded": T.StringType()}, work)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridect.llm import oracles
-from veridect.llm.bpe import decode_documents, encode_documents
+from veridect.llm.bpe import round_trip
 from veridect.llm.conversation_trie import conversation_turns, prefix_trie, regenerate
 from veridect.llm.decontamination import contaminated
 from veridect.llm.frames import documents
@@ -96,9 +96,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = tokenizer_path("word_bpe_49k.json")
-    decoded = decode_documents(encode_documents(documents(spark, sf_dir).select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
