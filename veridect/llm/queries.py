@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridect.llm import oracles
+from veridect.llm.alignment import align_documents
 from veridect.llm.bpe import round_trip
 from veridect.llm.conversation_trie import conversation_turns, prefix_trie, regenerate
 from veridect.llm.decontamination import contaminated
@@ -104,3 +105,9 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie(regenerate(conversation_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return align_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), groups=False)
