@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veridect.functions import arrays as A
 from veridect.functions import decisions as D
 from veridect.operators import fusion as U
-from veridect.operators.features import global_standardize
+from veridect.operators.features import array_statistics, global_standardize
 from veridect.operators.scoring import LinearScorer, batch_summary, score_batches, split_errors
 
 
@@ -143,6 +143,20 @@ def test_global_standardize_uses_training_rows(rows):
     assert got == pytest.approx((np.array([2.0, 10.0]) - x.mean()) / (x.std() + 1e-6))
 
 
+def test_global_statistics_far_from_zero(spark):
+    """Values around 1e9 with a spread of 1, in rows of different lengths, some empty or missing."""
+    rng = np.random.default_rng(4)
+    arrays = [(1e9 + rng.normal(size=n) + n / 10).tolist() for n in rng.integers(0, 9, 400)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate([*arrays, None])], "id int, a array<double>").repartition(7)
+    every = np.concatenate([np.array(a) for a in arrays])
+    got = array_statistics(df, "a").first()
+    assert got["count"] == len(every)
+    assert got["mean"] == pytest.approx(every.mean(), rel=1e-12)
+    assert got["std"] == pytest.approx(every.std(), rel=1e-6)
+    scaled = global_standardize(df, df.filter("id = 1"), "a").first().a
+    assert scaled == pytest.approx((np.array(arrays[1]) - every.mean()) / (every.std() + 1e-6), abs=1e-5)
+
+
 def test_bad_record_policies(rows):
     df = rows([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 2.0])], "id int, features array<double>")
     scorer = LinearScorer([1.0, -1.0], 0.5)

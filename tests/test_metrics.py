@@ -174,6 +174,38 @@ def test_percentiles_and_describe(spark):
     assert E.describe(df, []).first()["count"] == 501
 
 
+@pytest.mark.parametrize("cell_values", [100_000, 50, 1])
+def test_percentiles_by_refinement(spark, monkeypatch, cell_values):
+    """Cells split until they are small, over even, skewed and constant groups."""
+    monkeypatch.setattr(O, "CELL_VALUES", cell_values)
+    monkeypatch.setattr(O, "CELL_BUCKETS", 16)
+    rng = np.random.default_rng(7)
+    groups = {"even": rng.random(3000), "skewed": np.exp(rng.normal(0, 4, 1500)), "ties": rng.integers(0, 3, 400).astype(float), "one": np.array([5.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, values in groups.items() for x in values] + [("even", None)], "g string, p double")
+    quantiles = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.75, "e": 1.0}
+    got = {r.g: list(r)[1:] for r in O.percentiles(df, ["g"], "p", quantiles).collect()}
+    assert got.keys() == groups.keys()
+    for g, values in groups.items():
+        assert got[g] == pytest.approx(np.quantile(values, list(quantiles.values())).tolist())
+
+
+def test_reports_scan_once(spark, tmp_path):
+    """The source is read once; no rows are range partitioned."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame(sample(200, 3), SCORED).withColumn("correct", F.col("p") > 0.5).repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    for made in (E.group_report(df, ["g"]), E.describe(df, ["g"]), E.boxplot(df, ["g"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and "rangepartitioning" not in plan
+    want = E.accuracy(df, ["g"]).join(E.domain_stats(df, ["g"]), "g")
+    assert sorted(map(tuple, E.group_report(df, ["g"]).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_describe_of_groups_without_values(rows):
+    got = {r.g: r for r in E.describe(rows([("a", 1.0), ("b", None), ("b", None)], "g string, p double"), ["g"]).collect()}
+    assert (got["a"]["count"], got["a"].std, got["b"]["count"], got["b"].q50) == (1, None, 0, None)
+
+
 def test_boxplot_whiskers(rows):
     df = rows([("a", float(v)) for v in [1, 2, 3, 4, 5, 100, -50]], "g string, p double")
     r = E.boxplot(df, ["g"]).first()
@@ -253,6 +285,24 @@ def test_calibration_leaves_ranking_alone(spark):
     assert got["baseline_t05"].threshold == 0.5
 
 
+def test_metrics_of_all_variants(spark):
+    """One ladder of logits against each variant's own scores."""
+    data = sample(400, 5)
+    counts = C.score_counts(spark.createDataFrame(data + [(999, "g", 1, None, None)], SCORED))
+    got = {r.variant: r for r in C.metric_rows(counts, {"a": (1.0, 0.5), "b": (1.0, 0.3), "c": (2.5, 0.4)}).collect()}
+    y, z = np.array([r[2] for r in data]), np.array([r[4] for r in data])
+    for name, t, threshold in (("a", 1.0, 0.5), ("b", 1.0, 0.3), ("c", 2.5, 0.4)):
+        p = 1 / (1 + np.exp(-z / t))
+        hit = p >= threshold
+        pairs = (p[y == 1][:, None] > p[y == 0]).mean() + 0.5 * (p[y == 1][:, None] == p[y == 0]).mean()
+        bins = np.minimum((p * 10).astype(int), 9)
+        gap = sum(abs((y - p)[bins == b].sum()) for b in range(10)) / len(y)
+        row = got[name]
+        assert row.accuracy == pytest.approx((hit == y).mean()) and row.precision == pytest.approx(y[hit].mean())
+        assert row.roc_auc == pytest.approx(pairs) and row.brier == pytest.approx(((p - y) ** 2).mean())
+        assert row.ece10 == pytest.approx(gap, abs=1e-6) and row.threshold == threshold
+
+
 def test_class_report_and_zero_division(rows):
     df = rows([(1, "a", 1, 0.4, 0.0), (2, "a", 0, 0.2, 0.0)], SCORED)
     got = {r.row: r for r in E.class_report(df).collect()}

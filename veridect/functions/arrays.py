@@ -44,19 +44,18 @@ def power_to_db(a: Column, relative: bool = True, top_db: float | None = DB_RANG
     return with_constant(a, top, lambda x, t: F.greatest(db(x), t - F.lit(top_db)))
 
 
-def moments(a: Column) -> Column:
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    return F.aggregate(a, zero, lambda m, x: F.struct((m["s"] + x).alias("s"), (m["q"] + x * x).alias("q")))
-
-
 def array_mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(a), F.lit(0))
 
 
+def squared_deviations(a: Column, center: Column) -> Column:
+    squares = with_constant(a, center, lambda x, m: (x - m) * (x - m))
+    return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+
+
 def array_std(a: Column, ddof: int = 0, mean: Column | None = None) -> Column:
     center = array_mean(a) if mean is None else mean
-    squares = with_constant(a, center, lambda x, m: (x - m) * (x - m))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.greatest(F.size(a) - ddof, F.lit(0)), F.lit(0)))
+    return F.sqrt(squared_deviations(a, center) / F.nullif(F.greatest(F.size(a) - ddof, F.lit(0)), F.lit(0)))
 
 
 def standardized(a: Column, mean: Column, std: Column, epsilon: float) -> Column:

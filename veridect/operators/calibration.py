@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from veridect.functions.decisions import calibrated
-from veridect.functions.numeric import bce_with_logits, sigmoid, unit_bin
+from veridect.functions.numeric import bce_with_logits, grid_passed, sigmoid, unit_bin
 from veridect.operators.evaluation import prf_columns
-from veridect.operators.ranked import best_f1, score_ladder
+from veridect.operators.ordered import running_totals
+from veridect.operators.ranked import ap_column, area_sum, best_of_sweep, sweep_cells
 from veridect.operators.sampling import stratified_split
+from veridect.session import cut_lineage
 
 MIN_TEMPERATURE, MAX_TEMPERATURE = 1e-3, 100.0
+#: Bins of the calibration error.
+BINS = 10
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class TemperatureFit:
 
 
 def fit_temperature(
-    df: DataFrame, y: str = "y", z: str = "z", max_iter: int = 50, tol: float = 1e-10, cache: bool = True
+    df: DataFrame, y: str = "y", z: str = "z", max_iter: int = 50, tol: float = 1e-10, cache: bool = True, weight: str | None = None
 ) -> TemperatureFit:
     """Temperature of the least mean cross-entropy of ``z / T``.
 
@@ -36,21 +40,24 @@ def fit_temperature(
     bracket that the gradient sign shrinks, or halves the bracket where Newton
     hardly lowers the gradient. A step is one aggregate of three means with no
     shuffle of rows; only those means reach the driver. ``cache`` keeps the two
-    columns between steps, unless the caller cached the input already. Where the loss still falls
+    columns between steps, unless the caller cached the input already. ``weight``
+    says how many rows a row stands for. Where the loss still falls
     at a limit of T, as for separable classes, that limit is the answer.
     """
-    pairs = df.filter(F.col(z).isNotNull()).select(F.col(z).alias("z"), F.col(y).alias("y"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    pairs = df.filter(F.col(z).isNotNull()).select(F.col(z).alias("z"), F.col(y).alias("y"), times.alias("w"))
     if cache:
         pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
     low, high = 1.0 / MAX_TEMPERATURE, 1.0 / MIN_TEMPERATURE
 
     def loss_and_slopes(b: float) -> list[Column]:
         scaled, s = F.col("z") * F.lit(b), sigmoid(F.col("z") * F.lit(b))
-        return [
-            F.avg(bce_with_logits(scaled, F.col("y"))),
-            F.avg((s - F.col("y")) * F.col("z")),
-            F.avg(s * (F.lit(1.0) - s) * F.col("z") * F.col("z")),
+        values = [
+            bce_with_logits(scaled, F.col("y")),
+            (s - F.col("y")) * F.col("z"),
+            s * (F.lit(1.0) - s) * F.col("z") * F.col("z"),
         ]
+        return [F.sum(v * F.col("w")) / F.sum("w") for v in values]
 
     try:
         ends = pairs.agg(*[c for b in (low, high) for c in loss_and_slopes(b)[:2]]).first()
@@ -106,45 +113,78 @@ def temperature_losses(
     return partial.groupBy("step", "temperature").agg((F.sum("loss") / F.sum("rows")).alias("loss"))
 
 
-def metric_rows(scored: DataFrame, thresholds: Mapping[str, float], y: str = "y", p: str = "p") -> DataFrame:
-    """All metrics at each named threshold, a row per name.
+def score_counts(df: DataFrame, groups: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
+    """Distinct logits with the fakes (``tp``) and others (``fp``) that have them; ``n`` also counts rows without a logit."""
+    fake = F.col(y) == 1
+    return df.groupBy(*groups, F.col(z).alias("z")).agg(
+        F.count_if(fake).alias("tp"), F.count_if(~fake).alias("fp"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def best_thresholds(counts: DataFrame, temperatures: Mapping[str, float], steps: int = 99) -> dict[str, float]:
+    """The first grid threshold of the largest F1 at each temperature, from score counts, in one pass."""
+    ways = F.array(
+        *[
+            F.struct(F.lit(name).alias("variant"), grid_passed(calibrated(F.col("z"), t), steps).alias("cell"))
+            for name, t in temperatures.items()
+        ]
+    )
+    cells = (
+        counts.filter("z IS NOT NULL")
+        .select(F.inline(ways), "tp", "fp")
+        .groupBy("variant", "cell")
+        .agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"))
+    )
+    return {r.variant: r.threshold for r in best_of_sweep(sweep_cells(cells, ["variant"], steps), ["variant"]).collect()}
+
 
-    Counts, ranked metrics, Brier score and ECE all come from one ladder of
-    distinct scores, so the rows are scanned once for all thresholds.
+def metric_rows(counts: DataFrame, variants: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """All metrics of each named (temperature, threshold), a row per name.
+
+    A temperature keeps the order of the logits, so one ladder of distinct
+    logits gives the ranked metrics of all variants, and one pass over it their
+    counts, Brier scores and bins.
     """
-    ladder = score_ladder(scored, (), y, p).withColumn("_bin", unit_bin(F.col(p), 10))
+    ordered = counts.filter("z IS NOT NULL").select("z", "tp", "fp", (-F.col("z")).alias("_down"))
+    ladder = running_totals(ordered, [], ["_down"], ["tp", "fp"])
+    temperatures = sorted({t for t, _ in variants.values()})
+    ladder = ladder.withColumns({f"_p{j}": calibrated(F.col("z"), t) for j, t in enumerate(temperatures)})
+    ladder = ladder.withColumns({f"_bin{j}": unit_bin(F.col(f"_p{j}"), BINS) for j in range(len(temperatures))})
     n = F.col("tp") + F.col("fp")
-    common = {
-        "_area": F.sum(F.col("fp") * (F.col("cum_tp").cast("double") - F.col("tp") / F.lit(2.0))),
-        "_ap": F.sum(
-            F.coalesce(F.col("tp") / F.nullif(F.col("tot_tp"), F.lit(0)), F.lit(0.0)) * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
-        ),
-        "_brier": F.sum(F.col("tp") * (F.col(p) - 1.0) * (F.col(p) - 1.0) + F.col("fp") * F.col(p) * F.col(p)),
-        "_gap": F.abs(F.sum(F.col("tp") - n * F.col(p))),
-    }
-    counts = {}
-    for i, threshold in enumerate(thresholds.values()):
-        hit = F.col(p) >= F.lit(threshold)
-        counts[f"_tp{i}"] = F.sum(F.when(hit, F.col("tp")).otherwise(0))
-        counts[f"_fp{i}"] = F.sum(F.when(hit, F.col("fp")).otherwise(0))
-        counts[f"_tn{i}"] = F.sum(F.when(hit, 0).otherwise(F.col("fp")))
-        counts[f"_fn{i}"] = F.sum(F.when(hit, 0).otherwise(F.col("tp")))
-    by_bin = ladder.groupBy("_bin").agg(*[c.alias(k) for k, c in {**common, **counts}.items()])
-    total = by_bin.agg(*[F.sum(k).alias(k) for k in (*common, *counts)])
-    variants = [
-        F.struct(
-            F.lit(name).alias("variant"),
-            F.lit(float(threshold)).alias("threshold"),
-            *[F.col(f"_{c}{i}").alias(c) for c in ("tp", "fp", "tn", "fn")],
-            *[F.col(c) for c in common],
+    sums = {"_area": area_sum(), "_ap": ap_column(), "_tp": F.sum("tp"), "_fp": F.sum("fp")}
+    for j in range(len(temperatures)):
+        p = F.col(f"_p{j}")
+        sums[f"_brier{j}"] = F.sum(F.col("tp") * (p - 1.0) * (p - 1.0) + F.col("fp") * p * p)
+        for b in range(BINS):
+            sums[f"_gap{j}_{b}"] = F.coalesce(F.sum(F.when(F.col(f"_bin{j}") == b, F.col("tp") - n * p)), F.lit(0.0))
+    for i, (t, threshold) in enumerate(variants.values()):
+        hit = F.col(f"_p{temperatures.index(t)}") >= F.lit(threshold)
+        sums[f"_tp_at{i}"] = F.coalesce(F.sum(F.when(hit, F.col("tp"))), F.lit(0))
+        sums[f"_fp_at{i}"] = F.coalesce(F.sum(F.when(hit, F.col("fp"))), F.lit(0))
+    total = ladder.agg(*[c.alias(k) for k, c in sums.items()])
+    rows = []
+    for i, (name, (t, threshold)) in enumerate(variants.items()):
+        j = temperatures.index(t)
+        gaps = [F.abs(F.col(f"_gap{j}_{b}")) for b in range(BINS)]
+        rows.append(
+            F.struct(
+                F.lit(name).alias("variant"),
+                F.lit(float(threshold)).alias("threshold"),
+                F.col(f"_tp_at{i}").alias("tp"),
+                F.col(f"_fp_at{i}").alias("fp"),
+                (F.col("_fp") - F.col(f"_fp_at{i}")).alias("tn"),
+                (F.col("_tp") - F.col(f"_tp_at{i}")).alias("fn"),
+                F.col("_area").alias("_area"),
+                F.col("_ap").alias("_ap"),
+                F.col(f"_brier{j}").alias("_brier"),
+                sum(gaps[1:], gaps[0]).alias("_gap"),
+            )
         )
-        for i, (name, threshold) in enumerate(thresholds.items())
-    ]
-    rows = (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).cast("double")
+    all_rows = F.nullif((F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).cast("double"), F.lit(0.0))
     positives = (F.col("tp") + F.col("fn")).cast("double")
     negatives = (F.col("fp") + F.col("tn")).cast("double")
     return (
-        total.select(F.inline(F.array(*variants)))
+        total.select(F.inline(F.array(*rows)))
         .withColumns(prf_columns())
         .select(
             "variant",
@@ -154,8 +194,8 @@ def metric_rows(scored: DataFrame, thresholds: Mapping[str, float], y: str = "y"
             "f1",
             (F.col("_area") / F.nullif(positives * negatives, F.lit(0.0))).alias("roc_auc"),
             F.col("_ap").alias("avg_precision"),
-            (F.col("_brier") / F.nullif(rows, F.lit(0.0))).alias("brier"),
-            (F.col("_gap") / F.nullif(rows, F.lit(0.0))).alias("ece10"),
+            (F.col("_brier") / all_rows).alias("brier"),
+            (F.col("_gap") / all_rows).alias("ece10"),
             "threshold",
         )
     )
@@ -169,25 +209,32 @@ class CalibrationReport:
     threshold_calibrated: float
     val_ratio: float
     seed: int
+    #: rows of each half, those without a logit included
+    n_val: int = 0
+    n_test: int = 0
 
 
 def calibration_report(
     df: DataFrame, id_col: str = "id", y: str = "y", z: str = "z", val_ratio: float = 0.2, seed: int = 42, test_metrics: bool = True
 ) -> CalibrationReport:
-    """Temperature and thresholds fitted on validation, reported on test if asked for."""
-    halves = stratified_split(df.select(id_col, y, z), y, id_col, val_ratio, seed).withColumn("p", sigmoid(F.col(z)))
-    halves = halves.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        val, test = halves.filter("split = 'val'"), halves.filter("split = 'test'")
-        fit = fit_temperature(val, y, z, cache=False)
-        rescaled = calibrated(F.col(z), fit.temperature)
-        raw = best_f1(val, (), y).first().threshold
-        tuned = best_f1(val.withColumn("p", rescaled), (), y).first().threshold
-        metrics = None
-        if test_metrics:
-            metrics = metric_rows(test, {"baseline_t05": 0.5, "threshold_only": raw}, y).unionByName(
-                metric_rows(test.withColumn("p", rescaled), {"threshold_plus_calibration": tuned}, y)
-            )
-    finally:
-        halves.unpersist()
-    return CalibrationReport(metrics, fit, raw, tuned, val_ratio, seed)
+    """Temperature and thresholds fitted on validation, reported on test if asked for.
+
+    After the split only counts of distinct logits are left; they are written
+    once, and the fit, both thresholds and all metrics read them.
+    """
+    halves = stratified_split(df.select(id_col, y, z), y, id_col, val_ratio, seed)
+    counts = cut_lineage(score_counts(halves, ["split"], y, z))
+    val, test = counts.filter("split = 'val'"), counts.filter("split = 'test'")
+    sizes = {r.split: r.rows for r in counts.groupBy("split").agg(F.sum("n").alias("rows")).collect()}
+    both = F.array(F.struct(F.lit(1).alias("y"), F.col("tp").alias("w")), F.struct(F.lit(0).alias("y"), F.col("fp").alias("w")))
+    fit = fit_temperature(val.select("z", F.inline(both)).filter("w > 0"), cache=False, weight="w")
+    best = best_thresholds(val, {"raw": 1.0, "calibrated": fit.temperature})
+    metrics = None
+    if test_metrics:
+        variants = {
+            "baseline_t05": (1.0, 0.5),
+            "threshold_only": (1.0, best["raw"]),
+            "threshold_plus_calibration": (fit.temperature, best["calibrated"]),
+        }
+        metrics = metric_rows(test, variants)
+    return CalibrationReport(metrics, fit, best["raw"], best["calibrated"], val_ratio, seed, sizes.get("val", 0), sizes.get("test", 0))

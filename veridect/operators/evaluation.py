@@ -1,8 +1,8 @@
 """Evaluation aggregates over a scored relation.
 
 ``y = 1`` means fake and ``p`` is the probability of fake. Everything here is
-a grouped aggregate with map-side combine, or reads percentiles off running
-counts of distinct scores.
+a grouped aggregate with map-side combine, or works on counts of distinct
+scores, which are stored once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from veridect.functions.numeric import (
     smooth_label,
     unit_bin,
 )
-from veridect.operators.ordered import beside, join_bounded, join_on, percentile_columns, row_positions, running_totals, value_counts
+from veridect.operators.ordered import join_bounded, join_on, percentiles_of_counts, row_positions, value_counts
 from veridect.session import cut_lineage
 
 # Verdict texts and their bounds.
@@ -32,60 +32,64 @@ def _rate(hits: Column, rows: Column) -> Column:
     return safe_ratio(hits, rows) * F.lit(100.0)
 
 
+def _accuracy_sums(rows: Column, ok: Column, fake: Column) -> list[Column]:
+    def total(value: Column, of: Column) -> Column:
+        return F.coalesce(F.sum(F.when(of, value)), F.lit(0))
+
+    every = F.lit(True)
+    return [
+        total(rows, every).alias("total"),
+        total(ok, every).alias("correct_total"),
+        total(rows, ~fake).alias("real_total"),
+        total(ok, ~fake).alias("real_correct"),
+        total(rows, fake).alias("fake_total"),
+        total(ok, fake).alias("fake_correct"),
+    ]
+
+
+def _accuracy_rates() -> dict[str, Column]:
+    return {
+        "real_acc": _rate(F.col("real_correct"), F.col("real_total")),
+        "fake_acc": _rate(F.col("fake_correct"), F.col("fake_total")),
+        "overall_acc": _rate(F.col("correct_total"), F.col("total")),
+    }
+
+
 def accuracy(df: DataFrame, groups: Sequence[str] = (), y: str = "y", correct: str = "correct") -> DataFrame:
     """Per-class and overall accuracy in percent; an empty class gives 0."""
-    ok, fake = F.col(correct), F.col(y) == 1
-    return (
-        df.groupBy(*groups)
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            F.count_if(ok).alias("correct_total"),
-            F.count_if(~fake).alias("real_total"),
-            F.count_if(~fake & ok).alias("real_correct"),
-            F.count_if(fake).alias("fake_total"),
-            F.count_if(fake & ok).alias("fake_correct"),
-        )
-        .withColumns(
-            {
-                "real_acc": _rate(F.col("real_correct"), F.col("real_total")),
-                "fake_acc": _rate(F.col("fake_correct"), F.col("fake_total")),
-                "overall_acc": _rate(F.col("correct_total"), F.col("total")),
-            }
-        )
-    )
+    ok = F.when(F.col(correct), 1).otherwise(0).cast("bigint")
+    sums = _accuracy_sums(F.lit(1).cast("bigint"), ok, F.col(y) == 1)
+    return df.groupBy(*groups).agg(*sums).withColumns(_accuracy_rates())
 
 
 def describe(df: DataFrame, groups: Sequence[str], value: str = "p", digits: int = 4) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum, rounded."""
-    ladder = running_totals(value_counts(df, groups, value), groups, [value], ["n"])
-    quartiles = ladder.groupBy(*groups).agg(
-        *percentile_columns(value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    )
-    moments = df.groupBy(*groups).agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    """Count, mean, sample deviation, minimum, quartiles and maximum, rounded.
+
+    All from the counts of distinct values. A group without any value has a
+    count of 0 and nothing else.
+    """
+    groups, v = list(groups), F.col(value)
+    counts = cut_lineage(df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")))
+    valued = counts.filter(v.isNotNull())
+    carried = {"count": F.sum("n"), "mean": F.sum(v * F.col("n")) / F.sum("n"), "min": F.min(v), "max": F.max(v)}
+    found = cut_lineage(percentiles_of_counts(valued, groups, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, carried))
+    apart = v - F.col("mean")
+    spread = (
+        join_bounded(valued, found.select(*groups, "mean", "count"), groups, found.count())
+        .groupBy(*groups)
+        .agg(F.sqrt(F.sum(F.col("n") * apart * apart) / F.nullif(F.max("count") - 1, F.lit(0))).alias("std"))
     )
-    both = join_on(moments, quartiles, groups, "left") if groups else beside(moments, quartiles)
+    every = counts.select(*groups).distinct() if groups else df.sparkSession.range(1).select()
+    whole = join_on(join_on(every, found, groups, "left"), spread, groups, "left").fillna(0, ["count"])
     numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
-    return both.select(*groups, "count", *[round_half_up(F.col(c), digits).alias(c) for c in numbers])
+    return whole.select(*groups, "count", *[round_half_up(F.col(c), digits).alias(c) for c in numbers])
 
 
-def domain_stats(
-    df: DataFrame, groups: Sequence[str], y: str = "y", p: str = "p", empty: float | None = 0.0
-) -> DataFrame:
-    """Mean and median score of both classes and their separation.
-
-    ``empty`` is the value of an empty class: 0.0, or None for NULL.
-    """
-    counts = value_counts(df, [*groups, y], p)
-    ladder = running_totals(counts, [*groups, y], [p], ["n"])
-    per_class = ladder.groupBy(*groups, y).agg(
-        (F.sum(F.col(p) * F.col("n")) / F.sum("n")).alias("_mean"),
-        *percentile_columns(p, {"_median": 0.5}),
-    )
+def _class_stats(counts: DataFrame, groups: Sequence[str], y: str, p: str, empty: float | None) -> DataFrame:
+    """Means and medians of both classes from counts (groups..., y, p, n)."""
+    scored = counts.filter(F.col(p).isNotNull()).select(*groups, y, p, "n")
+    mean = F.sum(F.col(p) * F.col("n")) / F.sum("n")
+    per_class = percentiles_of_counts(scored, [*groups, y], p, {"_median": 0.5}, {"_mean": mean})
 
     def pick(column: str, label: int) -> Column:
         value = F.max(F.when(F.col(y) == label, F.col(column)))
@@ -103,6 +107,16 @@ def domain_stats(
     )
 
 
+def domain_stats(
+    df: DataFrame, groups: Sequence[str], y: str = "y", p: str = "p", empty: float | None = 0.0
+) -> DataFrame:
+    """Mean and median score of both classes and their separation.
+
+    ``empty`` is the value of an empty class: 0.0, or None for NULL.
+    """
+    return _class_stats(cut_lineage(value_counts(df, [*groups, y], p)), groups, y, p, empty)
+
+
 def separation_verdict(separation: Column) -> Column:
     return (
         F.when(separation > F.lit(SEPARATION_GOOD), "good")
@@ -120,9 +134,14 @@ def generalization_verdict(overall_acc: Column) -> Column:
     )
 
 
-def group_report(df: DataFrame, groups: Sequence[str], empty: float | None = 0.0) -> DataFrame:
-    """Accuracy and distribution statistics side by side."""
-    return join_on(accuracy(df, groups), domain_stats(df, groups, empty=empty), groups, "left")
+def group_report(
+    df: DataFrame, groups: Sequence[str], empty: float | None = 0.0, y: str = "y", p: str = "p", correct: str = "correct"
+) -> DataFrame:
+    """Accuracy and distribution statistics side by side, both from one stored count of (class, score)."""
+    ok = F.count_if(F.col(correct)).alias("_ok")
+    counts = cut_lineage(df.groupBy(*groups, y, p).agg(F.count(F.lit(1)).alias("n"), ok))
+    rated = counts.groupBy(*groups).agg(*_accuracy_sums(F.col("n"), F.col("_ok"), F.col(y) == 1)).withColumns(_accuracy_rates())
+    return join_on(rated, _class_stats(counts, groups, y, p, empty), groups, "left")
 
 
 def domain_compare(df: DataFrame, domain: str, source: str, target: str) -> DataFrame:
@@ -159,12 +178,19 @@ def strategy_compare(df: DataFrame, strategy: str = "strategy") -> DataFrame:
     return group_report(df, [strategy]).withColumn("conclusion", separation_verdict(F.col("separation")))
 
 
-def forgetting_check(df: DataFrame, strategies: DataFrame, domain: str, source: str) -> DataFrame:
-    """Overall source-domain accuracy per strategy; NULL where it has no data."""
-    measured = accuracy(df.filter(F.col(domain) == source), ["strategy"]).select(
-        "strategy", F.col("total").alias("rows"), "overall_acc"
+def forgetting_check(df: DataFrame, strategies: DataFrame | None, domain: str, source: str) -> DataFrame:
+    """Overall source-domain accuracy per strategy; NULL where it has no data.
+
+    Without a list of ``strategies`` it is those of ``df``, in the same scan.
+    """
+    own = F.col(domain) == source
+    rows = F.count_if(own)
+    measured = df.groupBy("strategy").agg(
+        F.nullif(rows, F.lit(0)).alias("rows"),
+        F.when(rows > 0, _rate(F.count_if(own & F.col("correct")), rows)).alias("overall_acc"),
     )
-    return join_on(strategies, measured, ["strategy"], "left").withColumn("skipped", F.col("rows").isNull())
+    listed = measured if strategies is None else join_on(strategies, measured, ["strategy"], "left")
+    return listed.withColumn("skipped", F.col("rows").isNull())
 
 
 def histogram(df: DataFrame, groups: Sequence[str], p: str = "p", bins: int = 20) -> DataFrame:
@@ -185,8 +211,8 @@ def boxplot(df: DataFrame, groups: Sequence[str], value: str = "p", whisker: flo
 
     Works on distinct values and their counts after the quartiles are known.
     """
-    ladder = running_totals(value_counts(df, groups, value), groups, [value], ["n"])
-    quartiles = ladder.groupBy(*groups).agg(*percentile_columns(value, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+    ladder = cut_lineage(value_counts(df, groups, value))
+    quartiles = percentiles_of_counts(ladder, groups, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fenced = quartiles.withColumns(
         {
             "_low": F.col("q1") - F.lit(whisker) * (F.col("q3") - F.col("q1")),

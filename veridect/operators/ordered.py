@@ -8,6 +8,7 @@ few, and a window inside each slab.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,25 +95,76 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str, extra: Mappin
     return df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(*aggregates)
 
 
-def percentile_columns(value: str, quantiles: Mapping[str, float]) -> list[Column]:
-    """Aggregates that read linear-interpolation percentiles off running counts.
+#: Values of one cell that a window sorts; cells with more are split into as many buckets.
+CELL_VALUES, CELL_BUCKETS = 100_000, 4_096
 
-    They apply to ``running_totals(value_counts(...), ..., ["n"])``.
+
+def _positions(quantiles: Mapping[str, float]) -> list[Column]:
+    """0-based ranks of the rows on either side of each quantile."""
+    exact = [(F.col("_total") - 1).cast("double") * F.lit(q) for q in quantiles.values()]
+    return [side for x in exact for side in (F.floor(x), F.ceil(x))]
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def percentiles_of_counts(
+    counts: DataFrame, groups: Sequence[str], value: str, quantiles: Mapping[str, float], carried: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Linear-interpolation percentiles per group from (groups..., value, n), a row per distinct finite value.
+
+    Only cells that hold a wanted rank are sorted. A group starts as one cell;
+    while a cell has too many distinct values, the values of all cells are
+    counted in buckets between the cell's ends, and the buckets with a wanted
+    rank are the next cells. ``counts`` is read once a round and should be
+    stored. ``carried`` are aggregates of a group's counts to return with them.
     """
+    groups, v = list(groups), F.col(value)
+    cells = counts.groupBy(*groups).agg(
+        F.min(v).alias("_low"),
+        F.max(v).alias("_high"),
+        F.lit(0).cast("bigint").alias("_before"),
+        F.sum("n").alias("_total"),
+        F.count(F.lit(1)).alias("_values"),
+        F.lit(0).alias("_cell"),
+        *[c.alias(k) for k, c in (carried or {}).items()],
+    )
+    kept = ["_total", *(carried or {})]
+    while True:
+        cells = cut_lineage(cells)
+        size = cells.agg(F.count(F.lit(1)).alias("cells"), F.max("_values").alias("largest")).first()
+        placed = join_bounded(counts.select(*groups, value, "n"), cells, groups, size["cells"]).filter(v.between(F.col("_low"), F.col("_high")))
+        if (size["largest"] or 0) <= CELL_VALUES:
+            break
+        share = (v - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+        bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.lit(float(CELL_BUCKETS))), F.lit(CELL_BUCKETS - 1))
+        buckets = placed.groupBy(*groups, "_cell", bucket.alias("_bucket")).agg(
+            F.min(v).alias("_low"),
+            F.max(v).alias("_high"),
+            F.min("_before").alias("_start"),
+            F.sum("n").alias("_n"),
+            F.count(F.lit(1)).alias("_values"),
+            *[F.first(c).alias(c) for c in kept],
+        )
+        upto = F.col("_start") + F.sum("_n").over(Window.partitionBy(*groups, "_cell").orderBy("_bucket"))
+        counted = buckets.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+        wanted = _any([(F.col("_before") <= r) & (r < F.col("_upto")) for r in _positions(quantiles)])
+        number = F.row_number().over(Window.partitionBy(*groups).orderBy("_low"))
+        cells = counted.filter(wanted).select(*groups, "_low", "_high", "_before", "_values", number.alias("_cell"), *kept)
+    last = F.col("_before") + F.sum("n").over(Window.partitionBy(*groups, "_cell").orderBy(value))
+    ranked = placed.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("n"))
+    sides = [F.max(F.when((F.col("_first") <= r) & (r < F.col("_last")), v)) for r in _positions(quantiles)]
+    found = ranked.groupBy(*groups).agg(
+        *[s.alias(f"_side{i}") for i, s in enumerate(sides)], *[F.first(c).alias(c) for c in kept]
+    )
     columns = []
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n")
-    for name, q in quantiles.items():
-        position = (F.col("tot_n") - 1).cast("double") * F.lit(q)
-        low = F.floor(position)
-        high = F.ceil(position)
-        at_low = F.max(F.when((first <= low) & (low < last), F.col(value)))
-        at_high = F.max(F.when((first <= high) & (high < last), F.col(value)))
-        part = F.max(position - low.cast("double"))
-        columns.append((at_low + (at_high - at_low) * part).alias(name))
-    return columns
+    for i, (name, q) in enumerate(quantiles.items()):
+        exact, low, high = (F.col("_total") - 1).cast("double") * F.lit(q), F.col(f"_side{2 * i}"), F.col(f"_side{2 * i + 1}")
+        columns.append((low + (high - low) * (exact - F.floor(exact).cast("double"))).alias(name))
+    return found.select(*groups, *columns, *(carried or {}))
 
 
 def percentiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    """Exact percentiles per group without collecting a group in one task."""
-    ladder = running_totals(value_counts(df, groups, value), groups, [value], ["n"])
-    return ladder.groupBy(*groups).agg(*percentile_columns(value, quantiles))
+    """Exact percentiles per group in one scan, without sorting the rows."""
+    return percentiles_of_counts(cut_lineage(value_counts(df, groups, value)), groups, value, quantiles)

@@ -43,10 +43,14 @@ def roc_curve(df: DataFrame, groups: Sequence[str] = (), y: str = "y", p: str =
     return points.unionByName(start)
 
 
+def area_sum() -> Column:
+    """Pairs of a fake above another over a ladder, ties counted half."""
+    return F.sum(F.col("fp") * (F.col("cum_tp").cast("double") - F.col("tp") / F.lit(2.0)))
+
+
 def auc_column(empty: float | None = None) -> Column:
     """Area under the ROC curve over a ladder; ``empty`` stands for one class."""
-    area = F.sum(F.col("fp") * (F.col("cum_tp").cast("double") - F.col("tp") / F.lit(2.0)))
-    value = area / F.nullif(F.max(F.col("tot_tp").cast("double") * F.col("tot_fp")), F.lit(0.0))
+    value = area_sum() / F.nullif(F.max(F.col("tot_tp").cast("double") * F.col("tot_fp")), F.lit(0.0))
     return value if empty is None else F.coalesce(value, F.lit(empty))
 
 
@@ -84,6 +88,12 @@ def threshold_sweep(
         .groupBy(*groups, grid_passed(F.col(p), count).alias("cell"))
         .agg(F.count_if(F.col(y) == 1).alias("_tp"), F.count_if(F.col(y) != 1).alias("_fp"))
     )
+    return sweep_cells(cells, groups, count)
+
+
+def sweep_cells(cells: DataFrame, groups: Sequence[str] = (), count: int = 99) -> DataFrame:
+    """The sweep over (groups..., cell, _tp, _fp), a row per cell that has rows."""
+    groups = list(groups)
     frame = cells.select(*groups).distinct() if groups else cells.agg(F.count(F.lit(1)).alias("_c")).select()
     grid = frame.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(count))))
     filled = join_on(grid, cells, [*groups, "cell"], "left").fillna(0, ["_tp", "_fp"])
@@ -114,13 +124,12 @@ def threshold_sweep(
 
 def best_f1(df: DataFrame, groups: Sequence[str] = (), y: str = "y", p: str = "p", count: int = 99) -> DataFrame:
     """The first grid threshold that reaches the largest F1."""
+    return best_of_sweep(threshold_sweep(df, groups, y, p, count), groups)
+
+
+def best_of_sweep(sweep: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     best = F.max_by(F.struct("threshold", "f1"), F.struct(F.col("f1"), -F.col("step")))
-    return (
-        threshold_sweep(df, groups, y, p, count)
-        .groupBy(*groups)
-        .agg(best.alias("_b"))
-        .select(*groups, "_b.threshold", "_b.f1")
-    )
+    return sweep.groupBy(*groups).agg(best.alias("_b")).select(*groups, "_b.threshold", "_b.f1")
 
 
 def by_generator(df: DataFrame, group: str, y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:

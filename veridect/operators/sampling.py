@@ -66,13 +66,14 @@ def bucket_counts(df: DataFrame, classes: Sequence[str], id_col: str, seed: int)
         return cut_lineage(keyed.groupBy(*classes, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
 
     counts, digits = count(FIRST_DIGITS), FIRST_DIGITS
-    size = counts.agg(F.max("_n").alias("largest"), F.count(F.lit(1)).alias("rows")).first()
+    kinds = F.count_distinct(F.struct(*classes))
+    size = counts.agg(F.max("_n").alias("largest"), F.count(F.lit(1)).alias("rows"), kinds.alias("classes")).first()
     rows = size["rows"]
     if (size["largest"] or 0) > BUCKET_ROWS:
         digits += math.ceil(math.log(size["largest"] / BUCKET_ROWS, 16))
         counts = count(digits)
         rows = counts.count()
-    return Buckets(counts, digits, rows, counts.select(*classes).distinct().count())
+    return Buckets(counts, digits, rows, size["classes"])
 
 
 def class_sizes(buckets: Buckets, classes: Sequence[str]) -> DataFrame:

@@ -308,14 +308,10 @@ FROM ({CALIBRATION_VARIANTS}) v, ({CALIBRATION_FIT}) f,
 def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report as written and read back: one row per set of test metrics, rounded for comparison."""
     root = scratch_path(spark, "report")
-    rows = X.scored(spark, sf_dir)
-    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("available"))
-    counts = S.stratified_quotas(sizes, "y").agg(
-        F.sum("available").alias("n_samples"),
-        F.sum("quota").alias("n_val"),
-        (F.sum("available") - F.sum("quota")).alias("n_test"),
-    )
-    frame = writers.report_frame(C.calibration_report(rows), "local/linear", sf_dir, counts)
+    report = C.calibration_report(X.scored(spark, sf_dir))
+    sizes = {"n_samples": report.n_val + report.n_test, "n_val": report.n_val, "n_test": report.n_test}
+    counts = spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in sizes.items()])
+    frame = writers.report_frame(report, "local/linear", sf_dir, counts)
     writers.write_json(frame, root)
     written = spark.read.schema(frame.schema).json(root)
     names = [c.removeprefix("test_metrics_") for c in written.columns if c.startswith("test_metrics_")]

@@ -152,8 +152,7 @@ FROM (SELECT DISTINCT strategy FROM strategies) s
 LEFT JOIN (SELECT strategy, total AS rows, {_RATES} FROM ({_accuracy_sql('strategy', "(SELECT * FROM strategies WHERE domain = 'src')", 'correct')}) x) a
 ON s.strategy = a.strategy"""))
 def ev_forgetting_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.strategies(spark, sf_dir)
-    checked = E.forgetting_check(rows, rows.select("strategy").distinct(), "domain", "src")
+    checked = E.forgetting_check(X.strategies(spark, sf_dir), None, "domain", "src")
     return round_columns(checked, "overall_acc")
 
 
