@@ -14,7 +14,7 @@ from veridect.operators.fusion import MODALITY_WEIGHTS
 from veridect.session import shared_dir
 from veridect.plans.catalog import ORACLES, QUERIES
 from veridect.sinks import writers
-from veridect.sources import images, manifests, tables
+from veridect.sources import images, listing, manifests, tables
 from veridect.streaming import fusion, jobs
 from veridect.streaming import progress as P
 
@@ -33,15 +33,17 @@ def names(df, column="path"):
 
 def test_image_manifest_from_directory(spark, tmp_path):
     touch(tmp_path, "REAL/a.JPG", "REAL/sub/b.jpeg", "my_fakes/c.Png", "my_fakes/d.txt", "other/e.png", "top.PNG", "f.jPg")
-    listing = manifests.list_files(spark, str(tmp_path))
-    assert names(manifests.image_manifest(listing)) == ["a.JPG", "b.jpeg", "c.Png", "e.png", "f.jPg", "top.PNG"]
+    found = manifests.list_files(spark, str(tmp_path))
+    assert names(manifests.image_manifest(found)) == ["a.JPG", "b.jpeg", "c.Png", "e.png", "f.jPg", "top.PNG"]
     root = "file:" + str(tmp_path)
-    assert names(manifests.flat_image_manifest(listing, root)) == ["f.jPg", "top.PNG"]
-    assert names(manifests.flat_image_manifest(listing, root, uniform_case=True)) == ["top.PNG"]
-    labelled = manifests.label_from_dir(listing, root)
+    assert names(manifests.flat_image_manifest(found, root)) == ["f.jPg", "top.PNG"]
+    assert names(manifests.flat_image_manifest(found, root, uniform_case=True)) == ["top.PNG"]
+    labelled = manifests.label_from_dir(found, root)
     got = {os.path.basename(r.path): r.label for r in labelled.collect()}
     assert got == {"a.JPG": "real", "b.jpeg": "real", "c.Png": "fake", "d.txt": "fake", "e.png": None, "top.PNG": None, "f.jPg": None}
-    strict = {os.path.basename(r.path): r.label for r in manifests.label_from_dir(listing, root, strict=True).collect()}
+    both = {os.path.basename(r.path): (r.label, r.strict_label) for r in manifests.labels_from_dir(found, root).collect()}
+    strict = {os.path.basename(r.path): r.label for r in manifests.label_from_dir(found, root, strict=True).collect()}
+    assert both == {name: (got[name], strict[name]) for name in got}
     assert strict["a.JPG"] == "real" and strict["c.Png"] is None
     with pytest.raises(Exception, match="no label directory"):
         manifests.require_labels(labelled).collect()
@@ -49,8 +51,8 @@ def test_image_manifest_from_directory(spark, tmp_path):
 
 def test_exact_label_directory_wins(spark, tmp_path):
     touch(tmp_path, "fake/x.png", "a_fake_one/y.png", "real/z.png")
-    listing = manifests.list_files(spark, str(tmp_path))
-    got = {os.path.basename(r.path): r.label for r in manifests.label_from_dir(listing, "file:" + str(tmp_path)).collect()}
+    found = manifests.list_files(spark, str(tmp_path))
+    got = {os.path.basename(r.path): r.label for r in manifests.label_from_dir(found, "file:" + str(tmp_path)).collect()}
     assert got == {"x.png": "fake", "y.png": None, "z.png": "real"}
 
 
@@ -59,12 +61,12 @@ def test_audio_manifests(spark, tmp_path):
     touch(tmp_path, f"{base}/training/real/a.wav", f"{base}/testing/fake/b.mp3", f"{base}/training/real/deep/c.wav",
           f"{base}/training/real/d.WAV", "short/dev/fake/e.flac", "short/extra/fake/f.wav", "short/train/other/g.wav")
     root = "file:" + str(tmp_path)
-    listing = manifests.list_files(spark, str(tmp_path))
-    got = {(os.path.basename(r.file_path), r.label, r.split, r.source) for r in manifests.audio_manifest(listing, f"{root}/named", f"{root}/short").collect()}
+    found = manifests.list_files(spark, str(tmp_path))
+    got = {(os.path.basename(r.file_path), r.label, r.split, r.source) for r in manifests.audio_manifest(found, f"{root}/named", f"{root}/short").collect()}
     assert got == {("a.wav", "real", "training", "FakeOrReal"), ("b.mp3", "fake", "testing", "FakeOrReal"), ("e.flac", "fake", "validation", "SceneFake")}
-    assert len(names(manifests.audio_discovery(listing))) == 6
+    assert len(names(manifests.audio_discovery(found))) == 6
     with pytest.raises(manifests.EmptyManifest):
-        manifests.require_rows(manifests.audio_manifest(listing, "/none", "/none"), "audio")
+        manifests.require_rows(manifests.audio_manifest(found, "/none", "/none"), "audio")
 
 
 def png(width, height, kind):
@@ -86,6 +88,48 @@ def test_image_headers(spark, tmp_path):
     assert tuple(images.invalid_count(meta).first()) == (3, 1)
 
 
+def test_tree_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Any depth, odd names, empty folders and names that Spark skips; links to folders are left alone."""
+    every = ["a.jpg", "d/b c%20ü.png", "d/e/f/g/_hidden.jpg", "d/e/.dot", "d/e/x#y?z.txt", "k=v/part"]
+    touch(tmp_path, *every, data=b"12345")
+    os.makedirs(tmp_path / "empty" / "inside")
+    os.symlink(tmp_path, tmp_path / "d" / "loop")
+    monkeypatch.setattr(listing, "BATCH_ENTRIES", 2)
+    for root in (str(tmp_path), f"file:{tmp_path}/"):
+        got = {(r.path, r.length) for r in listing.list_tree(spark, root).collect()}
+        assert got == {(f"{root.rstrip('/')}/{name}", 5) for name in every}
+    assert listing.list_tree(spark, str(tmp_path / "empty")).collect() == []
+    with pytest.raises(Exception, match="absent"):
+        listing.list_tree(spark, str(tmp_path / "absent")).collect()
+
+
+def test_headers_by_ranges(spark, tmp_path):
+    """A JPEG whose header stands behind a megabyte of other segments costs a few bytes a segment."""
+    segment = b"\xff\xe1\xff\xff" + b"\x00" * 65533
+    frame = b"\xff\xc2\x00\x0b\x08\x00\x07\x00\x09\x01\x01\x11\x00"
+    png = b"\x89PNG\r\n\x1a\n\x00\x00\x00\x0dIHDR" + struct.pack(">IIBB", 5, 6, 16, 0) + b"\x00" * 500_000
+    files = {
+        "deep.jpg": b"\xff\xd8" + segment * 16 + b"\xff\xff\xd0" + frame + b"\xff\xd9",
+        "p.png": png,
+        "short.png": png[:20],
+        "cut.jpg": b"\xff\xd8" + segment[:100],
+        "text.jpg": b"hello",
+        "none": b"",
+    }
+    for name, data in files.items():
+        touch(tmp_path, name, data=data)
+    rows = images.read_headers(listing.list_tree(spark, str(tmp_path)), str(tmp_path)).collect()
+    got = {os.path.basename(r.path): (r.format, r.mode, r.width, r.height, r.valid) for r in rows}
+    assert got == {
+        "deep.jpg": ("JPEG", "L", 9, 7, True),
+        "p.png": ("PNG", "I;16", 5, 6, True),
+        **{n: (None, None, None, None, False) for n in ("short.png", "cut.jpg", "text.jpg", "none")},
+    }
+    assert max(r.bytes_read for r in rows) <= 26 + 20 * 10
+    gone = spark.createDataFrame([(str(tmp_path / "gone"),)], "path string")
+    assert images.read_headers(gone, str(tmp_path)).first().valid is False
+
+
 def test_predictions_csv(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_text("file,true_label,fake_prob,pred_label,correct\na,fake,0.9,FAKE,True\nb,Real,oops,REAL,true\nc,real,,REAL,1\nd,REAL,0.2,REAL,false\ne,REAL,nan,REAL,x\nf,fake,1e-1,REAL,0\n")

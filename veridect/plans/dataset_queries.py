@@ -17,6 +17,7 @@ from veridect.plans.fixtures import joined_items, joined_items_sql, round_column
 from veridect.plans.registry import query
 from veridect.session import scratch_path
 from veridect.sources import images, manifests, tables
+from veridect.sources.listing import list_tree
 
 SEED = 42
 
@@ -28,18 +29,23 @@ SEED = 42
 SELECT path, length, lower(path) AS sort_key, lower(string_split(path, '/')[-1]) AS name_key
 FROM listing WHERE regexp_matches(path, '(?i)[^/]\\.(jpg|jpeg|png)$')"""))
 def src_image_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = manifests.image_manifest(X.listing(spark, sf_dir))
-    return found.withColumn("name_key", F.lower(manifests.file_name(F.col("path"))))
+    """A tree of files as long as the documents, written and then listed folder by folder."""
+    root = scratch_path(spark, "tree")
+    listed = X.listing(spark, sf_dir)
+    X.write_tree(listed.select("path", F.repeat(F.lit("x"), F.col("length").cast("int")).cast("binary").alias("content")), root)
+    below = _relative(list_tree(spark, root), root)
+    return manifests.image_manifest(below).withColumn("name_key", F.lower(manifests.file_name(F.col("path"))))
+
+
+def _relative(files: DataFrame, root: str) -> DataFrame:
+    return files.withColumn("path", F.substring("path", F.lit(len(root.rstrip("/")) + 1), F.length("path")))
 
 
 @query("src_label_from_dir", with_fixtures("listing", """
 SELECT path, CASE WHEN path LIKE '/corpus/REAL/%' THEN 'real' WHEN path LIKE '/corpus/all\\_fakes/%' ESCAPE '\\' THEN 'fake' END AS label,
        CASE WHEN path LIKE '/corpus/REAL/%' THEN 'real' END AS strict_label FROM listing"""))
 def src_label_from_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = X.listing(spark, sf_dir).select("path")
-    loose = manifests.label_from_dir(files, "/corpus")
-    strict = manifests.label_from_dir(files, "/corpus", strict=True).withColumnRenamed("label", "strict_label")
-    return loose.join(strict, "path")
+    return manifests.labels_from_dir(X.listing(spark, sf_dir).select("path"), "/corpus")
 
 
 @query("src_audio_manifest", with_fixtures("audio_listing", """
@@ -57,7 +63,10 @@ def src_audio_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src_audio_discovery", with_fixtures(
     "audio_listing", "SELECT path FROM audio_listing WHERE regexp_matches(path, '[^/]\\.(wav|mp3|flac|m4a|ogg)$')"))
 def src_audio_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.audio_discovery(X.audio_listing(spark, sf_dir))
+    """A tree of empty files, written and then listed folder by folder."""
+    root = scratch_path(spark, "tree")
+    X.write_tree(X.audio_listing(spark, sf_dir).withColumn("content", F.lit(b"")), root)
+    return manifests.audio_discovery(_relative(list_tree(spark, root), root)).select("path")
 
 
 _SPLIT_OF = "CASE WHEN lang = 'en' THEN 'train' WHEN lang = 'de' THEN 'valid' ELSE 'test' END"
@@ -86,14 +95,14 @@ def src_split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("src_eval_parquet", """
-SELECT CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, 'generator-' || CAST(label AS VARCHAR) AS model_name, count(*) AS rows
-FROM embeddings GROUP BY ALL""")
+SELECT CASE WHEN e.label < 5 THEN 1 ELSE 0 END AS label, 'generator-' || CAST(e.label AS VARCHAR) AS model_name, count(*) AS rows,
+       count(*) FILTER (WHERE e.label <> 7) AS readable FROM embeddings e GROUP BY e.label""")
 def src_eval_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of (image_data, label, model_name, extra) of which two columns are read."""
+    """Shards of (image_data, label, model_name, extra): rows and readable images of each generator."""
     root = scratch_path(spark, "shards")
     encoded_images(spark, sf_dir).withColumn("extra", F.lit("unused")).write.parquet(root)
-    shards = tables.read_eval_shards(spark, root, ("label", "model_name"))
-    return shards.groupBy("label", "model_name").agg(F.count(F.lit(1)).alias("rows"))
+    checked = images.image_metadata(tables.read_eval_shards(spark, root), "image_data")
+    return checked.groupBy("label", "model_name").agg(F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("readable"))
 
 
 def encoded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +141,26 @@ def src_image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.image_metadata(encoded_images(spark, sf_dir).select("vec_id", "image_data"), "image_data")
 
 
+@query("src_image_headers", """
+SELECT '/' || CAST(label AS VARCHAR) || '/' || CAST(vec_id AS VARCHAR) AS path, CASE WHEN label = 7 THEN NULL WHEN label % 3 = 1 THEN 'JPEG' ELSE 'PNG' END AS format,
+       CASE WHEN label = 7 THEN NULL WHEN label % 3 = 1 OR label % 2 = 0 THEN 'RGB' ELSE 'L' END AS mode,
+       CASE WHEN label <> 7 THEN CAST(64 + vec_id % 32 AS INT) END AS width, CASE WHEN label <> 7 THEN CAST(32 + label AS INT) END AS height,
+       label <> 7 AS valid, CASE WHEN label = 7 THEN 2 WHEN label % 3 = 1 THEN 46 ELSE 26 END AS bytes_read FROM embeddings""")
+def src_image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNG and JPEG files written as a tree, listed, and read at the places where their headers stand."""
+    root = scratch_path(spark, "images")
+    jpeg = (F.col("label") % 3 == 1) & (F.col("label") != 7)
+    width, height = F.lit(64) + F.col("vec_id") % 32, F.lit(32) + F.col("label")
+    # an application segment of 4,000 bytes stands before the frame header
+    frame = F.concat(F.lit("FFC0001108"), F.lpad(F.hex(height), 4, "0"), F.lpad(F.hex(width), 4, "0"), F.lit("03"), F.lit("00" * 9))
+    as_jpeg = F.unhex(F.concat(F.lit("FFD8FFE10FA2" + "00" * 4000), frame, F.lit("FFD9")))
+    pictures = encoded_images(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("kind")), "vec_id")
+    rows = pictures.select("vec_id", F.col("kind").alias("label"), "image_data")
+    place = F.concat(F.lit("/"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"))
+    X.write_tree(rows.select(place.alias("path"), F.when(jpeg, as_jpeg).otherwise(F.col("image_data")).alias("content")), root)
+    return _relative(images.read_headers(list_tree(spark, root), root), root).drop("length")
+
+
 @query("src_latest_snapshot", """
 SELECT event_id, user_id, event_type FROM events WHERE strftime(ts, '%Y-%m-%d') = (SELECT max(strftime(ts, '%Y-%m-%d')) FROM events)""")
 def src_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridect.functions.numeric import round_half_up
+from veridect.sources.listing import file_system
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,6 +211,21 @@ def audio_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.expr(AUDIO_PATH).alias("path"))
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes (path, content) rows as files below ``root``, from the tasks; paths begin with a slash."""
+
+    def write(batches):
+        system, top = file_system(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                system.create_dir((top + path).rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(top + path) as out:
+                    out.write(content)
+        yield from ()
+
+    files.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature arrays: vec_id, label, y, v."""
     return table(spark, sf_dir, "embeddings").select(

@@ -73,29 +73,43 @@ def child_dir(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix) & rest.contains("/"), F.element_at(F.split(rest, "/"), 1))
 
 
-def label_from_dir(
-    listing: DataFrame, root: str, labels: Sequence[str] = ("real", "fake"), strict: bool = False
+def labels_from_dir(
+    listing: DataFrame, root: str, labels: Sequence[str] = ("real", "fake"), columns: Mapping[str, bool] | None = None
 ) -> DataFrame:
-    """Label of each file by the directory chosen for the label below ``root``.
+    """Labels of each file by the directories chosen for them below ``root``.
 
     For every label the directory with exactly that name (any case) is chosen,
-    else, unless ``strict``, the first whose name contains it. Rows of other
-    directories get NULL; see :func:`require_labels`.
+    else, unless strict, the first whose name contains it. ``columns`` names the
+    results and says which are strict; by default ``label`` and ``strict_label``.
+    Rows of other directories get NULL; see :func:`require_labels`. The listing
+    is read for its directories and once more for its rows.
     """
+    columns = columns or {"label": False, "strict_label": True}
     below = listing.withColumn("_dir", child_dir(F.col("path"), root))
     names = below.filter(F.col("_dir").isNotNull()).select("_dir").distinct()
-    asked = F.explode(F.array(*[F.lit(label.lower()) for label in labels]))
-    lowered = names.select("_dir", F.lower("_dir").alias("_low"), asked.alias("label"))
-    fits = lowered.filter(F.col("_low") == F.col("label") if strict else F.contains("_low", "label"))
-    rank = F.struct(F.when(F.col("_low") == F.col("label"), 0).otherwise(1), F.col("_dir"))
-    chosen = fits.groupBy("label").agg(F.min_by("_dir", rank).alias("_dir"))
+    place = {label.lower(): i for i, label in enumerate(labels)}
+    asked = F.explode(F.array(*[F.struct(F.lit(label).alias("_label"), F.lit(i).alias("_place")) for label, i in place.items()]))
+    fits = names.select("_dir", F.lower("_dir").alias("_low"), asked.alias("_asked")).select("_dir", "_low", "_asked.*")
+    exact = F.col("_low") == F.col("_label")
+    first = F.struct(F.when(exact, 0).otherwise(1), F.col("_dir"))
+    chosen = fits.filter(F.contains("_low", "_label")).groupBy("_label", "_place").agg(
+        *[F.min_by(F.when(exact | F.lit(not strict), F.col("_dir")), first).alias(f"_dir_{name}") for name, strict in columns.items()]
+    )
     # one directory may serve several labels; the exact name decides, then the order of the labels
-    place = F.create_map(*[x for i, label in enumerate(labels) for x in (F.lit(label.lower()), F.lit(i))])
-    owner = chosen.groupBy("_dir").agg(
-        F.min_by("label", F.struct(F.when(F.lower("_dir") == F.col("label"), 0).otherwise(1), F.element_at(place, F.col("label")))).alias("label")
+    owned = chosen.select("_label", "_place", F.inline(F.array(*[F.struct(F.lit(n).alias("_as"), F.col(f"_dir_{n}").alias("_dir")) for n in columns])))
+    rank = F.struct(F.when(F.lower("_dir") == F.col("_label"), 0).otherwise(1), F.col("_place"))
+    owner = owned.filter(F.col("_dir").isNotNull()).groupBy("_dir").agg(
+        *[F.min_by(F.when(F.col("_as") == name, F.col("_label")), F.when(F.col("_as") == name, rank)).alias(name) for name in columns]
     )
-    # at most one row per label
-    return below.join(F.broadcast(owner), "_dir", "left").select(*listing.columns, "label")
+    # at most a row per label and column
+    return below.drop(*columns).join(F.broadcast(owner), "_dir", "left").select(*[c for c in listing.columns if c not in columns], *columns)
+
+
+def label_from_dir(
+    listing: DataFrame, root: str, labels: Sequence[str] = ("real", "fake"), strict: bool = False
+) -> DataFrame:
+    """:func:`labels_from_dir` for one way of choosing."""
+    return labels_from_dir(listing, root, labels, {"label": strict})
 
 
 def require_labels(labelled: DataFrame, labels: Sequence[str] = ("real", "fake")) -> DataFrame:
