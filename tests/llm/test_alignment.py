@@ -2,24 +2,33 @@
 
 import hashlib
 from collections import Counter
+from functools import lru_cache
 
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from veridect.llm import alignment
-from veridect.llm.alignment import RESULTS, PieceEncoder, align_documents
+from veridect.llm.alignment import RESULTS, align_documents
 from veridect.llm.bpe import byte_letters
 
 FIRST, SECOND = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 LETTERS = {c: b for b, c in enumerate(byte_letters())}
 
 
+@lru_cache(maxsize=1)
+def libraries():
+    a = Tokenizer.from_file(FIRST)
+    a.encode_special_tokens = True
+    return a, SentencePieceProcessor(model_file=SECOND)
+
+
 def tokens(texts):
     """(id, start, end) of both tokenizers per text, or none."""
-    a, b = Tokenizer.from_file(FIRST), SentencePieceProcessor(model_file=SECOND)
-    a.encode_special_tokens = True
+    a, b = libraries()
     out = []
     for text in texts:
         sides = []
@@ -106,7 +115,20 @@ def test_empty(spark, empty):
     assert align_documents(empty, FIRST, SECOND).collect() == []
 
 
-@pytest.mark.parametrize("text", ["a  b\nc d", " x", "x ", "x  \n y", "\n", "\n\nab\n", "½ \x00<0x0A>", "    ", "中文 字\t t"])
-def test_pieces_equal_whole_texts(text):
-    model = SentencePieceProcessor(model_file=SECOND)
-    assert memoryview(PieceEncoder(SECOND)([text])[0]).cast("I").tolist() == model.encode(text)
+SOME = "ab eé's l'x  \n.,;-'\"12½_中\t▁"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=SOME, min_size=1, max_size=30))
+def test_stretches_equal_whole_texts(text):
+    """Ids by certain cuts are those of the whole text."""
+    tool, ((a, b),) = alignment.aligner(FIRST, SECOND), tokens([text])
+    got = [memoryview(side[0]).cast("I").tolist() for side in tool.encode([text])]
+    assert got == [[i for i, *_ in a], [i for i, *_ in b]]
+
+
+@pytest.mark.parametrize("text", ["It's a l'été, isn't it?\n\n\nYes: 12,5 (x_y) ok.", "don't\n'tis", "a\u0301b c\u0301", "ÀÖ ×÷ ɏɐ", "x\n\ny\nz"])
+def test_stretches_of_sentences(text):
+    tool, ((a, b),) = alignment.aligner(FIRST, SECOND), tokens([text])
+    got = [memoryview(side[0]).cast("I").tolist() for side in tool.encode([text])]
+    assert got == [[i for i, *_ in a], [i for i, *_ in b]]

@@ -35,25 +35,32 @@ from pyspark.sql import functions as F
 
 from veridect.llm.bpe import byte_letters
 from veridect.llm.frames import ByteBoundCache, small_batches, stored
-from veridect.llm.tokens import CACHE_BYTES, encoder
+from veridect.llm.tokens import encoder
 
 #: Bytes of text in one batch of array work, and in one slice of documents.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 SLICE_BYTES = 32 << 20
+#: What a worker remembers of words.
+CACHE_BYTES = 80 << 20
 RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"]
 # Fixed value: the letter by which the pieces of sentencepiece write a space.
 SPACE = "▁"
 
 
+# Letters that are cut off from all that is no letter, and what a text must not hold for these cuts to be
+# certain: spaces or line feeds side by side or at the end, other white space, other letters and digits, a mark before which a contraction can begin.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+STRETCHES = re.compile(f" ?[{LETTER}]+(?:'[{LETTER}]+)*| ?[^{LETTER} \n]+|\n+")
+UNCERTAIN = re.compile(f"  | \n|\n |[ \n]$|[^\\S \n]|[^\\W0-9_{LETTER}]|(?<![{LETTER}])'(?=[{LETTER}])")
+
+
 class PieceEncoder:
-    """Ids of a sentencepiece BPE model with byte fallback, word by word.
+    """Ids of a sentencepiece BPE model with byte fallback.
 
-    No piece goes on with a space behind another letter, or holds a line feed,
-    so a text falls apart before spaces and around line feeds.
+    No piece goes on with a space behind another letter, holds a line feed, or
+    has a letter next to something else, so a text falls apart at these places.
     """
 
-    STRETCHES = re.compile(r" +[^ \n]+|\n|[^ \n]+| +")
-
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -62,33 +69,43 @@ class PieceEncoder:
         self.table = [
             bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)
         ]
+        kinds = [p for i, p in enumerate(pieces) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+        mixed = [p for p in kinds if SPACE in p.lstrip(SPACE) or "\n" in p or any(a.isalpha() != b.isalpha() and a != SPACE for a, b in zip(p, p[1:]))]
         lead, feed = self.model.encode("\n")
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) or self.table[lead] != b" " or self.table[feed] != b"\n":
-            raise ValueError("pieces hold spaces or line feeds behind letters")
-        self.known = ByteBoundCache(CACHE_BYTES)
-
-    def _learn(self, stretches: set[str]) -> None:
-        missing = self.known.unknown(stretches)
-        # what stands before a stretch that does not begin with the added space, and the ids of that
-        before = [("", 0) if s[0] == " " and s.strip(" ") else ("a", 1) if s[0] == " " else ("\n", 2) for s in missing]
-        texts = [s[1:] if b == "" else b + s for s, (b, _) in zip(missing, before, strict=True)]
-        for s, (_, skip), ids in zip(missing, before, self.model.encode(texts, num_threads=1), strict=True):
-            self.known[s] = np.array(ids[skip:], dtype="<u4").tobytes()
+        if mixed or self.table[lead] != b" " or self.table[feed] != b"\n":
+            raise ValueError("pieces that hold letters next to spaces, line feeds or marks")
+
+    def stretches(self, stretches: list[str], behind_space: bool) -> list[bytes]:
+        """Ids of stretches that certain cuts set off, with the space they begin with, or without one."""
+        texts = stretches if behind_space else ["\n" + s for s in stretches]
+        skip = 0 if behind_space else 2
+        return [np.array(ids[skip:], dtype="<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, before which the model puts a space."""
-        self.known.settle()
-        cut = [self.STRETCHES.findall(" " + t) for t in texts]
-        self._learn(set().union(*cut))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [np.array(ids, dtype="<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
+
+
+#: The entry of a stretch that either vocabulary does not render.
+NOTHING = (b"", b"")
+
+
+class PairCache(ByteBoundCache):
+    """Two values an entry."""
+
+    OVERHEAD = 300
+
+    def size(self, key: str, value: tuple[bytes, bytes]) -> int:
+        return len(key) + len(value[0]) + len(value[1]) + self.OVERHEAD
 
 
 class Aligner:
     """Both vocabularies and the array work on batches of texts."""
 
     def __init__(self, first: str, second: str):
-        self.first, self.second = encoder(first, literal=True), PieceEncoder(second)
+        self.first, self.second = encoder(first, literal=True, cache_bytes=CACHE_BYTES // 8), PieceEncoder(second)
+        if not self.first.spaces:
+            raise ValueError("the first vocabulary must be byte-level")
         values = {ord(c): b for b, c in enumerate(byte_letters())}
         vocabulary = self.first.tokenizer.get_vocab()
         table = [b""] * (1 + max(vocabulary.values()))
@@ -100,15 +117,49 @@ class Aligner:
         most = len(str(max(map(len, self.tables))))
         self.digits = np.array([list(str(i).ljust(most + 1).encode()) for i in range(max(map(len, self.tables)))], dtype=np.uint8)
         self.digit_count = np.array([len(str(i)) for i in range(len(self.digits))])
+        #: ids of both vocabularies by stretch
+        self.known = PairCache(CACHE_BYTES)
+
+    def _renders(self, side: int, ids: bytes, data: bytes) -> bool:
+        return b"".join(map(self.tables[side].__getitem__, np.frombuffer(ids, "<u4").tolist())) == data
+
+    def _learn(self, stretches: list[str]) -> None:
+        for behind_space in (True, False):
+            some = [s for s in stretches if (s[0] == " ") is behind_space and s[0] != "\n"]
+            words = [s[1:] for s in some] if behind_space else some
+            both = [self.first.words(words, " " if behind_space else "\n"), self.second.stretches(words, behind_space)]
+            pairs = list(zip(*both, strict=True))
+            if not all(self._renders(side, b"".join(ids), "".join(some).encode()) for side, ids in enumerate(both)):
+                data = [s.encode() for s in some]
+                pairs = [p if self._renders(0, p[0], d) and self._renders(1, p[1], d) else NOTHING for p, d in zip(pairs, data, strict=True)]
+            self.known.update(zip(some, pairs, strict=True))
+        for s in stretches:
+            if s[0] == "\n":  # the last line feed of several is cut off by what follows
+                run = self.first.tokenizer.encode(s + "a", add_special_tokens=False).ids[:-1]
+                self.known[s] = (np.array(run, dtype="<u4").tobytes(), self.second.stretches([s], False)[0])
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Ids of both; none for texts that either does not render."""
         given = [t or "" for t in texts]
-        out = self.first(given, spaced=True), self.second(given)
-        for row, t in enumerate(given):
-            data = (" " + t).encode()
-            if not t or any(b"".join(map(table.__getitem__, np.frombuffer(ids[row], "<u4").tolist())) != data for ids, table in zip(out, self.tables, strict=True)):
-                out[0][row] = out[1][row] = b""
+        cut = [STRETCHES.findall(" " + t) if t and not UNCERTAIN.search(" " + t) else None for t in given]
+        self.known.settle()
+        self._learn(self.known.unknown(set().union(*(c for c in cut if c))))
+        odd = [t for t, c in zip(given, cut, strict=True) if c is None]
+        whole = zip(self.first(odd, spaced=True), self.second(odd), strict=True)
+        get, out = self.known.__getitem__, ([], [])
+        for t, stretches in zip(given, cut, strict=True):
+            if stretches is None:
+                a, b = next(whole)
+                data = (" " + t).encode()
+                if not t or not self._renders(0, a, data) or not self._renders(1, b, data):
+                    a = b = b""
+            else:
+                pairs = list(map(get, stretches))
+                a, b = b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+                if NOTHING in pairs:
+                    a = b = b""
+            out[0].append(a)
+            out[1].append(b)
         return out
 
     def align(self, coded: tuple[list[bytes], list[bytes]]) -> dict[str, np.ndarray]:

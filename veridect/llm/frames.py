@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, starmap
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +46,9 @@ class ByteBoundCache(dict):
         self.back: dict[str | bytes, bytes] = {}
         self.held = self._counted = 0
 
+    def size(self, key: str | bytes, value: bytes) -> int:
+        return len(key) + len(value) + self.OVERHEAD
+
     def unknown(self, wanted: set) -> list:
         out = []
         for key in wanted.difference(self):
@@ -58,7 +61,7 @@ class ByteBoundCache(dict):
 
     def settle(self) -> None:
         new = islice(self.items(), self._counted, None)
-        self.held += sum([len(key) + len(value) + self.OVERHEAD for key, value in new])
+        self.held += sum(starmap(self.size, new))
         if self.held > self.limit // 2:
             self.back = dict(self)
             self.clear()

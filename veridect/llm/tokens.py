@@ -42,7 +42,7 @@ class TextEncoder:
     ``first`` holds words at the start of a text, ``rest`` words behind a space.
     """
 
-    def __init__(self, path: str, literal: bool = False):
+    def __init__(self, path: str, literal: bool = False, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,8 +56,8 @@ class TextEncoder:
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.size[number] = len(token) if self.spaces else token.endswith("</w>")
-        self.first = ByteBoundCache(CACHE_BYTES // 2)
-        self.rest = ByteBoundCache(CACHE_BYTES)
+        self.first = ByteBoundCache(cache_bytes // 2)
+        self.rest = ByteBoundCache(cache_bytes)
 
     def _one(self, text: str) -> bytes:
         return self._all([text])[0]
@@ -88,6 +88,12 @@ class TextEncoder:
                 into[word] = coded[at + skip : end]
                 at = end
 
+    def words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words of a byte-level vocabulary behind ``lead``, a space that is part of them or a line feed that is not."""
+        found: dict[str, bytes] = {}
+        self._many(words, lead, found)
+        return [found[w] for w in words]
+
     def _learn_bytes(self, needed: set[str], lead: str, known: dict[str, bytes]) -> None:
         missing = known.unknown(needed)
         # letters and the marks behind them never share an id
@@ -163,6 +169,6 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, literal: bool = False) -> TextEncoder:
+def encoder(path: str, literal: bool = False, cache_bytes: int = CACHE_BYTES) -> TextEncoder:
     """One encoder per worker process and vocabulary."""
-    return TextEncoder(path, literal)
+    return TextEncoder(path, literal, cache_bytes)
