@@ -13,7 +13,8 @@ from veridect.operators import documents, ml
 from veridect.operators.fusion import MODALITY_WEIGHTS
 from veridect.session import shared_dir
 from veridect.plans.catalog import ORACLES, QUERIES
-from veridect.sinks import writers
+from veridect.operators.scoring import LinearScorer, score_batches
+from veridect.sinks import committed, writers
 from veridect.sources import images, listing, manifests, tables
 from veridect.streaming import fusion, jobs
 from veridect.streaming import progress as P
@@ -170,7 +171,52 @@ def test_predictions_by_name(spark, tmp_path):
 def test_written_predictions_read_back(spark, tmp_path):
     rows = spark.createDataFrame([('a "b", c.jpg', "FAKE", 0.5, "REAL", False, "s")], "file string, true_label string, fake_prob double, pred_label string, correct boolean, strategy string")
     writers.write_predictions(rows, str(tmp_path / "p"))
-    assert [tuple(r) for r in tables.read_predictions(spark, str(tmp_path / "p")).collect()] == [('a "b", c.jpg', "FAKE", 0.5, None, "REAL", False)]
+    assert [tuple(r) for r in tables.read_predictions(spark, committed.part_path(spark, str(tmp_path / "p"), "predictions")).collect()] == [('a "b", c.jpg', "FAKE", 0.5, None, "REAL", False)]
+
+
+def test_a_job_that_fails_leaves_the_old_version(spark, tmp_path):
+    root = str(tmp_path / "run")
+    schema = "filepath string, target int, source_platform string, split string"
+    good = spark.createDataFrame([("a", 1, "s", "train"), ("b", 0, "s", "test")], schema)
+    assert committed.current(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        committed.read_part(spark, root, "summary")
+    writers.write_run_snapshot(good, root, "split", "target", "source_platform")
+    before = sorted(map(str, committed.read_part(spark, root, "summary").collect()))
+    broken = good.withColumn("target", F.when(F.col("split") == "test", F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("target")))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_run_snapshot(broken, root, "split", "target", "source_platform")
+    assert committed.current(spark, root)["number"] == 1
+
+    def half_way(folder):
+        raise RuntimeError("the driver dies between the tables")
+
+    with pytest.raises(RuntimeError):
+        committed.commit(spark, root, {"frames": lambda folder: good.limit(1).write.parquet(folder), "summary": half_way})
+    assert sorted(map(str, committed.read_part(spark, root, "summary").collect())) == before
+    assert committed.read_part(spark, root, "frames").count() == 2
+    writers.write_run_snapshot(good.filter("target = 1"), root, "split", "target", "source_platform")
+    assert committed.current(spark, root)["number"] == 2 and committed.read_part(spark, root, "frames").count() == 1
+
+
+def test_failed_rows_are_written_in_the_same_pass(spark, tmp_path):
+    """The model sees every good row once, whatever is written and counted."""
+    calls = str(tmp_path / "calls")
+
+    class Counting(LinearScorer):
+        def score(self, model, rows):
+            with open(calls, "a") as out:
+                out.write(f"{len(rows)}\n")
+            return super().score(model, rows)
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else [float(i), 1.0]) for i in range(50)], "id int, features array<double>").repartition(2)
+    scored = score_batches(df, Counting([0.1, 0.2]))
+    assert writers.write_scored(scored, str(tmp_path / "out")) == {"good": 40, "failed": 10}
+    with open(calls) as lines:
+        assert sum(map(int, lines)) == 40
+    good, failed = writers.read_scored(spark, str(tmp_path / "out"), scored.schema)
+    assert good.columns == ["id", "features", "p"] and {r.id for r in good.collect()} == {i for i in range(50) if i % 5}
+    assert {r.error for r in failed.collect()} == {"ValueError: NULL in features"} and failed.count() == 10
 
 
 def test_splits_by_name(spark, tmp_path):

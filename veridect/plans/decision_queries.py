@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from veridect.functions import arrays as A
 from veridect.functions import decisions as D
 from veridect.functions.numeric import round_half_up, sigmoid
 from veridect.operators import calibration as C
-from veridect.operators import documents
+from veridect.operators import documents, epochs
 from veridect.operators import evaluation as E
 from veridect.operators import fusion as U
-from veridect.operators import ml
 from veridect.operators import ranked as R
 from veridect.operators import sampling as S
+from veridect.operators import training_log as L
+from veridect.operators.ordered import beside
 from veridect.operators.scoring import LinearScorer, batch_summary, score_batches
 from veridect.plans import fixtures as X
 from veridect.plans.dataset_queries import _SUMMARY_SQL, SEED, split_rows
@@ -22,8 +25,8 @@ from veridect.plans.evaluation_queries import CALIBRATION_CTES, CALIBRATION_FIT,
 from veridect.plans.fixtures import round_columns, rounded, table, with_fixtures
 from veridect.plans import text_queries  # noqa: F401  (registers the oracle reused here)
 from veridect.plans.registry import ORACLES, query
-from veridect.session import scratch_path
-from veridect.sinks import writers
+from veridect.session import cut_lineage, scratch_path
+from veridect.sinks import committed, writers
 from veridect.streaming import fusion as stream_fusion
 from veridect.streaming import jobs
 from veridect.streaming import progress as P
@@ -38,9 +41,13 @@ _DOT = "list_sum(list_transform(v, lambda x, i: x * (CAST(((i - 1) * 37) % 11 -
 @query("scr_batch", with_fixtures("vectors", f"""
 SELECT vec_id, CASE WHEN label <> 9 THEN {rounded(f'1e0 / (1e0 + exp(-({_DOT} + 1e-1)))')} END AS p, label = 9 AS failed FROM vectors"""))
 def scr_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python model with the skip policy; rows without features fail."""
+    """Python model with the skip policy; rows without features fail. One pass writes both, and both are read back."""
+    root = scratch_path(spark, "scored-batch")
     rows = X.vectors(spark, sf_dir).select("vec_id", F.when(F.col("label") != 9, F.col("v")).alias("features"))
-    scored = score_batches(rows, LinearScorer(WEIGHTS, 0.1), "skip")
+    results = score_batches(rows, LinearScorer(WEIGHTS, 0.1), "skip").drop("features")
+    writers.write_scored(results, root)
+    good, failed = writers.read_scored(spark, root, results.schema)
+    scored = good.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
     return scored.select("vec_id", round_half_up(F.col("p"), 6).alias("p"), F.col("error").isNotNull().alias("failed"))
 
 
@@ -252,7 +259,7 @@ def sink_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     writers.write_predictions(rows, root)
     schema = "file string, true_label string, fake_prob double, pred_label string, correct boolean, strategy string"
-    return spark.read.schema(schema).option("header", True).csv(root)
+    return spark.read.schema(schema).option("header", True).csv(committed.part_path(spark, root, "predictions"))
 
 
 @query("sink_sample_copy", """
@@ -282,7 +289,7 @@ def sink_run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved rows and summary written; the summary is recomputed from the written rows."""
     root = scratch_path(spark, "run")
     writers.write_run_snapshot(split_rows(spark, sf_dir), root, "split", "target", "source_platform")
-    return spark.read.parquet(f"{root}/summary")
+    return committed.read_part(spark, root, "summary")
 
 
 @query("sink_decision_config", with_fixtures("scored", f"""{CALIBRATION_CTES}
@@ -431,26 +438,104 @@ def modality_results(events: DataFrame) -> DataFrame:
 # ---- training --------------------------------------------------------------
 
 
+_VECTOR_SPLIT = """classes AS (SELECT y, count(*) AS c FROM vectors GROUP BY y),
+shares AS (SELECT y, c, sum(c) OVER () AS n, sum(c) OVER () - CAST(ceil(8e-1 * sum(c) OVER ()) AS BIGINT) AS total FROM classes),
+bases AS (SELECT y, total, (c * total) // n AS base, row_number() OVER (ORDER BY (c * total) % n DESC, y) AS place FROM shares),
+quotas AS (SELECT y, base + CASE WHEN place <= total - (SELECT sum(base) FROM bases) THEN 1 ELSE 0 END AS quota FROM bases),
+halves AS (SELECT vec_id, r.y, CASE WHEN rk > quota THEN 'training' WHEN substr(md5('half:' || vec_id), 1, 1) < '8' THEN 'test' ELSE 'validation' END AS split
+           FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(vec_id || ':42'), CAST(vec_id AS VARCHAR)) AS rk FROM vectors) r JOIN quotas q ON r.y = q.y)"""
+
+
 def _split_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with norms and a stratified validation split."""
+    """Vectors with their sum of magnitudes behind them, split into training, validation and test; written once."""
     rows = X.vectors(spark, sf_dir).withColumn("energy", F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)))
     split = S.stratified_split(rows, "y", "vec_id", 0.2, SEED)
-    return split.withColumn("split", F.when(F.col("split") == "val", "validation").otherwise("training"))
+    half = F.substring(F.md5(F.concat(F.lit("half:"), F.col("vec_id").cast("string"))), 1, 1) < "8"
+    named = F.when(F.col("split") != "val", "training").when(half, "test").otherwise("validation")
+    return cut_lineage(split.select("vec_id", "y", F.concat("v", F.array("energy")).alias("features"), named.alias("split")))
 
 
-@query("ml_train_detector")
-def ml_train_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fits of several strengths, of which the one with the best validation AUC is kept; its metrics on both splits."""
+def _training_rows(rows: DataFrame) -> DataFrame:
+    return rows.filter("split <> 'test'").withColumn("fits", F.col("split") == "training")
+
+
+_ENERGY_AT = 64
+_STOPPING = {"epochs": 12, "patience": 3}
+
+
+@query("ml_epoch_log")
+def ml_epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training by epochs: the log of two learning rates, with the epochs whose weights were kept."""
     rows = _split_vectors(spark, sf_dir)
-    trials, model = ml.trial_search(rows, {"vector": ["v"]}, regs=(1e-4, 1e-3, 1e-2), elastic_nets=(0.0,))
-    scored = ml.predict(model, ml.assemble(rows, ["v"])).select("split", "y", "p")
-    report = E.prf(scored, ["split"]).join(R.roc_auc(scored, ["split"]), "split").withColumn("reg", F.lit(trials[0]["reg"]))
-    return round_columns(report, "accuracy", "precision", "recall", "f1", "roc_auc", digits=4)
+    runs = epochs.train_epochs(_training_rows(rows), [epochs.Setting(0.5, tuple(range(64)), "fast"), epochs.Setting(0.01, tuple(range(64)), "slow")], **_STOPPING)
+    return round_columns(epochs.epoch_log(rows, runs), "train_loss", "val_loss", "acc", "sens", "spec", "f1", "auc", digits=4)
 
 
-@query("ml_trial_search")
-def ml_trial_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("ml_train_detector", with_fixtures("vectors", f"""
+WITH {_VECTOR_SPLIT}
+SELECT split, count(*) AS rows, count(*) FILTER (WHERE y = 1) AS fakes, TRUE AS epochs_follow, TRUE AS best_is_first_largest, TRUE AS stops_by_patience, TRUE AS weights_are_the_best
+FROM halves GROUP BY split"""))
+def ml_train_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector trained by epochs, its rows per split, and whether its log keeps the rules: the operators on
+    training logs agree with what training did, and the kept weights score as the log says of their epoch."""
     rows = _split_vectors(spark, sf_dir)
-    trials, _ = ml.trial_search(rows, {"vector": ["v"], "vector_energy": ["v", "energy"]}, regs=(1e-4, 1e-2), elastic_nets=(0.0, 0.5))
-    schema = "feature_set string, reg double, elastic_net double, auc double"
-    return round_columns(spark.createDataFrame(trials, schema), "auc", digits=4)
+    (run,) = epochs.train_epochs(_training_rows(rows), [epochs.Setting(0.5, tuple(range(64)), "detector")], metric="f1", **_STOPPING)
+    log = epochs.epoch_log(rows, [run])
+    best = L.best_epoch(log, "f1").first()
+    stop = L.early_stop(log, "f1", patience=_STOPPING["patience"]).first()
+    held = epochs.with_score(rows.filter("split = 'validation'"), run.weights)
+    again = E.prf(held, inclusive=False).first()
+    rules = {
+        "epochs_follow": [r["epoch"] for r in run.log] == list(range(len(run.log))),
+        "best_is_first_largest": (best.best_epoch, best.best_f1) == (run.best_epoch, run.best),
+        "stops_by_patience": (stop.stop_epoch, stop.restored_epoch) == (run.log[-1]["epoch"], run.best_epoch),
+        "weights_are_the_best": abs(again.f1 - run.best) < 1e-9,
+    }
+    counts = rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("y") == 1).alias("fakes"))
+    return counts.withColumns({name: F.lit(bool(value)) for name, value in rules.items()})
+
+
+_TRIALS, _LOW, _HIGH = 9, 1e-3, 1.0
+_UNIT = "CAST(('0x' || substr(md5('{}:' || i || ':42'), 1, 12)) AS BIGINT) / CAST(16 ** 12 AS DOUBLE)"
+
+
+def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[epochs.Setting], list[epochs.Rung]]:
+    rows = _split_vectors(spark, sf_dir)
+    settings = epochs.draw_settings(_TRIALS, _LOW, _HIGH, {"vector": range(_ENERGY_AT), "vector_energy": range(_ENERGY_AT + 1)}, SEED)
+    return rows, settings, epochs.halving_search(_training_rows(rows), "vec_id", settings, 3, epochs=4, seed=SEED)
+
+
+@query("ml_trial_search", with_fixtures("vectors", f"""
+WITH {_VECTOR_SPLIT},
+trials AS (SELECT i, ln(1e-3) + {_UNIT.format('rate')} * (ln(1e0) - ln(1e-3)) AS log_rate, {_UNIT.format('features')} AS pick FROM (SELECT unnest(range({_TRIALS})) AS i) r),
+places AS (SELECT split, CAST(('0x' || substr(md5(vec_id || ':42'), 1, 8)) AS BIGINT) / CAST(16 ** 8 AS DOUBLE) AS place FROM halves),
+sizes AS (SELECT count(*) FILTER (WHERE split = 'training' AND place < 1e0 / 9) AS small_rows, count(*) FILTER (WHERE split = 'training' AND place < 1e0 / 3) AS middle_rows,
+                 count(*) FILTER (WHERE split = 'training') AS all_rows, count(*) FILTER (WHERE split = 'test') AS test_rows FROM places)
+SELECT CAST(i AS INT) AS trial, {rounded('log_rate')} AS log_rate, CASE WHEN pick < 5e-1 THEN 'vector' ELSE 'vector_energy' END AS features, small_rows, middle_rows, all_rows, test_rows,
+       CAST(3 AS INT) AS rungs, TRUE AS best_leads_its_rungs FROM trials, sizes"""))
+def ml_trial_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws of the search, the rows of its rungs and of the test, and whether the best trial leads every rung's survivors at the end."""
+    rows, settings, rungs = _search(spark, sf_dir)
+    best = rungs[-1].runs[0]
+    survived = all(best.setting.name in [r.setting.name for r in rung.runs[: max(1, -(-rung.settings // 3))]] for rung in rungs)
+    sizes = {name: rung.rows for name, rung in zip(("small_rows", "middle_rows", "all_rows"), rungs, strict=True)}
+    sizes["test_rows"] = rows.filter("split = 'test'").count()
+    drawn = [(int(s.name.split(":")[0]), math.log(s.rate), s.name.split(":")[1]) for s in settings]
+    return round_columns(spark.createDataFrame(drawn, "trial int, log_rate double, features string"), "log_rate").withColumns(
+        {k: F.lit(v).cast("long") for k, v in sizes.items()} | {"rungs": F.lit(len(rungs)), "best_leads_its_rungs": F.lit(survived)}
+    )
+
+
+@query("ml_trial_report")
+def ml_trial_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation AUC of every trial at the last rung it reached, and the test metrics of the best one, which was fitted on all training rows."""
+    rows, _, rungs = _search(spark, sf_dir)
+    reached = {run.setting.name: (number, rung.rows, run.best) for number, rung in enumerate(rungs) for run in rung.runs}
+    trials = spark.createDataFrame([(name, *what) for name, what in reached.items()], "trial string, rung int, rows long, auc double")
+    best = rungs[-1].runs[0]
+    test = epochs.with_score(rows.filter("split = 'test'"), best.weights)
+    metrics = E.prf(test, inclusive=False).select("accuracy", "precision", "recall", "f1")
+    metrics = beside(metrics, R.roc_auc(test))
+    tested = metrics.select(F.lit(best.setting.name).alias("trial"), *[F.col(c).alias(f"test_{c}") for c in metrics.columns])
+    whole = trials.join(F.broadcast(tested), "trial", "left")
+    return round_columns(whole, "auc", *[c for c in whole.columns if c.startswith("test_")], digits=4)

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridect.operators.calibration import CalibrationReport
 from veridect.operators.labels import split_summary
 from veridect.operators.ordered import beside
+from veridect.sinks.committed import commit, read_part
 
 
 def write_predictions(df: DataFrame, path: str, partition_by: str | None = "strategy", fmt: str = "csv") -> None:
-    """Predictions, one folder per strategy, replacing what was there.
+    """Predictions, one folder per strategy, published as part ``predictions`` of ``path`` (see ``committed``).
 
     The rebalance hint lets AQE merge small outputs and split a large strategy
     into several files of even size.
     """
     spread = df.hint("rebalance", partition_by) if partition_by else df
-    writer = spread.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.save(path)
+
+    def write(folder: str) -> None:
+        writer = spread.write.format(fmt)
+        if fmt == "csv":
+            writer = writer.option("header", True).option("escape", '"')
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.save(folder)
+
+    commit(df.sparkSession, path, {"predictions": write})
 
 
 def decision_config_frame(spark: SparkSession, report: CalibrationReport, model_repo: str) -> DataFrame:
@@ -67,8 +73,36 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_run_snapshot(df: DataFrame, path: str, split: str, target: str, platform: str) -> None:
-    """Resolved rows by split, and the summary of what was written next to them."""
-    df.write.mode("overwrite").partitionBy(split).parquet(f"{path}/frames")
-    # the schema is given: a split's name is text, whatever it looks like
-    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/frames")
-    split_summary(written, split, target, platform).write.mode("overwrite").parquet(f"{path}/summary")
+    """Resolved rows by split (part ``frames``) and the summary of what was written (part ``summary``), published together."""
+    written: list[DataFrame] = []
+
+    def frames(folder: str) -> None:
+        df.write.partitionBy(split).parquet(folder)
+        # the schema is given: a split's name is text, whatever it looks like
+        written.append(df.sparkSession.read.schema(df.schema).parquet(folder))
+
+    def summary(folder: str) -> None:
+        split_summary(written[0], split, target, platform).write.parquet(folder)
+
+    commit(df.sparkSession, path, {"frames": frames, "summary": summary})
+
+
+def write_scored(scored: DataFrame, path: str, error: str = "error") -> dict[str, int]:
+    """Scored rows (part ``scored``) with the failed ones apart, written in one pass; returns how many there are of each.
+
+    Rows go to folders ``failed=false`` and ``failed=true``, and are counted on
+    their way, so the model runs once.
+    """
+    counts = Observation()
+    marked = scored.withColumn("failed", F.col(error).isNotNull())
+    seen = marked.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if("failed").alias("failed"))
+    commit(scored.sparkSession, path, {"scored": lambda folder: seen.write.partitionBy("failed").parquet(folder)})
+    found = counts.get
+    return {"good": found["rows"] - found["failed"], "failed": found["failed"]}
+
+
+def read_scored(spark: SparkSession, path: str, schema: T.StructType, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Good rows, without the error column, and failed ones; ``schema`` is that of the scored rows."""
+    whole = T.StructType([*schema.fields, T.StructField("failed", T.BooleanType())])
+    rows = read_part(spark, path, "scored", whole)
+    return rows.filter("NOT failed").drop("failed", error), rows.filter("failed").drop("failed")
