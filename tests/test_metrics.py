@@ -226,6 +226,19 @@ def test_histogram_keeps_empty_bins(rows):
     assert [got[i] for i in range(20)] == want.tolist()
 
 
+@pytest.mark.parametrize("group_rows", [100_000, 0])
+def test_ladders_in_windows_and_slabs(spark, monkeypatch, group_rows):
+    """Small groups by windows and large ones by slabs give the same ladders."""
+    monkeypatch.setattr(O, "GROUP_ROWS", group_rows)
+    data = sample(300, 9)
+    for r in R.roc_auc(spark.createDataFrame(data, SCORED), ["g"]).collect():
+        y = np.array([d[2] for d in data if d[1] == r.g])
+        p = np.array([d[3] for d in data if d[1] == r.g])
+        pairs = p[y == 1][:, None] - p[y == 0]
+        assert r.roc_auc == pytest.approx((pairs > 0).mean() + 0.5 * (pairs == 0).mean())
+    assert R.roc_auc(spark.createDataFrame([], SCORED)).first().roc_auc is None
+
+
 def test_running_totals_hot_group_and_nulls(spark):
     data = [("hot", i, 1) for i in range(3000)] + [("b", i, 2) for i in range(7)] + [(None, i, 3) for i in range(5)]
     df = spark.createDataFrame(data, "g string, o int, n bigint").repartition(5)

@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 from veridect.functions.decisions import calibrated
 from veridect.functions.numeric import bce_with_logits, grid_passed, sigmoid, unit_bin
 from veridect.operators.evaluation import prf_columns
-from veridect.operators.ordered import running_totals
+from veridect.operators.ordered import totals_of_counts
 from veridect.operators.ranked import ap_column, area_sum, best_of_sweep, sweep_cells
 from veridect.operators.sampling import stratified_split
 from veridect.session import cut_lineage
@@ -146,7 +146,7 @@ def metric_rows(counts: DataFrame, variants: Mapping[str, tuple[float, float]])
     counts, Brier scores and bins.
     """
     ordered = counts.filter("z IS NOT NULL").select("z", "tp", "fp", (-F.col("z")).alias("_down"))
-    ladder = running_totals(ordered, [], ["_down"], ["tp", "fp"])
+    ladder = totals_of_counts(ordered, [], ["_down"], ["tp", "fp"])
     temperatures = sorted({t for t, _ in variants.values()})
     ladder = ladder.withColumns({f"_p{j}": calibrated(F.col("z"), t) for j, t in enumerate(temperatures)})
     ladder = ladder.withColumns({f"_bin{j}": unit_bin(F.col(f"_p{j}"), BINS) for j in range(len(temperatures))})

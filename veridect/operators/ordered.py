@@ -45,6 +45,25 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return attached.select(*df.columns, *[F.col(f"_one_row.{n}").alias(n) for n in names])
 
 
+#: Rows of a group that one task sorts.
+GROUP_ROWS = 100_000
+
+
+def totals_of_counts(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """:func:`running_totals` of counts of distinct values, which are stored first.
+
+    Where no group has more than ``GROUP_ROWS`` of them, a window per group does
+    without range partitions.
+    """
+    groups, stored = list(groups), cut_lineage(df)
+    largest = stored.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) > GROUP_ROWS:
+        return running_totals(stored, groups, order, sums)
+    whole = Window.partitionBy(*groups)
+    upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return stored.withColumns({f"cum_{s}": F.sum(s).over(upto) for s in sums} | {f"tot_{s}": F.sum(s).over(whole) for s in sums})
+
+
 def running_totals(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Sequence[str]
 ) -> DataFrame:

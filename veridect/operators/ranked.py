@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veridect.functions.numeric import grid_passed, grid_value, safe_ratio
 from veridect.operators.evaluation import prf_columns
-from veridect.operators.ordered import join_on, running_totals
+from veridect.operators.ordered import join_on, totals_of_counts
 
 
 def score_ladder(df: DataFrame, groups: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
@@ -24,7 +24,7 @@ def score_ladder(df: DataFrame, groups: Sequence[str] = (), y: str = "y", p: str
         .agg(F.count_if(F.col(y) == 1).alias("tp"), F.count_if(F.col(y) != 1).alias("fp"))
         .withColumn("_down", -F.col(p))
     )
-    return running_totals(ties, groups, ["_down"], ["tp", "fp"]).drop("_down")
+    return totals_of_counts(ties, groups, ["_down"], ["tp", "fp"]).drop("_down")
 
 
 def roc_curve(df: DataFrame, groups: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:

@@ -212,10 +212,13 @@ def train_val_per_class(
 
 
 def sample_by_quota(
-    df: DataFrame, classes: Sequence[str], id_col: str, quotas: DataFrame, seed: int = 42
+    df: DataFrame, classes: Sequence[str], id_col: str, quotas: DataFrame, seed: int = 42, buckets: Buckets | None = None
 ) -> DataFrame:
-    """Per-class quotas from a table (classes..., quota); classes not in it give no rows."""
-    buckets = bucket_counts(df, classes, id_col, seed)
+    """Per-class quotas from a table (classes..., quota); classes not in it give no rows.
+
+    ``buckets`` are the bucket counts of the same rows, ids and seed, if they are at hand.
+    """
+    buckets = buckets or bucket_counts(df, classes, id_col, seed)
     ranks = quotas.select(*classes, F.col("quota").cast("bigint").alias("quota"))
     keyed = _with_cuts(df, buckets, classes, id_col, seed, ranks)
     return keyed.filter(_within(F.col("_key"), F.col("_cut_quota"))).select(*df.columns)
@@ -329,9 +332,14 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per
     return join_on(draws, sources, [label, "_index", "_salt"]).select(*df.columns, "draw")
 
 
-def quota_check(df: DataFrame, classes: Sequence[str], delivered: DataFrame, requested: DataFrame) -> DataFrame:
-    """Requested, available and delivered rows per class, with the shortfall flag."""
-    available = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("available"))
+def quota_check(
+    df: DataFrame, classes: Sequence[str], delivered: DataFrame, requested: DataFrame, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Requested, available and delivered rows per class, with the shortfall flag.
+
+    ``sizes`` (classes..., available) saves a scan of ``df`` where they are known.
+    """
+    available = df.groupBy(*classes).agg(F.count(F.lit(1)).alias("available")) if sizes is None else sizes
     got = delivered.groupBy(*classes).agg(F.count(F.lit(1)).alias("delivered"))
     return (
         join_on(join_on(requested, available, list(classes), "left"), got, list(classes), "left")

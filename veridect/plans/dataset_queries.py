@@ -353,12 +353,12 @@ SELECT r.domain, r.y, requested, available, least(available, requested) AS deliv
 FROM requested r JOIN available a ON r.domain = a.domain AND r.y = a.y"""))
 def smp_quota_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.scored(spark, sf_dir).select("id", "domain", "y")
-    requested = rows.select("domain", "y").distinct().withColumn(
-        "requested", F.when(F.col("y") == 1, 4000).otherwise(1_000_000_000)
-    )
+    buckets = S.bucket_counts(rows, ["domain", "y"], "id", SEED)
+    sizes = S.class_sizes(buckets, ["domain", "y"])
+    requested = sizes.select("domain", "y", F.when(F.col("y") == 1, 4000).otherwise(1_000_000_000).alias("requested"))
     quotas = requested.withColumnRenamed("requested", "quota")
-    delivered = S.sample_by_quota(rows, ["domain", "y"], "id", quotas, SEED)
-    return S.quota_check(rows, ["domain", "y"], delivered, requested)
+    delivered = S.sample_by_quota(rows, ["domain", "y"], "id", quotas, SEED, buckets)
+    return S.quota_check(rows, ["domain", "y"], delivered, requested, sizes)
 
 
 @query("smp_shuffle", with_fixtures(
