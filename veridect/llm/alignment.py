@@ -24,8 +24,7 @@ a result takes their name.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from veridect.llm.bpe import byte_letters
 from veridect.llm.frames import ByteBoundCache, small_batches, stored
-from veridect.llm.tokens import encoder
+from veridect.llm.tokens import STRETCHES, certain, encoder
 
 #: Bytes of text in one batch of array work, and in one slice of documents.
 BATCH_BYTES = 1 << 20
@@ -47,13 +46,6 @@ RESULTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 SPACE = "▁"
 
 
-# Letters that are cut off from all that is no letter, and what a text must not hold for these cuts to be
-# certain: spaces or line feeds side by side or at the end, other white space, other letters and digits, a mark before which a contraction can begin.
-LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-STRETCHES = re.compile(f" ?[{LETTER}]+(?:'[{LETTER}]+)*| ?[^{LETTER} \n]+|\n+")
-UNCERTAIN = re.compile(f"  | \n|\n |[ \n]$|[^\\S \n]|[^\\W0-9_{LETTER}]|(?<![{LETTER}])'(?=[{LETTER}])")
-
-
 class PieceEncoder:
     """Ids of a sentencepiece BPE model with byte fallback.
 
@@ -95,8 +87,9 @@ class PairCache(ByteBoundCache):
 
     OVERHEAD = 300
 
-    def size(self, key: str, value: tuple[bytes, bytes]) -> int:
-        return len(key) + len(value[0]) + len(value[1]) + self.OVERHEAD
+    @staticmethod
+    def contents(items: Iterable[tuple[str, tuple[bytes, bytes]]]) -> list[int]:
+        return [len(key) + len(a) + len(b) for key, (a, b) in items]
 
 
 class Aligner:
@@ -127,21 +120,20 @@ class Aligner:
         for behind_space in (True, False):
             some = [s for s in stretches if (s[0] == " ") is behind_space and s[0] != "\n"]
             words = [s[1:] for s in some] if behind_space else some
-            both = [self.first.words(words, " " if behind_space else "\n"), self.second.stretches(words, behind_space)]
+            both = [self.first.stretches(words, behind_space), self.second.stretches(words, behind_space)]
             pairs = list(zip(*both, strict=True))
             if not all(self._renders(side, b"".join(ids), "".join(some).encode()) for side, ids in enumerate(both)):
                 data = [s.encode() for s in some]
                 pairs = [p if self._renders(0, p[0], d) and self._renders(1, p[1], d) else NOTHING for p, d in zip(pairs, data, strict=True)]
             self.known.update(zip(some, pairs, strict=True))
         for s in stretches:
-            if s[0] == "\n":  # the last line feed of several is cut off by what follows
-                run = self.first.tokenizer.encode(s + "a", add_special_tokens=False).ids[:-1]
-                self.known[s] = (np.array(run, dtype="<u4").tobytes(), self.second.stretches([s], False)[0])
+            if s[0] == "\n":
+                self.known[s] = (self.first.line_feeds(s), self.second.stretches([s], False)[0])
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Ids of both; none for texts that either does not render."""
         given = [t or "" for t in texts]
-        cut = [STRETCHES.findall(" " + t) if t and not UNCERTAIN.search(" " + t) else None for t in given]
+        cut = [STRETCHES.findall(" " + t) if t and certain(" " + t) else None for t in given]
         self.known.settle()
         self._learn(self.known.unknown(set().union(*(c for c in cut if c))))
         odd = [t for t, c in zip(given, cut, strict=True) if c is None]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice, starmap
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,8 +46,9 @@ class ByteBoundCache(dict):
         self.back: dict[str | bytes, bytes] = {}
         self.held = self._counted = 0
 
-    def size(self, key: str | bytes, value: bytes) -> int:
-        return len(key) + len(value) + self.OVERHEAD
+    @staticmethod
+    def contents(items: Iterable[tuple[str | bytes, bytes]]) -> list[int]:
+        return [len(key) + len(value) for key, value in items]
 
     def unknown(self, wanted: set) -> list:
         out = []
@@ -60,8 +61,8 @@ class ByteBoundCache(dict):
         return out
 
     def settle(self) -> None:
-        new = islice(self.items(), self._counted, None)
-        self.held += sum(starmap(self.size, new))
+        new = self.contents(islice(self.items(), self._counted, None))
+        self.held += sum(new) + self.OVERHEAD * len(new)
         if self.held > self.limit // 2:
             self.back = dict(self)
             self.clear()

@@ -22,11 +22,26 @@ from veridect.llm.frames import ByteBoundCache
 # White space beyond space, tab, line feed and return, and controls that Python but not every pattern counts as such.
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 RUNS = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-CACHE_BYTES = 96 << 20
-BULK_WORDS = 200
+CACHE_BYTES = 160 << 20
+# Letters that are cut off from all that is no letter, and what a text must not hold for these cuts to be
+# certain: spaces or line feeds side by side or at the end, other white space, other letters and digits, a mark before which a contraction can begin.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+STRETCHES = re.compile(f" ?[{LETTER}]+(?:'[{LETTER}]+)*| ?[^{LETTER} \n]+|\n+")
+UNCERTAIN = re.compile(f"  | \n|\n |[ \n]$|[^\\S \n]|[^\\W0-9_{LETTER}]|(?<![{LETTER}])'(?=[{LETTER}])")
+# Characters of which a text may be made without a closer look, none of which normal forms or lower case change into several.
+PLAIN = re.compile("[^A-Za-zÀ-ÖØ-öø-įı-ɏ0-9 \n!-/:-@\\[-`{-~–—‘-„…«»¿¡]")
+APOSTROPHE = re.compile(f"(?<![{LETTER}])'(?=[{LETTER}])")
+BULK_WORDS = 500
 MARKS = ",.;:!?"
 
 
+def certain(text: str) -> bool:
+    """Whether a text of some length falls apart into ``STRETCHES`` with certainty."""
+    if PLAIN.search(text):
+        return not UNCERTAIN.search(text)
+    return not (text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "'" in text and APOSTROPHE.search(text))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -56,8 +71,10 @@ class TextEncoder:
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.size[number] = len(token) if self.spaces else token.endswith("</w>")
-        self.first = ByteBoundCache(cache_bytes // 2)
-        self.rest = ByteBoundCache(cache_bytes)
+        # a byte-level vocabulary needs the first two for texts without certain cuts alone
+        self.first = ByteBoundCache(cache_bytes // 8)
+        self.rest = ByteBoundCache(cache_bytes // (8 if self.spaces else 1))
+        self.parts = ByteBoundCache(cache_bytes)
 
     def _one(self, text: str) -> bytes:
         return self._all([text])[0]
@@ -88,12 +105,24 @@ class TextEncoder:
                 into[word] = coded[at + skip : end]
                 at = end
 
-    def words(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of words of a byte-level vocabulary behind ``lead``, a space that is part of them or a line feed that is not."""
+    def stretches(self, words: list[str], behind_space: bool) -> list[bytes]:
+        """Ids of words of a byte-level vocabulary that certain cuts set off, with a space before each or without one."""
         found: dict[str, bytes] = {}
-        self._many(words, lead, found)
+        self._many(words, " " if behind_space else "\n", found)
         return [found[w] for w in words]
 
+    def line_feeds(self, run: str) -> bytes:
+        """Ids of line feeds before something else, which cuts the last one off."""
+        return np.array(self.tokenizer.encode(run + "a", add_special_tokens=False).ids[:-1], dtype="<u4").tobytes()
+
+    def _learn_stretches(self, wanted: set[str]) -> None:
+        missing = self.parts.unknown(wanted)
+        spaced = [s for s in missing if s[0] == " "]
+        bare = [s for s in missing if s[0] not in " \n"]
+        self.parts.update(zip(spaced, self.stretches([s[1:] for s in spaced], True), strict=True))
+        self.parts.update(zip(bare, self.stretches(bare, False), strict=True))
+        self.parts.update((s, self.line_feeds(s)) for s in missing if s[0] == "\n")
+
     def _learn_bytes(self, needed: set[str], lead: str, known: dict[str, bytes]) -> None:
         missing = known.unknown(needed)
         # letters and the marks behind them never share an id
@@ -133,38 +162,49 @@ class TextEncoder:
         self.first.settle()
         self.rest.settle()
         texts = [t or "" for t in texts]
-        usual = [not UNUSUAL.search(t) and not any(a in t for a in self.added) for t in texts]
+        # plain characters hold no unusual white space
+        usual = [(not PLAIN.search(t) or not UNUSUAL.search(t)) and not any(a in t for a in self.added) for t in texts]
         if not self.spaces:  # a space before the text leaves no trace
             cut = [t.split() if u else [] for t, u in zip(texts, usual, strict=True)]
             self._learn_words(set().union(*cut))
             get = self.rest.__getitem__
             return [b"".join(map(get, words)) if u else self._one(t) for t, u, words in zip(texts, usual, cut, strict=True)]
+        self.parts.settle()
+        if spaced:
+            texts = [" " + t for t in texts]
+        cut = [STRETCHES.findall(t) if u and t and certain(t) else None for t, u in zip(texts, usual, strict=True)]
+        self._learn_stretches(set().union(*(c for c in cut if c)))
+        left = [t for t, c in zip(texts, cut, strict=True) if c is None]
+        others = iter(self._uncertain(left, [u for u, c in zip(usual, cut, strict=True) if c is None]))
+        get = self.parts.__getitem__
+        return [next(others) if c is None else b"".join(map(get, c)) for c in cut]
+
+    def _uncertain(self, texts: list[str], usual: list[bool]) -> list[bytes]:
+        """Ids by a byte-level vocabulary of texts that are cut at spaces, or not at all if they are unusual."""
         cut, first, rest = [], set(), set()
         for t, u in zip(texts, usual, strict=True):
             if not u:
                 cut.append(None)
                 continue
             simple = self._simple(t)
+            words = t.split(" ") if simple else RUNS.findall(t)
+            cut.append((simple, words))
             if simple:
-                words = t.split(" ")
-                begins = 0 if spaced and t else 1  # the words before are at the start of the text
-                first.update(words[:begins])
-                rest.update(words[begins:])
-                cut.append((begins, words))
+                first.add(words[0])
+                rest.update(words[1:])
             else:
-                words = RUNS.findall(" " * spaced + t)
                 first.update(words)
-                cut.append((len(words), words))
         self._learn_bytes(first, "\n", self.first)
         self._learn_bytes(rest, " ", self.rest)
         begin, get = self.first.__getitem__, self.rest.__getitem__
         out = []
         for t, parts in zip(texts, cut, strict=True):
             if parts is None:
-                out.append(self._one(" " * spaced + t))
+                out.append(self._one(t))
+            elif parts[0]:
+                out.append(begin(parts[1][0]) + b"".join(map(get, parts[1][1:])))
             else:
-                begins, words = parts
-                out.append(b"".join([*map(begin, words[:begins]), *map(get, words[begins:])]))
+                out.append(b"".join(map(begin, parts[1])))
         return out
 
 
