@@ -88,3 +88,21 @@ def test_rows_with_a_leaks_id_stay(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {(r["doc_id"], r["text"]) for r in drop_contaminated(source, items).collect()} == {r for r in rows if item not in (r[1] or "")}
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(source, items).collect()} == {(None, 1), (5, 1)}
+
+
+def test_items_without_an_id_count(spark):
+    """An item with no id is found like any other, also beside items of other texts without one."""
+    items = [" ".join(f"{c}{i}" for i in range(40)) for c in ("item", "other")]
+    rows = [(1, f"before {items[0]} behind"), (2, "clean words of no item at all"), (3, items[1])]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, items[0]), (None, items[1]), (7, None)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in contaminated(source, benchmark).collect()} == {(1, None, "copy"), (3, None, "copy")}
+    assert [r["doc_id"] for r in drop_contaminated(source, benchmark).collect()] == [2]
+
+
+def test_columns_of_any_name(spark):
+    item = " ".join(f"item{i}" for i in range(40))
+    schema = "doc_id long, text string, __leak long, __leak_key long, text_key string, kind string"
+    source = spark.createDataFrame([(1, item, 1, 2, "k", "x"), (2, "clean words", 1, 2, "k", "x")], schema)
+    kept = drop_contaminated(source, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == source.columns and [tuple(r) for r in kept.collect()] == [(2, "clean words", 1, 2, "k", "x")]

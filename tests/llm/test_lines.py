@@ -2,18 +2,17 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from veridect.llm.line_templates import drop_recurring_lines, recurring_templates
+from veridect.llm.line_templates import drop_recurring_lines, line_keys, recurring_templates
 
 
 def keys(line, depth=2, min_fields=8, max_tokens=24):
-    if line.count(" ") >= 2 * max_tokens:
-        return set()
     words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", re.sub(r"[^ \t\n\x0b\f\r]*[0-9][^ \t\n\x0b\f\r]*", "<*>", line)) if w]
-    if not words or len(words) > max_tokens:
+    if not words:
         return set()
     out = {(0, len(words), *words)}
-    if len(words) >= min_fields:
+    if min_fields <= len(words) <= max_tokens:
         for r in range(3):
             out.add((r + 1, len(words), *(w for i, w in enumerate(words) if i < depth or (i - depth) % 3 != r)))
     return out
@@ -66,7 +65,7 @@ def test_fields_generalise(spark):
     out = {r["doc_id"]: r for r in drop_recurring_lines(source, counts=True).collect()}
     assert out[0]["__n_removed"] == 0 and out[3]["__n_removed"] == 3 and out[3]["__n_lines"] == 5
     assert out[105]["text"] == "a text that is copied\nwith two lines"
-    assert recurring_templates(source).filter("n_documents = 30").count() >= 3
+    assert recurring_templates(line_keys(source)).filter("n_documents = 30").count() >= 3
 
 
 def test_paragraphs_are_compared_whole(spark):
@@ -75,3 +74,15 @@ def test_paragraphs_are_compared_whole(spark):
     texts = [f"Document {chr(97 + i)} alone.\n{long}\n{wide}\n{long} {chr(97 + i)}" for i in range(6)]
     out = {r["doc_id"]: r["text"] for r in drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out == {i: t if i == 0 else t.replace(f"{long}\n{wide}\n", "") for i, t in enumerate(texts)}
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like the operator's own come through as they are."""
+    names = "__lines string, row string, gone int, keys string, text_key long, line int, key long, first_doc long, gone_id long, doc_id_ string"
+    rows = [(i, f"line one of all\nalone {chr(97 + i)}", "keep", "r", 1, "k", 2, 3, 4, 5, 6, "d") for i in range(6)]
+    source = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+    out = drop_recurring_lines(source)
+    assert out.columns == source.columns
+    assert sorted(map(tuple, out.collect())) == sorted((r[0], r[1] if r[0] == 0 else r[1].split("\n")[1], *r[2:]) for r in rows)
+    counted = drop_recurring_lines(source.withColumn("__n_lines", F.lit("x")), counts=True).filter("doc_id = 1").first()
+    assert (counted["__n_lines"], counted["__n_removed"]) == (2, 1)

@@ -62,3 +62,23 @@ def test_odd_rows(spark, request, name):
     assert len(rows) == source.count() and all(0 <= r["score"] < 0.3 for r in rows)
     kept = drop_toxic(source, model)
     assert kept.columns == source.columns and kept.count() == source.count()
+
+
+def test_columns_of_any_name_and_bounded_memory(spark, monkeypatch):
+    """Scores do not depend on what a worker still remembers."""
+    import sys
+
+    module = sys.modules[drop_toxic.__module__]
+    model = module.ToxicityModel((("idiot", 4.0), ("stupid", 4.0)), (), (-3.0, 1.5, 0.5, 0.0, 0.0, 0.0))
+    rows = [(1, "you stupid idiot", "keep", "r"), (2, "a calm day by the sea", "keep", "r"), (3, None, "keep", "r")]
+    source = spark.createDataFrame(rows, "doc_id long, text string, __found string, row string")
+    kept = drop_toxic(source, model)
+    assert kept.columns == source.columns and sorted(map(str, kept.collect())) == sorted(map(str, source.filter("doc_id > 1").collect()))
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} idiot stupidd calm{chr(97 + i % 26)}" for i in range(300)]
+    want = [module.hits(model, t) for t in texts]
+    monkeypatch.setattr(module, "KNOWN_HITS", 1)
+    monkeypatch.setattr(module, "KEPT_STATES", 2)
+    module._matcher.cache_clear()
+    module._matcher(model.words, model.prefixes)[1].limit = 500
+    assert [module.hits(model, t) for t in texts] == want
+    module._matcher.cache_clear()

@@ -13,7 +13,8 @@ The benchmark is a stated query set: items are taken in blocks of
 ``block_items``, each broadcast for one pass over all documents.
 
 Defined cases: a NULL or wordless document matches nothing, nor does a wordless
-item. Documents shorter than a passage are one passage. Repeated documents or
+item; items without an id are found like others and reported with a NULL id.
+A text of any length is cut into batches of passages. Documents shorter than a passage are one passage. Repeated documents or
 items give repeated matches, one per pair of ids with the best figures; rows are
 dropped by id and text, so rows that share a leak's id, or lack one, stay. Empty
 tables give an empty result. Only ids and texts are read.
@@ -183,7 +184,7 @@ def _leaks(
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("t"))
     spark = docs.sparkSession
     schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, text_key long, item_id long, cosine double, lcs_share double, answer_share double"
-    items = benchmark.filter("item_id is not null and text is not null").count()
+    items = benchmark.filter("text is not null").count()
     if not items:
         return spark.createDataFrame([], schema + ", kind string")
     found, n = _frequencies(plain, dimension)
@@ -192,7 +193,7 @@ def _leaks(
     blocks = -(-items // block_items)
     parts = None
     for number in range(blocks):
-        block = benchmark.filter("item_id is not null and text is not null").filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
+        block = benchmark.filter("text is not null").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
         rows = block.select("item_id", "text").collect()
         owner, word = hashing.words([r["text"].encode() for r in rows])
         words = [word[owner == i].tolist() for i in range(len(rows))]
@@ -312,6 +313,7 @@ def _matcher(held, min_cosine: float, min_overlap: float, least_share: float, an
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without a leak, told apart by id and text; all columns unchanged."""
     found = _leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    leaks = stored(found.select(F.col("doc_id").alias("__leak"), F.col("text_key").alias("__leak_key")).distinct(), "leaks")
-    same = (F.xxhash64(text_col) == F.col("__leak_key")) & F.col(id_col).eqNullSafe(F.col("__leak"))
-    return docs.join(leaks, same, "left_anti")
+    leaks = stored(found.select(F.col("doc_id").alias("leak"), F.col("text_key").alias("leak_key")).distinct(), "leaks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("text_key"))
+    same = (F.col("text_key") == F.col("leak_key")) & F.col("row")[id_col].eqNullSafe(F.col("leak"))
+    return rows.join(leaks, same, "left_anti").select("row.*")

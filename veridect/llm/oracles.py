@@ -44,9 +44,9 @@ _GENERAL = ", ".join(
 
 LINES = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-ln AS (SELECT rid, doc_id, text, no, l, CASE WHEN length(l) - length(replace(l, ' ', '')) >= 48 THEN [] ELSE {_LINE_WORDS} END AS lw
+ln AS (SELECT rid, doc_id, text, no, l, {_LINE_WORDS} AS lw
        FROM (SELECT rid, doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d) s),
-ks AS (SELECT *, CASE WHEN len(lw) = 0 OR len(lw) > 24 THEN [] WHEN len(lw) < 8 THEN ['0 ' || len(lw) || ' ' || array_to_string(lw, ' ')]
+ks AS (SELECT *, CASE WHEN len(lw) = 0 THEN [] WHEN len(lw) < 8 OR len(lw) > 24 THEN ['0 ' || len(lw) || ' ' || array_to_string(lw, ' ')]
        ELSE ['0 ' || len(lw) || ' ' || array_to_string(lw, ' '), {_GENERAL}] END AS k FROM ln),
 occ AS (SELECT DISTINCT rid, doc_id, text, unnest(k) AS key FROM ks),
 rec AS (SELECT key, min(doc_id) AS first_doc FROM occ GROUP BY key HAVING count(*) >= 5 AND count(DISTINCT text) > 1),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridect.llm.frames import small_batches, stored
+from veridect.llm.frames import ByteBoundCache, small_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 # Common insults that belong to the lexicon before any label is read.
@@ -61,14 +61,22 @@ class LexiconAutomaton:
         for term in sorted(prefixes):
             self._add(term, False, self.prefix_at, term + "*")
         self.fuzzy_length = fuzzy_length
+        self.letters = {c for node in self.children for c in node}
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accept: list[tuple[str, int] | None] = []
         self.begins: list[str | None] = []
-        self.letters = {c for node in self.children for c in node}
         self.start = self._state({(0, 0)})
 
+    def settle(self) -> None:
+        """Forgets the states if words have led to too many of them."""
+        if len(self.members) > KEPT_STATES:
+            self._begin()
+
     def _add(self, term: str, fuzzy: bool, ends: dict[int, str], name: str) -> None:
         node = 0
         self.fuzzy_below[0] |= fuzzy
@@ -129,6 +137,9 @@ class LexiconAutomaton:
         return (best, 0) if best is not None else None
 
 
+#: What a worker remembers: bytes of words without a hit, words with one and their length, states of the automaton.
+CLEAN_BYTES, KNOWN_HITS, LONGEST_KEPT, KEPT_STATES = 48 << 20, 20_000, 64, 50_000
+
 #: What a hit with no or one edit counts.
 STRENGTH = (1.0, 0.75)
 FEATURES = 5
@@ -144,24 +155,30 @@ class ToxicityModel:
 
 
 @lru_cache(maxsize=2)
-def _matcher(words: tuple, prefixes: tuple) -> tuple[LexiconAutomaton, set[str], dict[str, tuple[str, int]]]:
-    return LexiconAutomaton(dict(words), dict(prefixes)), set(), {}
+def _matcher(words: tuple, prefixes: tuple) -> tuple[LexiconAutomaton, ByteBoundCache, dict[str, tuple[str, int]]]:
+    """The automaton, the words without a hit seen lately, and hits."""
+    return LexiconAutomaton(dict(words), dict(prefixes)), ByteBoundCache(CLEAN_BYTES), {}
 
 
 def hits(model: ToxicityModel, text: str | None) -> list[tuple[str, str, int, float, float]]:
     """(word, term, word place, strength, context) of each hit."""
-    automaton, clean, found = _matcher(model.words, model.prefixes)
+    automaton, clean, known = _matcher(model.words, model.prefixes)
     low = (text or "").lower()
     distinct = set(WORD.findall(low))
-    if len(clean) > 1_000_000:
-        clean.clear()
-    for word in distinct - clean - found.keys():
-        hit = automaton.match(word)
+    clean.settle()
+    automaton.settle()
+    found = {}
+    for word in clean.unknown(distinct):
+        hit = known.get(word) or automaton.match(word)
         if hit is None:
-            clean.add(word)
-        else:
-            found[word] = hit
-    if distinct.isdisjoint(found):
+            clean[word] = b""
+            continue
+        found[word] = hit
+        if len(known) >= KNOWN_HITS:
+            known.clear()
+        if len(word) <= LONGEST_KEPT:
+            known[word] = hit
+    if not found:
         return []
     parts = LETTERS.findall(low)
     out = []
@@ -341,4 +358,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, all columns unchanged."""
-    return docs.withColumn("__found", toxicity(model, text_col)).filter(F.col("__found.score") < threshold).drop("__found")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), toxicity(model, text_col).alias("found"))
+    return rows.filter(F.col("found.score") < threshold).select("row.*")
