@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from veridect.llm.line_templates import drop_recurring_lines, line_keys, recurring_templates
 
 
-def keys(line, depth=2, min_fields=8, max_tokens=24):
+def keys(line, depth=2, min_short=4, min_fields=8, max_tokens=24):
     words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", re.sub(r"[^ \t\n\x0b\f\r]*[0-9][^ \t\n\x0b\f\r]*", "<*>", line)) if w]
     if not words:
         return set()
     out = {(0, len(words), *words)}
-    if min_fields <= len(words) <= max_tokens:
+    if min_short <= len(words) < min_fields:
+        depth = 1
+        out.add((4, len(words), *words[1:]))
+    if min_short <= len(words) <= max_tokens:
         for r in range(3):
             out.add((r + 1, len(words), *(w for i, w in enumerate(words) if i < depth or (i - depth) % 3 != r)))
     return out
@@ -86,3 +89,12 @@ def test_columns_of_any_name(spark):
     assert sorted(map(tuple, out.collect())) == sorted((r[0], r[1] if r[0] == 0 else r[1].split("\n")[1], *r[2:]) for r in rows)
     counted = drop_recurring_lines(source.withColumn("__n_lines", F.lit("x")), counts=True).filter("doc_id = 1").first()
     assert (counted["__n_lines"], counted["__n_removed"]) == (2, 1)
+
+
+@pytest.mark.parametrize("line", ["user {} logged in from home", "{} opened the session", "the job of {} has ended well", "disk of host {} is full"])
+def test_varying_words_of_short_lines(spark, line):
+    """A field that holds no digit is found inside a short line and at its start."""
+    names = ["alice", "bob", "carol", "dave", "erin", "frank", "grace", "heidi"]
+    rows = [(i, f"Document {chr(97 + i)}.\n{line.format(n)}") for i, n in enumerate(names)]
+    out = {r["doc_id"]: r["text"] for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}

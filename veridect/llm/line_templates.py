@@ -4,8 +4,10 @@ Words with a digit become the field ``<*>``. The path in the tree is the number
 of words and the first ``depth`` words; a leaf holds the template with all words
 and, for lines of ``min_fields`` to ``max_tokens`` words, three templates that
 leave out every third word behind the path, so lines that differ in a field (or
-in fields three apart) meet in one of them. Longer lines are paragraphs and have
-the template with all words only. A template recurs if
+in fields three apart) meet in one of them. Lines of ``min_short`` words up to
+there have a path of their number of words and the first word, and a fourth
+template behind the wildcard child, for lines that differ in that word. Longer
+lines are paragraphs and have the template with all words only. A template recurs if
 at least ``min_docs`` documents with at least two different texts have it. Its
 lines are dropped everywhere but in the document with the least id.
 
@@ -33,26 +35,28 @@ from veridect.operators.ordered import join_bounded
 _NO_KEYS = "cast(array() as array<bigint>)"
 
 
-def _line_keys(text: str, depth: int, min_fields: int, max_tokens: int) -> Column:
+def _line_keys(text: str, depth: int, min_short: int, min_fields: int, max_tokens: int) -> Column:
     """The template keys of each line of ``text``."""
     # words of a line with fields masked; no words for blank lines
     words = r"array_remove(split(regexp_replace(l, '\\S*\\d\\S*', '<*>'), '\\s+'), '')"
-    general = ", ".join(
-        f"xxhash64({r + 1}, size(w), filter(w, (t, i) -> i < {depth} or (i - {depth}) % 3 <> {r}))" for r in range(3)
-    )
+
+    def general(path: int) -> str:
+        return ", ".join(f"xxhash64({r + 1}, size(w), filter(w, (t, i) -> i < {path} or (i - {path}) % 3 <> {r}))" for r in range(3))
+
     keys = (
         f"case when size(w) = 0 then {_NO_KEYS}"
-        f" when size(w) < {min_fields} or size(w) > {max_tokens} then array(xxhash64(0, size(w), w))"
-        f" else array(xxhash64(0, size(w), w), {general}) end"
+        f" when size(w) < {min_short} or size(w) > {max_tokens} then array(xxhash64(0, size(w), w))"
+        f" when size(w) < {min_fields} then array(xxhash64(0, size(w), w), {general(1)}, xxhash64(4, size(w), slice(w, 2, size(w))))"
+        f" else array(xxhash64(0, size(w), w), {general(depth)}) end"
     )
     return F.expr(rf"transform(transform(split({text}, '\n'), l -> {words}), w -> {keys})")
 
 
 def line_keys(
-    docs: DataFrame, depth: int = 2, min_fields: int = 8, max_tokens: int = 24, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, depth: int = 2, min_short: int = 4, min_fields: int = 8, max_tokens: int = 24, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, text_key and the keys of each line (an array of arrays) of every row; written once."""
-    keys = _line_keys(f"`{text_col}`", depth, min_fields, max_tokens)
+    keys = _line_keys(f"`{text_col}`", depth, min_short, min_fields, max_tokens)
     return stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), keys.alias("keys")), "line-keys")
 
 
@@ -66,11 +70,11 @@ def recurring_templates(keyed: DataFrame, min_docs: int = 5) -> DataFrame:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, min_docs: int = 5, depth: int = 2, min_fields: int = 8, max_tokens: int = 24, id_col: str = "doc_id", text_col: str = "text",
-    counts: bool = False,
+    docs: DataFrame, min_docs: int = 5, depth: int = 2, min_short: int = 4, min_fields: int = 8, max_tokens: int = 24,
+    id_col: str = "doc_id", text_col: str = "text", counts: bool = False,
 ) -> DataFrame:
     """``docs`` with the recurring lines taken out of the text; with ``counts``, also __n_lines and __n_removed."""
-    keyed = line_keys(docs, depth, min_fields, max_tokens, id_col, text_col)
+    keyed = line_keys(docs, depth, min_short, min_fields, max_tokens, id_col, text_col)
     recurring = stored(recurring_templates(keyed, min_docs), "templates").select("key", "first_doc")
     places = keyed.select("doc_id", "text_key", F.posexplode("keys").alias("line", "line_keys"))
     occurrences = places.select("doc_id", "text_key", "line", F.explode("line_keys").alias("key"))

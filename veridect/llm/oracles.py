@@ -38,16 +38,22 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(lis
        n_lines, n_lines_removed, floor(lost_percent * 1e6 + 5e-1) / 1e6 AS lost_percent FROM base"""
 
 _LINE_WORDS = r"list_filter(string_split_regex(regexp_replace(l, '[^\s]*[0-9][^\s]*', '<*>', 'g'), '\s+'), lambda x: x <> '')"
-_GENERAL = ", ".join(
-    f"'{r + 1} ' || len(lw) || ' ' || array_to_string(list_filter(lw, lambda t, i: i <= 2 OR (i - 3) % 3 <> {r}), ' ')" for r in range(3)
-)
+
+
+def _general(path: int) -> str:
+    return ", ".join(
+        f"'{r + 1} ' || len(lw) || ' ' || array_to_string(list_filter(lw, lambda t, i: i <= {path} OR (i - {path + 1}) % 3 <> {r}), ' ')" for r in range(3)
+    )
+
+
 
 LINES = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 ln AS (SELECT rid, doc_id, text, no, l, {_LINE_WORDS} AS lw
        FROM (SELECT rid, doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d) s),
-ks AS (SELECT *, CASE WHEN len(lw) = 0 THEN [] WHEN len(lw) < 8 OR len(lw) > 24 THEN ['0 ' || len(lw) || ' ' || array_to_string(lw, ' ')]
-       ELSE ['0 ' || len(lw) || ' ' || array_to_string(lw, ' '), {_GENERAL}] END AS k FROM ln),
+ks AS (SELECT *, CASE WHEN len(lw) = 0 THEN [] WHEN len(lw) < 4 OR len(lw) > 24 THEN ['0 ' || len(lw) || ' ' || array_to_string(lw, ' ')]
+       WHEN len(lw) < 8 THEN ['0 ' || len(lw) || ' ' || array_to_string(lw, ' '), {_general(1)}, '4 ' || len(lw) || ' ' || array_to_string(lw[2:], ' ')]
+       ELSE ['0 ' || len(lw) || ' ' || array_to_string(lw, ' '), {_general(2)}] END AS k FROM ln),
 occ AS (SELECT DISTINCT rid, doc_id, text, unnest(k) AS key FROM ks),
 rec AS (SELECT key, min(doc_id) AS first_doc FROM occ GROUP BY key HAVING count(*) >= 5 AND count(DISTINCT text) > 1),
 gone AS (SELECT DISTINCT o.rid, o.no FROM (SELECT rid, doc_id, no, unnest(k) AS key FROM ks) o JOIN rec ON o.key = rec.key WHERE o.doc_id IS DISTINCT FROM rec.first_doc),
