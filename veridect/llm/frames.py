@@ -61,7 +61,7 @@ class ByteBoundCache(dict):
         return out
 
     def settle(self) -> None:
-        new = self.contents(islice(self.items(), self._counted, None))
+        new = self.contents(islice(reversed(self.items()), len(self) - self._counted))
         self.held += sum(new) + self.OVERHEAD * len(new)
         if self.held > self.limit // 2:
             self.back = dict(self)

@@ -160,13 +160,18 @@ def _matcher(words: tuple, prefixes: tuple) -> tuple[LexiconAutomaton, ByteBound
     return LexiconAutomaton(dict(words), dict(prefixes)), ByteBoundCache(CLEAN_BYTES), {}
 
 
+def settle(model: ToxicityModel) -> None:
+    """Between batches, forgets what outgrows its bound."""
+    automaton, clean, _ = _matcher(model.words, model.prefixes)
+    clean.settle()
+    automaton.settle()
+
+
 def hits(model: ToxicityModel, text: str | None) -> list[tuple[str, str, int, float, float]]:
     """(word, term, word place, strength, context) of each hit."""
     automaton, clean, known = _matcher(model.words, model.prefixes)
     low = (text or "").lower()
     distinct = set(WORD.findall(low))
-    clean.settle()
-    automaton.settle()
     found = {}
     for word in clean.unknown(distinct):
         hit = known.get(word) or automaton.match(word)
@@ -325,6 +330,7 @@ def fit_toxicity(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t"):
+            settle(model)
             rows = [features(model, t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
 
@@ -342,6 +348,7 @@ def toxicity(model: ToxicityModel, text: str | Column) -> Column:
     @F.pandas_udf("score double, terms array<string>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
+            settle(model)
             texts = texts.where(texts.notna(), None)
             rows = np.array([features(model, t) for t in texts], dtype=float).reshape(len(texts), FEATURES)
             terms = [sorted({h[1] for h in hits(model, t)}) if row[-1] else [] for t, row in zip(texts, rows, strict=True)]
