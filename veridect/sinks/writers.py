@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,15 +90,15 @@ def write_run_snapshot(df: DataFrame, path: str, split: str, target: str, platfo
 def write_scored(scored: DataFrame, path: str, error: str = "error") -> dict[str, int]:
     """Scored rows (part ``scored``) with the failed ones apart, written in one pass; returns how many there are of each.
 
-    Rows go to folders ``failed=false`` and ``failed=true``, and are counted on
-    their way, so the model runs once.
+    Rows go to folders ``failed=false`` and ``failed=true``, where they are
+    counted, so the model runs once.
     """
-    counts = Observation()
     marked = scored.withColumn("failed", F.col(error).isNotNull())
-    seen = marked.observe(counts, F.count(F.lit(1)).alias("rows"), F.count_if("failed").alias("failed"))
-    commit(scored.sparkSession, path, {"scored": lambda folder: seen.write.partitionBy("failed").parquet(folder)})
-    found = counts.get
-    return {"good": found["rows"] - found["failed"], "failed": found["failed"]}
+    commit(scored.sparkSession, path, {"scored": lambda folder: marked.write.partitionBy("failed").parquet(folder)})
+    # the written files say how many there are; the model does not run again
+    written = read_part(scored.sparkSession, path, "scored", T.StructType([*scored.schema.fields, T.StructField("failed", T.BooleanType())]))
+    found = {row["failed"]: row["count"] for row in written.groupBy("failed").count().collect()}
+    return {"good": found.get(False, 0), "failed": found.get(True, 0)}
 
 
 def read_scored(spark: SparkSession, path: str, schema: T.StructType, error: str = "error") -> tuple[DataFrame, DataFrame]:
