@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import filterfalse, islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,7 +52,8 @@ class ByteBoundCache(dict):
 
     def unknown(self, wanted: set) -> list:
         out = []
-        for key in wanted.difference(self):
+        # a set's own difference would go through all entries of a subclass
+        for key in filterfalse(self.__contains__, wanted):
             value = self.back.get(key)
             if value is None:
                 out.append(key)
