@@ -1,4 +1,5 @@
 import hashlib
+import re
 import math
 import random
 from collections import Counter, defaultdict
@@ -145,6 +146,14 @@ def test_oversample(spark, draws_per_key, mode):
         assert r.id == ids[r.y][h % len(ids[r.y])]
 
 
+def test_oversample_broadcasts_no_draws(spark):
+    df = spark.createDataFrame([(i, int(i < 10)) for i in range(100)], "id int, y int")
+    got = S.oversample(df, "y", "id")
+    assert len(got.collect()) == 180
+    joins = re.findall(r"(\w+Join) \[[^\]]*_index", got._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def greedy_names(paths):
     """One file after the other: first files of every name, then copies by path."""
     seen, firsts, copies = set(), [], []

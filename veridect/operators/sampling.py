@@ -279,7 +279,7 @@ def hash_positions(
     keyed = _keyed(df, id_col, seed, buckets.digits)
     before = Window.partitionBy(*classes).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.counts.select(*classes, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*classes, "_bucket").orderBy("_key")
+    inside = Window.partitionBy("_bucket", *classes).orderBy("_key")
     ranked = join_bounded(
         keyed.withColumn("_rn", F.row_number().over(inside)), offsets, [*classes, "_bucket"], buckets.rows
     )
@@ -329,7 +329,9 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 42, draws_per
         )
         .select(label, "draw", (F.col("_hash") % F.col("_n")).alias("_index"), (F.col("draw") % F.col("_salts")).alias("_salt"))
     )
-    return join_on(draws, sources, [label, "_index", "_salt"]).select(*df.columns, "draw")
+    # the draws come from a few chunk rows, by whose size Spark would take all of them for a broadcast; a sort goes by
+    # the leading bytes of its first key, so that is the index
+    return join_on(draws.hint("merge"), sources, ["_index", "_salt", label]).select(*df.columns, "draw")
 
 
 def quota_check(
