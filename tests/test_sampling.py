@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veridect.operators import labels as B
 from veridect.operators import ordered as O
 from veridect.operators import sampling as S
+from veridect.operators.labels import class_distribution
 
 
 def key(i, seed=42):
@@ -154,6 +155,14 @@ def test_oversample_broadcasts_no_draws(spark):
     assert joins and set(joins) == {"SortMergeJoin"}
 
 
+def test_class_distribution_of_balanced_rows_broadcasts_no_draws(spark):
+    df = spark.createDataFrame([(i, None if i < 3 else int(i < 10)) for i in range(100)], "id int, y int")
+    got = class_distribution(S.oversample(df, "y", "id"), ["y"])
+    assert {r.y: r.rows for r in got.collect()} == {None: 90, 0: 90, 1: 90}
+    joins = re.findall(r"(\w+Join) \[[^\]]*_index", got._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def greedy_names(paths):
     """One file after the other: first files of every name, then copies by path."""
     seen, firsts, copies = set(), [], []
