@@ -15,7 +15,7 @@ from veridect.session import shared_dir
 from veridect.plans.catalog import ORACLES, QUERIES
 from veridect.operators.scoring import LinearScorer, score_batches
 from veridect.sinks import committed, writers
-from veridect.sources import images, listing, manifests, tables
+from veridect.sources import csv_files, images, listing, manifests, tables
 from veridect.streaming import fusion, jobs
 from veridect.streaming import progress as P
 
@@ -174,6 +174,19 @@ def test_written_predictions_read_back(spark, tmp_path):
     assert [tuple(r) for r in tables.read_predictions(spark, committed.part_path(spark, str(tmp_path / "p"), "predictions")).collect()] == [('a "b", c.jpg', "FAKE", 0.5, None, "REAL", False)]
 
 
+def test_plain_records_are_cut_once(spark, tmp_path):
+    """Records without quotes are cut as the CSV parser cuts them; the parser stands in the plan once, for the others."""
+    odd = ["a", " a , b", ",,", "a,b,", "\t,x", "\x00,b", "#a,b", "\\,b", "é,\u2028", "a;b,'c'", ",a", " ", "a\\,b"]
+    df = spark.createDataFrame([(r,) for r in odd], "record string")
+    plain = F.transform(F.split("record", ","), lambda c: F.nullif(c, F.lit("")))
+    for record, parsed, cut in df.select("record", csv_files._wide(F.col("record"), 4), plain).collect():
+        assert (cut + [None] * 4)[:4] == parsed, record
+    (tmp_path / "a.csv").write_text("true_label,correct,fake_prob\nreal,True,0.1\nfake,True,n/a\n")
+    rows = tables.read_predictions(spark, str(tmp_path))
+    assert [tuple(r)[1:3] for r in rows.collect()] == [("REAL", 0.1)]
+    assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("from_csv(") == 1
+
+
 def test_a_job_that_fails_leaves_the_old_version(spark, tmp_path):
     root = str(tmp_path / "run")
     schema = "filepath string, target int, source_platform string, split string"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,11 @@ def _plain_cells(line: Column) -> Column:
 
 
 def _wide(line: Column, width: int) -> Column:
-    """The cells of a record as an array of ``width`` texts; empty cells are NULL."""
+    """The cells of a record with quotes as an array of ``width`` texts."""
     names = [f"c{i}" for i in range(width)]
     cells = F.from_csv(line, ", ".join(f"{n} string" for n in names), {"escape": '"', "mode": "PERMISSIVE"})
-    return F.array(*[cells[n] for n in names])
+    # the lambda reads the parsed record once for all its cells
+    return F.get(F.transform(F.array(cells), lambda c: F.array(*[c[n] for n in names])), F.lit(0))
 
 
 def read_named_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, required: Sequence[str]) -> NamedCsv:
@@ -50,26 +53,38 @@ def read_named_csv(spark: SparkSession, path: str | list[str], schema: T.StructT
     lines = spark.read.text(path).select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("file"))
     lines = lines.filter(F.btrim("record") != "")
     names = _plain_cells(F.col("record"))
-    is_header = F.forall(F.array(*[F.lit(r) for r in required]), lambda r: F.array_contains(names, r))
+    # most lines lack one of the names, which a plain search tells before their cells are looked at
+    tests = [F.col("record").contains(r) for r in required] + [F.array_contains(names, r) for r in required]
+    is_header = reduce(and_, tests)
     headers = cut_lineage(
         lines.filter(is_header)
         .groupBy("file")
         .agg(F.min(names).alias("header"), (F.min(names) != F.max(names)).alias("several"))
+        .select(
+            "file",
+            "several",
+            F.size("header").alias("width"),
+            *[F.array_position("header", F.lit(f.name)).cast("int").alias(f"_at_{f.name}") for f in schema.fields],
+        )
     )
-    files, width = headers.agg(F.count(F.lit(1)), F.max(F.size("header"))).first()
+    files, width = headers.agg(F.count(F.lit(1)), F.max("width")).first()
     found = join_bounded(lines.filter(~is_header), headers, ["file"], files, "left")
-    count = F.regexp_count(F.regexp_replace("record", QUOTED, ""), F.lit(",")) + 1
-    texts = found.withColumn("cells", _wide(F.col("record"), max(width or 1, 1)))
+    quoted = F.col("record").contains('"')
+    cells = F.when(quoted, _wide(F.col("record"), max(width or 1, 1))).otherwise(F.split("record", ","))
+    # behind a generator a record is cut once; as a plain column it would be cut again wherever a filter asks for a cell
+    texts = found.withColumn("cells", F.explode(F.array(cells)))
+    count = F.when(quoted, F.regexp_count(F.regexp_replace("record", QUOTED, ""), F.lit(",")) + 1).otherwise(F.size("cells"))
 
     def cell(name: str) -> Column:
-        return F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1)
+        """The text of a cell; empty ones are NULL, as are names that the header does not have (place 0)."""
+        return F.nullif(F.get("cells", F.col(f"_at_{name}") - 1), F.lit(""))
 
-    texts = texts.withColumns({f"_text_{f.name}": F.when(F.array_contains("header", f.name), cell(f.name)) for f in schema.fields})
+    texts = texts.withColumns({f"_text_{f.name}": cell(f.name) for f in schema.fields})
     reason = (
-        F.when(F.col("header").isNull(), F.lit(f"no header with {', '.join(required)}"))
+        F.when(F.col("width").isNull(), F.lit(f"no header with {', '.join(required)}"))
         .when(F.col("several"), "two different headers")
-        .when(F.regexp_replace("record", QUOTED, "").contains('"'), "open quote")
-        .when(count != F.size("header"), F.concat(count.cast("string"), F.lit(" cells where the header has "), F.size("header").cast("string")))
+        .when(quoted & F.regexp_replace("record", QUOTED, "").contains('"'), "open quote")
+        .when(count != F.col("width"), F.concat(count.cast("string"), F.lit(" cells where the header has "), F.col("width").cast("string")))
     )
     for field in schema.fields:
         if field.dataType != T.StringType():
