@@ -187,6 +187,22 @@ def test_plain_records_are_cut_once(spark, tmp_path):
     assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("from_csv(") == 1
 
 
+def test_predictions_are_written_where_they_are(spark, tmp_path):
+    """Every task writes its own rows: no shuffle brings them together, also with more strategies than open folders."""
+    for kinds in (2, writers.OPEN_FOLDERS + 8):
+        rows = spark.range(0, 800, 1, 4).select(F.col("id").cast("string").alias("file"), (F.col("id") % kinds).cast("string").alias("strategy"))
+        writers.write_predictions(rows, str(tmp_path / str(kinds)))
+        root = committed.part_path(spark, str(tmp_path / str(kinds)), "predictions")
+        found = spark.read.schema("file string, strategy string").option("header", True).csv(root).withColumn("part", F.input_file_name()).collect()
+        assert sorted(int(r.file) for r in found) == list(range(800))
+        assert all(int(r.file) % kinds == int(r.strategy) for r in found)
+        tasks = {}
+        for r in found:
+            tasks.setdefault(r.part, set()).add(int(r.file) // 200)
+        assert len(tasks) == 4 * kinds and all(len(t) == 1 for t in tasks.values())
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_a_job_that_fails_leaves_the_old_version(spark, tmp_path):
     root = str(tmp_path / "run")
     schema = "filepath string, target int, source_platform string, split string"

@@ -12,23 +12,32 @@ from veridect.operators.ordered import beside
 from veridect.sinks.committed import commit, read_part
 
 
+#: Folders that a task of ``write_predictions`` keeps open at once; beyond them it sorts its rows by folder.
+OPEN_FOLDERS = 32
+
+
 def write_predictions(df: DataFrame, path: str, partition_by: str | None = "strategy", fmt: str = "csv") -> None:
     """Predictions, one folder per strategy, published as part ``predictions`` of ``path`` (see ``committed``).
 
-    The rebalance hint lets AQE merge small outputs and split a large strategy
-    into several files of even size.
+    Strategies are few, so every task keeps a file open for each of them and
+    writes its rows as they come: they are neither shuffled nor sorted.
     """
-    spread = df.hint("rebalance", partition_by) if partition_by else df
+    spark, limit = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
 
     def write(folder: str) -> None:
-        writer = spread.write.format(fmt)
+        writer = df.write.format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.save(folder)
-
-    commit(df.sparkSession, path, {"predictions": write})
+        before = spark.conf.get(limit)
+        spark.conf.set(limit, max(int(before), OPEN_FOLDERS))
+        try:
+            writer.save(folder)
+        finally:
+            spark.conf.set(limit, before)
+
+    commit(spark, path, {"predictions": write})
 
 
 def decision_config_frame(spark: SparkSession, report: CalibrationReport, model_repo: str) -> DataFrame:
