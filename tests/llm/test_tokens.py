@@ -6,10 +6,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veridect.llm import simple8b
+from veridect.llm import frames, simple8b
 from veridect.llm.packing import best_two_fit, pack_documents
 from veridect.llm.token_files import pack_file, token_file_digest, unpack_file
-from veridect.llm.tokens import TextEncoder, tokenizer_path
+from veridect.llm.tokens import TextEncoder, encoder, tokenizer_path
 
 NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
@@ -118,3 +118,18 @@ def test_token_files(request, name):
         want.append((start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), r["doc_id"]))
         start += len(ids)
     assert got == want
+
+
+def test_a_worker_forgets_what_other_operators_remember():
+    known = []
+    frames.remembers("test-a", lambda: known.append("a"))
+    frames.remembers("test-b", lambda: known.append("b"))
+    first = encoder(tokenizer_path("word_bpe_49k.json"))
+    try:
+        frames.make_room("tokens")
+        assert encoder(tokenizer_path("word_bpe_49k.json")) is first
+        frames.make_room("test-a")
+        assert encoder(tokenizer_path("word_bpe_49k.json")) is not first
+    finally:
+        frames._FORGET.pop("test-a"), frames._FORGET.pop("test-b")
+    assert known == ["a", "b", "b"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridect.llm import hashing
-from veridect.llm.frames import small_batches, stored
+from veridect.llm.frames import make_room, small_batches, stored
 
 GOLDEN = np.uint64(hashing.BASE)
 
@@ -120,6 +120,7 @@ def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """Row key, node, band keys and profile of each document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("near_duplicates")
         for batch in small_batches(batches, "t", 4 << 20):
             texts = [None if t is None else t.encode() for t in batch.column("t").to_pylist()]
             n = len(texts)
@@ -155,6 +156,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     """The pairs (a, b) whose texts are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("near_duplicates")
         for batch in small_batches(batches, "ta", 4 << 20):
             keep = []
             one, two = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridect.llm.frames import small_batches, stored
+from veridect.llm.frames import make_room, small_batches, stored
 from veridect.llm.tokens import encoder, tokenizer_path
 
 
@@ -55,6 +55,7 @@ def token_pieces(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("tokens")
         for batch in small_batches(batches, "t"):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, coded in enumerate(encoder(path)(batch.column("t").to_pylist())):

@@ -17,7 +17,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-from veridect.llm.frames import ByteBoundCache
+from veridect.llm.frames import ByteBoundCache, remembers
 
 # White space beyond space, tab, line feed and return, and controls that Python but not every pattern counts as such.
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
@@ -212,3 +212,6 @@ class TextEncoder:
 def encoder(path: str, literal: bool = False, cache_bytes: int = CACHE_BYTES) -> TextEncoder:
     """One encoder per worker process and vocabulary."""
     return TextEncoder(path, literal, cache_bytes)
+
+
+remembers("tokens", encoder.cache_clear)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridect.llm.frames import ByteBoundCache, small_batches, stored
+from veridect.llm.frames import ByteBoundCache, make_room, remembers, small_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 # Common insults that belong to the lexicon before any label is read.
@@ -160,6 +160,9 @@ def _matcher(words: tuple, prefixes: tuple) -> tuple[LexiconAutomaton, ByteBound
     return LexiconAutomaton(dict(words), dict(prefixes)), ByteBoundCache(CLEAN_BYTES), {}
 
 
+remembers("toxicity", _matcher.cache_clear)
+
+
 def settle(model: ToxicityModel) -> None:
     """Between batches, forgets what outgrows its bound."""
     automaton, clean, _ = _matcher(model.words, model.prefixes)
@@ -347,6 +350,7 @@ def toxicity(model: ToxicityModel, text: str | Column) -> Column:
 
     @F.pandas_udf("score double, terms array<string>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        make_room("toxicity")
         for texts in batches:
             settle(model)
             texts = texts.where(texts.notna(), None)
