@@ -5,7 +5,18 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from veridect.llm.minhash import _nodes, keep_one_per_class, near_duplicate_classes, probability_jaccard, profiles, signatures, spanning_links
+from veridect.llm.minhash import (
+    SKETCH,
+    _meeting,
+    _nodes,
+    keep_one_per_class,
+    marks,
+    near_duplicate_classes,
+    probability_jaccard,
+    profiles,
+    signatures,
+    spanning_links,
+)
 
 
 def profile(text):
@@ -152,3 +163,33 @@ def test_spanning_links_join_the_classes(spark):
         classes[v].append(k)
     assert Counter(tuple(sorted(c, key=str)) for c in classes.values()) == brute(rows)
     assert "n_links" not in near_duplicate_classes(source).columns
+
+
+def test_marks_bound_the_similarity():
+    rnd = np.random.default_rng(9)
+    unlike = 0
+    for k in range(300):
+        size = int(rnd.integers(100, 130) if k % 2 else rnd.integers(1, 6))
+        pool = rnd.integers(0, 2**63, size + 2 + k % 30)
+        a, b = ({int(e): 1 + math.log(rnd.integers(1, 2 + k % 5)) for e in rnd.choice(pool, size, replace=False)} for _ in "ab")
+        one, two = marks(np.repeat([0, 1], [len(a), len(b)]), np.array([*a, *b], dtype=np.uint64), 2).view(np.uint64).tolist()
+        d = sum((x ^ y).bit_count() for x, y in zip(one, two, strict=True))
+        assert d <= len(a.keys() ^ b.keys())
+        s = 2 * (sum(a.values()) + sum(b.values())) - len(a) - len(b)
+        assert probability_jaccard(a, b) <= (s - d) / (s + d) + 1e-9
+        unlike += (s - d) / (s + d) < 0.8
+    assert 50 < unlike < 250
+
+
+def test_unlike_texts_of_a_band_make_no_pairs(spark):
+    """Texts that share two thirds of their shingles all meet, in many bands; a pair comes once, and only if it may be similar."""
+    common = [f"c{i}" for i in range(200)]
+    rows = [(k, " ".join(common + [f"k{k}w{i}" for i in range(100)])) for k in range(60)]
+    rows += [(k + 60, t.replace("w50 ", "x ")) for k, t in rows[:5]]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text as t", "xxhash64(text) as text_key")
+    nodes = _nodes(keyed, 5, 32, 1)
+    rest = nodes.selectExpr("explode(bands) as band", "node", "node as root", "bands", *SKETCH).localCheckpoint()
+    assert rest.alias("x").join(rest.alias("y"), "band").filter("x.root < y.root").count() > 10_000
+    number = {bytes(r["node"]): r["doc_id"] for r in nodes.collect()}
+    got = [tuple(sorted((number[bytes(r["a"])], number[bytes(r["b"])]))) for r in _meeting(rest, 0.8).collect()]
+    assert sorted(got) == [(k, k + 60) for k in range(5)]

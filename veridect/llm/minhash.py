@@ -10,7 +10,8 @@ the exact probability Jaccard of the two texts.
 Texts with equal shingle counts are one node. In a candidate group, the node
 with the least key is compared with all others; in groups that still hold several
 components, all pairs across components follow. Pairs are left out only if
-``profiles`` prove that they are not similar enough. So the verified links span
+``marks`` or ``profiles`` prove that they are not similar enough; ``marks`` do so
+inside the join, which gives a pair once, in the first band that it shares. So the verified links span
 the classes; they are not all links between similar texts. Links join
 into classes by alternating large-star and small-star steps on distributed
 tables.
@@ -100,6 +101,42 @@ def profiles(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int)
     return np.ceil(shares / unit[:, None]).astype(np.uint8), unit
 
 
+MARK_WORDS = 16
+
+
+def marks(owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """n x ``MARK_WORDS`` matrix of bits that say in which of as many parts of the hash space a text has an odd number of shingles.
+
+    Where two texts' bits differ, one has a shingle that the other lacks, so the
+    number of such bits bounds from below how many shingles they do not share.
+    """
+    place = hashing.mix(shingle) % np.uint64(64 * MARK_WORDS)
+    bits = np.zeros(n * MARK_WORDS, dtype=np.uint64)
+    np.bitwise_xor.at(bits, owner * MARK_WORDS + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return bits.view(np.int64).reshape(n, MARK_WORDS)
+
+
+def _meeting(rest: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of nodes of different components that share a band, without those whose marks prove them unlike.
+
+    Scaling does not change the probability Jaccard, and 1 / sum of max(x_e / x_d,
+    y_e / y_d) is at most max(x_d, y_d) / sum of max(x_e, y_e). So it is at most
+    S / (S + U), where S sums max(x_d, y_d) over shared elements and U the weights
+    of the others. Weights are 1 or more, so with N elements and weights of T in
+    both texts, S <= T - N / 2 - U / 2, and U is at least the number D of marks
+    that differ: the similarity is at most (2 T - N - D) / (2 T - N + D).
+    """
+    columns = [c for c in rest.columns if c != "band"]
+    name = lambda c, x: {"node": x, "root": "r" + x}.get(c, f"{c}_{x}")
+    one, two = (rest.select(F.col("band").alias(f"band_{x}"), *(F.col(c).alias(name(c, x)) for c in columns)) for x in "ab")
+    differ = " + ".join(f"bit_count(marks_a[{i}] ^ marks_b[{i}])" for i in range(MARK_WORDS))
+    unlike = f"({differ}) * (1D + {similarity}D) > (2D * (total_a + total_b) - (size_a + size_b)) * (1D - {similarity}D) + 1e-6D"
+    first = "array_intersect(bands_a, bands_b)[0] = band_a"
+    return one.join(two, F.expr(f"band_a = band_b AND ra < rb AND NOT ({unlike}) AND {first}")).select(
+        "a", "b", "profile_a", "unit_a", "profile_b", "unit_b"
+    )
+
+
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose profiles leave room for the similarity."""
 
@@ -116,8 +153,12 @@ def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "profile_a", "unit_a", "profile_b", "unit_b").mapInArrow(bound, "a binary, b binary")
 
 
+#: Columns that tell of a node that it is unlike another.
+SKETCH = ["profile", "unit", "marks", "size", "total"]
+
+
 def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """Row key, node, band keys and profile of each document."""
+    """Row key, node, band keys and sketch of each document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room("near_duplicates")
@@ -125,8 +166,9 @@ def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             texts = [None if t is None else t.encode() for t in batch.column("t").to_pylist()]
             n = len(texts)
             owner, shingle, count = weighted_shingles(texts, words)
-            kept = signatures(owner, shingle, 1 + np.log(count), n, bands * rows)
-            profile, unit = profiles(owner, shingle, 1 + np.log(count), n)
+            weight = 1 + np.log(count)
+            kept = signatures(owner, shingle, weight, n, bands * rows)
+            profile, unit = profiles(owner, shingle, weight, n)
             keys = np.zeros((n, bands), dtype=np.uint64)
             for k in range(rows):
                 keys = hashing.mix(keys * GOLDEN + kept[:, k::rows])
@@ -144,12 +186,16 @@ def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     pa.array([None if v is None else k for v, k in zip(node, keys, strict=True)], pa.list_(pa.int64())),
                     pa.array([p.tobytes() for p in profile], pa.binary()),
                     pa.array(unit),
+                    pa.array(list(marks(owner, shingle, n)), pa.list_(pa.int64())),
+                    pa.array(np.bincount(owner, minlength=n), pa.int64()),
+                    pa.array(np.bincount(owner, weight, minlength=n), pa.float64()),
                 ],
-                names=["doc_id", "text_key", "node", "bands", "profile", "unit"],
+                names=["doc_id", "text_key", "node", "bands", *SKETCH],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(sketch, f"doc_id {kind}, text_key long, node binary, bands array<bigint>, profile binary, unit double")
+    columns = "bands array<bigint>, profile binary, unit double, marks array<bigint>, size long, total double"
+    return docs.mapInArrow(sketch, f"doc_id {kind}, text_key long, node binary, {columns}")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -211,7 +257,7 @@ def _classes_and_links(
     keyed = named.withColumn("text_key", F.xxhash64("t"))
     rows_ = stored(_nodes(keyed, words, bands, rows), "sketches")
     # one row stands for all that share a node
-    nodes = rows_.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "bands", "profile", "unit")).alias("m")).select("node", "m.*")
+    nodes = rows_.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "bands", *SKETCH)).alias("m")).select("node", "m.*")
     nodes = stored(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
@@ -228,9 +274,8 @@ def _classes_and_links(
     roots = components(links)
     held = groups.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    rest = held.join(mixed, "band").join(nodes.select("node", "profile", "unit"), "node")
-    one, two = (rest.selectExpr("band", f"node as {x}", f"root as r{x}", f"profile as profile_{x}", f"unit as unit_{x}") for x in "ab")
-    met = _possible(one.join(two, "band").filter("ra < rb"), similarity)
+    rest = held.join(mixed, "band").join(nodes.select("node", "bands", *SKETCH), "node")
+    met = _possible(_meeting(rest, similarity), similarity)
     across = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = stored(_verified(across.join(stars, ["a", "b"], "left_anti"), texts, words, similarity), "links")
     links = links.union(more)
