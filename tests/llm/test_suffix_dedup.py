@@ -52,3 +52,9 @@ def test_repeated_bytes(spark, request, name, length):
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out)
     assert got == brute(rows, length)
     assert all(sum(b - a for a, b in r["spans"]) == r["n_removed"] for r in out)
+
+
+def test_texts_are_not_shuffled_beside_the_buckets(spark, docs):
+    """Ranks are settled before the texts meet them: the result's plan holds no ranking any more."""
+    plan = remove_repeated_bytes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "FlatMapGroupsInPandas" not in plan
