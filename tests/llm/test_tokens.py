@@ -133,3 +133,14 @@ def test_a_worker_forgets_what_other_operators_remember():
     finally:
         frames._FORGET.pop("test-a"), frames._FORGET.pop("test-b")
     assert known == ["a", "b", "b"]
+
+
+def test_words_before_any_marks_are_learnt_together():
+    words = TextEncoder(tokenizer_path("word_bpe_49k.json"))
+    alone, one = [], words._one
+    words._one = lambda text: (alone.append(text), one(text))[1]
+    marks = ["***", "##", "_-'", "',\"", ".&%$", "@", "'", ">"]
+    texts = [" ".join(f"{a}{b}né{m}" for a in "abcdefgh" for b in ("It", "ö", "Wor") for m in marks), "it's* don't' a1** x_y*"]
+    for text, got in zip(texts, words(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain("word_bpe_49k.json", text)
+    assert set(alone) <= {*marks, "*", "**", "it's*", "don't'", "a1**", "x_y*"}

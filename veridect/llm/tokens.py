@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -142,8 +143,13 @@ class TextEncoder:
     def _learn_words(self, needed: set[str]) -> None:
         known = self.rest
         missing = known.unknown(needed)
-        bare = {w: w.rstrip(MARKS) for w in missing}
-        letters = {b for b in bare.values() if b not in known and b.isalpha() and b.lower().isalpha() and is_normalized("NFC", b)}
+        # the vocabulary's pattern sets letters apart from every run of marks behind them
+        bare = {w: w.rstrip(string.punctuation) for w in missing}
+        letters = {
+            b
+            for b in set(bare.values())
+            if b not in known and b.isalpha() and (b.isascii() or b.lower().isalpha() and is_normalized("NFC", b))
+        }
         self._many(list(letters), " ", known)
         marks = {w[len(b) :] for w, b in bare.items()} - known.keys() - {""}
         for mark in marks:
