@@ -193,3 +193,29 @@ def test_unlike_texts_of_a_band_make_no_pairs(spark):
     number = {bytes(r["node"]): r["doc_id"] for r in nodes.collect()}
     got = [tuple(sorted((number[bytes(r["a"])], number[bytes(r["b"])]))) for r in _meeting(rest, 0.8).collect()]
     assert sorted(got) == [(k, k + 60) for k in range(5)]
+
+
+def test_a_task_sketches_little_text_at_a_time():
+    """A task's arrays stay small, however many texts a batch brings."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField
+
+    class Docs:
+        schema = {"doc_id": StructField("doc_id", LongType())}
+
+        def mapInArrow(self, sketch, schema):  # noqa: N802
+            return sketch
+
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(500)) for _ in range(1200)]
+    size = sum(map(len, texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text_key", "t"])
+    sketch = _nodes(Docs(), 5, 32, 5)
+    tracemalloc.start()
+    n = sum(out.num_rows for out in sketch(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 4 << 20 and n == len(texts)
+    assert peak < 100 << 20

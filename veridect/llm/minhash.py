@@ -37,6 +37,8 @@ from veridect.llm import hashing
 from veridect.llm.frames import make_room, small_batches, stored
 
 GOLDEN = np.uint64(hashing.BASE)
+# bytes of text that a task looks at together: its arrays take about eighty times as much
+BATCH_BYTES = 1 << 20
 
 
 def weighted_shingles(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +164,7 @@ def _nodes(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room("near_duplicates")
-        for batch in small_batches(batches, "t", 4 << 20):
+        for batch in small_batches(batches, "t", BATCH_BYTES):
             texts = [None if t is None else t.encode() for t in batch.column("t").to_pylist()]
             n = len(texts)
             owner, shingle, count = weighted_shingles(texts, words)
@@ -203,7 +205,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room("near_duplicates")
-        for batch in small_batches(batches, "ta", 4 << 20):
+        for batch in small_batches(small_batches(batches, "ta", BATCH_BYTES), "tb", BATCH_BYTES):
             keep = []
             one, two = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
             number = {t: i for i, t in enumerate(dict.fromkeys([*one, *two]))}
