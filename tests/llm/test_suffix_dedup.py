@@ -1,10 +1,13 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from veridect.llm.frames import SHUFFLE_CLEANUP, stored
 from veridect.llm.suffix_dedup import ORBITS, difference_cover, remove_repeated_bytes
 
 
@@ -58,3 +61,19 @@ def test_texts_are_not_shuffled_beside_the_buckets(spark, docs):
     """Ranks are settled before the texts meet them: the result's plan holds no ranking any more."""
     plan = remove_repeated_bytes(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_what_stands_behind_written_rows_leaves_the_disk(spark):
+    """Shuffle files go once the rows are written, also while the frame they belong to is still in use."""
+    files = lambda: {
+        f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    }
+    before = files()
+    setting = spark.conf.get(SHUFFLE_CLEANUP)
+    counted = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    out = stored(counted, "counted", drop_shuffles=True)
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+    end = time.time() + 20
+    while (left := [f for f in files() - before if f.startswith("shuffle_") and f.endswith(".data")]) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and out.count() == 700 and counted.count() == 700
