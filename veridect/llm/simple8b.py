@@ -111,23 +111,23 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, places: np.ndarray, e
     """The ``n`` values again; any range of blocks can be decoded by itself, given their offsets."""
     if not n:
         return np.zeros(0, np.uint64)
-    selector = (words >> np.uint64(60)).astype(np.int64)
+    selector = (words >> np.uint64(60)).astype(np.uint8)
     counts = COUNTS[selector]
     per_block = np.diff(np.append(offsets.astype(np.int64), len(words)))
     before = np.cumsum(counts) - counts
-    first = np.repeat(before[offsets.astype(np.int64)], per_block)
-    block = np.repeat(np.arange(len(offsets)), per_block)
-    start = before - first + block * BLOCK
-    out = np.zeros(len(offsets) * BLOCK + 240, dtype=np.uint64)
-    end = np.minimum((block + 1) * BLOCK, n)
+    # each block has room for what its last word holds beyond it, so nothing needs to be cut while words are read
+    width = BLOCK + REACH
+    first = before[offsets.astype(np.int64)]
+    start = before + np.repeat(np.arange(len(offsets)) * width - first, per_block)
+    wide = np.zeros(len(offsets) * width, dtype=np.uint64)
     for s in np.unique(selector):
         if not BITS[s]:
             continue
         mine = np.flatnonzero(selector == s)
+        rest, place = words[mine], start[mine]
         mask = np.uint64((1 << int(BITS[s])) - 1)
         for k in range(int(COUNTS[s])):
-            place = start[mine] + k
-            inside = place < end[mine]
-            out[place[inside]] = (words[mine[inside]] >> np.uint64(k * int(BITS[s]))) & mask
+            wide[place + k] = (rest >> np.uint64(k * int(BITS[s]))) & mask
+    out = wide.reshape(-1, width)[:, :BLOCK].ravel()
     out[places.astype(np.int64)] = escaped
     return out[:n]
