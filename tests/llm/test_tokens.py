@@ -6,10 +6,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veridect.llm import frames, simple8b
+from veridect.llm import frames, simple8b, tokens, word_table
 from veridect.llm.packing import best_two_fit, pack_documents
 from veridect.llm.token_files import pack_file, token_file_digest, unpack_file
 from veridect.llm.tokens import TextEncoder, encoder, tokenizer_path
+from veridect.llm.word_table import WordTable
 
 NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
@@ -144,3 +145,40 @@ def test_words_before_any_marks_are_learnt_together():
     for text, got in zip(texts, words(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == plain("word_bpe_49k.json", text)
     assert set(alone) <= {*marks, "*", "**", "it's*", "don't'", "a1**", "x_y*"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n'aZÀÖ×öø÷ɏɐ中é,1\x00😀", min_size=1, max_size=30), min_size=1, max_size=5))
+def test_stretches_are_found_in_bytes(texts):
+    texts = [t for t in texts if tokens.certain(t)]
+    data = np.frombuffer(b"\xff" + b"\xff".join(t.encode() for t in texts) + b"\xff", np.uint8)
+    got = np.split(data, tokens.stretch_starts(data))[1:]
+    assert [w.tobytes() for w in got] == [w.encode() if w else b"\xff" for t in texts for w in [*tokens.STRETCHES.findall(t), ""]] + [b"\xff"] * (not texts)
+
+
+def test_short_words_are_looked_up_as_arrays():
+    """Neither cut into strings nor kept as such, and right while the table grows and forgets."""
+    tool = TextEncoder(tokenizer_path("byte_bpe_50k.json"))
+    tool.table = WordTable(3 << 20)
+    rnd = np.random.default_rng(3)
+    marks = np.array([" ", "\n", ", ", "'s ", "\n\n", " étés ", "--", "!?", " 12,5 "])
+    sizes = []
+    for _ in range(4):
+        letters = ["".join(rnd.choice(list("abcdeé"), n)) for n in rnd.integers(1, 9, 30_000)]
+        texts = ["x".join(letters[k : k + 3]) + "y".join(a + b for a, b in zip(letters[k : k + 3000], rnd.choice(marks, 3000))) + "z" for k in range(0, 30_000, 3000)]
+        for text, got in zip(texts, tool(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain("byte_bpe_50k.json", text)
+        sizes.append(tool.table.held)
+        assert all(len(w.encode()) > word_table.MOST for w in tool.parts)
+    assert max(sizes) > 20_000 and sizes != sorted(sizes)
+
+
+def test_words_of_equal_bytes_but_other_length_differ():
+    table = WordTable(1 << 20)
+    data = np.frombuffer(b"a\0a\0\0b" + word_table.PAD, np.uint8)
+    start, length = np.array([0, 0, 2, 5]), np.array([1, 2, 3, 1])
+    low, high = word_table.keys(data, start, length)
+    table.add(low, high, np.array([0, 1, 3, 4]), np.array([1, 2, 1, 2]), np.arange(6, dtype="<u4"))
+    begin, count = table.runs(table.find(low[::-1], high[::-1]))
+    assert [table.pool[b : b + c].tolist() for b, c in zip(begin, count)] == [[4, 5], [3], [1, 2], [0]]
+    assert not table.find(*word_table.keys(data, np.array([3]), np.array([1]))).any()

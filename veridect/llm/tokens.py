@@ -6,6 +6,9 @@ and the tokenizers library only sees words that are not in the cache yet.
 Texts with white space that the cut does not cover go through it whole, and so
 do texts that hold the string of an added token, which the library reads as that
 token unless ``literal`` makes it plain text.
+
+For a byte-level vocabulary, texts that fall apart into ``STRETCHES`` with
+certainty are cut and looked up as arrays of bytes, many texts at once.
 """
 
 from __future__ import annotations
@@ -14,11 +17,13 @@ import os
 import re
 import string
 from functools import lru_cache
+from itertools import compress
 from unicodedata import is_normalized
 
 import numpy as np
 
 from veridect.llm.frames import ByteBoundCache, remembers
+from veridect.llm.word_table import MOST, PAD, WordTable, gathered, keys
 
 # White space beyond space, tab, line feed and return, and controls that Python but not every pattern counts as such.
 UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
@@ -34,11 +39,39 @@ PLAIN = re.compile("[^A-Za-zÀ-ÖØ-öø-įı-ɏ0-9 \n!-/:-@\\[-`{-~–—‘-
 APOSTROPHE = re.compile(f"(?<![{LETTER}])'(?=[{LETTER}])")
 BULK_WORDS = 500
 MARKS = ",.;:!?"
+#: Bytes of text cut and looked up at a time, so that the working arrays stay small.
+CUT_BYTES = 1 << 20
+# A byte that UTF-8 never has, to stand between texts, and what a byte is to the cuts.
+BETWEEN = b"\xff"
+OTHER, IN_WORD, SPACE, LINE_FEED, END = range(5)
+KINDS = np.full(256, OTHER, dtype=np.uint8)
+KINDS[[*map(ord, string.ascii_letters), *range(0xC3, 0xCA)]] = IN_WORD
+KINDS[[ord(" "), ord("\n"), BETWEEN[0]]] = SPACE, LINE_FEED, END
+
+
+def stretch_starts(data: np.ndarray) -> np.ndarray:
+    """Where the ``STRETCHES`` of certain texts begin, and where each text ends; ``data`` has ``BETWEEN`` around each text."""
+    kind = KINDS[data]
+    # letters beyond ASCII have two bytes, the first of which is one of seven
+    lead = np.flatnonzero((data >= 0xC3) & (data < 0xCA))
+    if len(lead):
+        first, second = data[lead], data[lead + 1]
+        none = (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F)
+        kind[lead + 1] = IN_WORD
+        kind[lead[none]] = kind[lead[none] + 1] = OTHER
+    mark = np.flatnonzero(data == ord("'"))
+    kind[mark[(kind[mark - 1] == IN_WORD) & (kind[mark + 1] == IN_WORD)]] = IN_WORD
+    before, here = kind[:-1], kind[1:]
+    starts = here != before
+    starts &= before != SPACE
+    starts |= here == SPACE
+    starts |= here == END
+    return np.flatnonzero(starts) + 1
 
 
-def certain(text: str) -> bool:
-    """Whether a text of some length falls apart into ``STRETCHES`` with certainty."""
-    if PLAIN.search(text):
+def certain(text: str, plain: bool | None = None) -> bool:
+    """Whether a text of some length falls apart into ``STRETCHES`` with certainty; ``plain`` says that it has ``PLAIN`` characters only."""
+    if not plain and (plain is False or PLAIN.search(text)):
         return not UNCERTAIN.search(text)
     return not (text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "'" in text and APOSTROPHE.search(text))
 
@@ -75,7 +108,9 @@ class TextEncoder:
         # a byte-level vocabulary needs the first two for texts without certain cuts alone
         self.first = ByteBoundCache(cache_bytes // 8)
         self.rest = ByteBoundCache(cache_bytes // (8 if self.spaces else 1))
-        self.parts = ByteBoundCache(cache_bytes)
+        # words too long for the table, and line feeds
+        self.parts = ByteBoundCache(cache_bytes // 8)
+        self.table = WordTable(cache_bytes // 2)
 
     def _one(self, text: str) -> bytes:
         return self._all([text])[0]
@@ -124,6 +159,74 @@ class TextEncoder:
         self.parts.update(zip(bare, self.stretches(bare, False), strict=True))
         self.parts.update((s, self.line_feeds(s)) for s in missing if s[0] == "\n")
 
+    def _learn_table(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Takes different short stretches of ``data``, whose keys are ``low`` and ``high``, into the table."""
+        spaced, feed = data[start] == ord(" "), data[start] == ord("\n")
+        # words without a space before them go behind a line feed, whose own id is left out
+        for some, lead in ((np.flatnonzero(spaced), 0), (np.flatnonzero(~spaced & ~feed), 1)):
+            parts = [some[at : at + BULK_WORDS] for at in range(0, len(some), BULK_WORDS)]
+            texts = []
+            for part in parts:
+                text = gathered(data, start[part], length[part])
+                if lead:
+                    text = np.insert(text, np.cumsum(length[part]) - length[part], ord("\n"))
+                texts.append(text.tobytes().decode())
+            for part, coded in zip(parts, self._all(texts), strict=True):
+                ids = np.frombuffer(coded, "<u4")
+                ends = np.cumsum(self.size[ids])
+                wanted = np.cumsum(length[part] + lead)
+                last = np.searchsorted(ends, wanted)
+                if last[-1] + 1 == len(ends) and (ends[last] == wanted).all():
+                    begin = np.append(0, last[:-1] + 1) + lead
+                    self.table.add(low[part], high[part], begin, last + 1 - begin, ids)
+                else:  # not what is expected of such words: ask for each by itself
+                    self._learn_each(self._one, data, start, length, low, high, part)
+        self._learn_each(self.line_feeds, data, start, length, low, high, np.flatnonzero(feed))
+
+    def _learn_each(self, ask, data, start, length, low, high, some) -> None:
+        if len(some):
+            coded = [ask(data[a : a + n].tobytes().decode()) for a, n in zip(start[some].tolist(), length[some].tolist(), strict=True)]
+            count = np.array([len(c) // 4 for c in coded])
+            self.table.add(low[some], high[some], np.cumsum(count) - count, count, np.frombuffer(b"".join(coded), "<u4"))
+
+    def _looked_up(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that fall apart into ``STRETCHES`` with certainty."""
+        self.table.settle()
+        self.parts.settle()
+        data = np.frombuffer(BETWEEN + BETWEEN.join(texts) + BETWEEN + PAD, dtype=np.uint8)
+        start = stretch_starts(data[: -len(PAD)])
+        length = np.diff(start, append=len(data) - len(PAD))
+        end = data[start] == BETWEEN[0]
+        # stretches up to the end of each text
+        upto = np.flatnonzero(end)
+        upto -= np.arange(len(upto))
+        start, length = start[~end], length[~end]
+        short = np.flatnonzero(length <= MOST)
+        first, size = start[short], length[short]
+        low, high = keys(data, first, size)
+        value = self.table.find(low, high)
+        missing = np.flatnonzero(value == 0)
+        if len(missing):
+            order = missing[np.lexsort((low[missing], high[missing]))]
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            some = order[new]
+            self._learn_table(data, first[some], size[some], low[some], high[some])
+            value[missing] = self.table.find(low[missing], high[missing])
+        begin, count = np.zeros((2, len(start)), dtype=np.int64)
+        begin[short], count[short] = self.table.runs(value)
+        long = np.flatnonzero(length > MOST).tolist()
+        words = [data[start[k] : start[k] + length[k]].tobytes().decode() for k in long]
+        self._learn_stretches(set(words))
+        coded = [self.parts[w] for w in words]
+        count[long] = [len(c) // 4 for c in coded]
+        ids = gathered(self.table.pool, begin, count)
+        ends = np.append(0, np.cumsum(count))
+        for k, c in zip(long, coded, strict=True):
+            ids[ends[k] : ends[k + 1]] = np.frombuffer(c, "<u4")
+        joined, at = ids.tobytes(), (4 * ends[upto]).tolist()
+        return [joined[a:b] for a, b in zip([0, *at], at, strict=False)]
+
     def _learn_bytes(self, needed: set[str], lead: str, known: dict[str, bytes]) -> None:
         missing = known.unknown(needed)
         # letters and the marks behind them never share an id
@@ -169,21 +272,30 @@ class TextEncoder:
         self.rest.settle()
         texts = [t or "" for t in texts]
         # plain characters hold no unusual white space
-        usual = [(not PLAIN.search(t) or not UNUSUAL.search(t)) and not any(a in t for a in self.added) for t in texts]
+        plain = [not PLAIN.search(t) for t in texts]
+        usual = [(p or not UNUSUAL.search(t)) and not any(a in t for a in self.added) for t, p in zip(texts, plain, strict=True)]
         if not self.spaces:  # a space before the text leaves no trace
             cut = [t.split() if u else [] for t, u in zip(texts, usual, strict=True)]
             self._learn_words(set().union(*cut))
             get = self.rest.__getitem__
             return [b"".join(map(get, words)) if u else self._one(t) for t, u, words in zip(texts, usual, cut, strict=True)]
-        self.parts.settle()
         if spaced:
             texts = [" " + t for t in texts]
-        cut = [STRETCHES.findall(t) if u and t and certain(t) else None for t, u in zip(texts, usual, strict=True)]
-        self._learn_stretches(set().union(*(c for c in cut if c)))
-        left = [t for t, c in zip(texts, cut, strict=True) if c is None]
-        others = iter(self._uncertain(left, [u for u, c in zip(usual, cut, strict=True) if c is None]))
-        get = self.parts.__getitem__
-        return [next(others) if c is None else b"".join(map(get, c)) for c in cut]
+        cut = [bool(u and t and certain(t, p)) for t, u, p in zip(texts, usual, plain, strict=True)]
+        others = iter(self._uncertain([t for t, c in zip(texts, cut, strict=True) if not c], [u for u, c in zip(usual, cut, strict=True) if not c]))
+        known: list[bytes] = []
+        some: list[bytes] = []
+        held = 0
+        for t in compress(texts, cut):
+            some.append(t.encode())
+            held += len(some[-1])
+            if held >= CUT_BYTES:
+                known += self._looked_up(some)
+                some, held = [], 0
+        if some:
+            known += self._looked_up(some)
+        ids = iter(known)
+        return [next(ids) if c else next(others) for c in cut]
 
     def _uncertain(self, texts: list[str], usual: list[bool]) -> list[bytes]:
         """Ids by a byte-level vocabulary of texts that are cut at spaces, or not at all if they are unusual."""
