@@ -1,11 +1,14 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from veridect.llm.decontamination import contaminated, drop_contaminated, lcs_length
+from veridect.llm import hashing
+from veridect.llm.decontamination import _frequencies, _sums, contaminated, drop_contaminated, lcs_length
 
 
 @given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
@@ -106,3 +109,60 @@ def test_columns_of_any_name(spark):
     source = spark.createDataFrame([(1, item, 1, 2, "k", "x"), (2, "clean words", 1, 2, "k", "x")], schema)
     kept = drop_contaminated(source, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == source.columns and [tuple(r) for r in kept.collect()] == [(2, "clean words", 1, 2, "k", "x")]
+
+
+def test_powers_are_made_once_for_batches_of_any_size():
+    most = hashing._powers(1 << 18, False), hashing._powers(1 << 18, True)
+    for size in (1 << 16, 1 << 17, 1 << 18, 1 << 16):
+        for inverse, longest in enumerate(most):
+            assert np.shares_memory(hashing._powers(size, bool(inverse)), longest)
+    data = np.frombuffer(b"Some Words, and some words", np.uint8)
+    upper, lower = hashing.ByteHashes(data), hashing.ByteHashes(data, lower=True)
+    start, end = np.array([0, 5, 16, 21]), np.array([4, 10, 20, 26])
+    assert len(set(upper.ranges(start, end).tolist())) == 4
+    assert lower.ranges(start, end)[0] == lower.ranges(start, end)[2] == upper.ranges(start, end)[2]
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB \n\x0b\xa0é", max_size=12)), max_size=12))
+def test_words_know_their_text(texts):
+    owner, word = hashing.words([None if t is None else t.encode() for t in texts])
+    want = [(i, w.lower()) for i, t in enumerate(texts) for w in (t or "").encode().split()]
+    assert owner.tolist() == [i for i, _ in want]
+    alone = [hashing.words([w])[1][0] for _, w in want]
+    assert word.tolist() == [int(x) for x in alone]
+
+
+def test_terms_are_counted_once_a_document(spark):
+    """By what the documents hold, not by a flag for each document and term."""
+
+    class Frame:
+        def __getattr__(self, _):
+            return lambda *args: self
+
+        def mapInArrow(self, function, _):
+            self.rows = list(function(iter(batches)))
+            return self
+
+        def collect(self):
+            return [r for b in self.rows for r in b.to_pylist()]
+
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(60))) for _ in range(700)] + [None, ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 500], pa.string())], names=["t"]) for k in (0, 500)]
+    hashing.words([b"a"])
+    tracemalloc.start()
+    found, n = _frequencies(Frame(), 8192)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(8192, dtype=np.int64)
+    for t in texts:
+        for term in {int(w) % 8192 for w in hashing.words([(t or "").encode()])[1]}:
+            want[term] += 1
+    assert n == len(texts) and (found == want).all()
+    assert peak < 4 << 20
+
+
+def test_sums_of_named_rows():
+    matrix = np.random.default_rng(1).standard_normal((9, 4)).astype(np.float32)
+    terms = np.array([[0, 8, 3], [2, 2, 2]])
+    assert np.allclose(_sums(matrix, terms), matrix[terms].sum(axis=1))

@@ -53,11 +53,11 @@ def _frequencies(docs: DataFrame, dimension: int) -> tuple[np.ndarray, int]:
         for batch in small_batches(batches, "t", BATCH_BYTES):
             owner, word = hashing.words(_texts(batch))
             total[dimension] += batch.num_rows
-            for start in range(0, batch.num_rows, 512):  # a flag per document and term
-                mine = slice(*np.searchsorted(owner, (start, start + 512)))
-                seen = np.zeros((512, dimension), dtype=bool)
-                seen[owner[mine] - start, word[mine] % np.uint64(dimension)] = True
-                total[:dimension] += seen.sum(axis=0)
+            # a term counts once for each document that holds it
+            held = np.sort(owner * dimension + (word % np.uint64(dimension)).astype(np.int64))
+            new = np.ones(len(held), dtype=bool)
+            new[1:] = held[1:] != held[:-1]
+            total[:dimension] += np.bincount(held[new] % dimension, minlength=dimension)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
 
@@ -83,9 +83,11 @@ def _runs(owner: np.ndarray, term: np.ndarray, size: int, empty: int) -> tuple[n
 
 def _sums(matrix: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Sum of the matrix rows that each row of ``terms`` names."""
-    total = matrix[terms[:, 0]]
-    for k in range(1, terms.shape[1]):
-        total += matrix[terms[:, k]]
+    columns = np.ascontiguousarray(terms.T)
+    total = matrix.take(columns[0], axis=0)
+    more = np.empty_like(total)
+    for column in columns[1:]:
+        total += matrix.take(column, axis=0, out=more, mode="clip")
     return total
 
 
@@ -122,8 +124,8 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int, leading: int, extr
             norm = np.bincount(at // PASSAGE, square, minlength=len(terms))
             product = _sums(weighted, terms) / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
             flat = terms.ravel()
-            for k in range(width):
-                total[k] += np.bincount(flat, np.repeat(product[:, k], PASSAGE), minlength=dimension + 1)
+            for k, weights in enumerate(np.ascontiguousarray(product.T, dtype=np.float64)):
+                total[k] += np.bincount(flat, np.repeat(weights, PASSAGE), minlength=dimension + 1)
         z = (total * weight).T[:dimension]
         held = np.flatnonzero(z.any(axis=1))
         columns = [pa.array(held), *(pa.array(z[held, k].astype(np.float32)) for k in range(width))]
@@ -266,13 +268,12 @@ def _matcher(held, min_cosine: float, min_overlap: float, least_share: float, an
                 score = _unit(passage) @ query
                 if not score.shape[1]:
                     continue
-                near = np.flatnonzero(score.max(axis=1) >= min_cosine)
-                at, column = np.nonzero(score[near] >= min_cosine)
-                at = near[at]
+                at, column = np.divmod(np.flatnonzero(score >= min_cosine), score.shape[1])
                 # chance neighbours share few of the words that carry weight
                 own = np.hstack([part[at] for part in inside])
-                shared = (weight[own] * holds[item[column][:, None], own]).sum(axis=1)
-                good = shared >= min_overlap * weight[own].sum(axis=1)
+                heavy = weight[own]
+                shared = (heavy * holds[item[column][:, None], own]).sum(axis=1)
+                good = shared >= min_overlap * heavy.sum(axis=1)
                 keys.append(at[good] * len(items) + item[column[good]])
                 cosines.append(score[at[good], column[good]])
             pairs, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
